@@ -1,0 +1,239 @@
+"""Personal data: fixed patterns, and a span classifier trained on votes that expectation-maximisation has weighed."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from halyard.llm.common import text_of
+
+#: Documents whose candidates the fit reads, in expectation, and the probability from which a candidate becomes a span.
+SAMPLE, ACCEPT = 20_000, 0.8
+
+# The four kinds' patterns and their order.
+BASE = ("email", "ip", "card", "phone")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+ADDED = ("email", "card", "phone", "secret", "iban", "ssn")
+KINDS = (*BASE, "secret", "iban", "ssn")
+
+#: Candidates beyond the base, by kind.
+CANDIDATES = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+"),
+    "card": re.compile(r"(?<![0-9.+-])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])"),
+    "secret": re.compile(r"""(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)["']?\s*[:=]\s*["']?([A-Za-z0-9_+/.-]{8,})"""),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+}
+#: A text needs one of these for a kind's pattern to be tried.
+NEEDED = {"email": ("at]", "at)"), "secret": (":", "="), "iban": ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9")}
+#: Gazetteers: top-level domains, country codes that accounts begin with, and words that announce a kind or speak against one.
+DOMAINS = frozenset("com net org edu gov io co de fr es uk eu info biz".split())
+COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
+AREA_STARTS = frozenset("23456789")
+CONTEXT = {"email": "mail contact write", "card": "card visa amex credit pay", "phone": "phone tel call mobile fax cell", "secret": "password token secret key passwd", "iban": "iban account bank", "ssn": "ssn social security", "ip": "ip host address server"}
+CONTEXT = {k: re.compile("|".join(v.split()), re.I) for k, v in CONTEXT.items()}
+AGAINST = re.compile(r"order|invoice|isbn|version|page|ticket|no\.|nr\.|#", re.I)
+
+
+def luhn(digits: str) -> bool:
+    odd, even = digits[-1::-2], digits[-2::-2]
+    return (sum(map(int, odd)) + sum(x * 2 - 9 * (x > 4) for x in map(int, even))) % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind's place in KINDS, start, end) of the fixed patterns, by kind and start."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:  # a match must take the whole run before an at sign, back to the last match
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        m = EMAIL.match(text, start) if start < at else None
+        if m:
+            out.append((0, m.start(), m.end()))
+            free = m.end()
+        at = text.find("@", m.end() if m else at + 1)
+    for m in IP.finditer(text):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
+            out.append((1, m.start(), m.end()))
+    for m in CARD.finditer(text):
+        if 16 <= m.end() - m.start() <= 38:  # at most one separator between two digits
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                out.append((2, m.start(), m.end()))
+    if "+" in text:
+        for m in PHONE.finditer(text):
+            if 8 <= sum(map(str.isdigit, m[0])) <= 15:
+                out.append((3, m.start(), m.end()))
+    return out
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """Further possible spans that touch no base span and not each other, by kind and start."""
+    taken = sorted((a, b) for _, a, b in base)
+    out: list[tuple[str, int, int]] = []
+    for kind, pattern in CANDIDATES.items():
+        if kind in NEEDED and not any(x in text for x in NEEDED[kind]):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span(1) if kind == "secret" else m.span()
+            if not any(x < b and a < y for x, y in taken):
+                out.append((kind, a, b))
+                taken.append((a, b))
+    return out
+
+
+def entropy(s: str) -> float:
+    n = np.unique(list(s), return_counts=True)[1] / len(s)
+    return float(-(n * np.log2(n)).sum())
+
+
+def votes(text: str, kind: str, a: int, b: int) -> list[int]:
+    """Of the labelers pattern, gazetteer, context and surroundings: 1 for, 0 against, -1 none."""
+    span, before = text[a:b], text[max(0, a - 24) : a]
+    digits = "".join(filter(str.isdigit, span))
+    if kind == "card":
+        pattern = int(13 <= len(digits) <= 19 and luhn(digits))
+    elif kind == "iban":
+        s = span.replace(" ", "")
+        pattern = int(int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1)
+    elif kind == "ssn":
+        pattern = int(digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000")
+    elif kind == "secret":
+        pattern = int(entropy(span) >= 2.5 and any(map(str.isdigit, span)))
+    elif kind == "phone":
+        pattern = int(8 <= len(digits) <= 15)
+    else:
+        pattern = 1
+    if kind == "email":
+        listed = int(re.split(r"[.\])\s]+", span.lower())[-1] in DOMAINS)
+    elif kind == "iban":
+        listed = int(span[:2] in COUNTRIES)
+    elif kind == "phone":
+        listed = 1 if span.startswith("+") or digits[0] in AREA_STARTS and len(set(digits)) > 2 else 0
+    else:
+        listed = -1
+    context = 1 if CONTEXT[kind].search(before) else 0 if AGAINST.search(before) else -1
+    edges = text[a - 1 : a] + text[b : b + 1]
+    around = 0 if any(c.isalnum() for c in edges) else 1 if a == 0 or b == len(text) or any(c in " \n\t\"'(=:" for c in edges) else -1
+    return [pattern, listed, context, around]
+
+
+def described(text: str, kind: str, a: int, b: int) -> list[float]:
+    """The classifier's numbers: kind, shape, spread of characters, votes as given and as abstained."""
+    span = text[a:b]
+    v = votes(text, kind, a, b)
+    digits = sum(map(str.isdigit, span)) / len(span)
+    return [1.0, *(float(kind == k) for k in KINDS), min(len(span), 64) / 64, digits, entropy(span) / 6, *(float(x == 1) for x in v), *(float(x == 0) for x in v)]
+
+
+def weigh(table: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """table: votes. Expectation-maximisation for two-sided labelers: the probability of each row, and for each labeler how often it votes for true and against false ones."""
+    voted = table >= 0
+    yes = table == 1
+    p = np.where(voted, yes, 0.5).mean(1)
+    for _ in range(rounds):
+        share = (p.sum() + 1) / (p.size + 2)
+        true = ((p[:, None] * yes).sum(0) + 4) / ((p[:, None] * voted).sum(0) + 5)
+        false = (((1 - p)[:, None] * (voted & ~yes)).sum(0) + 3) / (((1 - p)[:, None] * voted).sum(0) + 5)
+        odds = np.log(share / (1 - share)) + (np.where(yes, np.log(true / (1 - false)), np.log((1 - true) / false)) * voted).sum(1)
+        p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    return p, true, false
+
+
+def fit(x: np.ndarray, p: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Logistic regression on soft labels."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        h = (x * (q * (1 - q))[:, None]).T @ x / len(x) + 1e-3 * np.eye(w.size)
+        step = np.linalg.solve(h, x.T @ (p - q) / len(x) - 1e-3 * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows, table = [], []
+        for text in frame["_text"]:
+            base = base_spans(text)
+            for kind, a, b in [*((KINDS[k], a, b) for k, a, b in base), *candidates(text, base)]:
+                rows.append(described(text, kind, a, b))
+                table.append(votes(text, kind, a, b))
+        yield pd.DataFrame({"x": rows, "v": table})
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
+    """The classifier's weights, from the candidates of about `sample` documents chosen by a hash of their ids; None if they have none."""
+    n = docs.count()
+    some = docs if n <= sample else docs.filter(F.pmod(F.xxhash64(docs[id_col]), F.lit(1_000_000)) < int(1e6 * sample / n))
+    got = some.select(text_of(some, text_col).alias("_text")).mapInPandas(_described, "x array<double>, v array<int>").toPandas()
+    if not len(got):
+        return None
+    p, _, _ = weigh(np.array(got["v"].tolist()))
+    return fit(np.array(got["x"].tolist()), p)
+
+
+def all_spans(text: str, weights: np.ndarray | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans, each by kind and start."""
+    base = base_spans(text)
+    more = []
+    if weights is not None:
+        for kind, a, b in candidates(text, base):
+            if 1 / (1 + np.exp(-np.clip(np.dot(weights, described(text, kind, a, b)), -40, 40))) >= ACCEPT:
+                more.append((KINDS.index(kind), a, b))
+    return base, sorted([*base, *more])
+
+
+def _joined(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def _finder(weights: np.ndarray | None):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cell in batch.column("_text"):
+                base, every = all_spans(cell.as_py(), weights)
+                count = [0, 0, 0, 0]
+                for k, _, _ in base:
+                    count[k] += 1
+                out.append((*count, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", *names])
+
+    return find
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row of docs: <id_col>, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points, comma-joined).
+
+    The fixed patterns always count. Further candidates (masked mail addresses, local phone numbers, secrets, account, card and social
+    security numbers) become spans where a classifier says so; it is trained on what pattern, gazetteer, context and surroundings
+    vote, weighed by their estimated reliability. Null texts are empty and have no spans; repeated rows get equal results; texts are
+    read whole, each by itself, without a shuffle. An empty table gives no rows.
+    """
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("_text"))
+    kind = dict(rows.dtypes)["id"]
+    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return rows.mapInArrow(_finder(train(docs, id_col, text_col)), schema).withColumnRenamed("id", id_col)
+
+
+def op6_pii(spark, sf_dir):
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
