@@ -17,9 +17,11 @@ from halyard.llm.suffix_sort import suffix_array
 #: Bytes of a string whose later occurrences go, and of the anchors looked for inside it.
 LENGTH, ANCHOR = 100, 32
 #: Window starts that are hashed at once (positions have POS_BITS bits), segments of one task, bytes sorted at once, segments under one key beyond which it is split.
-SLICE, POS_BITS, TASK_ROWS, SORT_BYTES, HOT = 1 << 16, 17, 750_000, 1 << 16, 2048
+SLICE, POS_BITS, TASK_ROWS, SORT_BYTES, HOT = 1 << 16, 17, 750_000, 1 << 14, 2048
 #: Windows of a hot segment whose common bytes become the new key, step by step.
 SPANS = (23, 8, 3, 1)
+#: The same for all other shared segments, inside a task.
+NARROW = (23, 8)
 
 _random = np.random.default_rng(20240229)
 _TABLE = _random.integers(0, 2**64, 256, np.uint64)
@@ -218,35 +220,75 @@ def repeats(rids: list[int], firsts: list[int], segs: list[bytes], length: int =
     return list(zip(rid[by][later].tolist(), start[by][later].tolist()))
 
 
+def _classes(seg: bytes, count: int, place: int, span: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Runs of a segment's windows whose anchor's place is in one class of span places: kind, first window, windows, the bytes that all windows of the class hold."""
+    k = 0
+    while k < count:
+        kind = (place - k) // span
+        n = min(count - k, place - k - kind * span + 1)
+        yield kind, k, n, seg[max(0, place - kind * span) : place + LENGTH - (kind + 1) * span + 1]
+        k += n
+
+
+def _narrowed(rows: list[tuple[int, int, int, int, bytes]], span: int) -> tuple[list[list], list[tuple[int, int, int]]]:
+    """rows (rid, first, windows, anchor's place, bytes) of one key: what must still be compared, in groups that share the bytes of a class; and
+    the repeats (rid, first, windows) known on the way, runs of windows whose bytes equal an earlier run's."""
+    groups: dict[tuple[int, bytes], dict] = {}
+    known = []
+    for rid, first, count, place, seg in rows:
+        for kind, k, n, common in _classes(seg, count, place, span):
+            own = (place - k, seg[k : k + n + LENGTH - 1])
+            group = groups.setdefault((kind, common), {})
+            old = group.get(own)
+            if old is None:
+                group[own] = (rid, first + k, n)
+            elif old[:2] != (rid, first + k):
+                new = (rid, first + k, n)
+                known.append(max(old, new))
+                group[own] = min(old, new)
+    return [[(rid, first, n, place, seg) for (place, seg), (rid, first, n) in g.items()] for g in groups.values() if len(g) > 1], known
+
+
+def _found(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((start, rid))
+    rid, start = rid[order], start[order]
+    new = np.ones(rid.size, bool)
+    new[1:] = (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)
+    heads = np.flatnonzero(new)
+    count = np.diff(np.append(heads, rid.size))
+    if count.max(initial=0) > 127:  # counts have 7 bits
+        heads, count = np.arange(rid.size), np.ones(rid.size, np.int64)
+    return pa.RecordBatch.from_pydict({"rid": rid[heads], "at": _packed(start[heads], count, 0 * count)})
+
+
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition, dealt by key; whole keys are sorted together, SORT_BYTES at a time."""
+    """All rows of a partition, dealt by key. Of each key, classes of windows that share no bytes with others go; the rest is sorted, SORT_BYTES at a time."""
     got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if got is None or not got.num_rows:
         return
     got = got.sort_by("key")
     key = got.column("key").to_numpy()
     ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, key.size)
-    sizes = np.concatenate(([0], np.cumsum(np.array([len(x.as_py()) for x in got.column("seg")]))))
-    a = 0
-    for k, b in enumerate(ends.tolist()):
-        if k + 1 < ends.size and sizes[ends[k + 1]] - sizes[a] < SORT_BYTES:
-            continue
-        part = got.slice(a, b - a)
-        found = repeats(part.column("rid").to_pylist(), [x >> 14 for x in part.column("at").to_pylist()], part.column("seg").to_pylist())
-        a = b
-        if found:
-            rid, start = map(np.array, zip(*found))
-            order = np.lexsort((start, rid))
-            rid, start = rid[order], start[order]
-            new = np.ones(rid.size, bool)
-            new[1:] = (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)
-            heads = np.flatnonzero(new)
-            count = np.diff(np.append(heads, rid.size))
-            cut = np.flatnonzero(count > 127)  # counts have 7 bits: long runs come as single windows
-            if cut.size:
-                yield pa.RecordBatch.from_pydict({"rid": rid, "at": _packed(start, np.ones_like(start), 0 * start)})
-            else:
-                yield pa.RecordBatch.from_pydict({"rid": rid[heads], "at": _packed(start[heads], count, 0 * count)})
+    waiting, size, begin = [], 0, 0
+    for end in ends.tolist():
+        part = got.slice(begin, end - begin)
+        rows = [(rid, *_unpacked(at), seg) for rid, at, seg in zip(*(part.column(n).to_pylist() for n in ("rid", "at", "seg")))]
+        begin = end
+        groups, known = [rows], []
+        for span in NARROW:
+            narrowed = [_narrowed(g, span) for g in groups]
+            groups = [g for more, _ in narrowed for g in more]
+            known += [x for _, more in narrowed for x in more]
+        if known:
+            rid, first, n = map(np.array, zip(*known))
+            yield pa.RecordBatch.from_pydict({"rid": rid, "at": _packed(first, n, 0 * n)})
+        for g in groups:
+            waiting += g
+            size += sum(len(x[4]) for x in g)
+        if waiting and (size >= SORT_BYTES or end == key.size):
+            if found := repeats([x[0] for x in waiting], [x[1] for x in waiting], [x[4] for x in waiting]):
+                yield _found(*map(np.array, zip(*found)))
+            waiting, size = [], 0
 
 
 def _split(span: int):
@@ -256,19 +298,13 @@ def _split(span: int):
             keys, sids, rids, ats, segs = [], [], [], [], []
             for key, rid, at, seg in zip(*(batch.column(n).to_pylist() for n in ("key", "rid", "at", "seg"))):
                 first, count, place = _unpacked(at)
-                k = 0
-                while k < count:
-                    kind = (place - k) // span
-                    n = min(count - k, place - k - kind * span + 1)
-                    # windows k..k+n-1; all of the class hold the bytes from -kind*span to length-(kind+1)*span+1 around the anchor
-                    common = seg[max(0, place - kind * span) : place + LENGTH - (kind + 1) * span + 1]
+                for kind, k, n, common in _classes(seg, count, place, span):
                     own = seg[k : k + n + LENGTH - 1]
                     keys.append(_hash(b"%d:%d:" % (key, kind) + common))
                     sids.append(_hash(b"%d:" % (place - k) + own))
                     rids.append(rid)
                     ats.append(int(_packed(first + k, n, place - k)))
                     segs.append(own)
-                    k += n
             if keys:
                 yield _emit(*(np.array(x, np.int64) for x in (keys, sids, rids, ats)), segs)
 
