@@ -6,9 +6,11 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +22,13 @@ SIZE, END_ID = 2048, 1
 AT_SENTENCE, ANYWHERE = 16, 96
 #: Stretches without a boundary get a cut point after so many ids.
 STEP = 128
-#: Ids that are planned at once; entries and bytes that the memo of tokenised chunks may have.
-SEGMENT, MEMO_ENTRIES, MEMO_BYTES = 1 << 19, 400_000, 24 << 20
+#: Ids that are planned at once; words that a worker remembers (about 150 bytes each), bytes of text that are tokenised at once.
+SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 2_000_000, 8 << 20
+PUNCTUATION = ".,;:!?%#$&*"
 
 
 class Encoder:
-    """Ids of whole texts. A chunk between spaces or line feeds is tokenised once and remembered.
+    """Ids of whole texts. Of the chunks between spaces or line feeds, each distinct word is tokenised once and remembered.
 
     That is exact for vocabularies whose pre-tokens hold no white space and whose normaliser acts inside a chunk only, like the
     ones this is used with; others take split=False.
@@ -36,32 +39,97 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self.memo: dict[str, bytes] = {}
-        self.bytes = 0
+        self._clear()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max([*vocabulary.values(), END_ID]) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>").endswith((".", "!", "?"))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _clear(self) -> None:
+        self.cores: dict[str, int] = {"": 0}
+        self.starts, self.sizes, self.data = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, "<u4")]
+        self.count, self.ids = 1, 0
+
+    def _add(self, texts: list[str], joint: bool) -> None:
+        """Tokenises new cores. Joint ones share a call; places in the joined text tell their ids apart."""
+        for x in range(0, len(texts), 256 if joint else 1):
+            some = texts[x : x + (256 if joint else 1)]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.asarray(got.ids, "<u4")
+            if joint:
+                begins = np.fromiter((a for a, _ in got.offsets), np.int64, ids.size)
+                ends = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1))
+            else:
+                ends = np.array([ids.size])
+            sizes = np.diff(ends, prepend=0)
+            self.starts.append(ends - sizes + self.ids)
+            self.sizes.append(sizes)
+            self.data.append(ids)
+            self.cores.update(zip(some, range(self.count, self.count + len(some))))
+            self.count, self.ids = self.count + len(some), self.ids + ids.size
+
+    def _codes(self, chunks: list[str]) -> np.ndarray:
+        """Of each chunk, the numbers of its core and its tail, a run of plain punctuation behind a letter or digit: a pre-token of its own. Case is lost."""
+        cores, parts, tails, joint, alone = self.cores, [], [], {}, {}
+        for c in chunks:
+            core = c.rstrip(PUNCTUATION)
+            if core.isascii():
+                if len(core) != len(c) and core and not core[-1].isalnum():
+                    core = c  # it ends with other signs, which would be one pre-token with these
+                key = core if "<|" in core else core.lower()
+                if key not in cores:
+                    joint[key] = 1
+            else:
+                if not core[-1].isalnum() or len(core.lower()) != len(core):
+                    core = c
+                key = core
+                if key not in cores:
+                    # Where case or composition changes lengths, places in a joined text mean nothing.
+                    (joint if core.isalpha() and len(core.lower()) == len(core) and is_normalized("NFC", core) else alone)[key] = 1
+            tail = c[len(core) :]
+            if tail not in cores:
+                joint[tail] = 1
+            parts.append(key)
+            tails.append(tail)
+        self._add(list(joint), True)
+        self._add(list(alone), False)
+        return np.stack([np.fromiter(map(cores.__getitem__, x), np.int64, len(x)) for x in (parts, tails)], 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's end."""
         if not self.split:
-            return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            if new := list(set(chunks) - self.memo.keys()):
-                if len(self.memo) > MEMO_ENTRIES or self.bytes > MEMO_BYTES:
-                    self.memo, self.bytes, new = {}, 0, list(set(chunks))
-                for at in range(0, len(new), 4096):
-                    some = new[at : at + 4096]
-                    got = self._ids(some)
-                    self.memo.update(zip(some, got))
-                    self.bytes += sum(map(len, got))
-            out.append(np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<u4"))
-        return out
+            each = [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*each, np.zeros(0, "<u4")]), np.cumsum([x.size for x in each], dtype=np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        words, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        if len(self.cores) > MEMO_ENTRIES:
+            self._clear()
+        both = self._codes(words)
+        starts, sizes, data = (np.concatenate(x) for x in (self.starts, self.sizes, self.data))
+        self.starts, self.sizes, self.data = [starts], [sizes], [data]
+        flat = data[_spread(starts[both.ravel()], sizes[both.ravel()])]
+        size = sizes[both].sum(1)
+        count = size[at]
+        ids = flat[_spread((np.cumsum(size) - size)[at], count)]
+        last = np.cumsum(pc.list_value_length(split).to_numpy())  # every text has a chunk, an empty one at least
+        return ids, np.cumsum(count)[last - 1]
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] numbers, then those of the next."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, split: bool) -> Encoder:
+    """One for all tasks of a Python worker."""
+    if (path, split) not in _encoders:
+        _encoders[path, split] = Encoder(path, split)
+    return _encoders[path, split]
 
 
 def cut_points(ids: np.ndarray, bounds: np.ndarray, ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +195,7 @@ def windows(at: np.ndarray, cost: np.ndarray, last: bool, size: int = SIZE) -> l
 
 def _packer(path: str, size: int, split: bool, id_type: pa.DataType):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path, split), TaskContext.get().partitionId() << 33
+        own_encoder, part = encoder(path, split), TaskContext.get().partitionId() << 33
         held: list[tuple[object, int, int, np.ndarray]] = []  # id, ids before, all its ids, ids
         held_ids, number = 0, 0
 
@@ -137,7 +205,7 @@ def _packer(path: str, size: int, split: bool, id_type: pa.DataType):
             bounds = np.cumsum([x[3].size for x in held])
             out: list[tuple] = []
             k = begin = 0
-            for end in windows(*cut_points(ids, bounds, encoder.ends), last, size):
+            for end in windows(*cut_points(ids, bounds, own_encoder.ends), last, size):
                 p = begin
                 while p < end:
                     id_, before, all_, own = held[k]
@@ -157,14 +225,21 @@ def _packer(path: str, size: int, split: bool, id_type: pa.DataType):
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], NAMES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for id_, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            at = 0
+            while at < batch.num_rows:  # as many texts as TEXT_BYTES hold, one at least
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
+                some = batch.slice(at, to - at)
+                every, ends = own_encoder.encode(some.column(1))
+                begin = 0
+                for id_, end in zip(some.column(0).to_pylist(), ends.tolist()):
+                    ids = np.append(every[begin:end], np.uint32(END_ID)).astype("<u4", copy=False)
+                    begin = end
                     held.append((id_, 0, ids.size, ids))
                     held_ids += ids.size
                     if held_ids >= SEGMENT:
                         yield flush(False)
+                at = to
         if held:
             yield flush(True)
 
