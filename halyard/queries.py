@@ -1,4 +1,345 @@
 """The engine's own queries over the driver's tables, and the SQL that they must equal."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from halyard.functions import expressions as X
+from halyard.lineage.tables import table_lineage
+from halyard.operators import batch as B
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT event_id, event_type AS kind, user_id FROM events")
+def q_select_project(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), "user_id")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
+def q_wordcount(spark, d):
+    return table(spark, d, "documents").select(F.explode(X.word_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, ' +$', ''), ' ')) AS word FROM documents) GROUP BY word")
+def q_wordcount_space(spark, d):
+    return table(spark, d, "documents").select(F.explode(X.words_by_space(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events")
+def q_running_wordcount(spark, d):
+    return B.running_count(table(spark, d, "events"), "event_type", ["ts", "event_id"]).select("event_id", "event_type", "running")
+
+
+@query("""SELECT event_type, window_start, rn AS total FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 5 = 0""")
+def q_count_trigger(spark, d):
+    return B.count_trigger(table(spark, d, "events"), "event_type", "ts", ["ts", "event_id"], "1 day", 5)
+
+
+def odometer(spark, d) -> DataFrame:
+    run = F.sum(F.col("value").cast("decimal(18,6)")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").withColumn("path", run.cast("double")).select("user_id", "ts", "event_id", "path")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, CAST(sum(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT user_id, event_id, k, path AS last, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS fired, CAST(0 AS BIGINT) AS firing FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.path - s.last > 536 THEN e.path ELSE s.last END, CASE WHEN s.fired > 0 THEN 1 ELSE s.n + 1 END, CASE WHEN e.path - s.last > 536 THEN 1 ELSE 0 END, s.firing + CASE WHEN e.path - s.last > 536 THEN 1 ELSE 0 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, event_id, n, firing FROM s WHERE fired > 0""")
+def q_delta_trigger(spark, d):
+    return B.delta_trigger(odometer(spark, d), "user_id", "path", ["ts", "event_id"]).select("user_id", F.col("at.event_id").alias("event_id"), "n", "firing")
+
+
+def order_lines(spark, d) -> DataFrame:
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # an order has 7 lines at most
+
+
+@query("SELECT l_orderkey, l_linenumber AS no, l_partkey AS part, l_quantity AS quantity FROM lineitem")
+def q_unnest(spark, d):
+    return B.unnest(order_lines(spark, d), "lines", ["no", "part", "quantity"])
+
+
+@query("""SELECT l_orderkey, CAST(a[1].l_quantity AS BIGINT) AS first_quantity, a[2].l_partkey AS second_part, a[9].l_partkey AS ninth_part, 'lines' AS kind FROM (SELECT l_orderkey, list({'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_quantity': l_quantity} ORDER BY l_linenumber, l_partkey, l_quantity) AS a FROM lineitem GROUP BY l_orderkey)""")
+def q_positional_signals(spark, d):
+    a = F.col("lines")
+    return order_lines(spark, d).select("l_orderkey", B.at(a, 1)["l_quantity"].cast("bigint").alias("first_quantity"), B.at(a, 2)["l_partkey"].alias("second_part"), B.at(a, 9)["l_partkey"].alias("ninth_part"), F.lit("lines").alias("kind"))
+
+
+@query("""SELECT l_orderkey, m[1][1] AS a11, m[2][1] AS a21, m[1][3] AS a13 FROM (SELECT l_orderkey, [list(l_partkey ORDER BY l_linenumber, l_partkey), list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey)] AS m FROM lineitem GROUP BY l_orderkey)""")
+def q_nested_subscript(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    m = F.array(F.col("x.l_partkey"), F.col("x.l_suppkey"))
+    return rows.select("l_orderkey", B.at(m, 1, 1).alias("a11"), B.at(m, 2, 1).alias("a21"), B.at(m, 1, 3).alias("a13"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate AS \"date\" FROM orders")
+def q_struct_flatten(spark, d):
+    packed = table(spark, d, "orders").select("o_orderkey", F.struct("o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").alias("date")).alias("operation"))
+    return B.flatten(packed, "operation")
+
+
+@query("""SELECT event_id, CASE WHEN k IS NULL OR k = '' THEN -99999 ELSE try_cast(k AS BIGINT) END AS k_int, CAST(CASE WHEN k IS NULL OR k = '' THEN CAST(-99999 AS DECIMAL(18,8)) ELSE try_cast(k AS DECIMAL(18,8)) END AS DOUBLE) AS k_dec, CASE WHEN k IS NULL THEN -99999 ELSE try_cast(k AS BIGINT) END AS k_loose
+FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events)""")
+def q_sentinel_cast(spark, d):
+    k = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 5 == 0, None).otherwise(X.json_string(F.col("props"), "k"))
+    return table(spark, d, "events").select("event_id", k.alias("k")).select("event_id", X.sentinel(F.col("k")).alias("k_int"), X.sentinel(F.col("k"), "decimal(18,8)").cast("double").alias("k_dec"), X.sentinel(F.col("k"), strict_empty=False).alias("k_loose"))
+
+
+@query("SELECT event_id, concat_ws('&', CAST(user_id AS VARCHAR), nullif(event_type, 'view'), CAST(event_id AS VARCHAR)) AS row_key, md5(concat(CAST(user_id AS VARCHAR), 'pepper')) AS masked FROM events")
+def q_mask_key(spark, d):
+    return table(spark, d, "events").select("event_id", X.row_key(F.col("user_id"), F.nullif(F.col("event_type"), F.lit("view")), F.col("event_id")).alias("row_key"), X.masked(F.col("user_id"), "pepper").alias("masked"))
+
+
+@query("SELECT event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS log_ts, strftime(ts, '%Y-%m-%d') AS dt, CAST(ts AS DATE) AS stat_date FROM events")
+def q_epoch_partition(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    at = table(spark, d, "events").select("event_id", X.epoch_ms_to_timestamp(ms).alias("log_ts"))
+    return at.select("event_id", "log_ts", X.partition_day(F.col("log_ts")).alias("dt"), F.to_date("log_ts").alias("stat_date"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '9999-99-99' END AS dt FROM orders")
+def q_default_date(spark, d):
+    s = F.when(F.col("o_orderkey") % 3 == 0, None).when(F.col("o_orderkey") % 3 == 1, "").otherwise(F.col("o_orderdate").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", X.default_day(s).alias("dt"))
+
+
+@query("SELECT user_id, CAST(count_if(value > 30.451) AS BIGINT) AS brake, CAST(count_if(value > 100) AS BIGINT) AS hard_to FROM events GROUP BY user_id")
+def q_braking(spark, d):
+    return B.conditional_counts(table(spark, d, "events"), "user_id", {"brake": F.col("value") > 30.451, "hard_to": F.col("value") > 100})
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events")
+def q_row_number(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).cast("bigint").alias("rn"))
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def q_keep_last(spark, d):
+    return B.keep_last(table(spark, d, "events"), "user_id", ["ts", "event_id"])
+
+
+@query("SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 2")
+def q_top2(spark, d):
+    return B.top_n(table(spark, d, "events"), "event_type", [F.desc("value"), F.col("event_id")]).select("event_type", "value", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT user_id, round(sum(CASE WHEN event_type = 'error' THEN -value ELSE value END), 4) AS total FROM events GROUP BY user_id")
+def q_retract_sum(spark, d):
+    return B.retract_sum(table(spark, d, "events"), "user_id", "value", F.col("event_type") == "error").select("user_id", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE concat('a=', event_type, ',b=', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(user_id AS VARCHAR) END) END AS s FROM events")
+def q_map_to_string(spark, d):
+    m = F.when(F.col("event_id") % 10 != 0, F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string"))))
+    return table(spark, d, "events").select("event_id", X.map_to_string(m).alias("s"))
+
+
+@query("""SELECT event_id, ['brake', 'hard_to', 'unsafe_follow', 'force_to_quit'][i] AS type, p[i] AS value FROM (SELECT event_id, [CAST(event_id AS VARCHAR), event_type, CAST(user_id AS VARCHAR), 'x', 'y'][1:3 + event_id % 3] AS p FROM events), unnest(generate_series(1, 4)) AS g(i) WHERE i <= len(p)""")
+def q_parse_special(spark, d):
+    parts = F.array(F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"), F.lit("x"), F.lit("y"))
+    s = F.array_join(F.slice(parts, F.lit(1), (F.col("event_id") % 3 + 3).cast("int")), ",")
+    return table(spark, d, "events").select("event_id", F.inline(X.special_parts(s)))
+
+
+@query("SELECT p_partkey, 2020 AS none, CAST(p_size * 2020 AS INTEGER) AS one, CAST(p_size * 3 * 2020 AS INTEGER) AS more FROM part")
+def q_factor_udf(spark, d):
+    p = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", X.factor().alias("none"), X.factor(F.array(p)).alias("one"), X.factor(F.array(p, F.lit(3))).alias("more"))
+
+
+@query("SELECT c_custkey, round((c_custkey % 60 + c_custkey % 3600 / 60.0e0 / 60.0e0) / 60.0e0 + abs(c_nationkey - 12), 9) AS degrees FROM customer")
+def q_dms(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.round(X.to_degrees(F.col("c_nationkey") - 12, F.col("c_custkey") % 60, F.col("c_custkey") % 3600 / F.lit(60.0)), 9).alias("degrees"))
+
+
+def points(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", (F.lit(70.0) + F.col("c_custkey") % 700 / F.lit(10.0)).alias("lng"), (F.lit(0.5) + F.col("c_custkey") % 560 / F.lit(10.0)).alias("lat"))
+
+
+POINTS = "p AS (SELECT c_custkey, 70.0e0 + (c_custkey % 700) / 10.0e0 AS lng, 0.5e0 + (c_custkey % 560) / 10.0e0 AS lat FROM customer)"
+
+
+def _gcj_sql(src: str, out: str) -> str:
+    """SQL of the grid's shift, from columns lng and lat of src to lng and lat of out."""
+    wave = "(20.0e0*sin(6.0e0*x*pi()) + 20.0e0*sin(2.0e0*x*pi()))*2.0e0/3.0e0"
+    lat = f"-100.0e0 + 2.0e0*x + 3.0e0*y + 0.2e0*y*y + 0.1e0*x*y + 0.2e0*sqrt(abs(x)) + {wave} + (20.0e0*sin(y*pi()) + 40.0e0*sin(y/3.0e0*pi()))*2.0e0/3.0e0 + (160.0e0*sin(y/12.0e0*pi()) + 320.0e0*sin(y*pi()/30.0e0))*2.0e0/3.0e0"
+    lng = f"300.0e0 + x + 2.0e0*y + 0.1e0*x*x + 0.1e0*x*y + 0.1e0*sqrt(abs(x)) + {wave} + (20.0e0*sin(x*pi()) + 40.0e0*sin(x/3.0e0*pi()))*2.0e0/3.0e0 + (150.0e0*sin(x/12.0e0*pi()) + 300.0e0*sin(x/30.0e0*pi()))*2.0e0/3.0e0"
+    return f"""{out}_a AS (SELECT *, lng - 105.0e0 AS x, lat - 35.0e0 AS y, 1.0e0 - 0.00669342162296594323e0*pow(sin(lat/180.0e0*pi()), 2) AS m FROM {src}),
+{out}_b AS (SELECT *, ({lat})*180.0e0/((6378245.0e0*(1 - 0.00669342162296594323e0))/(m*sqrt(m))*pi()) AS d_lat, ({lng})*180.0e0/(6378245.0e0/sqrt(m)*cos(lat/180.0e0*pi())*pi()) AS d_lng, lng BETWEEN 72.004e0 AND 137.8347e0 AND lat BETWEEN 0.8293e0 AND 55.8271e0 AS inside FROM {out}_a),
+{out} AS (SELECT c_custkey, CASE WHEN inside THEN lng + d_lng ELSE lng END AS lng, CASE WHEN inside THEN lat + d_lat ELSE lat END AS lat FROM {out}_b)"""
+
+
+def _back_sql(src: str, out: str) -> str:
+    return f"{_gcj_sql(src, out + '_f')},\n{out} AS (SELECT c_custkey, 2.0e0*s.lng - f.lng AS lng, 2.0e0*s.lat - f.lat AS lat FROM {src} s JOIN {out}_f f USING (c_custkey))"
+
+
+def _bd_sql(src: str, out: str) -> str:
+    return f"{out}_a AS (SELECT *, sqrt(lng*lng + lat*lat) + 0.00002e0*sin(lat*(pi()*3000.0e0/180.0e0)) AS z, atan2(lat, lng) + 0.000003e0*cos(lng*(pi()*3000.0e0/180.0e0)) AS t FROM {src}), {out} AS (SELECT c_custkey, z*cos(t) + 0.0065e0 AS lng, z*sin(t) + 0.006e0 AS lat FROM {out}_a)"
+
+
+def _bd_back_sql(src: str, out: str) -> str:
+    return f"{out}_a AS (SELECT c_custkey, lng - 0.0065e0 AS x, lat - 0.006e0 AS y FROM {src}), {out}_b AS (SELECT *, sqrt(x*x + y*y) - 0.00002e0*sin(y*(pi()*3000.0e0/180.0e0)) AS z, atan2(y, x) - 0.000003e0*cos(x*(pi()*3000.0e0/180.0e0)) AS t FROM {out}_a), {out} AS (SELECT c_custkey, z*cos(t) AS lng, z*sin(t) AS lat FROM {out}_b)"
+
+
+def _rounded(spark, d, f) -> DataFrame:
+    lng, lat = f(F.col("lng"), F.col("lat"))
+    return points(spark, d).select("c_custkey", F.round(lng, 8).alias("lng"), F.round(lat, 8).alias("lat"))
+
+
+_LAST = " SELECT c_custkey, round(lng, 8) AS lng, round(lat, 8) AS lat FROM o"
+
+
+@query(f"WITH {POINTS}, {_gcj_sql('p', 'o')}{_LAST}")
+def q_gcj02(spark, d):
+    return _rounded(spark, d, X.wgs84_to_gcj02)
+
+
+@query(f"WITH {POINTS}, {_back_sql('p', 'o')}{_LAST}")
+def q_gcj02_inverse(spark, d):
+    return _rounded(spark, d, X.gcj02_to_wgs84)
+
+
+@query(f"WITH {POINTS}, {_bd_sql('p', 'o')}{_LAST}")
+def q_bd09(spark, d):
+    return _rounded(spark, d, X.gcj02_to_bd09)
+
+
+@query(f"WITH {POINTS}, {_bd_back_sql('p', 'o')}{_LAST}")
+def q_bd09_inverse(spark, d):
+    return _rounded(spark, d, X.bd09_to_gcj02)
+
+
+@query(f"WITH {POINTS}, {_gcj_sql('p', 'g')}, {_bd_sql('g', 'o')}{_LAST}")
+def q_wgs84_bd09(spark, d):
+    return _rounded(spark, d, lambda x, y: X.convert_coordinates("bd09", "wgs84", x, y))
+
+
+@query(f"WITH {POINTS}, {_bd_back_sql('p', 'g')}, {_back_sql('g', 'o')}{_LAST}")
+def q_bd09_wgs84(spark, d):
+    return _rounded(spark, d, lambda x, y: X.convert_coordinates("wgs84", "bd09", x, y))
+
+
+@query("SELECT c_custkey, lng NOT BETWEEN 72.004e0 AND 137.8347e0 OR lat NOT BETWEEN 0.8293e0 AND 55.8271e0 AS outside FROM (WITH " + POINTS + " SELECT * FROM p)")
+def q_out_of_box(spark, d):
+    return points(spark, d).select("c_custkey", (~X.in_box(F.col("lng"), F.col("lat"))).alias("outside"))
+
+
+@query("SELECT event_id, event_id | 32 AS bit_on, event_id & ~CAST(1 AS BIGINT) AS bit_off, xor(event_id, 32) AS flipped, (event_id & 32) <> 0 AS tested FROM events")
+def q_bits(spark, d):
+    x = F.col("event_id")
+    return table(spark, d, "events").select("event_id", X.bit_set(x, 5).alias("bit_on"), X.bit_clear(x, 0).alias("bit_off"), X.bit_toggle(x, 5).alias("flipped"), X.bit_test(x, 5).alias("tested"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS sci FROM events")
+def q_sci_notation(spark, d):
+    s = F.when(F.col("event_id") % 3 == 0, F.concat(F.col("event_id").cast("string"), F.lit(".5E-3"))).otherwise(F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", X.is_scientific(s).alias("sci"))
+
+
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) <= 5")
+def q_rate_limit(spark, d):
+    return B.rate_limited(table(spark, d, "events"), [], "ts", ["ts", "event_id"], "1 hour", 5).select("event_id", "event_type")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 - 28800 AS seconds, printf('%.6f', value) AS six, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k, 0.0e0 AS missing FROM events")
+def q_dates_and_json(spark, d):
+    s = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "events").select("event_id", X.epoch_seconds(s).alias("seconds"), X.fixed_six(F.col("value")).alias("six"), X.json_double(F.col("props"), "k").alias("k"), X.json_double(F.col("props"), "none").alias("missing"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_tumble(spark, d):
+    w = F.window(F.col("ts").cast("timestamp"), "1 day")
+    return table(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "total")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 12 HOUR, ts) - h * INTERVAL 12 HOUR AS window_start, count(*) AS n FROM events, unnest([0, 1]) AS g(h) GROUP BY ALL")
+def q_hop(spark, d):
+    w = F.window(F.col("ts").cast("timestamp"), "24 hours", "12 hours")
+    return table(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("""SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR, true) AS gap FROM events)) GROUP BY user_id, s""")
+def q_session(spark, d):
+    w = F.session_window(F.col("ts").cast("timestamp"), "1 hour")
+    return table(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_id, value, row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 DAY, ts) ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 3")
+def q_window_topn(spark, d):
+    day = table(spark, d, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return B.top_n(day, "day", [F.desc("value"), F.col("event_id")], 3).select("day", "event_id", "value", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT n_name, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def q_join_inner(spark, d):
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON o_custkey = c_custkey")
+def q_join_outer(spark, d):
+    o, c = table(spark, d, "orders").filter("o_totalprice > 300000"), table(spark, d, "customer")
+    return c.join(o, o.o_custkey == c.c_custkey, "left").select("c_custkey", "c_name", "o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def q_semi(spark, d):
+    o, c = table(spark, d, "orders").filter("o_totalprice > 100000"), table(spark, d, "customer")
+    return c.join(o, o.o_custkey == c.c_custkey, "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def q_anti(spark, d):
+    o, c = table(spark, d, "orders").filter("o_totalprice > 300000"), table(spark, d, "customer")
+    return c.join(o, o.o_custkey == c.c_custkey, "left_anti").select("c_custkey")
+
+
+@query("(SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click') EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 150")
+def q_setop(spark, d):
+    e = table(spark, d, "events")
+    of = lambda c: e.filter(c).select("user_id")
+    return of("event_type = 'view'").intersect(of("event_type = 'click'")).subtract(of("event_type = 'error' AND value > 150"))
+
+
+@query("SELECT event_type, user_id % 5 AS g, count(*) AS n FROM events GROUP BY CUBE (event_type, g)")
+def q_cube(spark, d):
+    return table(spark, d, "events").withColumn("g", F.col("user_id") % 5).cube("event_type", "g").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id)")
+def q_rollup(spark, d):
+    return table(spark, d, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p.event_id, v.event_id AS right_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def q_asof(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return B.asof_join(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), "user_id", "ts", ["event_id"]).select("event_id", "right_event_id")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) AS window_end, count(*) AS n FROM events, unnest([1, 2, 3, 4]) AS g(i) WHERE ts < time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) GROUP BY ALL""")
+def q_cumulate(spark, d):
+    return B.cumulate(table(spark, d, "events"), "ts", "6 hours", "1 day", [], [F.count("*").alias("n")])
+
+
+@query("SELECT * FROM (VALUES ('INSERT INTO a SELECT * FROM b JOIN c ON b.x = c.x', 'a', 'b,c'), ('WITH t AS (SELECT 1 FROM s) SELECT * FROM t, u', '', 's,u')) AS v(statement, target, sources)")
+def q_lineage_tables(spark, d):
+    found = [table_lineage(spark, s) for s in ("INSERT INTO a SELECT * FROM b JOIN c ON b.x = c.x", "WITH t AS (SELECT 1 FROM s) SELECT * FROM t, u")]
+    return spark.createDataFrame([(x.statement, x.target or "", ",".join(sorted(x.sources))) for x in found], "statement string, target string, sources string")
