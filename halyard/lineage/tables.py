@@ -51,7 +51,7 @@ def table_lineage(spark: SparkSession, statement: str) -> Lineage:
         expressions = list(_each(node.expressions()))
         while expressions:
             e = expressions.pop()
-            if any(x in e.getClass().getSimpleName() for x in ("Subquery", "Exists", "ListQuery")):
+            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
                 stack.append(e.plan())
             expressions.extend(_each(e.children()))
     out.sources -= out.with_tables

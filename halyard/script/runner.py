@@ -155,6 +155,7 @@ class Runner:
             if wanted is not None and len(wanted) != len(df.columns):
                 raise ValueError(f"{name} takes {len(wanted)} columns, the query has {len(df.columns)}")
             if df.isStreaming:
+                df = df.toDF(*wanted) if wanted else df  # by position
                 started.append(self._stream(name, target, df))
             elif target is not None and self._is_sink(target):
                 self._sink(target)(df, 0)
@@ -183,12 +184,11 @@ class Runner:
             days = {"h": 3600, "hour": 3600, "s": 1, "min": 60, "m": 60, "d": 86400}
             n, unit = (properties.get("sink.partition-commit.delay", "0 s") + " s").split()[:2]
             path = self.spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()[1]
-            df = df.toDF(*[n_ for n_, _ in table.columns])
             at = f"cast(`{table.partitions[-1]}` as timestamp)" if "log_ts" not in df.columns else "log_ts"
             df = df.withColumn("_at", F.expr(at))
-            sink = PartitionCommit(path, "_at", table.stored_as or "parquet", table.partitions[-1], int(n) * days.get(unit, 1), zone=properties.get("sink.partition-commit.watermark-time-zone", "UTC"))
+            sink = PartitionCommit(path, "_at", table.stored_as or "parquet", table.partitions[-1], int(n) * days.get(unit, 1), zone=properties.get("sink.partition-commit.watermark-time-zone", "UTC"), table=name)
             return df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger).foreachBatch(lambda b, i: sink(b.drop("_at").withColumn("_at", F.expr(at)), i)).start()
-        return out.toTable(name)
+        return out.format((table.stored_as if table else None) or "parquet").toTable(name)
 
 
 def main(argv: list[str] | None = None) -> None:

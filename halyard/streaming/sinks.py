@@ -58,6 +58,7 @@ class PartitionCommit:
             if self.latest is not None and self.latest >= end + self.delay_s:
                 if self.table:
                     spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS PARTITION (`{self.partition}` = '{day}') LOCATION '{self.path}/{self.partition}={day}'")
+                    spark.catalog.refreshTable(self.table)
                 _touch(spark, f"{self.path}/{self.partition}={day}/_SUCCESS")
                 done.append(day)
         self.open.difference_update(done)
