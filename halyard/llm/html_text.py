@@ -91,7 +91,11 @@ def _prune(every: list[Node]) -> None:
     for x in every:  # parents come first
         up = x.parent
         if up is not None and up.dropped:
-            x.dropped = not (x.name in HEADINGS and up.name == "header" and not up.hidden and up.parent is not None and not up.parent.dropped and _inside(up, ("article", "main")))
+            x.dropped = True
+        elif up is not None and up.name == "header":  # one that is kept: an article's, for its headings
+            x.dropped = x.name not in HEADINGS and x.name != "hgroup"
+        elif x.name == "header" and not x.hidden and _inside(up, ("article", "main")):
+            x.dropped = False
         elif x not in holds and x.name not in SAFE:
             x.dropped = x.name in DROPPED or x.name == "header" or x.hidden or bool(x.words & FURNITURE)
         elif x.name == "article":

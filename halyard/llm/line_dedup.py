@@ -26,17 +26,26 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Hashes of the runs of SHINGLE code points in text (shorter texts: of the whole), in order, repeats included."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if x.size < SHINGLE:
-        x = np.append(x, np.full(SHINGLE - x.size, 0x110000, np.uint64))
-    h = np.zeros(x.size - SHINGLE + 1, np.uint64)
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of SHINGLE code points of each line (shorter lines: of the whole), repeats included, line after line; and where each line's end."""
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\U0010ffff") for x in lines]
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, x.size - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         h = h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + h.size]
+    inside = np.ones(x.size, bool)  # a run mustn't reach into the next line
+    for k in range(1, SHINGLE):
+        inside[np.cumsum(size) - k] = False
+    h = h[inside[: h.size]]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    return h ^ (h >> np.uint64(32)), np.cumsum(size - SHINGLE + 1)
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    h, ends = shingle_hashes(lines)
+    return [np.unique(x) for x in np.split(h, ends[:-1])] if lines else []
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -45,9 +54,8 @@ def signatures(lines: list[str]) -> np.ndarray:
     bins = BANDS * ROWS
     least = np.full(len(lines) * bins, np.iinfo(np.uint64).max, np.uint64)
     if lines:
-        hashes = [shingle_hashes(x) for x in lines]
-        owner = np.repeat(np.arange(len(lines)), [h.size for h in hashes])
-        h = np.concatenate(hashes)
+        h, ends = shingle_hashes(lines)
+        owner = np.repeat(np.arange(len(lines)), np.diff(ends, prepend=0))
         bin_ = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(least, owner * bins + bin_, h)
     least = least.reshape(len(lines), bins)
@@ -59,7 +67,7 @@ def signatures(lines: list[str]) -> np.ndarray:
             break
         near, ok = np.roll(least[rows], -step, 1), ~np.roll(empty[rows], -step, 1)
         take = todo[rows] & ok
-        filled[rows] = np.where(take, near + np.uint64(step) * np.uint64(0xA24BAED4963EE407), filled[rows])
+        filled[rows] = np.where(take, near + np.uint64(step * 0xA24BAED4963EE407 % 2**64), filled[rows])
         todo[rows] &= ~take
     out = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(ROWS):
@@ -116,23 +124,37 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that a document stands for, once for each bucket and pair of blocks."""
     for batch in batches:
-        ids, lines = [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-            parts = text.split("\n")
-            for w in wanted:
-                ids.append(w["id"])
-                lines.append(normal(parts[w["line_no"]]))
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "line": pa.array(lines, pa.string())})
+        for at in range(0, batch.num_rows, DOCS):
+            some = batch.slice(at, DOCS)
+            out: dict[str, list] = {"bucket": [], "two": [], "side": [], "id": [], "line": []}
+            for text, wanted in zip(some.column("text").to_pylist(), some.column("wanted").to_pylist()):
+                parts = text.split("\n")
+                for w in wanted:
+                    for name in ("bucket", "two", "side", "id"):
+                        out[name].append(w[name])
+                    out["line"].append(normal(parts[w["line_no"]]))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)})
 
 
 def similar(lines: list[str], sides: np.ndarray | None = None, least: float = SIMILAR) -> Forest:
     """Joins lines whose shingle sets have a Jaccard similarity of at least `least`, unless they are joined already. sides: compare across two sides only."""
-    sets = [np.unique(shingle_hashes(x)) for x in lines]
+    return similar_sets(shingle_sets(lines), sides, least)
+
+
+def similar_sets(sets: list[np.ndarray], sides: np.ndarray | None, least: float) -> Forest:
     size = np.array([s.size for s in sets])
-    forest = Forest(len(lines))
-    for i in range(len(lines) - 1):
-        rest = np.arange(i + 1, len(lines))
+    if len(sets) == 2:
+        forest = Forest(2)
+        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size if size.min() >= least * size.max() else 0
+        if both >= least * (size.sum() - both):
+            forest.join(np.array([0]), np.array([1]))
+        return forest
+    forest = Forest(len(sets))
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
         low, high = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
         rest = rest[low >= least * high]
         if sides is not None:
@@ -159,12 +181,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = got.sort_by([("bucket", "ascending"), ("two", "ascending"), ("id", "ascending")])
     bucket, two = got.column("bucket").to_numpy(), got.column("two").to_numpy()
     ends = np.flatnonzero(np.append((bucket[1:] != bucket[:-1]) | (two[1:] != two[:-1]), True)) + 1
+    every_side, every_id, lines = got.column("side").to_numpy(), got.column("id").to_numpy(), got.column("line")
     begin, a, b = 0, [], []
+    sets, base = [], 0
     for end in ends.tolist():
-        part = got.slice(begin, end - begin)
-        sides = part.column("side").to_numpy()
-        ids = part.column("id").to_numpy()
-        x, y = similar(part.column("line").to_pylist(), sides if sides.any() and not sides.all() else None).edges()
+        if end - base > len(sets):  # of some thousand lines at once, and of all lines of a bucket
+            sets, base = shingle_sets(lines.slice(begin, max(4096, end - begin)).to_pylist()), begin
+        sides, ids = every_side[begin:end], every_id[begin:end]
+        x, y = similar_sets(sets[begin - base : end - base], sides if sides.any() and not sides.all() else None, SIMILAR).edges()
         a.append(ids[x])
         b.append(ids[y])
         begin = end
@@ -192,17 +216,19 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = lines.filter("bands is not null").select("id", F.explode("bands").alias("band"))
     # Many tasks may have met a line; its bands are equal, and so are those rows.
     buckets = frozen(banded.repartition(parts, "band").mapInArrow(_buckets, "bucket long, size long, id long").distinct(), "buckets")
-    del banded
-    _forget(spark)
-    at = lines.filter("bands is not null").join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("row", "line_no")).alias("at"))
-    wanted = at.groupBy("at.row").agg(F.collect_list(F.struct("id", "at.line_no")).alias("wanted"))
-    texts = frozen(own.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted").mapInArrow(_fetch, "id long, line string"), "texts")
+    del banded, rows
     _forget(spark)
     ways = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")
     dealt = buckets.withColumn("ways", ways).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     dealt = dealt.select("bucket", "id", (F.least("own", "other") * F.col("ways") + F.greatest("own", "other")).alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    edges = dealt.join(texts, "id").repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long")
+    at = lines.filter("bands is not null").groupBy("id").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    wanted = dealt.join(at, "id").groupBy("at.row").agg(F.collect_list(F.struct("bucket", "two", "side", "id", "at.line_no")).alias("wanted"))
+    asked = own.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted")
+    fetched = asked.mapInArrow(_fetch, "bucket long, two int, side int, id long, line string")
+    edges = frozen(fetched.repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long"), "similar")
+    del asked, fetched, wanted, dealt
+    _forget(spark)
     found = components(edges)
     classed = lines.select("row", "line_no", "id").join(found, lines["id"] == found["node"], "left").select("row", "line_no", F.coalesce("label", "id").alias("label"))
     ids = own.select("row", "_id")

@@ -158,7 +158,7 @@ def resolve(sequences: DataFrame, media: DataFrame, id_col: str = "page_id", pre
     their place. Both sides of the join are plain tables, so Spark splits a digest that many documents share. Sort by row and pos to
     have a sequence again, or call aligned().
     """
-    at = frozen(sequences.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.explode_outer("items").alias("i")), "items")
+    at = frozen(sequences.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), "items").select("row", "_id", F.explode_outer("items").alias("i")), "items")
     own = at.select("row", "_id", "i.*", F.when(F.startswith("i.ref", F.lit(prefix)), F.substring("i.ref", len(prefix) + 1, 64)).alias("_digest"))
     rest = [c for c in media.columns if c != "digest"]
     found = own.join(media, own["_digest"] == media["digest"], "left")

@@ -174,7 +174,7 @@ def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for kind, a, b in [*((KINDS[k], a, b) for k, a, b in base), *candidates(text, base)]:
                 rows.append(described(text, kind, a, b))
                 table.append(votes(text, kind, a, b))
-        yield pd.DataFrame({"x": rows, "v": table})
+        yield pd.DataFrame({"x": pd.Series(rows, dtype=object), "v": pd.Series(table, dtype=object)})
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:

@@ -15,8 +15,8 @@ from halyard.llm.common import text_of
 
 #: Labelled rows that the fit reads at most (in expectation), features that it weighs at most, and documents that a feature needs.
 SAMPLE, FEATURES, LEAST = 20_000, 2048, 4
-#: A document is rejected if it is more likely than not of grade 1 or above.
-REJECT = 0.5
+#: A document is rejected if it is of grade 1 or above with this probability: when in doubt, it stays.
+REJECT = 0.6
 PREFIXES = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
 
