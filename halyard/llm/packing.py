@@ -23,7 +23,7 @@ AT_SENTENCE, ANYWHERE = 16, 96
 #: Stretches without a boundary get a cut point after so many ids.
 STEP = 128
 #: Ids that are planned at once; words that a worker remembers (about 150 bytes each), bytes of text that are tokenised at once.
-SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 2_000_000, 8 << 20
+SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 1_000_000, 4 << 20
 PUNCTUATION = ".,;:!?%#$&*"
 
 
