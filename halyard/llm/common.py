@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +39,14 @@ def frozen(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that are gone; what comes next reads frozen tables. The cleaner works on its own thread, so it is given a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def drop_frozen() -> None:
     """Deletes the tables that frozen() wrote. Call it when no DataFrame that reads them is needed any more."""
     while _written:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import frozen, shuffle_partitions, text_of
+from halyard.llm.common import forget, frozen, shuffle_partitions, text_of
 from halyard.llm.components import Forest, components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -217,7 +216,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Many tasks may have met a line; its bands are equal, and so are those rows.
     buckets = frozen(banded.repartition(parts, "band").mapInArrow(_buckets, "bucket long, size long, id long").distinct(), "buckets")
     del banded, rows
-    _forget(spark)
+    forget(spark)
     ways = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")
     dealt = buckets.withColumn("ways", ways).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
@@ -228,7 +227,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fetched = asked.mapInArrow(_fetch, "bucket long, two int, side int, id long, line string")
     edges = frozen(fetched.repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long"), "similar")
     del asked, fetched, wanted, dealt
-    _forget(spark)
+    forget(spark)
     found = components(edges)
     classed = lines.select("row", "line_no", "id").join(found, lines["id"] == found["node"], "left").select("row", "line_no", F.coalesce("label", "id").alias("label"))
     ids = own.select("row", "_id")
@@ -238,10 +237,5 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), "line_no", F.col("first.id").alias("component_doc_id"), F.col("first.line_no").alias("component_line_no"), ((F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
 
 
-def _forget(spark) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def op3_line_dedup(spark, sf_dir):
     return line_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import frozen, ranked, shuffle_partitions, text_of
+from halyard.llm.common import forget, frozen, ranked, shuffle_partitions, text_of
 from halyard.llm.suffix_sort import suffix_array
 
 #: Bytes of a string whose later occurrences go, and of the anchors looked for inside it.
@@ -342,12 +341,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *(pa.array(c, k) for c, k in zip(columns, kinds))], [*own, *names])
 
 
-def _forget(spark) -> None:
-    """Lets Spark delete the shuffle files of DataFrames that are gone; what comes next reads frozen tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """texts: rid (long, unique), text (binary). Rows rid, at (packed first window and number of windows) that together are all windows of
     LENGTH bytes whose bytes also begin earlier: in a smaller rid, or before in the same text.
@@ -358,12 +351,12 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_anchored, ROW).repartition(parts, "bucket").mapInArrow(_compared, ROW)
     status = frozen(rows.select("key", "rid", "at", "status"), "segments")
     del rows
-    _forget(spark)
+    forget(spark)
     wanted = status.filter(f"status = {MANY}").groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
     asked = texts.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted")
     many = frozen(asked.mapInArrow(_fetched, "key long, rid long, at long, seg binary"), "different")
     del asked
-    _forget(spark)
+    forget(spark)
     found = status.filter(f"status = {REPEAT}").select("rid", "at")
     for span in SPANS:
         hot = frozen(many.groupBy("key").count().filter(f"count > {HOT}").select(F.col("key").alias("hot")), "hot")
