@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 13, 5
 #: Lines of a bucket that one task compares; larger buckets are compared in pairs of blocks. Band rows of one task.
 BLOCK, TASK_ROWS = 8192, 1_000_000
-DOCS = 128
+#: Documents read, and shingles compared, at once.
+DOCS, PAIR_HASHES = 32, 1 << 20
 
 
 def normal(line: str) -> str:
@@ -32,19 +35,52 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(max(0, x.size - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + h.size]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += x[k : k + h.size]
     inside = np.ones(x.size, bool)  # a run mustn't reach into the next line
     for k in range(1, SHINGLE):
         inside[np.cumsum(size) - k] = False
     h = h[inside[: h.size]]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), np.cumsum(size - SHINGLE + 1)
+    for shift in (32, 29):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, np.cumsum(size - SHINGLE + 1)
 
 
-def shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    h, ends = shingle_hashes(lines)
-    return [np.unique(x) for x in np.split(h, ends[:-1])] if lines else []
+class Sets:
+    """The shingle sets of some lines, as one sorted array: the upper bits of an entry number its line, the rest are of the shingle's hash."""
+
+    def __init__(self, lines: list[str]) -> None:
+        h, ends = shingle_hashes(lines)
+        self.bits = np.uint64(max(1, len(lines)).bit_length())
+        self.shift = np.uint64(64) - self.bits
+        h >>= self.bits
+        h |= np.repeat(np.arange(len(lines), dtype=np.uint64) << self.shift, np.diff(ends, prepend=0))
+        h.sort()
+        new = np.ones(h.size, bool)
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        h = h[new]
+        self.size = np.bincount((h >> self.shift).astype(np.int64), minlength=len(lines))
+        self.start = np.cumsum(self.size) - self.size
+        self.hash = h & ((np.uint64(1) << self.shift) - np.uint64(1))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many shingles the lines a[k] and b[k] share, for each k."""
+        out, total = np.zeros(a.size, np.int64), np.cumsum(self.size[a] + self.size[b])
+        at = 0
+        while at < a.size:  # some pairs at once, and one at least
+            upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIR_HASHES, "right"))
+            upto = min(max(upto, at + 1), at + (1 << int(self.bits)))
+            which = np.concatenate((a[at:upto], b[at:upto]))
+            size = self.size[which]
+            entries = self.hash[np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            entries |= np.repeat(np.tile(np.arange(upto - at, dtype=np.uint64), 2) << self.shift, size)
+            entries.sort()
+            twice = entries[1:][entries[1:] == entries[:-1]]
+            out[at:upto] = np.bincount((twice >> self.shift).astype(np.int64), minlength=upto - at)
+            at = upto
+        return out
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -55,8 +91,10 @@ def signatures(lines: list[str]) -> np.ndarray:
     if lines:
         h, ends = shingle_hashes(lines)
         owner = np.repeat(np.arange(len(lines)), np.diff(ends, prepend=0))
-        bin_ = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(least, owner * bins + bin_, h)
+        bin_ = h >> np.uint64(32)
+        bin_ *= np.uint64(bins)
+        bin_ >>= np.uint64(32)
+        np.minimum.at(least, owner * bins + bin_.view(np.int64), h)
     least = least.reshape(len(lines), bins)
     empty = least == np.iinfo(np.uint64).max
     filled, todo = least.copy(), empty.copy()
@@ -76,11 +114,12 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of documents; bands where a line is met first among these."""
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS):
             some = batch.slice(at, DOCS)
-            row, number, ids, sig = [], [], [], []
-            new: dict[int, int] = {}
+            row, number, ids, again = [], [], [], []
+            met: set[int] = set()
             texts: list[str] = []
             for r, text in zip(some.column("row").to_pylist(), some.column("text").to_pylist()):
                 for k, line in enumerate(text.split("\n")):
@@ -90,12 +129,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         row.append(r)
                         number.append(k)
                         ids.append(id_)
-                        sig.append(None if id_ in new else len(texts))
-                        if id_ not in new:
-                            new[id_] = 1
+                        again.append(id_ in met)
+                        if id_ not in met:
+                            met.add(id_)
                             texts.append(line)
-            bands = signatures(texts).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "line_no": pa.array(number, pa.int32()), "id": pa.array(ids, pa.int64()), "bands": pa.array([None if k is None else bands[k] for k in sig], pa.list_(pa.int64()))})
+            old = np.array(again, bool)
+            ends = np.append(0, np.cumsum(~old) * BANDS).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(signatures(texts).view(np.int64).ravel()), mask=pa.array(old))
+            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "line_no": pa.array(number, pa.int32()), "id": pa.array(ids, pa.int64()), "bands": bands})
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,49 +168,51 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS):
             some = batch.slice(at, DOCS)
-            out: dict[str, list] = {"bucket": [], "two": [], "side": [], "id": [], "line": []}
-            for text, wanted in zip(some.column("text").to_pylist(), some.column("wanted").to_pylist()):
+            wanted = pc.list_flatten(some.column("wanted"))
+            numbers = iter(wanted.field("line_no").to_pylist())
+            lines: list[str] = []
+            for text, n in zip(some.column("text").to_pylist(), pc.list_value_length(some.column("wanted")).to_pylist()):
                 parts = text.split("\n")
-                for w in wanted:
-                    for name in ("bucket", "two", "side", "id"):
-                        out[name].append(w[name])
-                    out["line"].append(normal(parts[w["line_no"]]))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)})
-
-
-def similar(lines: list[str], sides: np.ndarray | None = None, least: float = SIMILAR) -> Forest:
-    """Joins lines whose shingle sets have a Jaccard similarity of at least `least`, unless they are joined already. sides: compare across two sides only."""
-    return similar_sets(shingle_sets(lines), sides, least)
-
-
-def similar_sets(sets: list[np.ndarray], sides: np.ndarray | None, least: float) -> Forest:
-    size = np.array([s.size for s in sets])
-    if len(sets) == 2:
-        forest = Forest(2)
-        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size if size.min() >= least * size.max() else 0
-        if both >= least * (size.sum() - both):
-            forest.join(np.array([0]), np.array([1]))
-        return forest
-    forest = Forest(len(sets))
-    for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
-        low, high = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
-        rest = rest[low >= least * high]
-        if sides is not None:
-            rest = rest[sides[rest] != sides[i]]
-        if rest.size:
-            rest = rest[forest.find(rest) != forest.find(np.array([i]))[0]]
-        if not rest.size:
-            continue
-        flat = np.concatenate([sets[j] for j in rest.tolist()])
-        own = sets[i]
-        hit = own[np.minimum(np.searchsorted(own, flat), own.size - 1)] == flat
-        both = np.add.reduceat(hit, np.cumsum(size[rest]) - size[rest], dtype=np.int64)
-        near = rest[both >= least * (size[i] + size[rest] - both)]
-        if near.size:
-            forest.join(np.full(near.size, i), near)
-    return forest
+                found: dict[int, str] = {}
+                for k in islice(numbers, n):
+                    if k not in found:
+                        found[k] = normal(parts[k])
+                    lines.append(found[k])
+            yield pa.RecordBatch.from_arrays([*(wanted.field(n) for n in ("bucket", "two", "side", "id")), pa.array(lines, pa.string())], ["bucket", "two", "side", "id", "line"])
+
+
+def similar(lines: list[str], ends: np.ndarray | None = None, sides: np.ndarray | None = None, least: float = SIMILAR) -> Forest:
+    """Joins lines whose shingle sets have a Jaccard similarity of at least `least`, unless they are joined already.
+
+    ends: where each of several buckets ends; only lines of a bucket are compared. sides: where a bucket has two, compare across them only.
+    All buckets go on at once: in round k the k-th line of each meets those after it; a bucket is done when these are in one tree.
+    """
+    forest, sets = Forest(len(lines)), Sets(lines)
+    ends = np.array([len(lines)]) if ends is None else ends
+    first = np.concatenate(([0], ends[:-1]))
+    if sides is None:
+        sides, two = np.zeros(len(lines), np.int8), np.zeros(ends.size, bool)
+    else:
+        two = np.maximum.reduceat(sides, first) != np.minimum.reduceat(sides, first)
+    while True:
+        go = ends - first > 1
+        first, ends, two = first[go], ends[go], two[go]
+        if not first.size:
+            return forest
+        n = ends - first - 1
+        head = np.cumsum(n) - n
+        mine = np.repeat(first, n)
+        rest = mine + 1 + np.arange(n.sum()) - np.repeat(head, n)
+        apart = forest.find(mine) != forest.find(rest)
+        low, high = np.minimum(sets.size[mine], sets.size[rest]), np.maximum(sets.size[mine], sets.size[rest])
+        ask = apart & (low >= least * high) & (~np.repeat(two, n) | (sides[mine] != sides[rest]))
+        a, b = mine[ask], rest[ask]
+        both = sets.common(a, b)
+        near = both >= least * (sets.size[a] + sets.size[b] - both)
+        forest.join(a[near], b[near])
+        apart[ask] = ~near
+        more = np.logical_or.reduceat(apart, head)
+        first, ends, two = first[more] + 1, ends[more], two[more]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,18 +223,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = got.sort_by([("bucket", "ascending"), ("two", "ascending"), ("id", "ascending")])
     bucket, two = got.column("bucket").to_numpy(), got.column("two").to_numpy()
     ends = np.flatnonzero(np.append((bucket[1:] != bucket[:-1]) | (two[1:] != two[:-1]), True)) + 1
-    every_side, every_id, lines = got.column("side").to_numpy(), got.column("id").to_numpy(), got.column("line")
-    begin, a, b = 0, [], []
-    sets, base = [], 0
-    for end in ends.tolist():
-        if end - base > len(sets):  # of some thousand lines at once, and of all lines of a bucket
-            sets, base = shingle_sets(lines.slice(begin, max(4096, end - begin)).to_pylist()), begin
-        sides, ids = every_side[begin:end], every_id[begin:end]
-        x, y = similar_sets(sets[begin - base : end - base], sides if sides.any() and not sides.all() else None, SIMILAR).edges()
-        a.append(ids[x])
-        b.append(ids[y])
-        begin = end
-    yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
+    sides, ids, lines = got.column("side").to_numpy(), got.column("id").to_numpy(), got.column("line")
+    long = np.cumsum(pc.utf8_length(lines).to_numpy())
+    begin, k = 0, 0
+    while k < ends.size:  # some buckets at once, and one at least
+        upto = int(np.searchsorted(long[ends - 1], (long[begin - 1] if begin else 0) + PAIR_HASHES, "right"))
+        upto = max(upto, k + 1)
+        end = int(ends[upto - 1])
+        a, b = similar(lines.slice(begin, end - begin).to_pylist(), ends[k:upto] - begin, sides[begin:end]).edges()
+        yield pa.RecordBatch.from_pydict({"a": ids[begin:end][a], "b": ids[begin:end][b]})
+        begin, k = end, upto
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -263,6 +263,26 @@ def test_lines(spark, docs):
     assert sum(have[k] != want[k] for k in want) <= 0.002 * len(want)
 
 
+def test_similar_lines_of_buckets():
+    pick = random.Random(7)
+    lines, ends, sides = [], [], []
+    for size in (2, 1, 5, 30, 2, 9):
+        base = [pick.choice("abcd efgh") for _ in range(pick.choice((3, 60, 400)))]
+        for k in range(size):
+            line = list(base)
+            for _ in range(pick.randrange(4)):
+                line[pick.randrange(len(line))] = pick.choice("xyz")
+            lines.append("".join(line))
+            sides.append(k % 2 if size == 9 else int(size == 30))
+        ends.append(len(lines))
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    linked = [(a, b) for start, end in zip([0, *ends], ends) for a in range(start, end) for b in range(a + 1, end) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (end - start != 9 or sides[a] != sides[b])]
+    want = brute_components(range(len(lines)), linked)
+    forest = line_dedup.similar(lines, np.array(ends), np.array(sides))
+    assert len(set(want.values())) < len(lines)
+    assert forest.find(np.arange(len(lines))).tolist() == [want[k] for k in range(len(lines))]
+
+
 def test_lines_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 3)
     base = "the quick brown fox jumps over the lazy dog and runs into the dark green forest again"
