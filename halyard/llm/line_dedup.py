@@ -18,25 +18,52 @@ from halyard.llm.components import Forest, components
 SHINGLE, SIMILAR = 5, 0.8
 #: At similarity 0.8 a pair shares one of 13 bands of 5 with a chance of 0.994, at 0.9 of 1 - 1e-5.
 BANDS, ROWS = 13, 5
+#: Bits by which sets are told apart before they are compared.
+MARKS = 1024
 #: Lines of a bucket that one task compares; larger buckets are compared in pairs of blocks. Band rows of one task.
 BLOCK, TASK_ROWS = 8192, 1_000_000
 #: Documents read, and shingles compared, at once.
-DOCS, PAIR_HASHES = 32, 1 << 20
+DOCS, PAIR_HASHES = 32, 1 << 18
+
+
+#: White space below code point 256 other than space and line feed.
+OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """normal() of each line. Texts below code point 256 with single spaces only, as most are, needn't be cut into words."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return [normal(x) for x in text.split("\n")]
+    if "  " in text or any(c in text for c in OTHER_SPACES):
+        return [normal(x) for x in text.split("\n")]
+    return [x.strip() for x in text.lower().split("\n")]
+
+
+def _runs(x: np.ndarray, n: int, by: int) -> np.ndarray:
+    """Polynomials of each n consecutive entries: the first's power is the highest. Each is put together from those of its halves."""
+    if n == 1:
+        return x
+    half = _runs(x, n // 2, by)
+    out = half[: max(0, half.size - n // 2)] * np.uint64(pow(by, n // 2, 2**64))
+    out += half[n // 2 :]
+    if n % 2:
+        out = out[: max(0, x.size - n + 1)] * np.uint64(by)
+        out += x[n - 1 :]
+    return out
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of SHINGLE code points of each line (shorter lines: of the whole), repeats included, line after line; and where each line's end."""
     lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\U0010ffff") for x in lines]
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(max(0, x.size - SHINGLE + 1), np.uint64)
-    for k in range(SHINGLE):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += x[k : k + h.size]
+    h = _runs(x, SHINGLE, 0x9E3779B97F4A7C15)
     inside = np.ones(x.size, bool)  # a run mustn't reach into the next line
     for k in range(1, SHINGLE):
         inside[np.cumsum(size) - k] = False
@@ -63,8 +90,21 @@ class Sets:
         h = h[new]
         self.size = np.bincount((h >> self.shift).astype(np.int64), minlength=len(lines))
         self.start = np.cumsum(self.size) - self.size
+        marks = np.zeros(len(lines) * MARKS, bool)
+        marks[((h >> self.shift) * np.uint64(MARKS) + h % np.uint64(MARKS)).view(np.int64)] = True
+        self.marks = np.packbits(marks.reshape(-1, MARKS), axis=1).view(np.uint64)
         self.hash = h & ((np.uint64(1) << self.shift) - np.uint64(1))
 
+    def possible(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """False where the lines a[k] and b[k] can't have a similarity of `least`. A mark that just one of them has stands for a shingle that the
+        other lacks, and at that similarity at most (1 - least) / (1 + least) of both sets' entries are such."""
+        out = np.minimum(self.size[a], self.size[b]) >= least * np.maximum(self.size[a], self.size[b])
+        for at in range(0, a.size, 1 << 16):
+            some = np.flatnonzero(out[at : at + (1 << 16)]) + at
+            differ = np.bitwise_count(self.marks[a[some]] ^ self.marks[b[some]]).sum(1, dtype=np.int64)
+            out[some] = differ <= (1 - least) / (1 + least) * (self.size[a[some]] + self.size[b[some]]) + 1e-6
+        return out
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many shingles the lines a[k] and b[k] share, for each k."""
         out, total = np.zeros(a.size, np.int64), np.cumsum(self.size[a] + self.size[b])
@@ -122,8 +162,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met: set[int] = set()
             texts: list[str] = []
             for r, text in zip(some.column("row").to_pylist(), some.column("text").to_pylist()):
-                for k, line in enumerate(text.split("\n")):
-                    line = normal(line)
+                for k, line in enumerate(normal_lines(text)):
                     if line:
                         id_ = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
                         row.append(r)
@@ -145,6 +184,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if got is None or not got.num_rows:
         return
     band, ids = got.column("band").to_numpy(), got.column("id").to_numpy()
+    order = np.argsort(band)
+    band, ids = band[order], ids[order]
+    same = band[1:] == band[:-1]
+    shared = np.append(False, same) | np.append(same, False)
+    band, ids = band[shared], ids[shared]  # few are; only these need their ids in order
+    if not ids.size:
+        return
     order = np.lexsort((ids, band))
     band, ids = band[order], ids[order]
     new = np.ones(band.size, bool)
@@ -204,8 +250,8 @@ def similar(lines: list[str], ends: np.ndarray | None = None, sides: np.ndarray
         mine = np.repeat(first, n)
         rest = mine + 1 + np.arange(n.sum()) - np.repeat(head, n)
         apart = forest.find(mine) != forest.find(rest)
-        low, high = np.minimum(sets.size[mine], sets.size[rest]), np.maximum(sets.size[mine], sets.size[rest])
-        ask = apart & (low >= least * high) & (~np.repeat(two, n) | (sides[mine] != sides[rest]))
+        ask = np.flatnonzero(apart & (~np.repeat(two, n) | (sides[mine] != sides[rest])))
+        ask = ask[sets.possible(mine[ask], rest[ask], least)]
         a, b = mine[ask], rest[ask]
         both = sets.common(a, b)
         near = both >= least * (sets.size[a] + sets.size[b] - both)
@@ -267,7 +313,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = own.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted")
     fetched = asked.mapInArrow(_fetch, "bucket long, two int, side int, id long, line string")
     edges = frozen(fetched.repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long"), "similar")
-    del asked, fetched, wanted, dealt
+    del asked, fetched, wanted, dealt, at
     forget(spark)
     found = components(edges)
     classed = lines.select("row", "line_no", "id").join(found, lines["id"] == found["node"], "left").select("row", "line_no", F.coalesce("label", "id").alias("label"))
