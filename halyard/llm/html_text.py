@@ -19,6 +19,7 @@ DROPPED = frozenset("script style noscript template iframe object embed applet n
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsbox banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification pager paginator pagination popup promo promoted promotion related recommended replies reply respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAFE = frozenset("html body article main".split())
+PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 #: An open element of the first kind ends where one of the second opens, inside the third.
 _P_ENDS = BLOCKS - {"option", "optgroup", "legend", "caption", "body", "html", "tbody", "thead", "tfoot", "tr", "td", "th"}
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -27,15 +28,16 @@ _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "words", "hidden", "parent", "children", "score", "chars", "linked", "dropped")
+    __slots__ = ("name", "words", "classes", "hidden", "parent", "children", "score", "points", "chars", "linked", "headed", "dropped")
 
     def __init__(self, name: str, parent: Node | None, rest: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
-        self.score, self.chars, self.linked, self.dropped = 0.0, 0, 0, False
-        self.words, self.hidden = frozenset(), False
+        self.score, self.points, self.chars, self.linked, self.headed, self.dropped = 0.0, 0.0, 0, 0, 0, False
+        self.words, self.classes, self.hidden = frozenset(), frozenset(), False
         if rest and "=" in rest or "hidden" in rest:
             got = attributes(rest)
             self.words = frozenset(_WORDS.findall(" ".join(got.get(k, "") for k in ("class", "id", "role")).lower()))
+            self.classes = frozenset(got.get("class", "").split())
             self.hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
 
 
@@ -111,7 +113,7 @@ def _inside(x: Node, names) -> bool:
 
 
 def _best(root: Node, every: list[Node]) -> Node:
-    """The container with the most points. A paragraph's are 1, one for each comma, and one for each 100 characters up to 3; its parent has all, the next half, a third, ..., each less by its share of linked text."""
+    """The container with the most points. A paragraph's are 1, one for each comma, and one for each 100 characters up to 3; its parent has all, the next half, a third, ..., up to the root, each less by its share of linked text."""
     for x in reversed(every):  # children first
         if x.dropped:
             continue
@@ -119,14 +121,18 @@ def _best(root: Node, every: list[Node]) -> Node:
         x.chars += own
         if x.name == "a":
             x.linked = x.chars
+        if x.name in HEADINGS:
+            x.headed = x.chars
         if x.parent is not None:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
+            x.parent.headed += x.headed
+    direct: dict[Node, float] = {}
     for x in every:
         if x.dropped:
             continue
         words = [c for c in x.children if isinstance(c, str)]
-        if x.name in ("p", "pre", "td", "blockquote", "li", "dd"):
+        if x.name in PARAGRAPHS:
             text = "".join(_strings(x))
         elif x.name in BLOCKS and x.name not in HEADINGS:
             text = "".join(words)
@@ -135,8 +141,15 @@ def _best(root: Node, every: list[Node]) -> Node:
         if not (size := len(text.strip())):
             continue
         points = (1 + text.count(",") + text.count("，") + min(size / 100, 3)) * (1 - x.linked / max(1, x.chars))
-        up, share = (x.parent, 1) if x.name in ("p", "pre", "td", "blockquote", "li", "dd") and x.parent is not None else (x, 1)
-        while up is not None and share <= 5:
+        x.points += points
+        up = x.parent if x.name in PARAGRAPHS and x.parent is not None else x
+        direct[up] = direct.get(up, 0.0) + points
+    for x in reversed(every):
+        if not x.dropped and x.parent is not None:
+            x.parent.points += x.points
+    for x, points in direct.items():
+        up, share = x, 1
+        while up is not None:
             up.score += points / share
             up, share = up.parent, share + 1
     best = max((x for x in every if not x.dropped and x.name in BLOCKS), key=lambda x: x.score * (1 - x.linked / max(1, x.chars)), default=root)
@@ -156,20 +169,76 @@ def _strings(x: Node) -> Iterator[str]:
             stack.extend(reversed(y.children))
 
 
+def _dense(x: Node) -> bool:
+    return x.linked >= 0.3 * max(1, x.chars)
+
+
+def _titles(x: Node) -> bool:
+    """A heading, or a container with no other text."""
+    return x.name in HEADINGS or 0 < x.chars == x.headed
+
+
+def _alike(x: Node, y: Node) -> bool:
+    """Equal elements that share a class, or have neither class nor id; cells also lay out pages, so theirs must be shared."""
+    return x.name == y.name and bool(x.classes & y.classes or x.name != "td" and not x.words and not y.words)
+
+
 def _kept(best: Node) -> list[Node]:
-    """The best container with those siblings that are headings, paragraphs of text or containers with a fifth of its points."""
+    """The best container, and what belongs to it on its own level and on those above it.
+
+    A sibling of the best container, or of one that holds it, counts as text if under 0.3 of it is linked and it has a fifth of the best one's
+    points, or any where it is alike. The highest level with such a sibling is the last; each level up to it, the first in any case, keeps
+    these, headings and paragraphs, and all but link lists where an alike sibling has that fifth. From above comes the nearest h1, if there is none yet.
+    The children of what holds the best container are reduced to what is kept.
+    """
     if best.parent is None or best.name in ("article", "main"):
         same = [x for x in (best.parent.children if best.parent is not None else []) if isinstance(x, Node) and x.name == best.name and not x.dropped]
         return same or [best]
-    out = []
-    for x in best.parent.children:
-        if isinstance(x, Node) and not x.dropped:
-            dense = x.linked / max(1, x.chars)
-            if x is best or x.name in HEADINGS or dense < 0.3 and (x.name in ("p", "pre", "blockquote", "ul", "ol", "table") and x.chars or x.score >= 0.2 * best.score > 0):
-                out.append(x)
+    at, top, levels = best, best.parent, []
+    while at.parent is not None:
+        others = [x for x in at.parent.children if isinstance(x, Node) and x is not at and not x.dropped and not _dense(x)]
+        peers = {x for x in others if x.points >= 0.2 * best.score > 0 or x.points > 0 and _alike(x, at)}
+        whole = any(_alike(x, at) and x.points >= 0.2 * best.score for x in peers)
+        levels.append((at, peers, whole))
+        at = at.parent
+        if peers:
+            top = at
+    for x, peers, whole in levels:
+        if x is top:
+            break
+        x.parent.children = [y for y in x.parent.children if y is x or _stays(y, peers, whole)]
+    out, x = [top], top
+    if not _holds_h1(top):
+        while x.parent is not None and len(out) == 1:
+            before = x.parent.children[: x.parent.children.index(x)]
+            out = [*(y for y in before if isinstance(y, Node) and not y.dropped and _titles(y) and _holds_h1(y)), top]
+            x = x.parent
     return out
 
 
+def _stays(x: Node | str, peers: set[Node], whole: bool) -> bool:
+    if isinstance(x, str):
+        return whole
+    if x.dropped or x in peers or _titles(x):
+        return not x.dropped
+    if x.name not in BLOCKS:
+        return whole
+    if x.name in ("p", "pre", "blockquote"):
+        return whole or x.chars > 0 and not _dense(x)
+    return not _dense(x) and (whole or x.name in ("ul", "ol", "table") and x.chars > 0)
+
+
+def _holds_h1(top: Node) -> bool:
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        if not x.dropped:
+            if x.name == "h1" and x.chars:
+                return True
+            stack.extend(c for c in x.children if isinstance(c, Node))
+    return False
+
+
 def main_text(html: str) -> str:
     """Blocks of the main part in page order, joined by line feeds; inside a block, white space is one space. No text: empty."""
     root, every = tree(html)

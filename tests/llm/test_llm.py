@@ -359,6 +359,20 @@ def test_html(spark):
     assert html_text.extract_text(df.filter("false")).collect() == []
 
 
+NESTED = [
+    ("<div id=content><h1>T</h1><div class=sec><div class=in><p>a, b</p><p>c, d</p><p>e, f</p></div></div><div class=sec><div class=in><p>g, h</p><p>i, j</p></div></div></div>", "T\na, b\nc, d\ne, f\ng, h\ni, j"),
+    ("<div id=content><h1>T</h1>" + "<div>" * 7 + "<p>a, b</p><p>c, d</p>" + "</div>" * 7 + "<h2>U</h2>" + "<div>" * 7 + "<p>e, f</p>" + "</div>" * 7 + "</div>", "T\na, b\nc, d\nU\ne, f"),
+    ("<div class=page><div class=title><h1>T</h1></div><div class=links><a href=x>One, two</a></div><div class=wrap><div class=in><p>a, b</p><p>c, d</p></div></div></div>", "T\na, b\nc, d"),
+    ("<div id=a><div class=sec><div><p>" + "a, b, c, d</p><p>" * 9 + "e</p></div></div><div class=sec><div><p>f</p></div></div><div class=links><ul><li><a href=x>One, two</a></ul></div><p>g</p></div><div id=b><div>Not much</div></div>", "a, b, c, d\n" * 9 + "e\nf\ng"),
+    ("<div><x-part><div><p>a, b</p></div></x-part><x-part><div><p>c, d</p></div></x-part></div>", "a, b\nc, d"),
+]
+
+
+@pytest.mark.parametrize("html,text", NESTED)
+def test_html_sections_below_wrappers(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
