@@ -15,8 +15,14 @@ from halyard.llm.markup import VOID, attributes, tokens
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold main text.
 DROPPED = frozenset("script style noscript template iframe object embed applet nav aside footer form button select textarea input dialog svg math canvas audio video map menu title head xmp noembed noframes".split())
-#: Words in class, id or role of what isn't main text either.
+#: Words in class, id or role of what isn't main text either; see _furniture and _prune.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsbox banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification pager paginator pagination popup promo promoted promotion related recommended replies reply respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: What may stand beside such a word in a compound that names furniture still: words of place, shape and number.
+SHAPES = frozenset("left right top bottom upper lower primary secondary first second third main site global inner outer sub mini small large sticky fixed default mobile desktop inline block wrap wrapper container holder box area region zone slot unit bar panel group row col column list item items entry entries link links button buttons icon icons title form field body section div posts articles stories media network networks recent ad x".split())
+#: The same for header: that of an entry, a section or a page holds its title.
+SITE = frozenset("site main global top left right wrap wrapper container inner outer area bar sticky fixed mobile desktop".split())
+#: Words of what may well hold more text than the main part does.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising adsbox comment comments commentlist disqus replies reply respond shoutbox cookie cookies consent gdpr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAFE = frozenset("html body article main".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
@@ -27,16 +33,28 @@ _SCOPE = frozenset("table td th caption button object html article main".split()
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
+def _furniture(names: str) -> frozenset[str]:
+    """The furniture words of those classes that are such a word, or a compound of such words with words of place and shape: not has-sidebar, page-header, social-issues."""
+    found = set()
+    for name in names.split():
+        words = {w for w in _WORDS.findall(name) if not w.isdigit()}
+        if words <= FURNITURE | (SITE if "header" in words else SHAPES):
+            found |= words & FURNITURE
+    return frozenset(found)
+
+
 class Node:
-    __slots__ = ("name", "words", "classes", "hidden", "parent", "children", "score", "points", "chars", "linked", "headed", "dropped")
+    __slots__ = ("name", "words", "classes", "named", "hidden", "parent", "children", "score", "points", "chars", "linked", "headed", "prose", "dropped")
 
     def __init__(self, name: str, parent: Node | None, rest: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
-        self.score, self.points, self.chars, self.linked, self.headed, self.dropped = 0.0, 0.0, 0, 0, 0, False
-        self.words, self.classes, self.hidden = frozenset(), frozenset(), False
+        self.score, self.points, self.chars, self.linked, self.headed, self.prose, self.dropped = 0.0, 0.0, 0, 0, 0, 0, False
+        self.words, self.classes, self.named, self.hidden = frozenset(), frozenset(), frozenset(), False
         if rest and "=" in rest or "hidden" in rest:
             got = attributes(rest)
-            self.words = frozenset(_WORDS.findall(" ".join(got.get(k, "") for k in ("class", "id", "role")).lower()))
+            names = " ".join(got.get(k, "") for k in ("class", "id", "role")).lower()
+            self.words = frozenset(_WORDS.findall(names))
+            self.named = _furniture(names) if self.words & FURNITURE else frozenset()
             self.classes = frozenset(got.get("class", "").split())
             self.hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
 
@@ -82,7 +100,12 @@ def tree(html: str) -> tuple[Node, list[Node]]:
     return root, every
 
 
-def _prune(every: list[Node]) -> None:
+def _prune(every: list[Node], by_class: bool = True) -> bool:
+    """Marks what isn't main text, and tells whether any of it is so by its class.
+
+    An element that holds over half of the paragraphs' text is kept in spite of its class; not so what OTHERS name, nor what lies
+    outside the article of a page that has one, as a short text has less than what surrounds it.
+    """
     holds = set()  # what holds an article or the main part isn't furniture, whatever its class
     for x in every:
         if x.name in ("article", "main"):
@@ -99,9 +122,19 @@ def _prune(every: list[Node]) -> None:
         elif x.name == "header" and not x.hidden and _inside(up, ("article", "main")):
             x.dropped = False
         elif x not in holds and x.name not in SAFE:
-            x.dropped = x.name in DROPPED or x.name == "header" or x.hidden or bool(x.words & FURNITURE)
-        elif x.name == "article":
-            x.dropped = bool(x.words & {"comment", "comments", "reply"})
+            x.dropped = x.name in DROPPED or x.name == "header" or x.hidden
+    doubtful = {x for x in every if x.named and not x.dropped and by_class and (x not in holds and x.name not in SAFE or x.name == "article" and x.named & {"comment", "comments", "reply"}) and not (x.name == "header" or x.parent is not None and x.parent.name == "header")}
+    if not doubtful:
+        return False
+    _measure(every)
+    most = every[0].prose / 2
+    article = any(x.name in ("article", "main") and x.chars and not x.dropped and x not in doubtful for x in every)
+    for x in every:
+        if x.parent is not None and x.parent.dropped:
+            x.dropped = True
+        elif x in doubtful:
+            x.dropped = bool(x.named & OTHERS) or x.prose <= most or article and not _inside(x, ("article", "main"))
+    return True
 
 
 def _inside(x: Node, names) -> bool:
@@ -112,8 +145,10 @@ def _inside(x: Node, names) -> bool:
     return False
 
 
-def _best(root: Node, every: list[Node]) -> Node:
-    """The container with the most points. A paragraph's are 1, one for each comma, and one for each 100 characters up to 3; its parent has all, the next half, a third, ..., up to the root, each less by its share of linked text."""
+def _measure(every: list[Node]) -> None:
+    """Counts the characters of what isn't dropped: all, those in links, those in headings, and those of paragraphs outside links."""
+    for x in every:
+        x.chars = x.linked = x.headed = x.prose = 0
     for x in reversed(every):  # children first
         if x.dropped:
             continue
@@ -123,10 +158,18 @@ def _best(root: Node, every: list[Node]) -> Node:
             x.linked = x.chars
         if x.name in HEADINGS:
             x.headed = x.chars
+        if x.name in PARAGRAPHS:
+            x.prose = x.chars - x.linked
         if x.parent is not None:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
             x.parent.headed += x.headed
+            x.parent.prose += x.prose
+
+
+def _best(root: Node, every: list[Node]) -> Node:
+    """The container with the most points. A paragraph's are 1, one for each comma, and one for each 100 characters up to 3; its parent has all, the next half, a third, ..., up to the root, each less by its share of linked text."""
+    _measure(every)
     direct: dict[Node, float] = {}
     for x in every:
         if x.dropped:
@@ -240,9 +283,17 @@ def _holds_h1(top: Node) -> bool:
 
 
 def main_text(html: str) -> str:
-    """Blocks of the main part in page order, joined by line feeds; inside a block, white space is one space. No text: empty."""
+    """Blocks of the main part in page order, joined by line feeds; inside a block, white space is one space. No text: empty.
+
+    Where nothing is left without what classes name furniture, classes don't count.
+    """
+    text, dropped = _text(html, True)
+    return text if text or not dropped else _text(html, False)[0]
+
+
+def _text(html: str, by_class: bool) -> tuple[str, bool]:
     root, every = tree(html)
-    _prune(every)
+    dropped = _prune(every, by_class)
     blocks, line = [], []
 
     def end() -> None:
@@ -267,7 +318,7 @@ def main_text(html: str) -> str:
                     stack.append(None)
                 stack.extend(reversed(x.children))
         end()
-    return "\n".join(blocks)
+    return "\n".join(blocks), dropped
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

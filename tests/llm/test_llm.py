@@ -373,6 +373,24 @@ def test_html_sections_below_wrappers(html, text):
     assert html_text.main_text(html) == text
 
 
+CLASSED = [
+    *((f"<div {c}><h1>T</h1><p>a, b</p><p>c, d</p></div><div class=sidebar><p>e</p></div>", "T\na, b\nc, d") for c in ("class='content has-sidebar'", "class='main-content no-sidebar'", "class='post social-issues'", "id='search-results'", "class='content sidebar'")),
+    ("<article><div class='page-header'><h1>T</h1></div><p>a, b</p><p class='notice-text'>c, d</p><p class=ad>e</p></article>", "T\na, b\nc, d"),
+    ("<div class='site-header'><h1>S</h1></div><article><div class='entry-header'><h1>T</h1></div><p>a, b</p><article class=comment><p>c</p><article class=comment><p>d</p></article></article></article>", "T\na, b"),
+    ("<article class='post has-comments'><p>a, b</p></article><article class='comment-body'><p>c</p></article>", "a, b"),
+    *((f"<div class=post><p>a, b</p><p>c, d</p></div><div {c}><p>e, f, g</p></div>", "a, b\nc, d") for c in ("class=sidebar", "class='sidebar-left'", "class='left_sidebar'", "id=ad-slot-2", "class=widget__inner", "role=complementary")),
+    ("<div class=post><p>a, b</p></div><div id=comments><p>" + "c, d" * 99 + "</p></div>", "a, b"),
+    *((f"<div {c}>" + "x, y" * 99 + "</div><article><h1>T</h1><p>a, b</p></article>", "T\na, b") for c in ("class=ad", "class=sidebar")),
+    ("<div class=comments><p>a, b</p></div>", "a, b"),
+    ("<div class=ad hidden><p>a, b</p></div>", ""),
+]
+
+
+@pytest.mark.parametrize("html,text", CLASSED)
+def test_html_furniture_by_class(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
