@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import text_of
+from halyard.llm.common import frozen, text_of
 
-#: Documents whose candidates the fit reads, in expectation, and the probability from which a candidate becomes a span.
+#: Candidates that the classifier is fitted on, at most, and the probability from which a candidate becomes a span.
 SAMPLE, ACCEPT = 20_000, 0.8
+#: From so many candidates on, their votes count by their shares, so that what weigh() presumes of labelers weighs the same at every size.
+EVIDENCE = 2_000
 
 # The four kinds' patterns and their order.
 BASE = ("email", "ip", "card", "phone")
@@ -139,20 +143,28 @@ def described(text: str, kind: str, a: int, b: int) -> list[float]:
     return [1.0, *(float(kind == k) for k in KINDS), min(len(span), 64) / 64, digits, entropy(span) / 6, *(float(x == 1) for x in v), *(float(x == 0) for x in v)]
 
 
-def weigh(table: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """table: votes. Expectation-maximisation for two-sided labelers: the probability of each row, and for each labeler how often it votes for true and against false ones."""
+def weigh(table: np.ndarray, rounds: int = 60, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """table: votes; counts: how often each row occurs, once if None. Expectation-maximisation for two-sided labelers: the probability of each row, and for each labeler how often it votes for true and against false ones."""
     voted = table >= 0
     yes = table == 1
     p = np.where(voted, yes, 0.5).mean(1)
+    n = np.ones(p.size) if counts is None else counts.astype(float)
     for _ in range(rounds):
-        share = (p.sum() + 1) / (p.size + 2)
-        true = ((p[:, None] * yes).sum(0) + 4) / ((p[:, None] * voted).sum(0) + 5)
-        false = (((1 - p)[:, None] * (voted & ~yes)).sum(0) + 3) / (((1 - p)[:, None] * voted).sum(0) + 5)
+        share = ((n * p).sum() + 1) / (n.sum() + 2)
+        true = (((n * p)[:, None] * yes).sum(0) + 4) / (((n * p)[:, None] * voted).sum(0) + 5)
+        false = (((n * (1 - p))[:, None] * (voted & ~yes)).sum(0) + 3) / (((n * (1 - p))[:, None] * voted).sum(0) + 5)
         odds = np.log(share / (1 - share)) + (np.where(yes, np.log(true / (1 - false)), np.log((1 - true) / false)) * voted).sum(1)
-        p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        old, p = p, 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        if np.abs(p - old).max() < 1e-9:
+            break
     return p, true, false
 
 
+def likelihoods(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The probability of each pattern of votes, from how often it occurs, run until it rests."""
+    return weigh(table, rounds=10_000, counts=counts * min(1.0, EVIDENCE / counts.sum()))[0]
+
+
 def fit(x: np.ndarray, p: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Logistic regression on soft labels."""
     w = np.zeros(x.shape[1])
@@ -166,26 +178,53 @@ def fit(x: np.ndarray, p: np.ndarray, rounds: int = 300) -> np.ndarray:
     return w
 
 
-def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows, table = [], []
-        for text in frame["_text"]:
-            base = base_spans(text)
-            for kind, a, b in [*((KINDS[k], a, b) for k, a, b in base), *candidates(text, base)]:
-                rows.append(described(text, kind, a, b))
-                table.append(votes(text, kind, a, b))
-        yield pd.DataFrame({"x": pd.Series(rows, dtype=object), "v": pd.Series(table, dtype=object)})
+def _surveyed(sample: int):
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each pattern of votes occurs in the partition, and its candidates with the smallest hashes, each once."""
+        seen, heap, inside = Counter(), [], set()
+        for batch in batches:
+            for key, cell in zip(batch.column("id"), batch.column("_text")):
+                text = cell.as_py()
+                base = base_spans(text)
+                found = [*((KINDS[k], a, b) for k, a, b in base), *candidates(text, base)]
+                if not found:
+                    continue
+                row = f"{key.as_py()}|{xxhash.xxh64_hexdigest(text.encode())}"
+                for kind, a, b in found:
+                    v = tuple(votes(text, kind, a, b))
+                    seen[v] += 1
+                    h = xxhash.xxh64_intdigest(f"{row}|{kind}:{a}:{b}") >> 1
+                    if h in inside or len(heap) == sample and h >= -heap[0][0]:
+                        continue
+                    if len(heap) == sample:
+                        inside.discard(-heapq.heappop(heap)[0])
+                    heapq.heappush(heap, (-h, v, described(text, kind, a, b)))
+                    inside.add(h)
+        rows = [(v, n, None, None) for v, n in seen.items()] + [(v, 0, -h, x) for h, v, x in heap]
+        v, n, h, x = zip(*rows) if rows else [()] * 4
+        kinds = {"v": pa.list_(pa.int32()), "n": pa.int64(), "h": pa.int64(), "x": pa.list_(pa.float64())}
+        yield pa.RecordBatch.from_arrays([pa.array(map(list, v), kinds["v"]), *(pa.array(c, kinds[k]) for c, k in ((n, "n"), (h, "h"), (x, "x")))], list(kinds))
+
+    return survey
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
-    """The classifier's weights, from the candidates of about `sample` documents chosen by a hash of their ids; None if they have none."""
-    n = docs.count()
-    some = docs if n <= sample else docs.filter(F.pmod(F.xxhash64(docs[id_col]), F.lit(1_000_000)) < int(1e6 * sample / n))
-    got = some.select(text_of(some, text_col).alias("_text")).mapInPandas(_described, "x array<double>, v array<int>").toPandas()
-    if not len(got):
+    """The classifier's weights; None if the documents have no candidates.
+
+    The labelers are weighed on the votes for all candidates of all documents, as counts of at most 81 patterns. The classifier is
+    fitted on all candidates or, of more, on at most `sample` of them: those with the smallest hashes of id, text and place, so null or
+    repeated ids don't matter; what is equal in all three is one.
+    """
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("_text"))
+    found = frozen(rows.mapInArrow(_surveyed(sample), "v array<int>, n long, h long, x array<double>"), "candidates")
+    seen = sorted((r["v"], r["n"]) for r in found.filter("h is null").groupBy("v").agg(F.sum("n").alias("n")).collect())
+    if not seen:
         return None
-    p, _, _ = weigh(np.array(got["v"].tolist()))
-    return fit(np.array(got["x"].tolist()), p)
+    table, counts = np.array([v for v, _ in seen]), np.array([n for _, n in seen])
+    likely = {tuple(v): q for (v, _), q in zip(seen, likelihoods(table, counts))}
+    below = min(2**63 - 1, int(2 * sample / counts.sum() * 2**63))  # so that few rows are sorted
+    few = found.filter(F.col("h") <= below).groupBy("h").agg(F.first("v").alias("v"), F.first("x").alias("x")).orderBy("h").limit(sample).collect()
+    return fit(np.array([r["x"] for r in few]), np.array([likely[tuple(r["v"])] for r in few]))
 
 
 def all_spans(text: str, weights: np.ndarray | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -325,6 +325,25 @@ def test_weak_supervision():
     assert [c[0] for c in pii.candidates(masked, [])] == ["email", "phone", "secret"]
 
 
+def test_pii_trains_on_all_documents(spark, monkeypatch):
+    seen, fitted = [], []
+    weigh, fit = pii.weigh, pii.fit
+    monkeypatch.setattr(pii, "weigh", lambda table, **k: seen.append(k["counts"].sum()) or weigh(table, **k))
+    monkeypatch.setattr(pii, "fit", lambda x, p: fitted.append(len(x)) or fit(x, p))
+    rows = [(None if k % 2 else k, f"mail a{k}@b.com or phone 234-555-{1000 + k}") for k in range(300)] + [(None, "mail x@y.org")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [pii.train(docs.repartition(n), sample=100) for n in (1, 5)]
+    assert seen == [650, 650] and fitted == [100, 100]
+    assert np.array_equal(*parts)
+    pii.train(docs)
+    assert fitted[-1] == 601
+    table = np.array([[1, 0, -1, 1], [0, 1, 1, -1], [1, 1, 1, 1]])
+    counts = np.array([3, 1, 5])
+    assert np.allclose(weigh(table, counts=counts)[0], weigh(np.repeat(table, counts, 0))[0][[0, 3, 4]])
+    table, counts = np.array([[1, -1, -1, 0], [1, -1, -1, 1], [1, -1, 1, 1], [1, 1, -1, 1]]), np.array([1, 2540, 778, 2465])
+    assert np.allclose(pii.likelihoods(table, counts), pii.likelihoods(table, counts * 300), atol=1e-6) and pii.likelihoods(table, counts)[1:].min() > 0.99
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
