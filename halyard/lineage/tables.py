@@ -58,6 +58,10 @@ def table_lineage(spark: SparkSession, statement: str) -> Lineage:
     return out
 
 
+def sources_of(spark: SparkSession, query: str) -> set[str]:
+    return table_lineage(spark, query).sources
+
+
 def script_lineage(spark: SparkSession, script: str) -> list[Lineage]:
     """Of each statement of a script, split at semicolons; blank ones are skipped, and those that can't be parsed have no tables."""
     from halyard.script.splitter import statements_of

@@ -1,11 +1,12 @@
-"""CREATE TABLE statements of the two script dialects, and rewrites of queries to Spark's SQL."""
+"""CREATE TABLE statements of the two script dialects."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-from halyard.script.tokens import significant, tokenize, unquoted
+from halyard.script.rewrites import rewrite_query
+from halyard.script.tokens import quoted, significant, unquoted
 
 
 @dataclass
@@ -25,6 +26,12 @@ class TableDef:
     stored_as: str | None = None
     properties: dict[str, str] = field(default_factory=dict)
     if_not_exists: bool = False
+    parts: list[str] = field(default_factory=list)
+
+    @property
+    def path(self) -> list[str]:
+        """The parts of the name."""
+        return self.parts or [self.name]
 
     @property
     def schema(self) -> str:
@@ -131,10 +138,10 @@ def parse_create(sql: str) -> TableDef:
     r.take("EXTERNAL")
     r.need("TABLE")
     exists = r.take("IF", "NOT", "EXISTS")
-    name = unquoted(r.next())
+    name = [unquoted(r.next())]
     while r.take("."):
-        name += "." + unquoted(r.next())
-    out = TableDef(name, if_not_exists=exists)
+        name.append(unquoted(r.next()))
+    out = TableDef(".".join(name), if_not_exists=exists, parts=name)
     if r.take("("):
         while not r.take(")"):
             if r.take("WATERMARK", "FOR"):
@@ -179,7 +186,7 @@ def parse_create(sql: str) -> TableDef:
 def spark_create(table: TableDef, location: str | None = None) -> str:
     """The Spark statement for a stored table; properties of partition commit stay with the sink."""
     kept = {k: v for k, v in table.properties.items() if not k.startswith(("partition.", "sink.partition-commit"))}
-    parts = [f"CREATE TABLE IF NOT EXISTS {table.name} ({table.schema})", f"USING {table.stored_as or 'parquet'}"]
+    parts = [f"CREATE TABLE IF NOT EXISTS {quoted(table.path)} ({table.schema})", f"USING {table.stored_as or 'parquet'}"]
     if table.partitions:
         parts.append(f"PARTITIONED BY ({', '.join(f'`{p}`' for p in table.partitions)})")
     if location:
@@ -189,58 +196,6 @@ def spark_create(table: TableDef, location: str | None = None) -> str:
     return " ".join(parts)
 
 
-def _primary(out: list[str]) -> str:
-    """Takes from out the expression that a subscript or a call of a field applies to."""
-    taken = [out.pop()]
-    if taken[0] == ")":
-        depth = 1
-        while depth:
-            t = out.pop()
-            depth += (t == ")") - (t == "(")
-            taken.append(t)
-        if out and re.fullmatch(r"\w+", out[-1]):
-            taken.append(out.pop())
-    while len(out) > 1 and out[-1] == ".":
-        taken.append(out.pop())
-        taken.append(out.pop())
-    return "".join(reversed(taken))
-
-
-def rewrite_query(sql: str) -> str:
-    """Array subscripts count from 1 and are null outside; whole numbers divide whole; TO_TIMESTAMP has no zone; `FROM t, UNNEST(a) AS u(x, y)` is a lateral view."""
-    tokens = [(k, v) for k, v in tokenize(sql) if k != "comment"]
-    text = "".join(_subscripts(tokens))
-    text = re.sub(r"(?i)\bTO_TIMESTAMP\s*\(", "to_timestamp_ntz(", text)
-    text = re.sub(r"(?i)(\bAS\s+(?:BIGINT|INT|INTEGER)\s*\))\s*/\s*(\d+\b)(?!\.)", r"\1 div \2", text)
-    text = re.sub(r"(?is)(?:,|\bCROSS\s+JOIN)\s*UNNEST\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:AS\s+)?(\w+)\s*\(([^()]*)\)", r" LATERAL VIEW inline(\1) \2 AS \3", text)
-    text = re.sub(r"(?i)\bTUMBLE\s*\(\s*TABLE\s+(\w+)\s*,\s*DESCRIPTOR\s*\((\w+)\)\s*,\s*(INTERVAL\s+'[^']+'\s+\w+)\s*\)", _window_tvf, text)
-    return text
-
-
-def _window_tvf(m: re.Match) -> str:
-    size = re.sub(r"(?i)interval\s+'([^']+)'\s+(\w+)", r"\1 \2", m[3])
-    return f"(SELECT *, window({m[2]}, '{size}').start AS window_start, window({m[2]}, '{size}').end AS window_end FROM {m[1]})"
-
-
-def _subscripts(tokens: list[tuple[str, str]]) -> list[str]:
-    out: list[str] = []
-    k = 0
-    while k < len(tokens):
-        kind, value = tokens[k]
-        if value == "[" and out and (out[-1] == ")" or re.search(r"[\w`)]$", out[-1])) and not out[-1].upper().endswith("ARRAY"):
-            depth, j = 1, k + 1
-            while depth:
-                depth += (tokens[j][1] == "[") - (tokens[j][1] == "]")
-                j += 1
-            inner = "".join(_subscripts(tokens[k + 1 : j - 1]))
-            out.append(f"try_element_at({_primary(out)}, {inner})")
-            k = j
-            continue
-        out.append(value)
-        k += 1
-    return out
-
-
 def infer_ddl(spark, sample: str, name: str, sink: str | None = None) -> tuple[str, str]:
     """From a sample JSON object: the DDL of a source with that shape, every leaf a string, and of a flat sink."""
     from pyspark.sql import functions as F

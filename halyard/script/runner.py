@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.registry import register_functions
+from halyard.lineage.tables import sources_of
 from halyard.script.commands import Command, parse_command
-from halyard.script.ddl import TableDef, parse_create, rewrite_query, spark_create
+from halyard.script.ddl import TableDef, parse_create, spark_create
+from halyard.script.inserts import Insert, parse_insert
+from halyard.script.rewrites import rewrite_query
 from halyard.script.splitter import read_script, split_script
-from halyard.script.tokens import significant, unquoted
+from halyard.script.tokens import name_at, quoted, significant, unquoted
 from halyard.sources.connectors import read_table
-from halyard.streaming.sinks import PartitionCommit, fan_out, jdbc_sink
+from halyard.streaming.sinks import PartitionCommit, fan_out, jdbc_sink, seconds, supervised_all
+
+#: Nodes of a plan that treats each row by itself, so a micro-batch gives what the whole stream would.
+_ROW_BY_ROW = ("Project", "Filter", "Generate", "SubqueryAlias", "View", "EventTimeWatermark", "StreamingRelation", "StreamingRelationV2", "StreamingExecutionRelation", "UnresolvedHint", "ResolvedHint")
 
 
 class UnsupportedCommand(ValueError):
@@ -38,6 +47,7 @@ class Runner:
     dialect: str = "default"
     pending: list[str] | None = None
     queries: list = field(default_factory=list)
+    starts: list[Callable[[], object]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         register_functions(self.spark)
@@ -118,56 +128,88 @@ class Runner:
         return table.options.get("connector") in ("clickhouse", "print", "blackhole") or table.options.get("role") == "sink"
 
     def _drop(self, sql: str) -> None:
-        name = unquoted([t for _, t in significant(sql) if t.upper() not in ("DROP", "TABLE", "IF", "EXISTS", ";")][0])
-        self.tables.pop(name, None)
-        self.spark.catalog.dropTempView(name)
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def _parts(self, sql: str) -> tuple[str, bool, list[str] | None, str]:
-        """Target, overwrite, listed columns, query."""
-        words = significant(sql)
-        k = 2
-        if words[k][1].upper() == "TABLE":
-            k += 1
-        name = unquoted(words[k][1])
-        k += 1
-        while words[k][1] == ".":
-            name += "." + unquoted(words[k + 1][1])
-            k += 2
-        columns = None
-        if words[k][1] == "(":
-            columns = []
-            while words[k][1] != ")":
-                k += 1
-                if words[k][1] not in (",", ")"):
-                    columns.append(unquoted(words[k][1]))
-        at = sql.lower().index("select")
-        return name, words[1][1].upper() == "OVERWRITE", columns, rewrite_query(sql[at:])
+        """The table by its whole name. What the script itself declared as a view or sink has no stored table; else a missing one is an error, unless IF EXISTS says so."""
+        tokens = significant(sql)
+        words = [t.upper() for _, t in tokens]
+        exists = words[2:4] == ["IF", "EXISTS"]
+        parts, _ = name_at(tokens, 4 if exists else 2)
+        known = self.tables.pop(".".join(parts), None)
+        view = len(parts) == 1 and self.spark.catalog.dropTempView(parts[0])
+        declared = view or known is not None and self._is_sink(known)
+        self.spark.sql(f"DROP TABLE {'IF EXISTS ' if exists or declared else ''}{quoted(parts)}")
 
     def _insert_all(self, statements: list[str]):
-        """One insert, or a set: batch sets write from one reading of shared views; streams have one query each source plan."""
+        """One insert, or a set as one job.
+
+        Batch: a view over a connector that several inserts read is read once and persisted (on disk where memory doesn't hold it) until the set is
+        done; stored tables are scanned by each insert with its own columns and filters. Streams: inserts that treat each row of the same
+        view by itself share one query, which reads each micro-batch once for all of them; others (aggregates, joins, distinct rows) have a query each.
+        """
+        inserts = [parse_insert(s) for s in statements]
+        frames = [self.spark.sql(i.query) for i in inserts]
+        for i, df in zip(inserts, frames):
+            self._check(i, df.columns)
+        shared: dict[str, list[Insert]] = {}
+        alone = []
+        for i, df in zip(inserts, frames):
+            view = self._stream_view(i, df) if df.isStreaming else None
+            if view is not None:
+                shared.setdefault(view, []).append(i)
+            elif df.isStreaming:
+                alone.append((i, df))
         started = []
-        for sql in statements:
-            name, overwrite, columns, query = self._parts(sql)
-            df = self.spark.sql(query)
-            target = self.tables.get(name)
-            wanted = columns or ([n for n, _ in target.columns] if target else None)
-            if wanted is not None and len(wanted) != len(df.columns):
-                raise ValueError(f"{name} takes {len(wanted)} columns, the query has {len(df.columns)}")
-            if df.isStreaming:
-                df = df.toDF(*wanted) if wanted else df  # by position
-                started.append(self._stream(name, target, df))
-            elif target is not None and self._is_sink(target):
-                self._sink(target)(df, 0)
-            elif columns:
-                df.createOrReplaceTempView("_halyard_insert")
-                self.spark.sql(f"INSERT INTO {name} ({', '.join(f'`{c}`' for c in columns)}) SELECT * FROM _halyard_insert")
-            else:
-                df.write.insertInto(name, overwrite=overwrite)
-        self.queries += started
+        for view, group in shared.items():
+            committing = any(self._commits(self.tables.get(i.name)) for i in group)
+            started += self._started(self._many(view, group)) if len(group) > 1 or committing else self._started(self._one(group[0]))
+        for i, _ in alone:
+            started += self._started(self._one(i))
+        batch = [i for i, df in zip(inserts, frames) if not df.isStreaming]
+        counts: dict[str, int] = {}
+        for i in batch:
+            for name in sources_of(self.spark, i.query):
+                counts[name] = counts.get(name, 0) + 1
+        kept = [self.spark.table(n).persist(StorageLevel.MEMORY_AND_DISK) for n, c in counts.items() if c > 1 and self._connected(n)]
+        try:
+            for i in batch:
+                self._write(i, self.spark.sql(i.query), 0)
+        finally:
+            for df in kept:
+                df.unpersist()
         return started or None
 
+    def _connected(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(name) and self.spark.catalog.getTable(name).isTemporary
+
+    def _check(self, i: Insert, given: list[str]) -> None:
+        target = self.tables.get(i.name)
+        fixed = {c for c, v in i.partition.items() if v is not None}
+        wanted = i.columns or ([n for n, _ in target.columns if n not in fixed] if target else None)
+        if wanted is not None and len(wanted) != len(given):
+            raise ValueError(f"{i.name} takes {len(wanted)} columns, the query has {len(given)}")
+
+    def _named(self, i: Insert, df: DataFrame) -> DataFrame:
+        """The query's columns by position under the target's names, with the partition's fixed values."""
+        target = self.tables.get(i.name)
+        fixed = {c: v for c, v in i.partition.items() if v is not None}
+        wanted = i.columns or ([n for n, _ in target.columns if n not in fixed] if target else None)
+        if wanted:
+            df = df.toDF(*wanted)
+        for c, v in fixed.items():
+            df = df.withColumn(c, F.expr(v))
+        if target is not None and i.columns:  # columns that aren't listed are null
+            df = df.select(*[F.col(f"`{n}`") if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in target.columns])
+        return df
+
+    def _write(self, i: Insert, df: DataFrame, batch_id: int) -> None:
+        target = self.tables.get(i.name)
+        if target is not None and self._is_sink(target):
+            self._sink(target)(self._named(i, df), batch_id)
+        else:
+            df.createOrReplaceTempView("_halyard_insert")
+            df.sparkSession.sql(i.sql("_halyard_insert"))
+
     def _sink(self, table: TableDef):
+        """A database is written at the end of each micro-batch, so sink.flush-interval is the trigger's; which shard takes a row is the server's to say."""
         o = table.options
         if o.get("connector") == "clickhouse":
             return jdbc_sink(o["url"].replace("clickhouse://", "jdbc:clickhouse://"), o["table-name"], int(o.get("sink.batch-size", 20_000)), int(o.get("sink.max-retries", 3)), {"user": o.get("username", ""), "password": o.get("password", "")})
@@ -175,20 +217,83 @@ class Runner:
             return lambda batch, batch_id: batch.show(truncate=False)
         return lambda batch, batch_id: batch.write.format("noop").mode("overwrite").save()
 
-    def _stream(self, name: str, table: TableDef | None, df: DataFrame):
-        out = df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger)
-        if table is not None and self._is_sink(table):
-            return out.foreachBatch(fan_out([self._sink(table)])).start()
-        properties = (table.properties | table.options) if table else {}
-        if table is not None and table.partitions and properties.get("sink.partition-commit.trigger") == "partition-time":
-            days = {"h": 3600, "hour": 3600, "s": 1, "min": 60, "m": 60, "d": 86400}
-            n, unit = (properties.get("sink.partition-commit.delay", "0 s") + " s").split()[:2]
-            path = self.spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()[1]
-            at = f"cast(`{table.partitions[-1]}` as timestamp)" if "log_ts" not in df.columns else "log_ts"
-            df = df.withColumn("_at", F.expr(at))
-            sink = PartitionCommit(path, "_at", table.stored_as or "parquet", table.partitions[-1], int(n) * days.get(unit, 1), zone=properties.get("sink.partition-commit.watermark-time-zone", "UTC"), table=name)
-            return df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger).foreachBatch(lambda b, i: sink(b.drop("_at").withColumn("_at", F.expr(at)), i)).start()
-        return out.format((table.stored_as if table else None) or "parquet").toTable(name)
+    def _stream_view(self, i: Insert, df: DataFrame) -> str | None:
+        """The one streaming view whose rows the query treats one by one; None if there is no such."""
+        views = [n for n in sources_of(self.spark, i.query) if self._connected(n) and self.spark.table(n).isStreaming]
+        stack = [df._jdf.queryExecution().analyzed()]
+        while stack:
+            node = stack.pop()
+            if node.getClass().getSimpleName() not in _ROW_BY_ROW:
+                return None
+            children = node.children().iterator()
+            while children.hasNext():
+                stack.append(children.next())
+        return views[0] if len(views) == 1 else None
+
+    @staticmethod
+    def _commits(table: TableDef | None) -> bool:
+        return table is not None and bool(table.partitions) and (table.properties | table.options).get("sink.partition-commit.trigger") == "partition-time"
+
+    def _location(self, i: Insert) -> str:
+        return self.spark.sql(f"DESCRIBE FORMATTED {quoted(i.parts)}").filter("col_name = 'Location'").first()[1]
+
+    def _committer(self, i: Insert, delay: str) -> PartitionCommit:
+        table = self.tables[i.name]
+        o = table.properties | table.options
+        return PartitionCommit(self._location(i), table.stored_as or "parquet", table.partitions[-1], seconds(o.get("sink.partition-commit.delay", "0 s")), seconds(delay), o.get("sink.partition-commit.watermark-time-zone", "UTC"), quoted(i.parts))
+
+    def _many(self, view: str, group: list[Insert]) -> Callable[[], object]:
+        """Starts one query over a view for several inserts; event time for partition commits is that of the view's watermark column."""
+        source = self.tables.get(view)
+        mark = source.watermark if source is not None else None
+        sinks = []
+        for i in group:
+            commit = self._committer(i, mark.delay if mark else "0 seconds") if self._commits(self.tables.get(i.name)) else None
+
+            def write(batch: DataFrame, batch_id: int, i: Insert = i, commit: PartitionCommit | None = commit) -> None:
+                df = batch.sparkSession.sql(i.query)
+                if commit is None:
+                    self._write(i, df, batch_id)
+                else:
+                    newest = batch.agg(F.max(F.unix_micros(F.col(mark.column).cast("timestamp")))).first()[0] if mark else None
+                    commit(self._named(i, df), batch_id, newest / 1e6 if newest is not None else None)
+
+            sinks.append(write)
+        every = fan_out(sinks)
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            batch.createOrReplaceTempView(view)  # in the query's own session
+            every(batch, batch_id)
+
+        name = "+".join(sorted(re.sub(r"\W", "_", i.name) for i in group))
+        return lambda: self.spark.table(view).writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger).foreachBatch(each).start()
+
+    def _one(self, i: Insert) -> Callable[[], object]:
+        """Starts a query for one insert, made anew at each start."""
+        target = self.tables.get(i.name)
+
+        def start():
+            df = self._named(i, self.spark.sql(i.query))
+            out = df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{re.sub(r'\W', '_', i.name)}").trigger(**self.trigger)
+            if target is not None and self._is_sink(target):
+                return out.foreachBatch(self._sink(target)).start()
+            if self._commits(target):  # the partition's own time stands for event time
+                commit = self._committer(i, "0 seconds")
+                at = F.unix_seconds(F.max(F.try_to_timestamp(F.col(f"`{target.partitions[-1]}`").cast("string"))))
+                return out.foreachBatch(lambda b, k: commit(b, k, b.agg(at).first()[0])).start()
+            return out.format((target.stored_as if target else None) or "parquet").toTable(quoted(i.parts))
+
+        return start
+
+    def _started(self, start: Callable[[], object]) -> list:
+        query = start()
+        self.queries.append(query)
+        self.starts.append(start)
+        return [query]
+
+    def wait(self, attempts: int = 10, wait_s: float = 60.0) -> None:
+        """Until all streaming queries have ended; each that fails is started again from its checkpoint, `attempts` times, whatever the others do."""
+        supervised_all(self.queries, self.starts, attempts, wait_s)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -205,7 +310,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--jobType", default="", help="anything: batch; nothing: streaming")
     p.add_argument("--chk_time", type=int, default=1000, help="milliseconds between micro-batches")
     p.add_argument("--parallelism", type=int, default=1)
-    p.add_argument("--checkpoints", default="checkpoints")
+    p.add_argument("--checkpoints", default="checkpoints", help="a folder that outlives the driver, in a shared file system on a cluster")
+    p.add_argument("--attempts", type=int, default=10, help="how often a failed query is started again")
+    p.add_argument("--wait", type=float, default=60.0, help="seconds before that")
     a = p.parse_args(argv)
     spark = session(a.jobName or a.path)
     if a.parallelism > 1:
@@ -214,8 +321,7 @@ def main(argv: list[str] | None = None) -> None:
     for x in runner.run_file(a.path):
         if isinstance(x, DataFrame):
             x.show(truncate=False)
-    for q in runner.queries:
-        q.awaitTermination()
+    runner.wait(a.attempts, a.wait)
 
 
 if __name__ == "__main__":

@@ -2,13 +2,18 @@
 
 import pytest
 
+from halyard.functions.catalog import function_catalog
 from halyard.lineage.columns import ColumnLineage, catalog_summary, column_lineage, insert_lineage
 from halyard.lineage.tables import insert_sources, script_lineage, table_lineage
 from halyard.script.commands import COMMANDS, parse_command
-from halyard.script.ddl import infer_ddl, parse_create, rewrite_query, spark_create
+from halyard.script.ddl import infer_ddl, parse_create, spark_create
+from halyard.script.rewrites import rewrite_query
+from halyard.script.inserts import parse_insert
 from halyard.script.runner import Runner, UnsupportedCommand
+from halyard.script.variants import create_variants, insert_variants
 from halyard.script.splitter import load_profile, read_properties, split_script, statements_of
 from halyard.sources.connectors import elements, kafka_options, starting_offsets
+from halyard.streaming.sinks import seconds, supervised_all
 
 
 def test_split():
@@ -40,20 +45,20 @@ KAFKA = """CREATE TABLE k (
   id STRING COMMENT 'a, (b) > c',
   body ARRAY<ROW<`date` STRING, v MAP<STRING, STRING>>>,
   op ROW<x INT, y DECIMAL(18, 8)>,
-  sampleTime STRING,
-  log_ts AS TO_TIMESTAMP(FROM_UNIXTIME(CAST(sampleTime AS BIGINT)/1000, 'yyyy-MM-dd HH:mm:ss')),
-  WATERMARK FOR log_ts AS log_ts - INTERVAL '5' SECOND
+  taken_at STRING,
+  seen_ts AS TO_TIMESTAMP(FROM_UNIXTIME(CAST(taken_at AS BIGINT)/1000, 'yyyy-MM-dd HH:mm:ss')),
+  WATERMARK FOR seen_ts AS seen_ts - INTERVAL '5' SECOND
 ) WITH ('connector' = 'kafka', 'topic' = 't', 'properties.bootstrap.servers' = 'h:1', 'properties.group.id' = 'g', 'scan.startup.mode' = 'timestamp', 'scan.startup.timestamp-millis' = '17', 'format' = 'json')"""
 
 
 def test_ddl():
     t = parse_create(KAFKA)
-    assert t.columns == [("id", "STRING"), ("body", "ARRAY<STRUCT<`date`: STRING, `v`: MAP<STRING, STRING>>>"), ("op", "STRUCT<`x`: INT, `y`: DECIMAL(18,8)>"), ("sampleTime", "STRING")]
-    assert t.computed[0][0] == "log_ts" and "div 1000" in t.computed[0][1].replace("  ", " ") and "to_timestamp_ntz" in t.computed[0][1]
-    assert (t.watermark.column, t.watermark.delay) == ("log_ts", "5 seconds")
+    assert t.columns == [("id", "STRING"), ("body", "ARRAY<STRUCT<`date`: STRING, `v`: MAP<STRING, STRING>>>"), ("op", "STRUCT<`x`: INT, `y`: DECIMAL(18,8)>"), ("taken_at", "STRING")]
+    assert t.computed[0][0] == "seen_ts" and "div 1000" in t.computed[0][1].replace("  ", " ") and "to_timestamp_ntz" in t.computed[0][1]
+    assert (t.watermark.column, t.watermark.delay) == ("seen_ts", "5 seconds")
     assert kafka_options(t.options) == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "kafka.group.id": "g", "startingTimestamp": "17"}
     hive = parse_create("CREATE TABLE IF NOT EXISTS h (a STRING, ts TIMESTAMP) PARTITIONED BY (dt STRING) STORED AS orc TBLPROPERTIES ('sink.partition-commit.delay'='1 h', 'x'='y')")
-    assert spark_create(hive) == "CREATE TABLE IF NOT EXISTS h (`a` STRING, `ts` TIMESTAMP_NTZ, `dt` STRING) USING orc PARTITIONED BY (`dt`) TBLPROPERTIES ('x' = 'y')"
+    assert spark_create(hive) == "CREATE TABLE IF NOT EXISTS `h` (`a` STRING, `ts` TIMESTAMP_NTZ, `dt` STRING) USING orc PARTITIONED BY (`dt`) TBLPROPERTIES ('x' = 'y')"
     with pytest.raises(ValueError):
         parse_create("CREATE TABLE t (a INT) SHARDED BY (a)")
 
@@ -69,7 +74,20 @@ def test_rewrites(spark):
     assert rewrite_query("SELECT a[1].no, b[2][3].f, 'x[1]', ARRAY[1] FROM t") == "SELECT try_element_at(a, 1).no, try_element_at(try_element_at(b, 2), 3).f, 'x[1]', ARRAY[1] FROM t"
     assert "LATERAL VIEW inline(body) u AS x, y" in rewrite_query("SELECT x FROM k, UNNEST(body) AS u(x, y)")
     assert "div 1000" in rewrite_query("CAST(x AS BIGINT)/1000")
-    assert "window_start" in rewrite_query("SELECT * FROM TABLE_X, TUMBLE(TABLE e, DESCRIPTOR(ts), INTERVAL '5' MINUTE)")
+    assert rewrite_query("SELECT 'TO_TIMESTAMP(x) m[1] TUMBLE(TABLE e, DESCRIPTOR(t), INTERVAL ''1'' DAY)' AS `a[1]`") == "SELECT 'TO_TIMESTAMP(x) m[1] TUMBLE(TABLE e, DESCRIPTOR(t), INTERVAL ''1'' DAY)' AS `a[1]`"
+    assert rewrite_query("SELECT CAST(x AS BIGINT)/1000.5, CAST(x AS DOUBLE)/10") == "SELECT CAST(x AS BIGINT)/1000.5, CAST(x AS DOUBLE)/10"
+    assert rewrite_query("SELECT x FROM k LEFT JOIN UNNEST(f(a, (b))) AS u(x, y) ON TRUE WHERE x") == "SELECT x FROM k  LATERAL VIEW OUTER inline(f(a, (b))) u AS x, y WHERE x"
+    assert rewrite_query("SELECT TUMBLE_START(t, INTERVAL '5' MINUTE), HOP_END(t, INTERVAL '1' DAY, INTERVAL '2' DAY) FROM e GROUP BY TUMBLE(t, INTERVAL '5' MINUTE), SESSION(t, INTERVAL '1' HOUR)") == "SELECT window(t, '5 MINUTE').start, window(t, '2 DAY', '1 DAY').end FROM e GROUP BY window(t, '5 MINUTE'), session_window(t, '1 HOUR')"
+
+
+def test_window_tables(spark):
+    spark.sql("SELECT k, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, m) AS ts FROM VALUES ('a', 1), ('a', 7), ('a', 8), ('b', 30) AS v(k, m)").createOrReplaceTempView("win_e")
+    run = lambda call: sorted((r["k"], r["ts"].minute, r["window_start"].minute, r["window_end"].minute) for r in spark.sql(rewrite_query(f"SELECT * FROM TABLE({call})")).collect())
+    assert run("TUMBLE(TABLE win_e, DESCRIPTOR(ts), INTERVAL '5' MINUTES)") == [("a", 1, 0, 5), ("a", 7, 5, 10), ("a", 8, 5, 10), ("b", 30, 30, 35)]
+    assert run("HOP(TABLE win_e, DESCRIPTOR(ts), INTERVAL '5' MINUTES, INTERVAL '10' MINUTES)")[:2] == [("a", 1, 0, 10), ("a", 1, 55, 5)]
+    assert run("CUMULATE(TABLE win_e, DESCRIPTOR(ts), INTERVAL '2' MINUTES, INTERVAL '10' MINUTES)") == [("a", 1, 0, e) for e in (2, 4, 6, 8, 10)] + [("a", 7, 0, 8), ("a", 7, 0, 10), ("a", 8, 0, 10)] + [("b", 30, 30, e) for e in (32, 34, 36, 38, 40)]
+    assert run("SESSION(TABLE win_e PARTITION BY k, DESCRIPTOR(ts), INTERVAL '6' MINUTES)") == [("a", 1, 1, 14), ("a", 7, 1, 14), ("a", 8, 1, 14), ("b", 30, 30, 36)]
+    assert run("SESSION(TABLE win_e PARTITION BY k, DESCRIPTOR(ts), INTERVAL '5' MINUTES)")[0] == ("a", 1, 1, 6)
 
 
 def test_infer_ddl(spark):
@@ -80,12 +98,12 @@ def test_infer_ddl(spark):
 
 def script(folder):
     return f"""SET table.sql-dialect=default;
-CREATE TABLE src (id STRING, items ARRAY<ROW<n INT, m MAP<STRING, STRING>>>, at STRING, log_ts AS TO_TIMESTAMP(FROM_UNIXTIME(CAST(at AS BIGINT)/1000)), WATERMARK FOR log_ts AS log_ts - INTERVAL '5' SECOND) WITH ('connector'='filesystem', 'path'='{folder}/in', 'format'='json', 'json.ignore-parse-errors'='true');
+CREATE TABLE src (id STRING, items ARRAY<ROW<n INT, m MAP<STRING, STRING>>>, at STRING, seen_ts AS TO_TIMESTAMP(FROM_UNIXTIME(CAST(at AS BIGINT)/1000)), WATERMARK FOR seen_ts AS seen_ts - INTERVAL '5' SECOND) WITH ('connector'='filesystem', 'path'='{folder}/in', 'format'='json', 'json.ignore-parse-errors'='true');
 SET table.sql-dialect=hive;
 CREATE TABLE sink_a (id STRING, n INT, s STRING) PARTITIONED BY (dt STRING) STORED AS parquet TBLPROPERTIES ('sink.partition-commit.trigger'='partition-time', 'sink.partition-commit.delay'='0 s');
 CREATE TABLE sink_b (id STRING, first_n INT) STORED AS orc;
 BEGIN STATEMENT SET;
-INSERT INTO sink_a SELECT id, n, map_to_string(m), DATE_FORMAT(log_ts, 'yyyy-MM-dd') AS dt FROM src, UNNEST(items) AS t(n, m);
+INSERT INTO sink_a SELECT id, n, map_to_string(m), DATE_FORMAT(seen_ts, 'yyyy-MM-dd') AS dt FROM src, UNNEST(items) AS t(n, m);
 INSERT INTO sink_b SELECT id, items[1].n FROM src;
 END;
 """
@@ -113,6 +131,141 @@ def test_runner(spark, tmp_path, streaming):
     if streaming:
         assert (tmp_path / "wh/sink_a/dt=2022-04-23/_SUCCESS").exists()
         assert not (tmp_path / "wh/sink_a/dt=2022-04-25/_SUCCESS").exists()
+        assert len(runner.queries) == 1  # one job, one reading, both sinks
+        assert sum(p["numInputRows"] for p in runner.queries[0].recentProgress) == 4
+
+
+def test_restart_commits_open_days(spark, tmp_path):
+    write_input(tmp_path)
+    spark.sql("DROP TABLE IF EXISTS sink_a")
+    spark.sql("DROP TABLE IF EXISTS sink_b")
+
+    def run():
+        runner = Runner(spark, streaming=True, checkpoints=str(tmp_path / "chk"), warehouse=str(tmp_path / "wh"))
+        runner.run(script(tmp_path).replace("CREATE TABLE sink", "CREATE TABLE IF NOT EXISTS sink"))
+        runner.wait(0)
+
+    run()
+    assert not (tmp_path / "wh/sink_a/dt=2022-04-25/_SUCCESS").exists()
+    (tmp_path / "in" / "b.json").write_text('{"id":"d","items":[],"at":"1651161600000"}\n')  # a later day, with no row for the open one
+    run()
+    assert (tmp_path / "wh/sink_a/dt=2022-04-25/_SUCCESS").exists()
+
+
+def test_watermark_delays_commit(spark, tmp_path):
+    write_input(tmp_path)
+    spark.sql("DROP TABLE IF EXISTS sink_a")
+    spark.sql("DROP TABLE IF EXISTS sink_b")
+    runner = Runner(spark, streaming=True, checkpoints=str(tmp_path / "chk"), warehouse=str(tmp_path / "wh"))
+    runner.run(script(tmp_path).replace("INTERVAL '5' SECOND", "INTERVAL '3' DAY"))
+    runner.wait(0)
+    assert not list((tmp_path / "wh/sink_a").glob("dt=*/_SUCCESS"))
+
+
+def test_batch_set_reads_its_source_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(f'{{"id": "{k}", "items": [], "at": "0"}}\n')
+    r = Runner(spark, warehouse=str(tmp_path / "wh"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        reads.add(1)
+        return x
+
+    spark.udf.register("counted_read", counted)
+    for t in ("once_a", "once_b"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    r.run(f"""CREATE TABLE once_src (id STRING, seen AS counted_read(id)) WITH ('connector'='filesystem', 'path'='{tmp_path}/in', 'format'='json');
+SET table.sql-dialect=hive;
+CREATE TABLE once_a (id STRING);
+CREATE TABLE once_b (id STRING);
+BEGIN STATEMENT SET;
+INSERT INTO once_a SELECT seen FROM once_src;
+INSERT INTO once_b SELECT concat(seen, 'x') FROM once_src;
+END;
+""")
+    assert reads.value == 3
+    assert sorted(x[0] for x in spark.table("once_b").collect()) == ["0x", "1x", "2x"]
+
+
+def test_drop_names_the_whole_table(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS dropdb")
+    r = Runner(spark)
+    spark.sql("DROP TABLE IF EXISTS dropdb")
+    for name in ("dropdb.t", "dropdb", "`select`"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} (a INT) USING parquet")
+    r.execute("DROP TABLE dropdb.t")
+    assert not spark.catalog.tableExists("dropdb.t") and spark.catalog.tableExists("default.dropdb")
+    r.execute("drop table if exists `select`")
+    assert not spark.catalog.tableExists("`select`")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        r.execute("DROP TABLE dropdb.t")
+    r.execute("DROP TABLE IF EXISTS dropdb.t")
+    r.execute("DROP TABLE dropdb")
+    spark.sql("DROP DATABASE dropdb")
+    r.execute("CREATE TABLE mem_v (value INT) WITH ('connector'='print')")
+    r.execute("DROP TABLE mem_v")
+
+
+@pytest.mark.parametrize("sql,want", [
+    ("INSERT INTO selected_t SELECT 1, 2", ("selected_t", False, None, {}, "SELECT 1, 2")),
+    ("INSERT INTO t WITH x AS (SELECT 1) SELECT * FROM x", ("t", False, None, {}, "WITH x AS (SELECT 1) SELECT * FROM x")),
+    ("INSERT OVERWRITE TABLE db.t (b, `a c`) VALUES (1, 2)", ("db.t", True, ["b", "a c"], {}, "VALUES (1, 2)")),
+    ("INSERT INTO t /* select */ (SELECT 1)", ("t", False, None, {}, "(SELECT 1)")),
+    ("INSERT INTO t -- select\n PARTITION (dt = '2024-01-01', h) SELECT a, 'select' FROM s", ("t", False, None, {"dt": "'2024-01-01'", "h": None}, "SELECT a, 'select' FROM s")),
+])
+def test_insert_parts(sql, want):
+    i = parse_insert(sql)
+    assert (i.name, i.overwrite, i.columns, i.partition, i.query) == want
+
+
+def test_inserts(spark, tmp_path):
+    r = Runner(spark, warehouse=str(tmp_path))
+    rows = lambda t: sorted(map(tuple, spark.table(t).collect()))
+    for t in ("selected_t", "parted_t"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    r.execute("SET table.sql-dialect=hive")
+    r.execute("CREATE TABLE selected_t (a INT, b INT)")
+    r.execute("INSERT INTO selected_t VALUES (1, 2), (3, 4)")
+    r.execute("INSERT INTO selected_t WITH x AS (SELECT 5 AS p, 6 AS q) SELECT * FROM x")
+    assert rows("selected_t") == [(1, 2), (3, 4), (5, 6)]
+    r.execute("INSERT OVERWRITE selected_t (b, a) SELECT 8, 7")
+    assert rows("selected_t") == [(7, 8)]
+    r.execute("CREATE TABLE parted_t (a INT) PARTITIONED BY (dt STRING)")
+    r.execute("INSERT INTO parted_t PARTITION (dt = 'x') SELECT 1")
+    r.execute("INSERT INTO parted_t SELECT 2, 'y'")
+    assert rows("parted_t") == [(1, "x"), (2, "y")]
+    r.execute("INSERT OVERWRITE parted_t PARTITION (dt = 'x') SELECT 3")
+    assert rows("parted_t") == [(2, "y"), (3, "x")]
+
+
+def test_supervision_of_several_queries():
+    class Query:
+        def __init__(self, fails):
+            self.fails, self.stopped = fails, False
+
+        def awaitTermination(self):
+            if self.fails:
+                raise RuntimeError("down")
+
+        def stop(self):
+            self.stopped = True
+
+    made = []
+    ok = Query(False)
+    supervised_all([Query(True), ok], [lambda: made.append(1) or Query(len(made) < 3), lambda: ok], 5, 0)
+    assert len(made) == 3
+    with pytest.raises(RuntimeError):
+        supervised_all([Query(True), ok], [lambda: Query(True), lambda: ok], 2, 0)
+    assert ok.stopped
+
+
+def test_lengths_of_time():
+    assert [seconds(x) for x in ("1h", "1 h", "5 seconds", "0 s", "30", "2 min", "100 ms")] == [3600, 3600, 5, 0, 30, 120, 0.1]
+    with pytest.raises(ValueError):
+        seconds("1 moon")
 
 
 def test_runner_commands(spark):
@@ -173,3 +326,21 @@ def test_column_lineage(spark, tmp_path):
     with pytest.raises(ValueError):
         column_lineage(spark.table("lin_t"), ["one"])
     assert isinstance(rows[0], ColumnLineage) and "lin_t" in catalog_summary(spark)["default"]
+
+
+def test_variants():
+    ddl = "CREATE TABLE db.sales (id STRING, month STRING, amount DECIMAL(18,2))"
+    made = create_variants(ddl, "month")
+    assert made["his"] == "CREATE TABLE IF NOT EXISTS `db`.`sales_td_his` (`id` STRING, `month` STRING, `amount` DECIMAL(18,2), `partition_time` STRING) USING parquet PARTITIONED BY (`partition_time`)"
+    assert made["cm"] == "CREATE TABLE IF NOT EXISTS `db`.`sales_cm` (`id` STRING, `amount` DECIMAL(18,2), `perf_month` STRING) USING parquet PARTITIONED BY (`perf_month`)"
+    dml = "INSERT INTO db.sales SELECT s.id, s.month, f(s.amount, 'from') AS amount FROM src s WHERE s.month >= '${start_month}' AND s.month <= '${end_month}' AND ok = 1"
+    got = insert_variants(dml, "month", "date_format(at, 'yyyyMM')", {"${start_month}": "${hivevar:start_month}", "${end_month}": "${hivevar:end_month}", "src": "dws.src"})
+    assert got["his"] == "INSERT OVERWRITE TABLE `db`.`sales_td_his` PARTITION (`partition_time` = '${hivevar:partition_time}') SELECT s.id, s.month, f(s.amount, 'from') AS amount FROM dws.src s WHERE s.month >= '${hivevar:start_month}' AND s.month <= '${hivevar:end_month}' AND ok = 1"
+    assert got["cm"] == "INSERT OVERWRITE TABLE `db`.`sales_cm` PARTITION (`perf_month`) SELECT s.id, f(s.amount, 'from') AS amount, date_format(at, 'yyyyMM') AS perf_month FROM dws.src s WHERE ok = 1"
+
+
+def test_function_catalog(spark):
+    Runner(spark)
+    spark.udf.register("plus_one_udf", lambda x: x + 1, "int")
+    kinds = {f.name: f.kind for f in function_catalog(spark)}
+    assert kinds["map_to_string"] == "udf" and kinds["parse_special_udtf"] == "udtf"

@@ -74,13 +74,14 @@ def test_keep_last_and_late_rows(spark, tmp_path):
 
 
 def test_partition_commit(spark, tmp_path):
-    sink = sinks.PartitionCommit(str(tmp_path), "ts", partition="dt", delay_s=3600)
+    sink = sinks.PartitionCommit(str(tmp_path), partition="dt", delay_s=3600)
     rows = lambda *ts: spark.createDataFrame([(t, t[:10]) for t in ts], "t string, dt string").select(F.to_timestamp("t").alias("ts"), "dt")
-    sink(rows("2024-01-01 10:00:00", "2024-01-02 00:30:00"), 0)
+    at = lambda hour: 1704067200 + 3600 * hour
+    sink(rows("2024-01-01 10:00:00", "2024-01-02 00:30:00"), 0, at(24.5))
     assert not (tmp_path / "dt=2024-01-01/_SUCCESS").exists()
-    sink(rows("2024-01-02 01:00:00"), 1)
+    sink(rows("2024-01-02 01:00:00"), 1, at(25))
     assert (tmp_path / "dt=2024-01-01/_SUCCESS").exists() and not (tmp_path / "dt=2024-01-02/_SUCCESS").exists()
-    sink(rows("2024-01-02 01:00:00").filter("false"), 2)
+    sink(rows("2024-01-02 01:00:00").filter("false"), 2, None)
     assert spark.read.parquet(str(tmp_path)).count() == 3
 
 
