@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +30,21 @@ def at(array: Column, *places: int) -> Column:
     return array
 
 
-def running_count(df: DataFrame, key: str, order: list[str], name: str = "running") -> DataFrame:
-    """The count of a key's rows so far, for each row."""
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+def running_count(df: DataFrame, key: str, order: list[str], name: str = "running", part: Column | None = None) -> DataFrame:
+    """The count of a key's rows so far, for each row.
+
+    part: something that never falls along the order, such as the day of a first column that is a time. With it counts are two-level: rows
+    are numbered inside each part of a key, and the parts before, counted first, are added up; so a key with a large share of all rows is
+    dealt to as many tasks as it has parts. Without it a key is one task's.
+    """
+    if part is None:
+        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumn("_part", part)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy(F.col("_p").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n")).select("_k", "_p", before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    joined = rows.withColumn("_nth", nth).join(parts, F.col(key).eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")))
+    return joined.select(*df.columns, (F.col("_nth") + F.col("_before")).alias(name))
 
 
 def conditional_counts(df: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
@@ -49,7 +62,7 @@ def top_n(df: DataFrame, key: str, order: list[Column], n: int = 2, rank: str =
 
 
 def keep_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key, by a map-side maximum, not a sort."""
+    """The last row of each key. Tasks sort their rows by key, as a row is no hash aggregate's buffer, and pass on one row a key; the shuffle carries no more."""
     rest = [c for c in df.columns if c != key]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
     return df.groupBy(key).agg(best).select(key, "_last.*").select(*df.columns)
@@ -68,24 +81,63 @@ def count_trigger(df: DataFrame, key: str, ts: str, order: list[str], size: str
     return slot.withColumn("total", nth.cast("bigint")).filter(F.col("total") % every == 0).select(key, "window_start", "total")
 
 
+def _firings(values: np.ndarray, last: float, threshold: float) -> list[int]:
+    """Places where values exceed what they were at the firing before (at first: last) by more than threshold.
+
+    A firing's value is the largest so far, so the next one is where the running maximum first exceeds it by enough.
+    """
+    out: list[int] = []
+    if threshold < 0:  # then a lower value may fire
+        for i, v in enumerate(values.tolist()):
+            if v - last > threshold:
+                out.append(i)
+                last = v
+        return out
+    most = np.maximum.accumulate(values)
+    i = int(np.searchsorted(most, last, "right"))
+    while i < most.size:
+        if most[i] - last > threshold:
+            out.append(i)
+            last = float(most[i])
+        # differences, not sums, decide, so the search lands at most a rounding error before the place
+        i = max(i + 1, int(np.searchsorted(most, np.nextafter(last + threshold, -np.inf), "right")))
+    return out
+
+
 def _delta_scan(threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by key and order; state is one (key, last, count, firings)."""
-        state: list | None = None
+        """Rows arrive sorted by key and order; state is one key, its value at the last firing, the rows since, its firings."""
+        key, last, since, fired = None, 0.0, 0, 0
+        begun = False
         for batch in batches:
-            keys, values = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            fired: list[tuple[int, int, int]] = []
-            for i, (key, value) in enumerate(zip(keys, values.tolist())):
-                if state is None or state[0] != key:
-                    state = [key, value, 1, 0]
-                    continue
-                state[2] += 1
-                if value - state[1] > threshold:
-                    state[3] += 1
-                    fired.append((i, state[2], state[3]))
-                    state[1], state[2] = value, 0
-            rows = pa.array([f[0] for f in fired], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([f[1] for f in fired], pa.int64()), pa.array([f[2] for f in fired], pa.int64())], ["key", "at", "n", "firing"])
+            keys, values = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            if not values.size:
+                continue
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            ends = np.append(starts[1:], values.size)
+            most = np.maximum.reduceat(values, starts)
+            at, n, firing = [], [], []
+            quiet = (most - values[starts] <= threshold).tolist() if threshold >= 0 else [False] * starts.size
+            for run, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+                if run == 0 and begun and keys[0].as_py() == key:
+                    first = a
+                else:
+                    last, since, fired, first = float(values[a]), 1, 0, a + 1
+                    if quiet[run] and b < values.size:
+                        continue
+                done = first - since  # so that i - done + 1 rows have come since the last firing
+                for i in _firings(values[first:b], last, threshold):
+                    i += first
+                    fired += 1
+                    at.append(i)
+                    n.append(i - done + 1)
+                    firing.append(fired)
+                    last, done = float(values[i]), i + 1
+                since = b - done
+            key, begun = keys[-1].as_py(), True
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(rows), batch.column(1).take(rows), pa.array(n, pa.int64()), pa.array(firing, pa.int64())], ["key", "at", "n", "firing"])
 
     return scan
 
@@ -94,7 +146,8 @@ def delta_trigger(df: DataFrame, key: str, value: str, order: list[str], thresho
     """key, at (struct of order), n, firing: whenever a key's value has grown by more than threshold since the last firing (at first: since
     its first row), the number of rows since then, the triggering one included.
 
-    Partitions are sorted and scanned in batches, so a long key takes time but no memory.
+    Partitions are sorted and scanned in Arrow batches, so a long key takes time but no memory; time goes with the rows for sorting, and with
+    the firings for the rest.
     """
     rows = df.select(F.col(key).alias("key"), F.struct(*order).alias("at"), F.col(value).cast("double").alias("v")).filter("v is not null")
     kind = dict(rows.dtypes)
@@ -115,6 +168,22 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, ts: str, right_cols: l
     return both.select("_l.*", *[F.col(f"_last.`{c}`").alias(f"right_{c}") for c in right_cols])
 
 
+def interval_join(left: DataFrame, right: DataFrame, on: str, ts: str, before: str, after: str = "0 seconds") -> DataFrame:
+    """Pairs of rows with one key, where the right one's time is at most `before` earlier and `after` later than the left one's; right columns are prefixed right_.
+
+    Time is cut into stretches as long as the interval; a left row meets only the rows of the two or three that its interval touches, by an
+    equi-join on key and stretch. So a hot key is dealt to many tasks, and rows that are far apart never meet.
+    """
+    low, high = micros(before), micros(after)
+    width = max(1, low + high)
+    clock = lambda c: F.unix_micros(c.cast("timestamp"))
+    slot = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    a = left.withColumn("_at", clock(F.col(ts))).withColumn("_slot", F.explode(F.sequence(slot(F.col("_at") - low), slot(F.col("_at") + high))))
+    b = right.select(F.col(on).alias("_on"), slot(clock(F.col(ts))).alias("_at_slot"), clock(F.col(ts)).alias("_right_at"), *[F.col(f"`{c}`").alias(f"right_{c}") for c in right.columns])
+    near = (F.col("_right_at") >= F.col("_at") - low) & (F.col("_right_at") <= F.col("_at") + high)
+    return a.join(b, (a[on] == b["_on"]) & (a["_slot"] == b["_at_slot"]) & near).select(*[a[c] for c in left.columns], *[c for c in b.columns if c.startswith("right_")])
+
+
 _UNITS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
 
 

@@ -9,7 +9,9 @@ from halyard.script.ddl import TableDef
 
 
 def starting_offsets(mode: str, timestamp_ms: str | None = None) -> dict[str, str]:
-    """Options of Spark's Kafka source for a startup mode; group-offsets means: go on from the checkpoint, earliest without one."""
+    """Options of Spark's Kafka source for a startup mode.
+
+    group-offsets means: go on from the checkpoint, and from the earliest without one, as Spark keeps offsets there and never reads a group's."""
     if mode in ("latest", "latest-offset"):
         return {"startingOffsets": "latest"}
     if mode == "timestamp":
@@ -72,6 +74,8 @@ def read_table(spark: SparkSession, table: TableDef, streaming: bool) -> DataFra
         return finish(spark.table(options["table"]), table, False)
     if kind == "jdbc":
         given = {k: options[k] for k in ("url", "driver") if k in options} | {"dbtable": options["table-name"], "user": options.get("username", ""), "password": options.get("password", "")}
+        if "scan.partition.column" in options:  # else the database is read by one task
+            given |= {to: options[f"scan.partition.{of}"] for of, to in (("column", "partitionColumn"), ("lower-bound", "lowerBound"), ("upper-bound", "upperBound"), ("num", "numPartitions"))}
         return finish(spark.read.format("jdbc").options(**given).load(), table, False)
     raise ValueError(f"unknown connector {kind}")
 
