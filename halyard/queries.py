@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import expressions as X
+from halyard.functions.catalog import catalog_frame
+from halyard.functions.registry import register_functions
+from halyard.lineage.columns import insert_lineage
 from halyard.lineage.tables import table_lineage
 from halyard.operators import batch as B
+from halyard.script.rewrites import rewrite_query
+from halyard.script.runner import Runner
+from halyard.session import shared_dir
+from halyard.streaming import stateful
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +53,8 @@ def q_wordcount_space(spark, d):
 
 @query("SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events")
 def q_running_wordcount(spark, d):
-    return B.running_count(table(spark, d, "events"), "event_type", ["ts", "event_id"]).select("event_id", "event_type", "running")
+    events = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return B.running_count(events, "event_type", ["ts", "event_id"], part=F.to_date("ts")).select("event_id", "event_type", "running")
 
 
 @query("""SELECT event_type, window_start, rn AS total FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 5 = 0""")
@@ -330,8 +340,8 @@ def q_rollup(spark, d):
 
 @query("""SELECT p.event_id, v.event_id AS right_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def q_asof(spark, d):
-    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    return B.asof_join(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), "user_id", "ts", ["event_id"]).select("event_id", "right_event_id")
+    of = lambda kind: table(spark, d, "events").filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")
+    return B.asof_join(of("purchase"), of("view"), "user_id", "ts", ["event_id"]).select("event_id", "right_event_id")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) AS window_end, count(*) AS n FROM events, unnest([1, 2, 3, 4]) AS g(i) WHERE ts < time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) GROUP BY ALL""")
@@ -343,3 +353,248 @@ def q_cumulate(spark, d):
 def q_lineage_tables(spark, d):
     found = [table_lineage(spark, s) for s in ("INSERT INTO a SELECT * FROM b JOIN c ON b.x = c.x", "WITH t AS (SELECT 1 FROM s) SELECT * FROM t, u")]
     return spark.createDataFrame([(x.statement, x.target or "", ",".join(sorted(x.sources))) for x in found], "statement string, target string, sources string")
+
+
+@query("SELECT o_orderkey, c_name FROM (SELECT * FROM customer WHERE c_acctbal > 0) RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON o_custkey = c_custkey")
+def q_join_right(spark, d):
+    o, c = table(spark, d, "orders").filter("o_totalprice > 300000"), table(spark, d, "customer").filter("c_acctbal > 0")
+    return c.join(o, o.o_custkey == c.c_custkey, "right").select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal < 0) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON o_custkey = c_custkey")
+def q_join_full(spark, d):
+    o, c = table(spark, d, "orders").filter("o_totalprice > 300000"), table(spark, d, "customer").filter("c_acctbal < 0")
+    return c.join(o, o.o_custkey == c.c_custkey, "full").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT r_name, n_name FROM region JOIN nation ON n_regionkey > r_regionkey AND length(n_name) > length(r_name)")
+def q_join_theta(spark, d):
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    return n.join(F.broadcast(r), (n.n_regionkey > r.r_regionkey) & (F.length("n_name") > F.length("r_name"))).select("r_name", "n_name")  # 5 rows
+
+
+@query("SELECT a.r_name AS one, b.r_name AS other FROM region a CROSS JOIN region b")
+def q_join_cross(spark, d):
+    r = table(spark, d, "region")
+    return r.select(F.col("r_name").alias("one")).crossJoin(r.select(F.col("r_name").alias("other")))  # 5 rows each
+
+
+@query("SELECT p.event_id, v.event_id AS right_event_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts >= p.ts - INTERVAL 6 HOUR AND v.ts <= p.ts + INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND v.event_type = 'view'")
+def q_join_interval(spark, d):
+    of = lambda kind: table(spark, d, "events").filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")
+    return B.interval_join(of("purchase"), of("view"), "user_id", "ts", "6 hours", "1 hour").select("event_id", "right_event_id")
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'view' UNION SELECT user_id FROM events WHERE event_type = 'click'")
+def q_union(spark, d):
+    e = table(spark, d, "events")
+    return e.filter("event_type = 'view'").select("user_id").union(e.filter("event_type = 'click'").select("user_id")).distinct()
+
+
+@query("SELECT event_id, 'v' AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'c' FROM events WHERE event_type = 'click'")
+def q_union_all(spark, d):
+    e = table(spark, d, "events")
+    of = lambda kind: e.filter(F.col("event_type") == kind).select("event_id", F.lit(kind[0]).alias("kind"))
+    return of("view").unionByName(of("click"))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'view' INTERSECT ALL SELECT user_id FROM events WHERE event_type = 'click'")
+def q_intersect_all(spark, d):
+    e = table(spark, d, "events")
+    return e.filter("event_type = 'view'").select("user_id").intersectAll(e.filter("event_type = 'click'").select("user_id"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
+def q_order_limit(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(10)
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, month(l_shipdate) AS m FROM lineitem")
+def q_distinct(spark, d):
+    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.month("l_shipdate").cast("bigint").alias("m")).distinct()
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(*) > 60 AND max(value) > 50")
+def q_having(spark, d):
+    got = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), F.max("value").alias("_most"))
+    return got.filter("n > 60 AND _most > 50").drop("_most")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")
+def q_grouping_sets(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("_halyard_lineitem")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g FROM _halyard_lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, lag(o_orderkey) OVER t AS before, lead(o_orderkey, 2) OVER t AS after, CAST(ntile(4) OVER t AS BIGINT) AS quarter, first_value(o_orderkey) OVER t AS first, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, round(percent_rank() OVER w, 9) AS share
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority), t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def q_rank_functions(spark, d):
+    w, t = Window.partitionBy("o_custkey").orderBy("o_orderpriority"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    whole = t.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    return rows.select("o_orderkey", F.rank().over(w).cast("bigint").alias("r"), F.dense_rank().over(w).cast("bigint").alias("d"), F.lag("o_orderkey").over(t).alias("before"), F.lead("o_orderkey", 2).over(t).alias("after"), F.ntile(4).over(t).cast("bigint").alias("quarter"), F.first("o_orderkey").over(t).alias("first"), F.last("o_orderkey").over(whole).alias("last"), F.round(F.percent_rank().over(w), 9).alias("share"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_n, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS near FROM events")
+def q_frames(spark, d):
+    by = Window.partitionBy("user_id")
+    day = by.orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
+    return table(spark, d, "events").select("event_id", F.count("*").over(day).alias("day_n"), F.round(F.avg("value").over(by.orderBy("ts", "event_id").rowsBetween(-2, 1)), 6).alias("near"))
+
+
+@query("SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y/%m/%d %H:%M:%S') AS shown, date_trunc('second', ts) AS local FROM events")
+def q_format_epoch(spark, d):
+    e = table(spark, d, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return e.select("event_id", X.format_epoch_ms(ms, "yyyy/MM/dd HH:mm:ss").alias("shown"), X.local_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("local"))
+
+
+@query(f"WITH {POINTS}, {_gcj_sql('p', 'o')} SELECT c_custkey, round(lng + d_lng, 8) AS lng, round(lat + d_lat, 8) AS lat FROM o_b")
+def q_gcj02_everywhere(spark, d):
+    return _rounded(spark, d, lambda x, y: X.wgs84_to_gcj02(x, y, check_box=False))
+
+
+@query(f"WITH {POINTS}, {_bd_sql('p', 'o').replace('pi()*3000.0e0/180.0e0', 'pi()')} SELECT c_custkey, round(lng, 8) AS lng, round(lat, 8) AS lat FROM o")
+def q_bd09_angle(spark, d):
+    from math import pi
+
+    return _rounded(spark, d, lambda x, y: X.gcj02_to_bd09(x, y, angle=pi))
+
+
+def _script_events(spark, d, name: str) -> str:
+    view = f"{name}_{uuid.uuid4().hex}"
+    table(spark, d, "events").createOrReplaceTempView(view)
+    return view
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 12 HOUR, ts) - h * INTERVAL 12 HOUR AS window_start, count(*) AS n FROM events, unnest([0, 1]) AS g(h) GROUP BY ALL")
+def q_script_hop(spark, d):
+    e = _script_events(spark, d, "hop")
+    return spark.sql(rewrite_query(f"SELECT event_type, window_start, count(*) AS n FROM TABLE(HOP(TABLE {e}, DESCRIPTOR(ts), INTERVAL '12' HOURS, INTERVAL '24' HOURS)) GROUP BY event_type, window_start, window_end"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, count(*) AS n FROM events GROUP BY ALL")
+def q_script_tumble(spark, d):
+    e = _script_events(spark, d, "tumble")
+    return spark.sql(rewrite_query(f"SELECT event_type, TUMBLE_START(ts, INTERVAL '1' DAY) AS window_start, TUMBLE_END(ts, INTERVAL '1' DAY) AS window_end, count(*) AS n FROM {e} GROUP BY event_type, TUMBLE(ts, INTERVAL '1' DAY)"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) AS window_end, count(*) AS n FROM events, unnest([1, 2, 3, 4]) AS g(i) WHERE ts < time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) GROUP BY ALL""")
+def q_script_cumulate(spark, d):
+    e = _script_events(spark, d, "cumulate")
+    return spark.sql(rewrite_query(f"SELECT window_start, window_end, count(*) AS n FROM TABLE(CUMULATE(TABLE {e}, DESCRIPTOR(ts), INTERVAL '6' HOUR, INTERVAL '1' DAY)) GROUP BY window_start, window_end"))
+
+
+@query("""SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR, true) AS gap FROM events)) GROUP BY user_id, s""")
+def q_script_session(spark, d):
+    e = _script_events(spark, d, "session")
+    return spark.sql(rewrite_query(f"SELECT user_id, window_start, window_end, count(*) AS n FROM TABLE(SESSION(TABLE {e} PARTITION BY user_id, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY user_id, window_start, window_end"))
+
+
+def _script(spark, d, streaming: bool) -> DataFrame:
+    """A script with a source, two stored sinks and a statement set; the rows of both sinks."""
+    name, where = f"s{uuid.uuid4().hex}", f"{shared_dir(spark)}/script-{uuid.uuid4().hex}"
+    source = f"{d}/events.parquet"
+    if streaming:  # a stream reads a folder
+        source = f"{where}/in"
+        table(spark, d, "events").write.parquet(source)
+    runner = Runner(spark, {"t": name, "in": source}, streaming, f"{where}/checkpoints", warehouse=where)
+    runner.run("""SET table.sql-dialect=default;
+CREATE TABLE ${t}_src (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING, seen AS CAST(event_id AS BIGINT)/10, WATERMARK FOR ts AS ts - INTERVAL '5' SECOND) WITH ('connector'='filesystem', 'path'='${in}', 'format'='parquet');
+SET table.sql-dialect=hive;
+CREATE TABLE ${t}_a (event_id BIGINT, kind STRING) PARTITIONED BY (dt STRING) STORED AS parquet TBLPROPERTIES ('sink.partition-commit.trigger'='partition-time', 'sink.partition-commit.delay'='1 h');
+CREATE TABLE ${t}_b (event_id BIGINT, kind STRING) STORED AS orc;
+CREATE TABLE ${t}_gone (x INT);
+DROP TABLE ${t}_gone;
+BEGIN STATEMENT SET;
+INSERT INTO ${t}_a SELECT event_id, event_type, DATE_FORMAT(ts, 'yyyy-MM-dd') FROM ${t}_src WHERE value > 50;
+INSERT INTO ${t}_b (kind, event_id) SELECT concat('b ', event_type), seen FROM ${t}_src WHERE user_id < 5;
+END;
+""")
+    runner.wait(0)
+    a = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/{name}_a") if streaming else spark.table(f"{name}_a")
+    b = spark.read.schema("event_id BIGINT, kind STRING").orc(f"{where}/{name}_b")
+    out = a.select("event_id", "kind").union(b)
+    return out
+
+
+_SCRIPT_SQL = "SELECT event_id, event_type AS kind FROM events WHERE value > 50 UNION ALL SELECT event_id // 10, concat('b ', event_type) FROM events WHERE user_id < 5"
+
+
+@query(_SCRIPT_SQL)
+def q_script_batch(spark, d):
+    return _script(spark, d, False)
+
+
+@query(_SCRIPT_SQL)
+def q_script_stream(spark, d):
+    return _script(spark, d, True)
+
+
+@query("SELECT 7 AS a, 8 AS b UNION ALL SELECT 1, 2 UNION ALL SELECT 3, 4")
+def q_script_insert(spark, d):
+    name, where = f"i{uuid.uuid4().hex}", f"{shared_dir(spark)}/script-{uuid.uuid4().hex}"
+    runner = Runner(spark, {"t": name}, warehouse=where)
+    runner.run("""SET table.sql-dialect=hive;
+CREATE TABLE ${t} (a INT, b INT);
+INSERT INTO ${t} SELECT 100, 100;
+INSERT OVERWRITE ${t} (b, a) SELECT 8, 7;
+INSERT INTO ${t} VALUES (1, 2);
+INSERT INTO ${t} WITH x AS (SELECT 3 AS p, 4 AS q) SELECT p, q FROM x;
+""")
+    return spark.table(name)
+
+
+def _replayed(spark, df: DataFrame, cuts: list, name: str):
+    """A stream of df's rows, a file and micro-batch for each of the conditions, in their order; and a folder for what comes of it."""
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for k, c in enumerate(cuts):
+        df.filter(c).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"), where
+
+
+def _finished(out: DataFrame, where: str) -> DataFrame:
+    spark = out.sparkSession
+    q = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
+
+
+@query("""SELECT event_type, window_start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, (SELECT max(ts) FROM events) AS latest FROM events WHERE ts >= TIMESTAMP '2024-01-15') WHERE window_start + INTERVAL 1 DAY <= latest - INTERVAL 12 HOUR GROUP BY ALL""")
+def q_watermark_late(spark, d):
+    """Rows of early days come in a third micro-batch, behind the watermark of the first, and count nowhere; windows that it hasn't passed are not given yet."""
+    events = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    recent = F.col("ts") >= "2024-01-15"
+    stream, where = _replayed(spark, events, [recent & (F.col("event_id") % 2 == 0), recent & (F.col("event_id") % 2 == 1), ~recent], "late")
+    w = F.window("ts", "1 day")
+    out = stream.withWatermark("ts", "12 hours").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
+    return _finished(out, where).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT event_type, window_start, rn AS total FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 5 = 0""")
+def q_count_trigger_stream(spark, d):
+    events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    stream, where = _replayed(spark, events, [F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"], "counts")
+    out = stateful.count_trigger_stream(stream.withWatermark("ts", "40 days"), "event_type", "ts", "1 day")
+    return _finished(out, where).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(ORACLES["q_delta_trigger"].replace("SELECT user_id, event_id, n, firing FROM s", "SELECT user_id, n, firing FROM s"))
+def q_delta_trigger_stream(spark, d):
+    stream, where = _replayed(spark, odometer(spark, d), [F.col("ts") < "2024-01-10", F.col("ts") >= "2024-01-10"], "delta")
+    return _finished(stateful.delta_trigger_stream(stream, "user_id", "path", ["ts", "event_id"]), where)
+
+
+@query("SELECT * FROM (VALUES ('map_to_string', 'udf', 'map_to_string(m MAP<STRING, STRING>)', 'STRING'), ('parse_special_udtf', 'udtf', 'parse_special_udtf(s STRING)', 'type STRING, value STRING')) AS v(name, kind, invocation, returns)")
+def q_function_catalog(spark, d):
+    register_functions(spark)
+    return catalog_frame(spark).filter("name IN ('map_to_string', 'parse_special_udtf')")
+
+
+@query("SELECT * FROM (VALUES ('o_custkey', 'who', true), ('o_totalprice', 'price', false), ('o_custkey', 'price', false)) AS v(source_column, sink_column, plain)")
+def q_lineage_columns(spark, d):
+    source, sink = f"lin_{uuid.uuid4().hex}", f"lin_{uuid.uuid4().hex}"
+    table(spark, d, "orders").createOrReplaceTempView(source)
+    spark.range(0).select(F.lit(1).alias("who"), F.lit(1.0).alias("price")).createOrReplaceTempView(sink)
+    found = insert_lineage(spark, f"INSERT INTO {sink} SELECT o_custkey, o_totalprice + o_custkey FROM {source}")
+    return spark.createDataFrame([(x.source_column, x.sink_column, x.transform is None) for x in found], "source_column string, sink_column string, plain boolean")
