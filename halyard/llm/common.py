@@ -3,48 +3,54 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from halyard.session import shared_dir
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
+#: The setting by which Spark deletes a statement's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="halyard-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def frozen(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it: lineage ends here, and a lost executor loses nothing.
 
-    The tables of a session are dropped when the driver's Python ends; drop_frozen() does it earlier.
+    The write's shuffle files are deleted when it has ended, as nothing reads them again. The tables of a session are dropped when the
+    driver's Python ends; released() and drop_frozen() do it earlier.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/halyard-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.frozen_at = path
+    return out
+
+
+def released(*frozen_tables: DataFrame) -> None:
+    """Deletes tables of frozen() that nothing will read again."""
+    for table in frozen_tables:
+        spark, path = table.sparkSession, table.frozen_at
+        _deleted(spark, path)
+        _written.remove((spark, path))
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of DataFrames that are gone; what comes next reads frozen tables. The cleaner works on its own thread, so it is given a moment."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_frozen() -> None:
@@ -52,9 +58,7 @@ def drop_frozen() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _deleted(spark, path)
         except Exception:  # the session has ended; the folder's owner clears it
             return
 

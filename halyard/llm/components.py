@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import frozen
+from halyard.llm.common import frozen, released
 
 
 class Forest:
@@ -54,12 +54,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = frozen(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = frozen(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    old = labels
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         one = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         one = frozen(one, "labels")
         up = one.select(F.col("node").alias("of"), F.col("label").alias("up"))
         new = frozen(one.join(up, one["label"] == up["of"]).select("node", F.least("label", "up").alias("label"), (F.col("was") != F.least("label", "up")).alias("moved")), "labels")
+        released(old, one)
         if new.filter("moved").isEmpty():
+            released(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        old, labels = new, new.select("node", "label")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import forget, frozen, shuffle_partitions, text_of
+from halyard.llm.common import frozen, released, shuffle_partitions, text_of
 from halyard.llm.components import Forest, components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -22,8 +22,8 @@ BANDS, ROWS = 13, 5
 MARKS = 1024
 #: Lines of a bucket that one task compares; larger buckets are compared in pairs of blocks. Band rows of one task.
 BLOCK, TASK_ROWS = 8192, 1_000_000
-#: Documents read, and shingles compared, at once.
-DOCS, PAIR_HASHES = 32, 1 << 18
+#: Documents read, and shingles compared, at once; lines that a task remembers to have met.
+DOCS, PAIR_HASHES, MET = 32, 1 << 18, 1 << 19
 
 
 #: White space below code point 256 other than space and line feed.
@@ -153,29 +153,39 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out * np.uint64(2) ^ np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def identity(line: str) -> tuple[int, int]:
+    """Both halves of a 128-bit hash, as signed numbers: a line's id and its check."""
+    both = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return (both & 0xFFFFFFFFFFFFFFFF) - 2**63, (both >> 64) - 2**63
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of documents; bands where a line is met first among these."""
+    """The lines of documents; bands where the task meets a line first (or again after MET others)."""
+    met: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS):
             some = batch.slice(at, DOCS)
-            row, number, ids, again = [], [], [], []
-            met: set[int] = set()
+            owner, number, ids, checks, new = [], [], [], [], []
             texts: list[str] = []
-            for r, text in zip(some.column("row").to_pylist(), some.column("text").to_pylist()):
+            if len(met) > MET:
+                met.clear()
+            for r, text in enumerate(some.column("text").to_pylist()):
                 for k, line in enumerate(normal_lines(text)):
                     if line:
-                        id_ = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
-                        row.append(r)
+                        id_, check = identity(line)
+                        owner.append(r)
                         number.append(k)
                         ids.append(id_)
-                        again.append(id_ in met)
+                        checks.append(check)
+                        new.append(id_ not in met)
                         if id_ not in met:
                             met.add(id_)
                             texts.append(line)
-            old = np.array(again, bool)
-            ends = np.append(0, np.cumsum(~old) * BANDS).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(signatures(texts).view(np.int64).ravel()), mask=pa.array(old))
-            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "line_no": pa.array(number, pa.int32()), "id": pa.array(ids, pa.int64()), "bands": bands})
+            first, owner = np.array(new, bool), pa.array(owner, pa.int32())
+            ends = np.append(0, np.cumsum(first) * BANDS).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(signatures(texts).view(np.int64).ravel()), mask=pa.array(~first))
+            own = {n: some.column(n).take(owner) for n in ("row", "_id", "key")}
+            yield pa.RecordBatch.from_pydict(own | {"line_no": pa.array(number, pa.int32()), "id": pa.array(ids, pa.int64()), "check": pa.array(checks, pa.int64()), "new": pa.array(first), "bands": bands})
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,21 +220,24 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that a document stands for, once for each bucket and pair of blocks."""
+    """The lines that a document stands for, once for each bucket and pair of blocks. What isn't the line asked for is another document's with the same key."""
+    names = ("bucket", "two", "side", "id")
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS):
             some = batch.slice(at, DOCS)
             wanted = pc.list_flatten(some.column("wanted"))
-            numbers = iter(wanted.field("line_no").to_pylist())
-            lines: list[str] = []
+            asked = iter(zip(wanted.field("line_no").to_pylist(), wanted.field("id").to_pylist()))
+            lines: list[str | None] = []
             for text, n in zip(some.column("text").to_pylist(), pc.list_value_length(some.column("wanted")).to_pylist()):
                 parts = text.split("\n")
-                found: dict[int, str] = {}
-                for k in islice(numbers, n):
+                found: dict[int, str | None] = {}
+                for k, id_ in islice(asked, n):
                     if k not in found:
-                        found[k] = normal(parts[k])
+                        line = normal(parts[k]) if k < len(parts) else ""
+                        found[k] = line if identity(line)[0] == id_ else None
                     lines.append(found[k])
-            yield pa.RecordBatch.from_arrays([*(wanted.field(n) for n in ("bucket", "two", "side", "id")), pa.array(lines, pa.string())], ["bucket", "two", "side", "id", "line"])
+            out = pa.RecordBatch.from_arrays([*(wanted.field(n) for n in names), pa.array(lines, pa.string())], [*names, "line"])
+            yield out.filter(pc.is_valid(out.column("line"))) if None in lines else out
 
 
 def similar(lines: list[str], ends: np.ndarray | None = None, sides: np.ndarray | None = None, least: float = SIMILAR) -> Forest:
@@ -287,41 +300,46 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Lines are cut at line feeds, lower-cased, and their white space becomes one space. Lines whose sets of five-character shingles
     have a Jaccard similarity of 0.8 or more link (found by MinHash banding, each verified on the sets); equal lines are one. Of a
     component the first line by id (null last), row and number stays. Blank lines have no row: keep them as they are. Null texts have
-    none; repeated rows are documents of their own; an empty table gives no rows.
+    none; repeated rows are documents of their own; an empty table gives no rows. The order and partitioning of docs don't matter.
 
-    Only hashes of lines are shuffled to find buckets; texts of lines that share one are fetched once. Equal buckets of several
-    bands are compared once, and inside a bucket only lines that aren't joined yet. Buckets beyond BLOCK lines are compared
-    in pairs of blocks. Tasks return forests, never pairs.
+    Rows are numbered and cut into lines once, and all later steps read that table. Only hashes of lines are shuffled to find buckets, once
+    for each task that meets a line. Texts of lines that share a bucket are fetched from the documents by a hash of id and text, and must
+    have the line's hash. Equal buckets of several bands are compared once, and inside a bucket only lines that aren't joined yet. Buckets
+    beyond BLOCK lines are compared in pairs of blocks. Tasks return forests, never pairs. Lines are the same if both halves of a 128-bit
+    hash are; where only the first is, the line with the larger second half stays as it is.
     """
     spark = docs.sparkSession
-    own = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("_id"), text_of(docs, text_col).alias("text"))
-    rows = own.select("row", "text").mapInArrow(_lines, "row long, line_no int, id long, bands array<long>")
-    lines = frozen(rows, "lines")
-    n = lines.filter("bands is not null").count()
-    parts = max(shuffle_partitions(spark), -(-n * BANDS // TASK_ROWS))
-    banded = lines.filter("bands is not null").select("id", F.explode("bands").alias("band"))
+    own = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("text")).withColumn("key", F.xxhash64("_id", "text"))
+    kind = dict(own.dtypes)["_id"]
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "_id", "key", "text").mapInArrow(_lines, f"row long, _id {kind}, key long, line_no int, id long, check long, new boolean, bands array<long>")
+    banded = frozen(rows, "banded")
+    parts = max(shuffle_partitions(spark), -(-banded.filter("new").count() * BANDS // TASK_ROWS))
+    bands = banded.filter("new").select("id", F.explode("bands").alias("band"))
     # Many tasks may have met a line; its bands are equal, and so are those rows.
-    buckets = frozen(banded.repartition(parts, "band").mapInArrow(_buckets, "bucket long, size long, id long").distinct(), "buckets")
-    del banded, rows
-    forget(spark)
+    buckets = frozen(bands.repartition(parts, "band").mapInArrow(_buckets, "bucket long, size long, id long").distinct(), "buckets")
+    lines = frozen(banded.drop("bands", "new"), "lines")
+    released(banded)
+    place = F.min(F.struct(F.isnull("_id").alias("none"), F.col("_id").alias("id"), "row", "line_no", "key")).alias("at")
+    distinct = frozen(lines.groupBy("id").agg(place, F.min("check").alias("least")), "distinct")
     ways = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")
     dealt = buckets.withColumn("ways", ways).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     dealt = dealt.select("bucket", "id", (F.least("own", "other") * F.col("ways") + F.greatest("own", "other")).alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    at = lines.filter("bands is not null").groupBy("id").agg(F.min(F.struct("row", "line_no")).alias("at"))
-    wanted = dealt.join(at, "id").groupBy("at.row").agg(F.collect_list(F.struct("bucket", "two", "side", "id", "at.line_no")).alias("wanted"))
-    asked = own.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted")
+    wanted = dealt.join(distinct.select("id", "at.key", "at.line_no"), "id").groupBy("key").agg(F.collect_list(F.struct("bucket", "two", "side", "id", "line_no")).alias("wanted"))
+    asked = own.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("text", "wanted")
     fetched = asked.mapInArrow(_fetch, "bucket long, two int, side int, id long, line string")
     edges = frozen(fetched.repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long"), "similar")
-    del asked, fetched, wanted, dealt, at
-    forget(spark)
-    found = components(edges)
-    classed = lines.select("row", "line_no", "id").join(found, lines["id"] == found["node"], "left").select("row", "line_no", F.coalesce("label", "id").alias("label"))
-    ids = own.select("row", "_id")
-    classed = frozen(classed.join(ids, "row"), "classed")
-    first = frozen(classed.groupBy("label").agg(F.min(F.struct(F.isnull("_id").alias("none"), F.col("_id").alias("id"), "row", "line_no")).alias("first")), "first")
-    out = classed.join(first, "label")
-    return out.select(F.col("_id").alias(id_col), "line_no", F.col("first.id").alias("component_doc_id"), F.col("first.line_no").alias("component_line_no"), ((F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
+    released(buckets)
+    joined = frozen(components(edges).join(distinct, F.col("node") == F.col("id")).select("id", "label", "at"), "joined")
+    heads = frozen(joined.groupBy("label").agg(F.min("at").alias("first")), "heads")
+    moved = joined.join(heads, "label").select(F.col("id").alias("_moved"), "first")
+    first = frozen(distinct.join(moved, F.col("id") == F.col("_moved"), "left").select("id", "least", F.coalesce("first", "at").alias("first")), "first")
+    released(joined, heads, distinct)
+    same = F.col("check") == F.col("least")
+    pick = lambda there, here: F.when(same, F.col(f"first.{there}")).otherwise(F.col(here))
+    out = lines.join(first, "id")
+    kept = ~same | (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
+    return out.select(F.col("_id").alias(id_col), "line_no", pick("id", "_id").alias("component_doc_id"), pick("line_no", "line_no").alias("component_line_no"), kept.alias("kept"))
 
 
 def op3_line_dedup(spark, sf_dir):

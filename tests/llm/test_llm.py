@@ -263,6 +263,33 @@ def test_lines(spark, docs):
     assert sum(have[k] != want[k] for k in want) <= 0.002 * len(want)
 
 
+def test_lines_of_any_plan(spark):
+    """Shuffled and joined documents give the rows of the plain table, however Spark coalesces partitions."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    rows = lambda df: sorted(map(tuple, line_dedup.line_components(df).collect()))
+    want = rows(docs)
+    ids = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for size, adaptive in (("64KB", "true"), ("64MB", "true"), ("64MB", "false")):
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            assert rows(docs.repartition("doc_id") if adaptive == "true" else docs.join(ids, "doc_id").drop("lang")) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_fetched_lines_are_those_asked_for():
+    import pyarrow as pa
+
+    item = pa.list_(pa.struct([("bucket", pa.int64()), ("two", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("line_no", pa.int32())]))
+    ask = lambda line, no: {"bucket": 1, "two": 0, "side": 0, "id": line_dedup.identity(line)[0], "line_no": no}
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a\nB  b", "a"]), "wanted": pa.array([[ask("a", 0), ask("b b", 1)], [ask("a", 0), ask("b b", 1)]], item)})
+    assert pa.Table.from_batches(line_dedup._fetch(iter([batch]))).column("line").to_pylist() == ["a", "b b", "a"]
+
+
 def test_similar_lines_of_buckets():
     pick = random.Random(7)
     lines, ends, sides = [], [], []
