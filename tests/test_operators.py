@@ -1,5 +1,8 @@
 """Hand-worked cases of functions and batch operators."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +24,59 @@ def test_delta_trigger(spark, values, want):
     assert [(r["n"], r["firing"]) for r in B.delta_trigger(travel(spark, *values), "vin", "path", ["k"]).orderBy("firing").collect()] == want
 
 
+@pytest.mark.parametrize("threshold", [536.0, 3.0, 0.0, -1.0])
+def test_firings_one_by_one(threshold):
+    rng = np.random.default_rng(int(threshold) + 2)
+    for values in (rng.normal(0, 4, 400), np.cumsum(rng.exponential(40, 400)), np.cumsum(rng.normal(1, 5, 400)), np.zeros(5), np.zeros(0)):
+        last, want = 0.5, []
+        for i, v in enumerate(values.tolist()):
+            if v - last > threshold:
+                want.append(i)
+                last = v
+        assert B._firings(values, 0.5, threshold) == want
+
+
+def test_delta_scan_over_batches(spark):
+    """Keys that begin and end anywhere in batches, against rows taken one by one."""
+    rng = np.random.default_rng(6)
+    rows = [(key, k, float(v)) for key in range(12) for k, v in enumerate(np.cumsum(rng.normal(30, 60, rng.integers(1, 90))))]
+    df = spark.createDataFrame(rows, "vin int, k int, path double")
+    want, state = [], {}
+    for key, _, v in rows:
+        last, n, firing = state.get(key, (None, 0, 0))
+        n += 1
+        if last is None:
+            last = v
+        elif v - last > 200:
+            firing, last = firing + 1, v
+            want.append((key, n, firing))
+            n = 0
+        state[key] = (last, n, firing)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("7", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted((r["vin"], r["n"], r["firing"]) for r in B.delta_trigger(df, "vin", "path", ["k"], 200.0).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_running_counts_in_parts(spark):
+    df = spark.createDataFrame([("a" if k % 3 else None, k, k // 7 if k > 6 else None) for k in range(50)], "key string, k int, part int")
+    plain = B.running_count(df, "key", ["k"])
+    parts = B.running_count(df, "key", ["k"], part=F.col("part"))
+    assert parts.columns == plain.columns and sorted(map(repr, parts.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_interval_join(spark):
+    rng = np.random.default_rng(2)
+    rows = lambda n: [(int(k), int(rng.integers(0, 3)), int(rng.integers(0, 5000))) for k in range(n)]
+    left, right = rows(80), rows(90)
+    frame = lambda x: spark.createDataFrame(x, "id int, user int, s int").select("id", "user", F.timestamp_seconds("s").alias("ts"))
+    got = {(r["id"], r["right_id"]) for r in B.interval_join(frame(left), frame(right), "user", "ts", "3 minutes", "1 minute").collect()}
+    assert got == {(a, b) for a, u, s in left for b, v, t in right if u == v and s - 180 <= t <= s + 60} and got
+
+
 def test_delta_trigger_empty_and_null(spark):
     df = travel(spark, 1).filter("false").union(spark.createDataFrame([("v", 0, None)], "vin string, k int, path double"))
     assert B.delta_trigger(df, "vin", "path", ["k"]).collect() == []
@@ -63,19 +119,34 @@ def test_map_and_special(spark):
     assert kinds("1,,") == [("brake", "1")]
 
 
-def test_coordinates(spark):
-    lng, lat = X.wgs84_to_gcj02(F.lit(113.574013), F.lit(22.802381))
-    assert one(spark, F.round(lng, 8), F.round(lat, 8))[:] == (113.57909007, 22.79939571)
-    x, y = X.gcj02_to_bd09(lng, lat)
-    assert one(spark, F.round(x, 8), F.round(y, 8))[:] == (113.58565777, 22.80505523)
-    x, y = X.gcj02_to_wgs84(lng, lat)
-    assert one(spark, F.round(x, 8), F.round(y, 8))[:] == (113.57402028, 22.80238688)
+def shifted(lng, lat):
+    """The survey grid's image of a point, in plain floating-point numbers."""
+    x, y, wave = lng - 105, lat - 35, lambda v, *terms: sum(a * math.sin(v * math.pi / b) for a, b in terms) * 2 / 3
+    common = wave(x, (20, 1 / 6), (20, 1 / 2))
+    d_lat = -100 + 2 * x + 3 * y + y * y / 5 + x * y / 10 + math.sqrt(abs(x)) / 5 + common + wave(y, (20, 1), (40, 3)) + wave(y, (160, 12), (320, 30))
+    d_lng = 300 + x + 2 * y + x * x / 10 + x * y / 10 + math.sqrt(abs(x)) / 10 + common + wave(x, (20, 1), (40, 3)) + wave(x, (150, 12), (300, 30))
+    a, e, phi = X.AXIS, X.ECCENTRICITY, math.radians(lat)
+    m = 1 - e * math.sin(phi) ** 2
+    return lng + math.degrees(d_lng / (a / math.sqrt(m) * math.cos(phi))), lat + math.degrees(d_lat / (a * (1 - e) / m**1.5))
+
+
+@pytest.mark.parametrize("point", [(104.0665, 30.5723), (121.4737, 31.2304), (87.6168, 43.8256)])
+def test_coordinates(spark, point):
+    lng, lat = X.wgs84_to_gcj02(*map(F.lit, point))
+    grid = shifted(*point)
+    assert one(spark, lng, lat)[:] == pytest.approx(grid, abs=1e-9)
+    map_ = one(spark, *X.gcj02_to_bd09(lng, lat))
+    z, theta = math.hypot(*grid) + 2e-5 * math.sin(grid[1] * X.BD_ANGLE), math.atan2(grid[1], grid[0]) + 3e-6 * math.cos(grid[0] * X.BD_ANGLE)
+    assert map_[:] == pytest.approx((z * math.cos(theta) + 0.0065, z * math.sin(theta) + 0.006), abs=1e-9)
+    assert one(spark, *X.gcj02_to_wgs84(lng, lat))[:] == pytest.approx(point, abs=2e-5)
+    assert one(spark, *X.bd09_to_gcj02(*map(F.lit, map_)))[:] == pytest.approx(grid, abs=2e-5)
     assert one(spark, *X.convert_coordinates("wgs84", "gaode", F.lit(1.0), F.lit(2.0)))[:] == (1.0, 2.0)
+    assert one(spark, *X.wgs84_to_gcj02(F.lit(2.35), F.lit(48.85), check_box=False))[:] == pytest.approx(shifted(2.35, 48.85), abs=1e-9)
 
 
 def test_scalars(spark):
-    assert one(spark, F.round(X.to_degrees(F.lit(116), F.lit(25), F.lit(7.85)), 8))[0] == 116.41884722
-    assert [one(spark, X.is_scientific(F.lit(s)))[0] for s in ("1.23E4", "-3.14e-2", "abc", "0.1", "12")] == [True, True, False, False, False]
+    assert one(spark, F.round(X.to_degrees(F.lit(-48), F.lit(51), F.lit(29.6)), 8))[0] == 48.85822222
+    assert [one(spark, X.is_scientific(F.lit(s)))[0] for s in ("5e7", "+2.50E-08", "-6E3", "x1e5", "7.e2", "42")] == [True, True, True, False, False, False]
     assert one(spark, X.bit_set(F.lit(0), 0), X.bit_set(F.lit(1), 5), X.bit_clear(F.lit(33), 0), X.bit_toggle(F.lit(32), 5), X.bit_test(F.lit(0), 5))[:] == (1, 33, 32, 0, False)
     null = F.lit(None).cast("string")
     assert one(spark, X.sentinel(null), X.sentinel(F.lit("7")), X.sentinel(F.lit("")), X.sentinel(F.lit(""), strict_empty=False), X.sentinel(F.lit("x")))[:] == (-99999, 7, -99999, None, None)
