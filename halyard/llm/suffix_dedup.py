@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import frozen, ranked, shuffle_partitions, text_of
+from halyard.llm.common import frozen, ranked, released, shuffle_partitions, text_of
 from halyard.llm.suffix_sort import suffix_array
 
 #: Bytes of a string whose later occurrences go, and of the anchors looked for inside it.
 LENGTH, ANCHOR = 100, 32
 #: Window starts that are hashed at once (positions have POS_BITS bits), segments of one task, bytes sorted at once, segments under one key beyond which it is split.
-SLICE, POS_BITS, TASK_ROWS, SORT_BYTES, HOT = 1 << 16, 17, 750_000, 1 << 14, 2048
+SLICE, POS_BITS, TASK_ROWS, SORT_BYTES, HOT = 1 << 16, 17, 750_000, 1 << 14, 512
 #: Windows of a hot segment whose common bytes become the new key, step by step.
 SPANS = (23, 8, 3, 1)
 #: The same for all other shared segments, inside a task.
@@ -27,6 +27,40 @@ _TABLE = _random.integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Primes, bases and tables of the polynomials that tell segments apart; they share nothing with the one that finds anchors.
+_PRIMES = (2**31 - 1, 2**31 - 19)
+_BASES = [int(_random.integers(2**20, q)) for q in _PRIMES]
+_TABLES = [_random.integers(1, q, 256, np.uint64) for q in _PRIMES]
+_RESIDUES: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _residues(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime, the first n powers of its base and of the base's inverse."""
+    if n not in _RESIDUES:
+        _RESIDUES.clear()
+
+        def powers(base: int, prime: int) -> np.ndarray:
+            out = np.ones(n, np.uint64)
+            have = 1
+            while have < n:  # what is known, times the power that comes next
+                more = min(have, n - have)
+                out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+                have += more
+            return out
+
+        _RESIDUES[n] = [(powers(b, q), powers(pow(b, -1, q), q)) for b, q in zip(_BASES, _PRIMES)]
+    return _RESIDUES[n]
+
+
+def _fingerprints(data: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+    """62 bits for each stretch of data from begin[k] to end[k]: polynomials modulo two primes. limit: data.size at most."""
+    out = np.zeros(begin.size, np.uint64)
+    for table, prime, (up, down) in zip(_TABLES, _PRIMES, _residues(limit)):
+        q = np.uint64(prime)
+        sums = np.zeros(data.size + 1, np.uint64)
+        np.cumsum(table[data] * up[: data.size] % q, out=sums[1:])  # under 2**48
+        out = (out << np.uint64(31)) | (sums[end] - sums[begin]) % q * down[begin] % q
+    return out
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +85,7 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, anchor:
     A window's anchor is its string of `anchor` bytes with the smallest hash (the leftmost on ties); a segment is a run of windows of a text
     with one anchor. Equal windows have equal anchors at equal places, so they lie in segments of one key. Returns arrays: key (hash
     of the anchor), sid (hash of the segment's bytes and of the anchor's place), text (its index), first window, windows, anchor's
-    place from the first window.
+    place from the first window. The two hashes are polynomials over unrelated rings with unrelated tables.
     """
     width = length - anchor + 1
     out: list[tuple] = []
@@ -84,7 +118,7 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, anchor:
         heads = np.flatnonzero(new)
         first, count = good[heads], np.diff(np.append(heads, good.size))
         place = at[first]
-        body = (sums[first + count + length - 1] - sums[first]) * down[first]
+        body = _fingerprints(data[a : b + length - 1], first, first + count + length - 1, SLICE + length)
         sid = _mixed(body + np.uint64(0x51ED27) * (count.astype(np.uint64) * np.uint64(256) + (place - first).astype(np.uint64)))
         text = np.searchsorted(starts, first + a, "right") - 1
         out.append((h[place], sid, text, first + a - starts[text], count, place - first))
@@ -362,7 +396,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         split = many.join(hot, many["key"] == hot["hot"], "left_semi").mapInArrow(_split(span), ROW + ", seg binary").repartition(parts, "bucket").mapInArrow(_compared, ROW + ", seg binary")
         split = frozen(split, "split")
         found = found.union(split.filter(f"status = {REPEAT}").select("rid", "at"))
+        old = many
         many = frozen(many.join(hot, many["key"] == hot["hot"], "left_anti").union(split.filter(f"status = {MANY}").select("key", "rid", "at", "seg")), "different")
+        released(old, hot)
     return found.union(many.repartition(parts, "key").mapInArrow(_sorted, "rid long, at long"))
 
 
@@ -374,7 +410,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document and get the same result. Null texts are empty; an empty table gives no rows.
 
     One shuffle brings segments with the same anchor together (32 bytes a segment of about 35 bytes of text; repeats inside a task
-    are settled there, so a passage in a third of all documents brings a row per task). Only segments whose key others share are
+    are settled for each Arrow batch, so a passage in a third of all documents brings a row per 10,000 of them). Only segments whose key others share are
     compared by their bytes. A key with more than HOT different segments is split by further bytes. Texts are shuffled twice, to
     fetch those segments and to cut.
     """
