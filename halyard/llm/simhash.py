@@ -15,8 +15,8 @@ from halyard.llm.common import frozen, keep_rows, shuffle_partitions, text_of
 from halyard.llm.components import Forest, components
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Fingerprints of a tile, of a part of a population count that one task holds, and of a packed block.
-TILE, PART, BLOCK = 512, 1 << 20, 4096
+#: Fingerprints of a tile, of a part of a population count, and of a packed block; comparisons of one task, about.
+TILE, PART, BLOCK, TASK_PAIRS = 512, 1 << 16, 4096, 1 << 32
 #: Shingles of one text whose bits are counted at once.
 SLICE = 1 << 16
 
@@ -95,30 +95,30 @@ def _compare(radius: int, tile: int):
 def near_edges(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, part: int = PART) -> DataFrame:
     """distinct: fp (long, all different). Edges a, b between fingerprints, with the same components as all pairs within radius.
 
-    The fingerprints of a population count form a group (cut by hash into parts of about `part`), and only groups whose counts differ by radius at
-    most meet, each two in one task that holds both, 16 MB at most, as packed blocks. A task returns a forest, not its pairs.
+    The fingerprints of a population count form a group, cut by hash into parts of about `part`, and only parts whose counts differ by
+    radius at most meet, each two in a task that holds both (1 MB), as packed blocks. Which parts meet is a join of the table of parts
+    with itself on the population count. A task returns a forest, not its pairs.
     """
     spark = distinct.sparkSession
     counted = distinct.select("fp", F.bit_count("fp").alias("p"))
     sizes = dict(counted.groupBy("p").count().collect())  # 65 rows at most
-    parts = [max(1, -(-sizes.get(p, 0) // part)) for p in range(65)]
-    ways = F.array(*map(F.lit, parts))
-    own = counted.withColumn("c", F.pmod(F.xxhash64("fp"), F.element_at(ways, F.col("p") + 1)).cast("int"))
-    blocks = own.withColumn("_b", F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest(F.lit(1), F.floor(F.element_at(F.array(*[F.lit(-(-sizes.get(p, 0) // parts[p] // BLOCK)) for p in range(65)]), F.col("p") + 1))))).groupBy("p", "c", "_b").agg(F.collect_list("fp").alias("fps"))
-    # The pairs of groups: (p, c) meets (q, d) for q from p - radius to p + radius; the smaller group is side 0.
-    pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    number = 0
-    here = [(p, c) for p in range(65) if sizes.get(p) for c in range(parts[p])]
-    for x in here:
-        for y in here:
-            if x <= y and y[0] - x[0] <= radius:
-                pairs.setdefault(x, []).append((number, 0, int(x != y)))
-                if x != y:
-                    pairs.setdefault(y, []).append((number, 1, 1))
-                number += 1
-    plan = spark.createDataFrame([(p, c, k, side, two) for (p, c), list_ in pairs.items() for k, side, two in list_], "p int, c int, pair int, side int, two int")
-    dealt = blocks.join(plan, ["p", "c"]).select("pair", "side", "two", "fps")  # the plan is 13 rows for each part of a population count, whatever the data
-    return dealt.repartition(max(shuffle_partitions(spark), number), "pair").groupBy("pair").applyInArrow(_compare(radius, tile), "a long, b long")
+    if not sizes:
+        return spark.createDataFrame([], "a long, b long")
+    ways = [max(1, -(-sizes.get(p, 0) // part)) for p in range(65)]
+    blocks_of = [max(1, -(-sizes.get(p, 0) // ways[p] // BLOCK)) for p in range(65)]
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("p") + 1)
+    dealt = counted.select("fp", "p", F.pmod(F.xxhash64("fp"), of(ways)).cast("int").alias("c"), F.pmod(F.xxhash64("fp", F.lit(1)), of(blocks_of)).cast("int").alias("_b"))
+    blocks = dealt.groupBy("p", "c", "_b").agg(F.collect_list("fp").alias("fps"))
+    parts = spark.createDataFrame([(p, ways[p]) for p in sizes], "p int, n int").select("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"))
+    reach = parts.select("p", "c", F.explode(F.sequence("p", F.least(F.col("p") + radius, F.lit(64)))).alias("q"))
+    meet = reach.join(parts.select(F.col("p").alias("q"), F.col("c").alias("d")), "q").filter("p < q or c <= d")
+    two = ((F.col("p") < F.col("q")) | (F.col("c") < F.col("d"))).alias("two")
+    left = blocks.join(meet, ["p", "c"]).select("p", "c", "q", "d", F.lit(0).alias("side"), two, "fps")
+    others = blocks.select(F.col("p").alias("q"), F.col("c").alias("d"), "fps")
+    right = others.join(meet.filter(two), ["q", "d"]).select("p", "c", "q", "d", F.lit(1).alias("side"), F.lit(True).alias("two"), "fps")
+    work = sum(sizes[p] * sizes.get(q, 0) // (2 if p == q else 1) for p in sizes for q in range(p, p + radius + 1))
+    tasks = max(shuffle_partitions(spark), -(-work // TASK_PAIRS))
+    return left.union(right).repartition(tasks, "p", "c", "q", "d").groupBy("p", "c", "q", "d").applyInArrow(_compare(radius, tile), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, extra: dict | None = None) -> DataFrame:
