@@ -109,3 +109,19 @@ def test_retries_and_fan_out(spark):
 
     sinks.supervised(Query, 10, 0)
     assert len(calls) == 6
+
+
+def test_map_state(spark, tmp_path):
+    from halyard.streaming.mapstate import use_map_state, value_counts_stream
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    use_map_state(spark)
+    try:
+        df = spark.createDataFrame([(k, "ab"[k % 2], str(k % 5) if k % 7 else None) for k in range(60)], "k int, key string, v string")
+        got = replay(spark, df, tmp_path, 3, ["k"], lambda s: value_counts_stream(s, "key", "v"), "update", "value_counts")
+        last = got.groupBy("key", "v").agg(F.max("n").alias("n"))
+        want = df.filter("v is not null").groupBy("key", "v").agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+        assert got.count() > last.count()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
