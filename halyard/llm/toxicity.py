@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import text_of
+from halyard.llm.common import frozen, released, text_of
 
 #: Labelled rows that the fit reads at most (in expectation), features that it weighs at most, and documents that a feature needs.
 SAMPLE, FEATURES, LEAST = 20_000, 2048, 4
@@ -84,27 +84,37 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n: int, penalty: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits on at most about `sample` labelled rows, chosen by a hash of the id, whatever the tables' sizes.
+    """Fits on at most about `sample` labelled rows, chosen by hashes of id and text, whatever the tables' sizes.
 
-    labels.toxic is 0 or 1; other rows are left out. Toxic rows get grades 1 to 3 by how many of the features that set toxic rows
-    apart they hold, cut at the thirds of the sample. Without labels of both kinds every document gets grade 0.
+    labels.toxic is 0 or 1; other rows, those without an id, and documents that are labelled both ways are left out; rows with equal id and
+    text are one. Toxic rows get grades 1 to 3 by how many of the features that set toxic rows apart they hold, cut at the thirds of
+    the sample. Without labels of both kinds every document gets grade 0. The sample is read from the documents once.
     """
-    known = labels.filter("toxic in (0, 1)").filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    given = labels.select(labels[id_col].alias("_key"), labels["toxic"].cast("int").alias("_toxic")).filter("_toxic in (0, 1) and _key is not null")
+    known = given.groupBy("_key").agg(F.min("_toxic").alias("toxic"), F.max("_toxic").alias("_most")).filter("toxic = _most").select("_key", "toxic")
     n = known.count()
     if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * sample / n))
-    # The sample is bounded (about 20,000 rows of 16 bytes), so it may be broadcast; no text is shuffled.
-    texts = docs.join(F.broadcast(known.dropDuplicates(["_id"])), docs[id_col] == F.col("_id")).select("toxic", text_of(docs, text_col).alias("_text"))
+        known = known.filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < int(1e6 * sample / n))
+    # The sample is bounded (about 20,000 rows of 16 bytes), so it may be broadcast; no text but the sample's is shuffled.
+    own = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("_text"))
+    texts = own.join(F.broadcast(known), F.col("_id") == F.col("_key")).select("_id", "toxic", "_text", F.xxhash64("_id", "_text").alias("_h"))
+    texts = frozen(texts.groupBy("_h").agg(F.first("toxic").alias("toxic"), F.first("_text").alias("_text")), "labelled")
+    table = texts
+    found = texts.count()
+    if found > sample:  # many documents with one id
+        texts = texts.filter(F.pmod("_h", F.lit(1_000_000)) < int(1e6 * sample / found))
     counts = texts.mapInPandas(_counted, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     sizes = dict(texts.groupBy("toxic").count().collect())
     clean, bad = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not bad:
+        released(table)
         return Model({}, [60.0])
     odds = F.log((F.col("t") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
     gain = F.abs(odds) * F.sqrt(F.least(F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5) + F.col("n"))
     listed = counts.filter((F.col("n") >= LEAST) & (F.abs(odds) > 1)).select("f", odds.alias("odds"), gain.alias("gain"), "t", "n").orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
     place = {r["f"]: i for i, r in enumerate(listed)}
     got = texts.mapInPandas(_placed(place), "toxic int, found array<int>").toPandas()  # bounded: sample rows of a few hundred numbers
+    released(table)
     toxic, rows = got["toxic"].to_numpy(), [np.asarray(x, np.int64) for x in got["found"]]
     strong = np.array([r["odds"] > 3 and r["t"] >= max(LEAST, bad // 100) for r in listed])
     hits = np.array([strong[r].sum() for r in rows])
