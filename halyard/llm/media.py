@@ -152,22 +152,28 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str = "page_id", prefix: str = "sha256:") -> DataFrame:
-    """sequences (of interleaved()) as rows: <id_col>, row, pos, kind, text, ref, caption and media's columns but digest.
+    """sequences (of interleaved()) as rows: <id_col>, row, pos, of (how many items the sequence has), kind, text, ref, caption and media's columns but digest.
 
-    media has one row per digest. A reference is prefix and a digest; others, and digests that media lacks, get nulls and keep
-    their place. Both sides of the join are plain tables, so Spark splits a digest that many documents share. Sort by row and pos to
-    have a sequence again, or call aligned().
+    media has one row per digest; a column with the name of one of the others is called media_<name>. A reference is prefix and a digest;
+    others, and digests that media lacks, get nulls and keep their place, as do texts, which take no part in the join. Both sides of the join
+    are plain tables, so Spark splits a digest that many documents share. Sort by row and pos to have a sequence again, or call aligned().
     """
-    at = frozen(sequences.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), "items").select("row", "_id", F.explode_outer("items").alias("i")), "items")
-    own = at.select("row", "_id", "i.*", F.when(F.startswith("i.ref", F.lit(prefix)), F.substring("i.ref", len(prefix) + 1, 64)).alias("_digest"))
-    rest = [c for c in media.columns if c != "digest"]
-    found = own.join(media, own["_digest"] == media["digest"], "left")
-    return found.select(F.col("_id").alias(id_col), "row", "pos", "kind", "text", "ref", "caption", *rest)
+    numbered = sequences.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.size("items").alias("of"), "items")
+    numbered = numbered.select("row", "_id", "of", F.explode_outer("items").alias("i"))
+    at = frozen(numbered.select("row", "_id", "of", "i.*", F.when(F.startswith("i.ref", F.lit(prefix)), F.substring("i.ref", len(prefix) + 1, 64)).alias("_digest")), "items")
+    first = [F.col("_id").alias(id_col), *map(F.col, ("row", "pos", "of", "kind", "text", "ref", "caption"))]
+    taken = {id_col, "row", "pos", "of", "kind", "text", "ref", "caption"}
+    named = {c: f"media_{c}" if c in taken else c for c in media.columns if c != "digest"}
+    found = media.select(F.col("digest").alias("_found"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]).alias("_media"))
+    joined = at.filter("_digest is not null").join(found, F.col("_digest") == F.col("_found"), "left")
+    rest = at.filter("_digest is null").withColumn("_media", F.lit(None).cast(found.schema["_media"].dataType))
+    pick = [F.col(f"_media.`{n}`").alias(n) for n in named.values()]
+    return joined.select(*first, *pick).union(rest.select(*first, *pick))
 
 
 def aligned(resolved: DataFrame, id_col: str = "page_id") -> DataFrame:
     """What resolve() returns, as one array of structs per document again, by position. A document is one group, whatever it shares."""
-    item = F.struct("pos", *[c for c in resolved.columns if c not in (id_col, "row", "pos")])
+    item = F.struct("pos", *[c for c in resolved.columns if c not in (id_col, "row", "pos", "of")])
     return resolved.groupBy("row", id_col).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items")).drop("row")
 
 
@@ -177,7 +183,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(at, 64)
             texts = [x.as_py() for x in some.column("_text")]
             digests = [hashlib.sha256(padded(x)).hexdigest() for x in texts]
-            pages = [f'<figure><img src="sha256:{d}"><figcaption>{len(x)} bytes</figcaption></figure>' for d, x in zip(digests, texts)]
+            pages = [f'<h1>{x.count(b"\n") + 1} lines</h1><figure><img src="sha256:{d}"><figcaption>{len(x)} bytes</figcaption></figure><p>{len(x.split())} words' for d, x in zip(digests, texts)]
             yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(pages), pa.array(list(map(encode_image, texts)), pa.binary())], ["id", "html", "media"])
 
 
@@ -197,7 +203,7 @@ MEDIA = ["digest", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "med
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes a table in the shared folder: id, html (a figure that refers to the document's payload by digest), media (the image that holds it)."""
+    """Writes a table in the shared folder: id, html (a heading, a figure that refers to the document's payload by digest, and a paragraph), media (the image that holds it)."""
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).cast("binary").alias("_text"))
     return frozen(rows.mapInArrow(_store, f"id {dict(rows.dtypes)['id']}, html string, media binary"), "media", codec="none")
 
@@ -209,10 +215,10 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: <id_col>, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption, pos.
+    """A row per row of docs: <id_col>, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption, pos, items.
 
-    Each text (null: empty) is stored as an image and referred to by a one-figure page; pages are parsed, and digests of what is read
-    back resolve the references. Images stay where they were written: only digests and features are shuffled. Texts that differ in
+    Each text (null: empty) is stored as an image and referred to by the figure of a page, between a heading and a paragraph; pages are
+    parsed, and digests of what is read back resolve the references. pos is the figure's place among the page's items. Images stay where they were written: only digests and features are shuffled. Texts that differ in
     trailing zero bytes alone share a payload, so size takes part in the join. Equal texts and repeated rows have equal values; null
     ids are kept; an empty table gives no rows.
     """
@@ -225,10 +231,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def resolve_sized(sequences: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     """resolve() where payloads may only differ in how many of their bytes are data; the caption says how many."""
     by_digest = known.groupBy("digest").agg(F.collect_list(F.struct(*MEDIA[1:])).alias("_same"))  # as many as one payload has unpadded sizes: 64 at most
-    rows = resolve(sequences, frozen(by_digest, "digests"), id_col)
+    rows = resolve(sequences, frozen(by_digest, "digests"), id_col).filter("kind = 'media'")
     size = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
     rows = rows.withColumn("_m", F.element_at(F.filter("_same", lambda m: m["n_bytes"] == size), 1))
-    return rows.select(F.col(id_col), "_m.n_bytes", "_m.payload_bytes", F.substring("ref", 8, 64).alias("payload_sha256"), "_m.tail_crc32", "_m.media_bytes", "_m.media_sha256", "_m.feature", "caption", "pos")
+    return rows.select(F.col(id_col), "_m.n_bytes", "_m.payload_bytes", F.substring("ref", 8, 64).alias("payload_sha256"), "_m.tail_crc32", "_m.media_bytes", "_m.media_sha256", "_m.feature", "caption", "pos", F.col("of").alias("items"))
 
 
 def op2_media_columns(spark, sf_dir):
