@@ -84,19 +84,23 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
+def whole(docs: DataFrame, name: str = "_doc") -> Column:
+    """All columns of docs as one struct, so that none of their names can clash with an operator's."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias(name)
+
+
 def keep_rows(docs: DataFrame, keys: dict[str, Column], kept: DataFrame, repeated: bool) -> DataFrame:
     """The rows of docs whose keys are in kept (nulls match nulls), with docs' columns.
 
     keys: by the names that kept has. repeated: rows with equal keys occur, of which one stays.
     The rows meet in a shuffled hash join, so long texts aren't sorted.
     """
-    names = list(docs.columns)
-    own = {f"_own_{k}": c for k, c in keys.items()}
-    left = docs.select("*", *[c.alias(k) for k, c in own.items()])
-    right = kept.select(*[F.col(k).alias(f"_kept_{k}") for k in keys]).hint("shuffle_hash")
-    on = [left[f"_own_{k}"].eqNullSafe(right[f"_kept_{k}"]) for k in keys]
+    own = {f"_own_{n}": c for n, c in enumerate(keys.values())}
+    left = docs.select(whole(docs), *[c.alias(k) for k, c in own.items()])
+    right = kept.select(*[F.col(k).alias(f"_kept_{n}") for n, k in enumerate(keys)]).hint("shuffle_hash")
+    on = [left[f"_own_{n}"].eqNullSafe(right[f"_kept_{n}"]) for n in range(len(keys))]
     out = left.join(right, on, "left_semi")
     if repeated:
-        order = [F.col(f"`{n}`") for n, kind in docs.dtypes if not any(x in kind for x in ("map", "variant"))]
+        order = [F.col("_doc").getField(n) for n, kind in docs.dtypes if not any(x in kind for x in ("map", "variant"))]
         out = out.withColumn("_nth", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).filter("_nth = 1")
-    return out.select(*[F.col(f"`{n}`") for n in names])
+    return out.select("_doc.*")

@@ -32,6 +32,18 @@ class Forest:
             a, b = a[apart], b[apart]
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins these edges and returns the places of as many of them as that took; early ones are preferred."""
+        left, used = np.arange(a.size), [np.zeros(0, np.int64)]
+        while left.size:
+            x, y = self.find(a[left]), self.find(b[left])
+            apart = x != y
+            left, high, low = left[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+            roots, first = np.unique(high, return_index=True)  # each root hangs itself below a smaller one, by one edge
+            self.parent[roots] = low[first]
+            used.append(left[first])
+        return np.concatenate(used)
+
     def edges(self, fan: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """As few edges as join what is joined. Each tree becomes one of degree fan + 1 at most, so no node is hot."""
         every = np.arange(self.parent.size)

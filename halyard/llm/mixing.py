@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import WORD, frozen, ranked, text_of
+from halyard.llm.common import WORD, frozen, ranked, text_of, whole
 
 #: Weights by the source's place in code-point order, repeating, and how often a source may be taken at most.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
@@ -14,8 +14,8 @@ BITS = 24
 ONE = 1 << BITS
 #: Below this many sources the per-source table (about 60 bytes a row) is broadcast, else shuffled.
 BROADCAST_SOURCES = 50_000
-#: Hash cells of each source and size class.
-CELLS = 32
+#: Rows that a hash cell of a source and size class holds, about: what one window task numbers.
+CELL_ROWS = 250_000
 
 
 def words(text: Column) -> Column:
@@ -51,19 +51,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, most: int, seed: int) -> DataFrame:
     """docs with _size, _source_size, _target and _copies."""
     size = words(text_of(docs, text_col))
-    sized = frozen(docs.select(docs[source_col].alias("source"), size_class(size).alias("_class"), (F.pmod(F.xxhash64(docs[id_col], F.lit(seed)), F.lit(CELLS))).alias("_cell"), size.alias("_size")), "sizes")
+    hashed = F.xxhash64(docs[id_col], F.lit(seed))
+    sized = frozen(docs.select(docs[source_col].alias("source"), size_class(size).alias("_class"), hashed.alias("_hash"), size.alias("_size")), "sizes")
+    # As many cells as the commonest size class of any source needs, so a hot one is dealt to more tasks the more rows it has.
+    most_rows = sized.groupBy("source", "_class").count().agg(F.max("count")).first()[0] or 0
+    ways = max(1, -(-most_rows // CELL_ROWS))
     # Counts and sums by cell: a hot source or size arrives as one row for each task and cell.
+    sized = sized.withColumn("_cell", F.pmod("_hash", F.lit(ways)))
     cells = frozen(sized.groupBy("source", "_class", "_cell").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")), "cells")
     goal = targets(cells.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most * ONE), F.floor(F.col("target") / F.col("source_size") * ONE))).otherwise(0).cast("long")
     goal = goal.select("source", "source_size", "target", rate.alias("_rate"), F.pmod(F.xxhash64("source", F.lit(seed + 1)), F.lit(ONE)).alias("_offset"))
     if goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)
-    # The sum of the documents before each cell: at most the number of size classes (1,600) times CELLS rows for a source.
+    # The sum of the documents before each cell: for a source, a row for each size class (1,600 at most) and each cell that isn't empty.
     order = Window.partitionBy("source").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     before = cells.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     before = before.join(goal, before["source"].eqNullSafe(goal["source"])).select(before["source"].alias("_s"), F.col("_class").alias("_c"), F.col("_cell").alias("_h"), "_before", "source_size", "target", "_rate", "_offset")
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_id"), docs[source_col].alias("_source"), size.alias("_size"), size_class(size).alias("_class"), F.pmod(F.xxhash64(docs[id_col], F.lit(seed)), F.lit(CELLS)).alias("_cell"))
+    own = docs.select(whole(docs), docs[id_col].alias("_id"), docs[source_col].alias("_source"), size.alias("_size"), size_class(size).alias("_class"), F.pmod(hashed, F.lit(ways)).alias("_cell"))
     mixed = own.join(before, own["_source"].eqNullSafe(before["_s"]) & (own["_class"] == before["_c"]) & (own["_cell"] == before["_h"]))
     nth = F.row_number().over(Window.partitionBy("_s", "_c", "_h").orderBy("_size", F.xxhash64("_id", F.lit(seed)), "_id")) - 1
     from_, to = F.col("_rank") * F.col("_rate") + F.col("_offset"), (F.col("_rank") + 1) * F.col("_rate") + F.col("_offset")

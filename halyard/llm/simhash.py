@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import frozen, keep_rows, shuffle_partitions, text_of
+from halyard.llm.common import frozen, keep_rows, released, shuffle_partitions, text_of
 from halyard.llm.components import Forest, components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -19,6 +19,12 @@ WORDS, RADIUS, SEED = 4, 4, 42
 TILE, PART, BLOCK, TASK_PAIRS = 512, 1 << 16, 4096, 1 << 32
 #: Shingles of one text whose bits are counted at once.
 SLICE = 1 << 16
+#: Near copies of drop_near_copies(): words of a shingle, similarity of the sets.
+COPY_WORDS, SIMILAR = 5, 0.8
+#: Sketches have 256 bits. At that similarity 39 of them differ, give or take 6, and 10 of the first 64, give or take 3; of texts that share
+#: nothing 128 and 32. Pairs up to FIRST and REACH are verified; up to SURE they are taken to be near while deciding which pairs to verify.
+FIRST, REACH, SURE = 20, 62, 32
+MIXERS = np.array([0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -26,20 +32,69 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
     bytes.lower() and bytes.split() know just A-Z and the six white-space characters, as the rule has it.
     """
+    return int(majority(shingle_hashes(text, words, seed)))
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; fewer words are one shingle, none give none."""
     parts = text.lower().split()
-    if not parts:
-        return 0
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)] if parts else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate(([0], ends[: -words])).tolist()
     ends = (ends[words - 1 :] - 1).tolist()
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(ends)
-    for at in range(0, n, SLICE):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), "<u8", len(ends))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, hashes.size, SLICE):
+        ones += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > hashes.size, bitorder="little").view("<u8")[0]
+
+
+def sketch(hashes: np.ndarray) -> list[np.uint64]:
+    """256 bits of a set: its majority bits, and those of three other hashes of each entry."""
+    out = [majority(hashes)]
+    for by in MIXERS[1:]:
+        x = (hashes ^ (hashes >> np.uint64(31))) * by
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(majority(x ^ (x >> np.uint64(32))))
+    return out
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for cell in batch.column("_text"):
+            hashes = np.unique(shingle_hashes(cell.as_py(), COPY_WORDS))
+            both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+            rows.append((both & 0xFFFFFFFFFFFFFFFF, both >> 64, *sketch(hashes)))
+        found = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64)
+        names = [n for n in batch.schema.names if n != "_text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(found[:, k]) for k in range(6))], [*names, "node", "check", "fp", "f1", "f2", "f3"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            sets = [np.unique(shingle_hashes(x.as_py(), COPY_WORDS)).tobytes() for x in some.column("_text")]
+            yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(sets, pa.binary())], ["node", "entries"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets have the similarity."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
+            both = np.intersect1d(x, y, assume_unique=True).size
+            keep.append(both >= SIMILAR * (x.size + y.size - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,23 +147,84 @@ def _compare(radius: int, tile: int):
     return pair
 
 
-def near_edges(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, part: int = PART) -> DataFrame:
+def _pairs(left: np.ndarray, right: np.ndarray | None, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sketches (rows: a number and four words), pairs to verify: places in left and right, left's first.
+
+    Tiles, sorted by population count, are skipped if their counts differ by more than FIRST; others are compared whole by their first words, and
+    what is within FIRST by all. Pairs up to SURE are taken to be near, so of these as many are kept as join what they join; of the
+    others up to REACH as many as join the rest. Closer pairs come first. So no group, however large, gives more pairs than twice its members.
+    """
+    def tiles(x: np.ndarray, base: int):
+        p = np.bitwise_count(x[:, 1])
+        order = np.argsort(p, kind="stable")
+        return [(x[some, 1:], base + some, int(p[some[0]]), int(p[some[-1]])) for some in (order[i : i + tile] for i in range(0, order.size, tile))]
+
+    one = tiles(left, 0)
+    two = one if right is None else tiles(right, left.shape[0])
+    n = left.shape[0] + (0 if right is None else right.shape[0])
+    near, reached = Forest(n), Forest(n)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, (x, ids, least, most) in enumerate(one):
+        for j in range(k if right is None else 0, len(two)):
+            y, others, low, high = two[j]
+            if max(low - most, least - high) > FIRST:
+                continue
+            d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            a, b = np.nonzero(d <= FIRST)
+            if right is None and j == k:
+                a, b = a[a < b], b[a < b]
+            if not a.size:
+                continue
+            far = d[a, b].astype(np.int64)
+            for w in range(1, 4):
+                far += np.bitwise_count(x[a, w] ^ y[b, w])
+            order = np.argsort(far, kind="stable")
+            order = order[: np.searchsorted(far[order], REACH, "right")]
+            a, b, sure = ids[a[order]], others[b[order]], int(np.searchsorted(far[order], SURE, "right"))
+            used = near.spanning(a[:sure], b[:sure])
+            out.append((a[used], b[used]))
+            reached.join(a[:sure], b[:sure])
+            used = sure + reached.spanning(a[sure:], b[sure:])
+            out.append((a[used], b[used]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = map(np.concatenate, zip(*out))
+    return a, b
+
+
+def _compare_sketches(tile: int):
+    def pair(table: pa.Table) -> pa.Table:
+        side = np.repeat(table.column("side").to_numpy(), pc.list_value_length(table.column("fps")).to_numpy())
+        flat = pc.list_flatten(table.column("fps")).combine_chunks()
+        rows = np.stack([flat.field(n).to_numpy().view(np.uint64) for n in ("node", "fp", "f1", "f2", "f3")], 1)
+        left, right = rows[side == 0], rows[side == 1]
+        a, b = _pairs(left, right if table.column("two")[0].as_py() else None, tile)
+        every = np.concatenate((left[:, 0], right[:, 0])).view(np.int64)
+        return pa.table({"a": every[a], "b": every[b]})
+
+    return pair
+
+
+def near_edges(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, part: int = PART, compare=None) -> DataFrame:
     """distinct: fp (long, all different). Edges a, b between fingerprints, with the same components as all pairs within radius.
+    compare: what is done with two parts instead; it gets all columns of distinct.
 
     The fingerprints of a population count form a group, cut by hash into parts of about `part`, and only parts whose counts differ by
     radius at most meet, each two in a task that holds both (1 MB), as packed blocks. Which parts meet is a join of the table of parts
     with itself on the population count. A task returns a forest, not its pairs.
     """
     spark = distinct.sparkSession
-    counted = distinct.select("fp", F.bit_count("fp").alias("p"))
+    counted = distinct.select("*", F.bit_count("fp").alias("p"))
+    item = F.col("fp") if compare is None else F.struct(*distinct.columns)
     sizes = dict(counted.groupBy("p").count().collect())  # 65 rows at most
     if not sizes:
         return spark.createDataFrame([], "a long, b long")
     ways = [max(1, -(-sizes.get(p, 0) // part)) for p in range(65)]
     blocks_of = [max(1, -(-sizes.get(p, 0) // ways[p] // BLOCK)) for p in range(65)]
     of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("p") + 1)
-    dealt = counted.select("fp", "p", F.pmod(F.xxhash64("fp"), of(ways)).cast("int").alias("c"), F.pmod(F.xxhash64("fp", F.lit(1)), of(blocks_of)).cast("int").alias("_b"))
-    blocks = dealt.groupBy("p", "c", "_b").agg(F.collect_list("fp").alias("fps"))
+    own = F.xxhash64(*distinct.columns), F.xxhash64(*distinct.columns, F.lit(1))
+    dealt = counted.select(item.alias("_x"), "p", F.pmod(own[0], of(ways)).cast("int").alias("c"), F.pmod(own[1], of(blocks_of)).cast("int").alias("_b"))
+    blocks = dealt.groupBy("p", "c", "_b").agg(F.collect_list("_x").alias("fps"))
     parts = spark.createDataFrame([(p, ways[p]) for p in sizes], "p int, n int").select("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"))
     reach = parts.select("p", "c", F.explode(F.sequence("p", F.least(F.col("p") + radius, F.lit(64)))).alias("q"))
     meet = reach.join(parts.select(F.col("p").alias("q"), F.col("c").alias("d")), "q").filter("p < q or c <= d")
@@ -118,7 +234,7 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, part
     right = others.join(meet.filter(two), ["q", "d"]).select("p", "c", "q", "d", F.lit(1).alias("side"), F.lit(True).alias("two"), "fps")
     work = sum(sizes[p] * sizes.get(q, 0) // (2 if p == q else 1) for p in sizes for q in range(p, p + radius + 1))
     tasks = max(shuffle_partitions(spark), -(-work // TASK_PAIRS))
-    return left.union(right).repartition(tasks, "p", "c", "q", "d").groupBy("p", "c", "q", "d").applyInArrow(_compare(radius, tile), "a long, b long")
+    return left.union(right).repartition(tasks, "p", "c", "q", "d").groupBy("p", "c", "q", "d").applyInArrow(compare or _compare(radius, tile), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, extra: dict | None = None) -> DataFrame:
@@ -141,15 +257,46 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(extra or {}))
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict | None = None, tile: int = TILE, part: int = PART) -> DataFrame:
+    """A row per row of docs: <id_col>, label (equal for near copies), and extra columns.
+
+    Documents are near copies if their sets of five-word shingles (words and case as for fingerprints) have a Jaccard similarity of 0.8 or
+    more, directly or over others. Sketches of 256 bits are compared in tiles like fingerprints, and every pair that this proposes is
+    verified on the sets. Documents with equal sets are one from the start. Texts without words are equal. At similarity 0.8 a
+    pair is proposed with a chance of 0.999 (more for closer ones), as computed from the sketches' spread for texts of some hundred words.
+    """
+    rows = docs.select(docs[id_col].alias("id"), *[c.alias(k) for k, c in (extra or {}).items()], text_of(docs, text_col).cast("binary").alias("_text"))
+    rows = rows.withColumn("_key", F.xxhash64("id", "_text"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ("id", *(extra or {}), "_key")) + ", node long, check long, fp long, f1 long, f2 long, f3 long"
+    prints = frozen(rows.mapInArrow(_sketches, schema), "sketches")
+    words = ("fp", "f1", "f2", "f3")
+    nodes = frozen(prints.groupBy("node").agg(F.min("check").alias("least"), F.min("_key").alias("_at"), *[F.min(w).alias(w) for w in words]), "nodes")
+    pairs = frozen(near_edges(nodes.select("node", *words), FIRST, tile, part, _compare_sketches(tile)).filter("a <> b").distinct(), "proposed")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = frozen(nodes.join(asked, "node").select("node", F.col("_at").alias("_key")), "asked")
+    # A key that two texts share gives a node two sets; the pair is then verified on either.
+    sets = frozen(rows.select("_key", "_text").join(wanted, "_key").dropDuplicates(["node", "_key"]).mapInArrow(_sets, "node long, entries binary"), "sets")
+    of = lambda name, side: sets.select(F.col("node").alias(side), F.col("entries").alias(name))
+    checked = frozen(pairs.join(of("x", "a"), "a").join(of("y", "b"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "verified")
+    found = components(checked)
+    released(pairs, wanted, sets, checked)
+    classes = frozen(nodes.join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "classes")
+    # Where only half of a set's hash is another's, the document is a class of its own.
+    label = F.when(F.col("check") == F.col("least"), F.col("label")).otherwise(F.xxhash64("node", "check"))
+    return prints.join(classes, "node").select(F.col("id").alias(id_col), label.alias("label"), *(extra or {}))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that with the smallest id (rows without an id stay only where none has one); the same columns."""
+    """docs with one row of each class of near_copies(), that with the smallest id (null last; then the smaller hash of the text); the same columns.
+
+    Null texts are empty; of empty texts one stays, as of repeated rows. An empty table stays one.
+    """
     text = text_of(docs, text_col)
     keys = {"_h": F.xxhash64(text), "_l": F.octet_length(text)}
-    rows = frozen(simhash_components(docs, id_col, text_col, extra=keys), "near")
-    # Where no id is known the component has no number; such rows are grouped by fingerprint.
+    rows = frozen(near_copies(docs, id_col, text_col, keys), "near")
     first = F.min(F.struct(F.isnull(id_col).alias("no_id"), F.col(id_col).alias("id"), "_h", "_l")).alias("_first")
-    kept = rows.groupBy("component_id", F.when(F.isnull("component_id"), F.col("fingerprint")).alias("_alone")).agg(first)
-    kept = kept.select(F.col("_first.id").alias(id_col), "_first._h", "_first._l")
+    kept = rows.groupBy("label").agg(first).select(F.col("_first.id").alias(id_col), "_first._h", "_first._l")
     repeated = not rows.groupBy(id_col, "_h", "_l").count().filter("count > 1").isEmpty()
     return keep_rows(docs, {id_col: docs[id_col], **keys}, kept, repeated)
 
