@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import add, mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,11 +15,13 @@ from pyspark.sql import functions as F
 from halyard.llm.common import text_of
 from halyard.llm.markup import VOID, attributes, tokens
 
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-#: Elements that never hold main text.
-DROPPED = frozenset("script style noscript template iframe object embed applet nav aside footer form button select textarea input dialog svg math canvas audio video map menu title head xmp noembed noframes".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
+#: Elements that never hold main text: menus, forms and their controls, notices, scripts, and what is shown only where something else isn't.
+DROPPED = frozenset("script style noscript template iframe object embed applet nav aside footer form button select textarea input dialog canvas audio video menu title head noembed noframes".split())
 #: Words in class, id or role of what isn't main text either; see _furniture and _prune.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsbox banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification pager paginator pagination popup promo promoted promotion related recommended replies reply respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: Words among these of lists of links; inside an article or the main part, what they name stays where it has text of its own.
+LISTS = frozenset("related recommended search share sharing social tags toolbar topbar widget widgets pager paginator pagination skip".split())
 #: What may stand beside such a word in a compound that names furniture still: words of place, shape and number.
 SHAPES = frozenset("left right top bottom upper lower primary secondary first second third main site global inner outer sub mini small large sticky fixed default mobile desktop inline block wrap wrapper container holder box area region zone slot unit bar panel group row col column list item items entry entries link links button buttons icon icons title form field body section div posts articles stories media network networks recent ad x".split())
 #: The same for header: that of an entry, a section or a page holds its title.
@@ -30,6 +35,8 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 _P_ENDS = BLOCKS - {"option", "optgroup", "legend", "caption", "body", "html", "tbody", "thead", "tfoot", "tr", "td", "th"}
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("table td th caption button object html article main".split())
+_NEAREST = {"p": ({"p"}, _SCOPE)} | _ENDS
+_NAMED = frozenset().union(*(names | scope for names, scope in _NEAREST.values()))
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -44,12 +51,16 @@ def _furniture(names: str) -> frozenset[str]:
 
 
 class Node:
-    __slots__ = ("name", "words", "classes", "named", "hidden", "parent", "children", "score", "points", "chars", "linked", "headed", "prose", "dropped")
+    __slots__ = ("name", "words", "classes", "named", "hidden", "parent", "children", "score", "points", "chars", "commas", "linked", "headed", "prose", "dropped", "near", "inside")
 
     def __init__(self, name: str, parent: Node | None, rest: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
-        self.score, self.points, self.chars, self.linked, self.headed, self.prose, self.dropped = 0.0, 0.0, 0, 0, 0, 0, False
+        self.score, self.points, self.chars, self.commas, self.linked, self.headed, self.prose, self.dropped = 0.0, 0.0, 0, 0, 0, 0, 0, False
         self.words, self.classes, self.named, self.hidden = frozenset(), frozenset(), frozenset(), False
+        up = parent.near if parent is not None else {}
+        #: For each rule of _NEAREST, the nearest element, this or above, that it names.
+        self.near = up if name not in _NAMED else up | {k: self if name in names else None for k, (names, scope) in _NEAREST.items() if name in names or name in scope}
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
         if rest and "=" in rest or "hidden" in rest:
             got = attributes(rest)
             names = " ".join(got.get(k, "") for k in ("class", "id", "role")).lower()
@@ -60,43 +71,42 @@ class Node:
 
 
 def tree(html: str) -> tuple[Node, list[Node]]:
-    """The root and all nodes in page order. Missing and stray end tags are mended as browsers do for blocks."""
+    """The root and all nodes in page order. Missing and stray end tags are mended as browsers do for blocks. Each element is opened and left once, however deep it lies."""
     root = Node("html", None)
     at, every = root, [root]
+    opened: Counter = Counter()
 
-    def up_to(names, scope) -> Node | None:
-        x = at
-        while x is not root:
-            if x.name in names:
-                return x
-            if x.name in scope:
-                return None
-            x = x.parent
-        return None
+    def leave(x: Node) -> Node:
+        """Closes x and all that is open inside it."""
+        y = at
+        while y is not x.parent:
+            opened[y.name] -= 1
+            y = y.parent
+        return y
 
     for kind, name, rest in tokens(html):
-        if kind == "text":
+        if kind == "text" or kind == "raw" and rest == "xmp":
             at.children.append(name)
         elif kind == "open":
             if name in ("html", "body"):
                 continue
-            if name in _P_ENDS and (p := up_to({"p"}, _SCOPE)):
-                at = p.parent
+            if name in _P_ENDS and (p := at.near.get("p")) is not None:
+                at = leave(p)
             if name in HEADINGS and at.name in HEADINGS:
-                at = at.parent
-            if name in _ENDS and (x := up_to(*_ENDS[name])):
-                at = x.parent
+                at = leave(at)
+            if name in _ENDS and (x := at.near.get(name)) is not None:
+                at = leave(x)
             node = Node(name, at, rest)
             at.children.append(node)
             every.append(node)
             if name not in VOID and not rest.endswith("/"):
                 at = node
-        elif kind == "close" and name not in VOID:
+                opened[name] += 1
+        elif kind == "close" and name not in VOID and opened[name] > 0:
             x = at
-            while x is not root and x.name != name:
+            while x.name != name:
                 x = x.parent
-            if x is not root:
-                at = x.parent
+            at = leave(x)
     return root, every
 
 
@@ -119,7 +129,7 @@ def _prune(every: list[Node], by_class: bool = True) -> bool:
             x.dropped = True
         elif up is not None and up.name == "header":  # one that is kept: an article's, for its headings
             x.dropped = x.name not in HEADINGS and x.name != "hgroup"
-        elif x.name == "header" and not x.hidden and _inside(up, ("article", "main")):
+        elif x.name == "header" and not x.hidden and up is not None and up.inside:
             x.dropped = False
         elif x not in holds and x.name not in SAFE:
             x.dropped = x.name in DROPPED or x.name == "header" or x.hidden
@@ -133,27 +143,23 @@ def _prune(every: list[Node], by_class: bool = True) -> bool:
         if x.parent is not None and x.parent.dropped:
             x.dropped = True
         elif x in doubtful:
-            x.dropped = bool(x.named & OTHERS) or x.prose <= most or article and not _inside(x, ("article", "main"))
+            if x.inside and x.named <= LISTS and x.prose > 0 and not _dense(x):
+                continue
+            x.dropped = bool(x.named & OTHERS) or x.prose <= most or article and not x.inside
     return True
 
 
-def _inside(x: Node, names) -> bool:
-    while x is not None:
-        if x.name in names:
-            return True
-        x = x.parent
-    return False
-
-
 def _measure(every: list[Node]) -> None:
-    """Counts the characters of what isn't dropped: all, those in links, those in headings, and those of paragraphs outside links."""
+    """Counts the characters of what isn't dropped: all, those in links, those in headings, and those of paragraphs outside links; and all commas."""
     for x in every:
-        x.chars = x.linked = x.headed = x.prose = 0
+        x.chars = x.commas = x.linked = x.headed = x.prose = 0
     for x in reversed(every):  # children first
         if x.dropped:
             continue
-        own = sum(len(" ".join(c.split())) for c in x.children if isinstance(c, str))
-        x.chars += own
+        for c in x.children:
+            if isinstance(c, str):
+                x.chars += len(" ".join(c.split()))
+                x.commas += c.count(",") + c.count("，")
         if x.name == "a":
             x.linked = x.chars
         if x.name in HEADINGS:
@@ -162,6 +168,7 @@ def _measure(every: list[Node]) -> None:
             x.prose = x.chars - x.linked
         if x.parent is not None:
             x.parent.chars += x.chars
+            x.parent.commas += x.commas
             x.parent.linked += x.linked
             x.parent.headed += x.headed
             x.parent.prose += x.prose
@@ -174,27 +181,23 @@ def _best(root: Node, every: list[Node]) -> Node:
     for x in every:
         if x.dropped:
             continue
-        words = [c for c in x.children if isinstance(c, str)]
         if x.name in PARAGRAPHS:
-            text = "".join(_strings(x))
+            size, commas = x.chars, x.commas
         elif x.name in BLOCKS and x.name not in HEADINGS:
-            text = "".join(words)
+            own = [c for c in x.children if isinstance(c, str)]
+            size, commas = len("".join(own).strip()), sum(c.count(",") + c.count("，") for c in own)
         else:
             continue
-        if not (size := len(text.strip())):
+        if not size:
             continue
-        points = (1 + text.count(",") + text.count("，") + min(size / 100, 3)) * (1 - x.linked / max(1, x.chars))
+        points = (1 + commas + min(size / 100, 3)) * (1 - x.linked / max(1, x.chars))
         x.points += points
         up = x.parent if x.name in PARAGRAPHS and x.parent is not None else x
         direct[up] = direct.get(up, 0.0) + points
     for x in reversed(every):
         if not x.dropped and x.parent is not None:
             x.parent.points += x.points
-    for x, points in direct.items():
-        up, share = x, 1
-        while up is not None:
-            up.score += points / share
-            up, share = up.parent, share + 1
+    _scores(every, direct)
     best = max((x for x in every if not x.dropped and x.name in BLOCKS), key=lambda x: x.score * (1 - x.linked / max(1, x.chars)), default=root)
     x = best
     while x is not None and x.name not in ("article", "main"):  # an article is kept whole
@@ -202,14 +205,26 @@ def _best(root: Node, every: list[Node]) -> Node:
     return x if x is not None and not x.dropped else best
 
 
-def _strings(x: Node) -> Iterator[str]:
-    stack = [x]
-    while stack:
-        y = stack.pop()
-        if isinstance(y, str):
-            yield y
-        elif not y.dropped:
-            stack.extend(reversed(y.children))
+#: 1 / d for d = 1, 2, ... as a sum of powers of DECAY, by the trapezoid rule on the integral of exp(-d t) over t = exp(u); off by some 1e-5.
+DECAY = [math.exp(-math.exp(u / 10)) for u in range(-140, 26, 8)]
+SHARE = [0.8 * math.exp(u / 10) for u in range(-140, 26, 8)]
+
+
+def _scores(every: list[Node], direct: dict[Node, float]) -> None:
+    """Each node's points to itself and all above it, divided by 1, 2, 3, ... on the way up. A node passes its sums of powers on to its parent, so time is linear in the nodes."""
+    below: dict[Node, list[float]] = {}
+    for x in reversed(every):  # children first
+        own, sums = direct.get(x, 0.0), below.pop(x, None)
+        if sums is None:
+            if not own:
+                continue
+            sums = [own * q for q in DECAY]
+        else:
+            sums = [(s + own) * q for s, q in zip(sums, DECAY)]
+        x.score = sum(map(mul, sums, SHARE))
+        if x.parent is not None:
+            others = below.get(x.parent)
+            below[x.parent] = sums if others is None else list(map(add, sums, others))
 
 
 def _dense(x: Node) -> bool:
