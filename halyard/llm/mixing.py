@@ -15,7 +15,7 @@ ONE = 1 << BITS
 #: Below this many sources the per-source table (about 60 bytes a row) is broadcast, else shuffled.
 BROADCAST_SOURCES = 50_000
 #: Rows that a hash cell of a source and size class holds, about: what one window task numbers.
-CELL_ROWS = 250_000
+CELL_ROWS = 1_000
 
 
 def words(text: Column) -> Column:
