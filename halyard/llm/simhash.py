@@ -1,4 +1,4 @@
-"""SimHash near-dedup by tiled exact comparison of fingerprints."""
+"""SimHash near-dedup by tiled exact comparison of fingerprints; near copies by exact similarity of shingle sets."""
 
 from __future__ import annotations
 
@@ -24,6 +24,10 @@ COPY_WORDS, SIMILAR = 5, 0.8
 #: Sketches have 256 bits. At that similarity 39 of them differ, give or take 6, and 10 of the first 64, give or take 3; of texts that share
 #: nothing 128 and 32. Pairs up to FIRST and REACH are verified; up to SURE they are taken to be near while deciding which pairs to verify.
 FIRST, REACH, SURE = 20, 62, 32
+#: The order of shingles: documents of the sample that it is taken from, about, and shingles that it knows to be common.
+SAMPLE, COMMON = 5000, 100_000
+#: Shingles of one part of the prefixes, about; documents dealt and pairs looked at at once.
+SHARE, DEAL, LOOK = 1 << 18, 1 << 12, 1 << 20
 MIXERS = np.array([0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -66,16 +70,130 @@ def sketch(hashes: np.ndarray) -> list[np.uint64]:
     return out
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted hashes, common ones (sorted, with their counts) last: as many as have one in common with any similar set's."""
+    if common.size:
+        at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: hashes.size // 5 + 1]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit map of two to four bits an entry: a bit is 1 if an odd number of entries fall on it, by their lowest bits."""
+    bits = max(64, 1 << int(2 * hashes.size - 1).bit_length()) if hashes.size else 64
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At least so many entries are in just one of the two sets with these parities. The larger map is folded to the size of the smaller."""
+    if x.size < y.size:
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, y.size), axis=0) ^ y).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that may be similar: similar sets of m and n entries have (m + n) / 9 at most that just one of them has."""
+    for batch in batches:
+        sizes = (batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()).tolist()
+        maps = zip(*([np.frombuffer(z.as_buffer(), "<u8") for z in batch.column(n)] for n in "xy"))
+        yield batch.select(["a", "b"]).filter(pa.array([9 * least_apart(x, y) <= size for (x, y), size in zip(maps, sizes)], pa.bool_()))
+
+
+def _sketches(common: np.ndarray, counts: np.ndarray):
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                rows, sizes, prefixes, parities = [], [], [], []
+                for cell in batch.column("_text"):
+                    hashes = np.unique(shingle_hashes(cell.as_py(), COPY_WORDS))
+                    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+                    rows.append((both & 0xFFFFFFFFFFFFFFFF, both >> 64, *sketch(hashes)))
+                    sizes.append(hashes.size)
+                    prefixes.append(prefix(hashes, common, counts).tobytes())
+                    parities.append(parity(hashes).tobytes())
+                found = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64)
+                names = [n for n in batch.schema.names if n != "_text"]
+                columns = [*(batch.column(n) for n in names), *(pa.array(found[:, k]) for k in range(6)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "node", "check", "fp", "f1", "f2", "f3", "size", "prefix", "parity"])
+
+    return sketches
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
         for cell in batch.column("_text"):
-            hashes = np.unique(shingle_hashes(cell.as_py(), COPY_WORDS))
-            both = xxhash.xxh3_128_intdigest(hashes.tobytes())
-            rows.append((both & 0xFFFFFFFFFFFFFFFF, both >> 64, *sketch(hashes)))
-        found = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64)
-        names = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(found[:, k]) for k in range(6))], [*names, "node", "check", "fp", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(cell.as_py(), COPY_WORDS)).view(np.int64))], ["entry"])
+
+
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and in how many. They only decide the order of shingles, not what is found."""
+    every = -(-rows.count() // SAMPLE)
+    some = rows.filter(F.pmod(F.xxhash64("_key"), F.lit(max(1, every))) == 0).select("_text")
+    often = some.mapInArrow(_entries, "entry long").groupBy("entry").count().filter("count > 1").orderBy(F.desc("count"), "entry").limit(COMMON).toArrow()
+    entries, counts = often.column("entry").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(entries)
+    return entries[order], counts[order]
+
+
+_PACKED = {"entries": "<u8", "nodes": "<i8", "labels": "<i8", "sizes": "<i4", "places": "<i4"}
+
+
+def _dealt(ways: int):
+    """Prefixes (node, label, size, prefix) to packed blocks of their entries, by part."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, DEAL) for at in range(0, whole.num_rows, DEAL)):
+                prefixes = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("prefix")]
+                lengths = np.array([x.size for x in prefixes])
+                entries = np.concatenate(prefixes)
+                parts = (entries % np.uint64(ways)).astype(np.int64)
+                order = np.argsort(parts, kind="stable")
+                doc = np.repeat(np.arange(lengths.size), lengths)[order]
+                place = (np.arange(entries.size) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+                of = {"entries": entries[order], "places": place} | {f"{n}s": batch.column(n).to_numpy()[doc] for n in ("node", "label", "size")}
+                which, starts = np.unique(parts[order], return_index=True)
+                ends = [*starts[1:].tolist(), entries.size]
+                cut = [pa.array([of[n][a:b].astype(kind).tobytes() for a, b in zip(starts.tolist(), ends)], pa.binary()) for n, kind in _PACKED.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *cut], ["part", *_PACKED])
+
+    return deal
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b of nodes of different labels whose prefixes share an entry at places that leave enough entries to be similar.
+
+    Sets of m and n entries are similar if they share (m + n) * 4 / 9 or more. Of their common entries the first in order has all others behind it
+    in both, so its place is at most the size less that number in either set.
+    """
+    blocks = [batch for batch in batches if batch.num_rows]
+    if not blocks:
+        return
+    entries, nodes, labels, sizes, places = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for batch in blocks for x in batch.column(n)]) for n, kind in _PACKED.items())
+    order = np.lexsort((labels, entries))
+    entries, nodes, labels, sizes, places = (x[order] for x in (entries, nodes, labels, sizes.astype(np.int64), places))
+    del blocks, order
+
+    def ends(new: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(new)
+        return np.repeat(np.append(starts[1:], new.size), np.diff(np.append(starts, new.size)))
+
+    group = np.append(True, entries[1:] != entries[:-1])
+    after = ends(group | np.append(True, labels[1:] != labels[:-1]))
+    others = ends(group) - after
+    rows = np.flatnonzero(others)
+    upto = np.cumsum(others[rows])
+    at = 0
+    while at < rows.size:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LOOK, "right")))
+        some = rows[at:to]
+        a = np.repeat(some, others[some])
+        b = np.arange(a.size) - np.repeat(np.cumsum(others[some]) - others[some], others[some]) + after[a]
+        share = -(-4 * (sizes[a] + sizes[b]) // 9)
+        near = (places[a] <= sizes[a] - share) & (places[b] <= sizes[b] - share)
+        x, y = nodes[a[near]], nodes[b[near]]
+        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        at = to
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,30 +375,62 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(extra or {}))
 
 
+def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs a, b of nodes whose sets have the similarity."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = frozen(nodes.join(asked, "node").select("node", F.col("_at").alias("_key")), "asked")
+    # A key that two texts share gives a node two sets; the pair is then verified on either.
+    sets = frozen(rows.select("_key", "_text").join(wanted, "_key").dropDuplicates(["node", "_key"]).mapInArrow(_sets, "node long, entries binary"), "sets")
+    of = lambda name, side: sets.select(F.col("node").alias(side), F.col("entries").alias(name))
+    checked = frozen(pairs.join(of("x", "a"), "a").join(of("y", "b"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "verified")
+    released(wanted, sets)
+    return checked
+
+
+def _meetings(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes that found (node, label) has not joined: all that are similar, and some that aren't.
+
+    Pairs that share an entry of their prefixes are many and sets are long, so bit maps, a sixteenth to a thirty-second of the sets, rule most out.
+    """
+    spark = prints.sparkSession
+    sets = prints.filter("size > 0").select("node", "size", "prefix").dropDuplicates(["node"])
+    total = prints.agg(F.sum(F.expr("size div 5 + 1"))).first()[0] or 0
+    ways = max(shuffle_partitions(spark), -(-total // SHARE))
+    labelled = sets.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "prefix")
+    dealt = labelled.mapInArrow(_dealt(ways), "part int, " + ", ".join(f"{n} binary" for n in _PACKED))
+    pairs = frozen(dealt.repartition(ways, "part").mapInArrow(_meeting, "a long, b long").distinct(), "meetings")
+    maps = prints.select("node", "size", "parity").dropDuplicates(["node"])
+    of = lambda size, name, side: maps.select(F.col("node").alias(side), F.col("size").alias(size), F.col("parity").alias(name))
+    possible = frozen(pairs.join(of("m", "x", "a"), "a").join(of("n", "y", "b"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_possible, "a long, b long"), "possible")
+    released(pairs)
+    return possible
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict | None = None, tile: int = TILE, part: int = PART) -> DataFrame:
     """A row per row of docs: <id_col>, label (equal for near copies), and extra columns.
 
     Documents are near copies if their sets of five-word shingles (words and case as for fingerprints) have a Jaccard similarity of 0.8 or
-    more, directly or over others. Sketches of 256 bits are compared in tiles like fingerprints, and every pair that this proposes is
-    verified on the sets. Documents with equal sets are one from the start. Texts without words are equal. At similarity 0.8 a
-    pair is proposed with a chance of 0.999 (more for closer ones), as computed from the sketches' spread for texts of some hundred words.
+    more, directly or over others. First, sketches of 256 bits are compared in tiles like fingerprints, and pairs that this proposes are
+    verified on the sets; that joins most, and large groups by few pairs, but misses some. Then sets that aren't in one class yet meet
+    wherever they share one of the fifth of their shingles that comes first in an order of all shingles, rare ones first; sets that
+    are similar always do. Of these pairs all are verified that bit maps of the sets don't rule out, so no link is missed, whatever the
+    length of the texts. Documents with equal sets are one from the start. Texts without words are equal.
     """
     rows = docs.select(docs[id_col].alias("id"), *[c.alias(k) for k, c in (extra or {}).items()], text_of(docs, text_col).cast("binary").alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("id", "_text"))
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in ("id", *(extra or {}), "_key")) + ", node long, check long, fp long, f1 long, f2 long, f3 long"
-    prints = frozen(rows.mapInArrow(_sketches, schema), "sketches")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ("id", *(extra or {}), "_key")) + ", node long, check long, fp long, f1 long, f2 long, f3 long, size int, prefix binary, parity binary"
+    prints = frozen(rows.mapInArrow(_sketches(*_common(rows)), schema), "sketches")
     words = ("fp", "f1", "f2", "f3")
     nodes = frozen(prints.groupBy("node").agg(F.min("check").alias("least"), F.min("_key").alias("_at"), *[F.min(w).alias(w) for w in words]), "nodes")
     pairs = frozen(near_edges(nodes.select("node", *words), FIRST, tile, part, _compare_sketches(tile)).filter("a <> b").distinct(), "proposed")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = frozen(nodes.join(asked, "node").select("node", F.col("_at").alias("_key")), "asked")
-    # A key that two texts share gives a node two sets; the pair is then verified on either.
-    sets = frozen(rows.select("_key", "_text").join(wanted, "_key").dropDuplicates(["node", "_key"]).mapInArrow(_sets, "node long, entries binary"), "sets")
-    of = lambda name, side: sets.select(F.col("node").alias(side), F.col("entries").alias(name))
-    checked = frozen(pairs.join(of("x", "a"), "a").join(of("y", "b"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "verified")
-    found = components(checked)
-    released(pairs, wanted, sets, checked)
+    first = _linked(pairs, rows, nodes)
+    released(pairs)
+    rest = _meetings(prints, components(first))
+    second = _linked(rest, rows, nodes)
+    released(rest)
+    found = components(first.union(second))
+    released(first, second)
     classes = frozen(nodes.join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "classes")
     # Where only half of a set's hash is another's, the document is a class of its own.
     label = F.when(F.col("check") == F.col("least"), F.col("label")).otherwise(F.xxhash64("node", "check"))

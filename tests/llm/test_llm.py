@@ -212,6 +212,27 @@ def test_near_copies(spark, docs):
     assert len(set(labels_.values())) == len(set(brute_components(list(labels_), [x for x in linked if x[0] in labels_ and x[1] in labels_]).values()))
 
 
+def test_near_copies_misses_no_link(spark):
+    """Groups of alike texts around the bound, where a pair that joins others in the sketches is often not similar itself."""
+    pick = random.Random(1)
+    texts, linked = {}, []
+    for words, changes in ((14, 1), (60, 1), (120, 2)):
+        for _ in range(40):
+            base = [f"w{pick.randrange(10**6)}" for _ in range(words)]
+            alike = {}
+            for _ in range(6):
+                at = set(pick.sample(range(words), changes))
+                alike[len(texts) + len(alike)] = [f"x{pick.randrange(10**6)}" if k in at else w for k, w in enumerate(base)]
+            sets = {k: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for k, t in alike.items()}
+            linked += [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            texts |= {k: " ".join(t) for k, t in alike.items()}
+    want = brute_components(list(texts), linked)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["label"] for r in simhash.near_copies(df).collect()}
+    assert sum(got[a] != got[b] for a, b in linked) == 0
+    assert len(set(got.values())) == len(set(want.values()))
+
+
 def test_spanning_edges():
     rng = np.random.default_rng(8)
     a, b = rng.integers(0, 300, (2, 400))
