@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The setting by which Spark deletes a statement's shuffle files when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -66,6 +73,38 @@ def drop_frozen() -> None:
 atexit.register(drop_frozen)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; else a worker that waits for tasks keeps the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def giving_back(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """For functions over the batches of a task: give_back() when the task has ended."""
+    @wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int):
+    """Statements run inside send batches of about so many bytes at most to Python: an executor's JVM keeps buffers of the largest that it ever made."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,18 +15,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import text_of
+from halyard.llm.common import give_back, text_of
 
 SIZE, END_ID = 2048, 1
 #: Costs in tokens of padding: a cut at a sentence's end, any other cut inside a document.
 AT_SENTENCE, ANYWHERE = 16, 96
 #: Stretches without a boundary get a cut point after so many ids.
 STEP = 128
-#: Ids that are planned at once; words that a worker remembers (about 150 bytes each), bytes of text that are tokenised at once.
-SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 1_000_000, 4 << 20
+#: Ids that are planned at once; words that a task remembers (about 150 bytes each), bytes of text that are tokenised at once.
+SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 1 << 19, 4 << 20
+#: Words of each batch that are tokenised both ways.
+PROBE = 32
 PUNCTUATION = ".,;:!?%#$&*"
 
 
+class _Pieces(dict):
+    """What a pre-token has for each letter, by code point, for str.translate(); None where it isn't one piece."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__({32: " "})
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str | None:
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = normalizer.normalize_str(chr(code)) if normalizer else chr(code)
+        got = [x for x, _ in cutter.pre_tokenize_str(text)] if cutter else [text]
+        self[code] = got[0] if len(got) == 1 else None
+        return self[code]
+
+
 class Encoder:
     """Ids of whole texts. Of the chunks between spaces or line feeds, each distinct word is tokenised once and remembered.
 
@@ -39,13 +56,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self._clear()
+        self.model, self.pieces = self.tokenizer.model, _Pieces(self.tokenizer)
+        self.forget()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max([*vocabulary.values(), END_ID]) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>").endswith((".", "!", "?"))
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.cores: dict[str, int] = {"": 0}
         self.starts, self.sizes, self.data = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, "<u4")]
         self.count, self.ids = 1, 0
@@ -61,39 +79,64 @@ class Encoder:
                 ends = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1))
             else:
                 ends = np.array([ids.size])
-            sizes = np.diff(ends, prepend=0)
-            self.starts.append(ends - sizes + self.ids)
-            self.sizes.append(sizes)
-            self.data.append(ids)
-            self.cores.update(zip(some, range(self.count, self.count + len(some))))
-            self.count, self.ids = self.count + len(some), self.ids + ids.size
-
-    def _codes(self, chunks: list[str]) -> np.ndarray:
+            self._keep(some, ids, np.diff(ends, prepend=0))
+
+    def _keep(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of cores, so many of each."""
+        self.starts.append(np.cumsum(sizes) - sizes + self.ids)
+        self.sizes.append(sizes)
+        self.data.append(ids)
+        self.cores.update(zip(texts, range(self.count, self.count + len(texts))))
+        self.count, self.ids = self.count + len(texts), self.ids + ids.size
+
+    def _add_words(self, texts: list[str]) -> None:
+        """New cores of letters alone: each is one pre-token, made letter by letter, so the model gets it as it is. Where that doesn't hold, as the
+        first ones show or a letter that is no single piece, they go the long way."""
+        if self.pieces is not None:
+            ids: list[int] = []
+            sizes: list[int] = []
+            for piece in " ".join(texts).translate(self.pieces).split(" "):
+                found = self.model.tokenize(piece)
+                ids += [x.id for x in found]
+                sizes.append(len(found))
+            if None not in self.pieces.values() and ids[: sum(sizes[:PROBE])] == self.tokenizer.encode(" ".join(texts[:PROBE]), add_special_tokens=False).ids:
+                return self._keep(texts, np.array(ids, "<u4"), np.array(sizes, np.int64))
+            self.pieces = None
+        self._add(texts, True)
+
+    def _codes(self, chunks: pa.Array) -> np.ndarray:
         """Of each chunk, the numbers of its core and its tail, a run of plain punctuation behind a letter or digit: a pre-token of its own. Case is lost."""
-        cores, parts, tails, joint, alone = self.cores, [], [], {}, {}
-        for c in chunks:
-            core = c.rstrip(PUNCTUATION)
-            if core.isascii():
-                if len(core) != len(c) and core and not core[-1].isalnum():
-                    core = c  # it ends with other signs, which would be one pre-token with these
-                key = core if "<|" in core else core.lower()
-                if key not in cores:
-                    joint[key] = 1
-            else:
-                if not core[-1].isalnum() or len(core.lower()) != len(core):
-                    core = c
-                key = core
-                if key not in cores:
-                    # Where case or composition changes lengths, places in a joined text mean nothing.
-                    (joint if core.isalpha() and len(core.lower()) == len(core) and is_normalized("NFC", core) else alone)[key] = 1
-            tail = c[len(core) :]
-            if tail not in cores:
-                joint[tail] = 1
-            parts.append(key)
-            tails.append(tail)
-        self._add(list(joint), True)
+        cores, new, alone = self.cores, {}, {}
+        core = pc.utf8_rtrim(chunks, characters=PUNCTUATION)
+        plain = pc.string_is_ascii(core)
+        cut = pc.not_equal(core, chunks)
+        # A core that ends with other signs would be one pre-token with these.
+        signs = pc.and_(cut, pc.match_substring_regex(core, "[^0-9A-Za-z]$"))
+        core, cut = pc.if_else(pc.and_(plain, signs), chunks, core), pc.and_not(cut, pc.and_(plain, signs))
+        keys = pc.if_else(pc.match_substring(core, "<|"), core, pc.ascii_lower(core)).to_numpy(zero_copy_only=False)
+        wholes, tails = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)), cut.to_numpy(zero_copy_only=False)
+        odd = chunks.take(pa.array(wholes)).to_numpy(zero_copy_only=False).tolist()
+        for k, c in zip(wholes.tolist(), odd):
+            key = c.rstrip(PUNCTUATION)
+            if not key[-1].isalnum() or len(key.lower()) != len(key):
+                key, tails[k] = c, False
+            keys[k] = key
+            # Where case or composition changes lengths, places in a joined text mean nothing.
+            if key not in cores and not (key.isalpha() and len(key.lower()) == len(key) and is_normalized("NFC", key)):
+                alone[key] = 1
+        keys = keys.tolist()
+        tailed = np.flatnonzero(tails)
+        lengths = pc.utf8_length(core).to_numpy()[tailed].tolist()
+        ends = [c[n:] for c, n in zip(chunks.take(pa.array(tailed)).to_numpy(zero_copy_only=False).tolist(), lengths)]
+        new = dict.fromkeys(x for y in (keys, ends) for x in y if x not in cores and x not in alone)
+        words = [x for x in new if x.isalpha() and "\u03a3" not in x]  # a capital sigma's small letter depends on its place
+        self._add_words(words)
+        self._add([x for x in new if x not in cores], True)
         self._add(list(alone), False)
-        return np.stack([np.fromiter(map(cores.__getitem__, x), np.int64, len(x)) for x in (parts, tails)], 1)
+        out = np.zeros((len(keys), 2), np.int64)
+        out[:, 0] = np.fromiter(map(cores.__getitem__, keys), np.int64, len(keys))
+        out[tailed, 1] = np.fromiter(map(cores.__getitem__, ends), np.int64, len(ends))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's end."""
@@ -102,10 +145,10 @@ class Encoder:
             return np.concatenate([*each, np.zeros(0, "<u4")]), np.cumsum([x.size for x in each], dtype=np.int64)
         split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         chunks = split.flatten().dictionary_encode()
-        words, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        at = chunks.indices.to_numpy()
         if len(self.cores) > MEMO_ENTRIES:
-            self._clear()
-        both = self._codes(words)
+            self.forget()
+        both = self._codes(chunks.dictionary)
         starts, sizes, data = (np.concatenate(x) for x in (self.starts, self.sizes, self.data))
         self.starts, self.sizes, self.data = [starts], [sizes], [data]
         flat = data[_spread(starts[both.ravel()], sizes[both.ravel()])]
@@ -195,7 +238,14 @@ def windows(at: np.ndarray, cost: np.ndarray, last: bool, size: int = SIZE) -> l
 
 def _packer(path: str, size: int, split: bool, id_type: pa.DataType):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_encoder, part = encoder(path, split), TaskContext.get().partitionId() << 33
+        own_encoder = encoder(path, split)
+        try:
+            yield from packed(batches, own_encoder, TaskContext.get().partitionId() << 33)
+        finally:  # the encoder waits for the next task, its words don't: this worker may get other work first
+            own_encoder.forget()
+            give_back()
+
+    def packed(batches: Iterator[pa.RecordBatch], own_encoder: Encoder, part: int) -> Iterator[pa.RecordBatch]:
         held: list[tuple[object, int, int, np.ndarray]] = []  # id, ids before, all its ids, ids
         held_ids, number = 0, 0
 
@@ -231,6 +281,7 @@ def _packer(path: str, size: int, split: bool, id_type: pa.DataType):
                 to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
                 some = batch.slice(at, to - at)
                 every, ends = own_encoder.encode(some.column(1))
+                give_back()  # what the cut-up texts took, before the next ones
                 begin = 0
                 for id_, end in zip(some.column(0).to_pylist(), ends.tolist()):
                     ids = np.append(every[begin:end], np.uint32(END_ID)).astype("<u4", copy=False)

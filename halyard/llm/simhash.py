@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import frozen, keep_rows, released, shuffle_partitions, text_of
+from halyard.llm.common import batch_bytes, frozen, give_back, giving_back, keep_rows, released, shuffle_partitions, text_of
 from halyard.llm.components import Forest, components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -25,9 +25,9 @@ COPY_WORDS, SIMILAR = 5, 0.8
 #: nothing 128 and 32. Pairs up to FIRST and REACH are verified; up to SURE they are taken to be near while deciding which pairs to verify.
 FIRST, REACH, SURE = 20, 62, 32
 #: The order of shingles: documents of the sample that it is taken from, about, and shingles that it knows to be common.
-SAMPLE, COMMON = 5000, 100_000
-#: Shingles of one part of the prefixes, about; documents dealt and pairs looked at at once.
-SHARE, DEAL, LOOK = 1 << 18, 1 << 12, 1 << 20
+SAMPLE, COMMON = 20_000, 400_000
+#: Shingles of one part of the prefixes, about; documents dealt and pairs looked at at once; bytes of a batch of texts or sets.
+SHARE, DEAL, LOOK, BATCH = 1 << 18, 1 << 12, 1 << 18, 4 << 20
 MIXERS = np.array([0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -91,6 +91,7 @@ def least_apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, y.size), axis=0) ^ y).sum())
 
 
+@giving_back
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that may be similar: similar sets of m and n entries have (m + n) / 9 at most that just one of them has."""
     for batch in batches:
@@ -100,6 +101,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(common: np.ndarray, counts: np.ndarray):
+    @giving_back
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
@@ -119,6 +121,7 @@ def _sketches(common: np.ndarray, counts: np.ndarray):
     return sketches
 
 
+@giving_back
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cell in batch.column("_text"):
@@ -140,6 +143,7 @@ _PACKED = {"entries": "<u8", "nodes": "<i8", "labels": "<i8", "sizes": "<i4", "p
 
 def _dealt(ways: int):
     """Prefixes (node, label, size, prefix) to packed blocks of their entries, by part."""
+    @giving_back
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, DEAL) for at in range(0, whole.num_rows, DEAL)):
@@ -159,6 +163,7 @@ def _dealt(ways: int):
     return deal
 
 
+@giving_back
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs a < b of nodes of different labels whose prefixes share an entry at places that leave enough entries to be similar.
 
@@ -196,6 +201,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
@@ -204,6 +210,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(sets, pa.binary())], ["node", "entries"])
 
 
+@giving_back
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets have the similarity."""
     for batch in batches:
@@ -318,6 +325,7 @@ def _compare_sketches(tile: int):
         left, right = rows[side == 0], rows[side == 1]
         a, b = _pairs(left, right if table.column("two")[0].as_py() else None, tile)
         every = np.concatenate((left[:, 0], right[:, 0])).view(np.int64)
+        give_back()
         return pa.table({"a": every[a], "b": every[b]})
 
     return pair
@@ -420,17 +428,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_key", F.xxhash64("id", "_text"))
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in ("id", *(extra or {}), "_key")) + ", node long, check long, fp long, f1 long, f2 long, f3 long, size int, prefix binary, parity binary"
-    prints = frozen(rows.mapInArrow(_sketches(*_common(rows)), schema), "sketches")
     words = ("fp", "f1", "f2", "f3")
-    nodes = frozen(prints.groupBy("node").agg(F.min("check").alias("least"), F.min("_key").alias("_at"), *[F.min(w).alias(w) for w in words]), "nodes")
-    pairs = frozen(near_edges(nodes.select("node", *words), FIRST, tile, part, _compare_sketches(tile)).filter("a <> b").distinct(), "proposed")
-    first = _linked(pairs, rows, nodes)
-    released(pairs)
-    rest = _meetings(prints, components(first))
-    second = _linked(rest, rows, nodes)
-    released(rest)
-    found = components(first.union(second))
-    released(first, second)
+    with batch_bytes(docs.sparkSession, BATCH):
+        prints = frozen(rows.mapInArrow(_sketches(*_common(rows)), schema), "sketches")
+        nodes = frozen(prints.groupBy("node").agg(F.min("check").alias("least"), F.min("_key").alias("_at"), *[F.min(w).alias(w) for w in words]), "nodes")
+        pairs = frozen(near_edges(nodes.select("node", *words), FIRST, tile, part, _compare_sketches(tile)).filter("a <> b").distinct(), "proposed")
+        first = _linked(pairs, rows, nodes)
+        released(pairs)
+        rest = _meetings(prints, components(first))
+        second = _linked(rest, rows, nodes)
+        released(rest)
+        found = components(first.union(second))
+        released(first, second)
     classes = frozen(nodes.join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "classes")
     # Where only half of a set's hash is another's, the document is a class of its own.
     label = F.when(F.col("check") == F.col("least"), F.col("label")).otherwise(F.xxhash64("node", "check"))

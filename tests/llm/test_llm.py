@@ -772,6 +772,44 @@ def test_encoder_and_plan():
         assert value(got) == best
 
 
+def test_encoder_gives_words_to_the_model():
+    """Words of letters skip the tokenizer's long way, but for a few by which that is checked, and get its ids, whatever their letters."""
+    import pyarrow as pa
+
+    pick = random.Random(3)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
+    words = list(dict.fromkeys([*letters, *("".join(pick.choices(letters, k=pick.randint(1, 4))) for _ in range(3000)), *("".join(pick.choices("abcdefgh", k=7)) for _ in range(3000))]))
+    text = " ".join(words)
+    e = packing.Encoder(packing.word_tokenizer())
+    whole, seen = e.tokenizer, []
+    e.tokenizer = type("Counting", (), {"encode": lambda self, x, **how: seen.append(len(x.split())) or whole.encode(x, **how)})()
+    ids, _ = e.encode(pa.array([text]))
+    assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sum(seen) < 0.2 * len(words)
+
+
+def test_packing_leaves_no_words_behind(spark, monkeypatch):
+    """A worker's encoder outlives its tasks; the words that it has met don't."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": classmethod(lambda cls: cls), "partitionId": classmethod(lambda cls: 3)}))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2], pa.int64()), "_text": pa.array(["some words of a text", "and some more"])})
+    got = list(packing._packer(packing.word_tokenizer(), 2048, True, pa.int64())(iter([batch])))
+    assert sum(x.num_rows for x in got) >= 2 and len(packing.encoder(packing.word_tokenizer(), True).cores) == 1
+
+
+def test_batches_of_few_bytes(spark):
+    """What near_copies() sends to Python at once goes by bytes, and the setting is as it was afterwards."""
+    texts = spark.range(0, 3000, numPartitions=1).select(F.repeat(F.lit("x"), 2000).alias("t"))
+    rows = lambda: texts.mapInArrow(lambda batches: (b.slice(0, 1).select([]).append_column("n", pa_array([b.num_rows])) for b in batches), "n long").collect()
+    from pyarrow import array as pa_array
+
+    with common.batch_bytes(spark, 1 << 20):
+        few = [r["n"] for r in rows()]
+    assert sum(few) == 3000 and max(few) < 1000
+    assert [r["n"] for r in rows()] == [3000]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_odd_and_empty_tables(spark, odd, stage, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
