@@ -23,7 +23,7 @@ MARKS = 1024
 #: Lines of a bucket that one task compares; larger buckets are compared in pairs of blocks. Band rows of one task.
 BLOCK, TASK_ROWS = 8192, 1_000_000
 #: Documents read, and shingles compared, at once; lines that a task remembers to have met.
-DOCS, PAIR_HASHES, MET = 32, 1 << 18, 1 << 19
+DOCS, PAIR_HASHES, MET = 64, 1 << 18, 1 << 19
 
 
 #: White space below code point 256 other than space and line feed.
@@ -325,7 +325,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")
     dealt = buckets.withColumn("ways", ways).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     dealt = dealt.select("bucket", "id", (F.least("own", "other") * F.col("ways") + F.greatest("own", "other")).alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    wanted = dealt.join(distinct.select("id", "at.key", "at.line_no"), "id").groupBy("key").agg(F.collect_list(F.struct("bucket", "two", "side", "id", "line_no")).alias("wanted"))
+    wanted = dealt.join(distinct.select("id", "at.key", "at.line_no").hint("shuffle_hash"), "id").groupBy("key").agg(F.collect_list(F.struct("bucket", "two", "side", "id", "line_no")).alias("wanted"))
     asked = own.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("text", "wanted")
     fetched = asked.mapInArrow(_fetch, "bucket long, two int, side int, id long, line string")
     edges = frozen(fetched.repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long"), "similar")
@@ -337,7 +337,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     released(joined, heads, distinct)
     same = F.col("check") == F.col("least")
     pick = lambda there, here: F.when(same, F.col(f"first.{there}")).otherwise(F.col(here))
-    out = lines.join(first, "id")
+    out = lines.join(first.hint("shuffle_hash"), "id")  # lines, the many, needn't be sorted
     kept = ~same | (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select(F.col("_id").alias(id_col), "line_no", pick("id", "_id").alias("component_doc_id"), pick("line_no", "line_no").alias("component_line_no"), kept.alias("kept"))
 

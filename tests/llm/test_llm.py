@@ -454,6 +454,16 @@ def test_lines_of_any_plan(spark):
             spark.conf.set(k, v)
 
 
+def test_lines_are_not_sorted_to_find_their_heads(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.line_components(spark.createDataFrame([(1, "one line\nanother"), (2, "one line")], "doc_id long, text string"))
+        assert out.count() == 3 and "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fetched_lines_are_those_asked_for():
     import pyarrow as pa
 
