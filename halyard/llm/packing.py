@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -24,9 +25,19 @@ AT_SENTENCE, ANYWHERE = 16, 96
 STEP = 128
 #: Ids that are planned at once; words that a task remembers (about 150 bytes each), bytes of text that are tokenised at once.
 SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 1 << 19, 4 << 20
-#: Words of each batch that are tokenised both ways.
-PROBE = 32
 PUNCTUATION = ".,;:!?%#$&*"
+#: The parts of a tokenizer by which a word of letters is one pre-token, made letter by letter, and nothing is added around it.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
 
 class _Pieces(dict):
@@ -56,7 +67,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self.model, self.pieces = self.tokenizer.model, _Pieces(self.tokenizer)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        known = all(parts.get(k) == v for k, v in PARTS.items()) and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
+        self.model, self.pieces = self.tokenizer.model, _Pieces(self.tokenizer) if known else None
+        self.normalizer, self.cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.apart: dict[str, bool] = {}
         self.forget()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max([*vocabulary.values(), END_ID]) + 1, bool)
@@ -83,6 +99,8 @@ class Encoder:
 
     def _keep(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """The ids of cores, so many of each."""
+        if len(texts) != sizes.size:
+            raise ValueError(f"{len(texts)} texts, but sizes of {sizes.size}")
         self.starts.append(np.cumsum(sizes) - sizes + self.ids)
         self.sizes.append(sizes)
         self.data.append(ids)
@@ -90,19 +108,32 @@ class Encoder:
         self.count, self.ids = self.count + len(texts), self.ids + ids.size
 
     def _add_words(self, texts: list[str]) -> None:
-        """New cores of letters alone: each is one pre-token, made letter by letter, so the model gets it as it is. Where that doesn't hold, as the
-        first ones show or a letter that is no single piece, they go the long way."""
-        if self.pieces is not None:
-            ids: list[int] = []
-            sizes: list[int] = []
+        """New cores of letters alone. With the parts of PARTS each is one pre-token, made letter by letter, so the model gets it as it is; where a
+        letter is no single piece, or with other parts, they go the long way."""
+        if self.pieces is None or not texts:
+            return self._add(texts, True)
+        ids: list[int] = []
+        sizes: list[int] = []
+        letters = set("".join(texts))
+        if any(self.pieces[ord(c)] is None for c in letters):
+            odd = {c for c in letters if self.pieces[ord(c)] is None}
+            self._add([x for x in texts if not odd.isdisjoint(x)], True)
+            texts = [x for x in texts if odd.isdisjoint(x)]
+        if texts:
             for piece in " ".join(texts).translate(self.pieces).split(" "):
                 found = self.model.tokenize(piece)
                 ids += [x.id for x in found]
                 sizes.append(len(found))
-            if None not in self.pieces.values() and ids[: sum(sizes[:PROBE])] == self.tokenizer.encode(" ".join(texts[:PROBE]), add_special_tokens=False).ids:
-                return self._keep(texts, np.array(ids, "<u4"), np.array(sizes, np.int64))
-            self.pieces = None
-        self._add(texts, True)
+        self._keep(texts, np.array(ids, "<u4"), np.array(sizes, np.int64))
+
+    def _stands_apart(self, last: str) -> bool:
+        """Whether plain punctuation behind this sign is a pre-token of its own, as the tokenizer's parts cut it after normalising: a letter that is
+        taken apart there may end with a mark, which goes with the punctuation."""
+        if last not in self.apart:
+            text = self.normalizer.normalize_str(last + ".") if self.normalizer else last + "."
+            got = [x for x, _ in self.cutter.pre_tokenize_str(text)] if self.cutter else [text]
+            self.apart[last] = len(got) > 1 and got[-1] == "."
+        return self.apart[last]
 
     def _codes(self, chunks: pa.Array) -> np.ndarray:
         """Of each chunk, the numbers of its core and its tail, a run of plain punctuation behind a letter or digit: a pre-token of its own. Case is lost."""
@@ -118,7 +149,7 @@ class Encoder:
         odd = chunks.take(pa.array(wholes)).to_numpy(zero_copy_only=False).tolist()
         for k, c in zip(wholes.tolist(), odd):
             key = c.rstrip(PUNCTUATION)
-            if not key[-1].isalnum() or len(key.lower()) != len(key):
+            if not key[-1:].isalnum() or len(key.lower()) != len(key) or not self._stands_apart(key[-1]):
                 key, tails[k] = c, False
             keys[k] = key
             # Where case or composition changes lengths, places in a joined text mean nothing.

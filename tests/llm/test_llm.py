@@ -798,6 +798,67 @@ def test_encoder_gives_words_to_the_model():
     assert sum(seen) < 0.2 * len(words)
 
 
+def test_encoder_over_any_slices():
+    """Slices that bring no new word, none at all, only digits or signs, or known words with new numbers, in any order and number."""
+    import pyarrow as pa
+
+    pick = random.Random(11)
+    kinds = [
+        lambda: "",
+        lambda: "   ",
+        lambda: ".",
+        lambda: " ".join(str(pick.randrange(1000)) for _ in range(pick.randint(1, 4))),
+        lambda: " ".join(pick.choice((".", "?!", "$,", "--", "(x)", "#1")) for _ in range(3)),
+        lambda: f"known words {pick.randrange(10**6)}, again.",
+        lambda: " ".join("".join(pick.choices("abcdeé", k=pick.randint(1, 6))) + pick.choice(("", ".", ",")) for _ in range(4)),
+        lambda: pick.choice(("e\u0301.", "word \u09b9\u09df, word", "\u091c\u095b.", "\ufb33,", "\u0a5a.", "a\u0300\u0323!", "\u0130.", "ΑΣ, ΣΑΣ.")),
+    ]
+    e = packing.Encoder(packing.word_tokenizer())
+    for round_ in range(1000):
+        if round_ % 50 == 0:
+            e.forget()
+        texts = [pick.choice(kinds)() for _ in range(pick.randint(0, 3))]
+        ids, ends = e.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
+def test_encoder_at_letters_that_normalising_takes_apart():
+    import unicodedata
+
+    import pyarrow as pa
+
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha() and not unicodedata.is_normalized("NFC", chr(c))]
+    assert len(letters) > 500
+    e = packing.Encoder(packing.word_tokenizer())
+    texts = [f"{c}{sign} x{c}{sign}" for c in letters for sign in packing.PUNCTUATION]
+    ids, ends = e.encode(pa.array(texts))
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+def test_pack_over_many_batches(spark):
+    """Several Arrow batches a task, which bring numbers, then known words and new numbers, then nothing new."""
+    rows = [(k, ["12 34 56", "some known words", f"known words {k}", ".", "words known"][(k // 500) % 5]) for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        got = packing.pack(df, packing.word_tokenizer()).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    tokenizer = packing.encoder(packing.word_tokenizer(), True).tokenizer
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for k, text in rows:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[k], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, ids.size, zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == ids.size
+
+
 def test_packing_leaves_no_words_behind(spark, monkeypatch):
     """A worker's encoder outlives its tasks; the words that it has met don't."""
     import pyarrow as pa
