@@ -133,7 +133,8 @@ def _prune(every: list[Node], by_class: bool = True) -> bool:
             x.dropped = False
         elif x not in holds and x.name not in SAFE:
             x.dropped = x.name in DROPPED or x.name == "header" or x.hidden
-    doubtful = {x for x in every if x.named and not x.dropped and by_class and (x not in holds and x.name not in SAFE or x.name == "article" and x.named & {"comment", "comments", "reply"}) and not (x.name == "header" or x.parent is not None and x.parent.name == "header")}
+    running = _running_text(every) if by_class and any(x.named for x in every) else set()
+    doubtful = {x for x in every if x.named and not x.dropped and by_class and x not in running and (x not in holds and x.name not in SAFE or x.name == "article" and x.named & {"comment", "comments", "reply"}) and not (x.name == "header" or x.parent is not None and x.parent.name == "header")}
     if not doubtful:
         return False
     _measure(every)
@@ -149,6 +150,21 @@ def _prune(every: list[Node], by_class: bool = True) -> bool:
     return True
 
 
+def _running_text(every: list[Node]) -> set[Node]:
+    """Inline elements that hold no block, and whatever lies in a paragraph, in preformatted text or in code: parts of a text, whose classes say how they look."""
+    inside: set[Node] = set()
+    wraps: set[Node] = set()
+    for x in every:  # parents come first
+        if x.parent is not None and (x.parent in inside or x.parent.name in ("p", "pre", "code")):
+            inside.add(x)
+        if x.name in BLOCKS and x.parent is not None and x.parent.name not in BLOCKS:
+            y = x.parent
+            while y is not None and y.name not in BLOCKS and y not in wraps:
+                wraps.add(y)
+                y = y.parent
+    return inside | {x for x in every if x.name not in BLOCKS and x not in wraps}
+
+
 def _measure(every: list[Node]) -> None:
     """Counts the characters of what isn't dropped: all, those in links, those in headings, and those of paragraphs outside links; and all commas."""
     for x in every:
@@ -348,7 +364,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row per row of pages: <id_col>, <url_col>, text, n_chars (code points).
 
-    Null html is empty and gives an empty text, as does a page without text. Each page is read by itself, in one pass without a shuffle;
+    Null html is empty and gives an empty text, as does a page without text. Classes count for blocks and for inline elements around blocks, never for
+    parts of a running text such as highlighted code. Of a header inside an article only headings stay, a lead paragraph in it goes. Each page is read by itself, in one pass without a shuffle;
     repeated rows and null ids stay as they are. Nothing is capped.
     """
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), text_of(pages, html_col).alias("_html"))
