@@ -219,12 +219,24 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"bucket": bucket[k : k + 100_000], "size": size[k : k + 100_000], "id": ids[k : k + 100_000]})
 
 
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that a document stands for, once for each bucket and pair of blocks. What isn't the line asked for is another document's with the same key."""
+    """The lines that a document stands for, once for each bucket and pair of blocks; of repeated documents one (MET others later: one more) gives them. What isn't the line asked for is another document's with the same key."""
     names = ("bucket", "two", "side", "id")
+    given: set[tuple[int, int]] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS):
             some = batch.slice(at, DOCS)
+            rows = list(zip(some.column("key").to_pylist(), map(_digest, some.column("text").to_pylist())))
+            if not given.isdisjoint(rows) or len(set(rows)) < len(rows):  # repeated rows: the first gives the lines
+                fresh = [x not in given and x not in rows[:k] for k, x in enumerate(rows)]
+                some = some.filter(pa.array(fresh))
+            given.update(rows)
+            if len(given) > MET:
+                given.clear()
             wanted = pc.list_flatten(some.column("wanted"))
             asked = iter(zip(wanted.field("line_no").to_pylist(), wanted.field("id").to_pylist()))
             lines: list[str | None] = []
@@ -280,7 +292,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if got is None or not got.num_rows:
         return
     got = got.sort_by([("bucket", "ascending"), ("two", "ascending"), ("id", "ascending")])
-    bucket, two = got.column("bucket").to_numpy(), got.column("two").to_numpy()
+    bucket, two, ids = (got.column(n).to_numpy() for n in ("bucket", "two", "id"))
+    again = (bucket[1:] == bucket[:-1]) & (two[1:] == two[:-1]) & (ids[1:] == ids[:-1])
+    if again.any():  # a line fetched more than once
+        got = got.filter(pa.array(np.append(True, ~again)))
+        bucket, two = got.column("bucket").to_numpy(), got.column("two").to_numpy()
     ends = np.flatnonzero(np.append((bucket[1:] != bucket[:-1]) | (two[1:] != two[:-1]), True)) + 1
     sides, ids, lines = got.column("side").to_numpy(), got.column("id").to_numpy(), got.column("line")
     long = np.cumsum(pc.utf8_length(lines).to_numpy())
@@ -326,7 +342,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = buckets.withColumn("ways", ways).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     dealt = dealt.select("bucket", "id", (F.least("own", "other") * F.col("ways") + F.greatest("own", "other")).alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     wanted = dealt.join(distinct.select("id", "at.key", "at.line_no").hint("shuffle_hash"), "id").groupBy("key").agg(F.collect_list(F.struct("bucket", "two", "side", "id", "line_no")).alias("wanted"))
-    asked = own.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("text", "wanted")
+    asked = own.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("key", "text", "wanted")
     fetched = asked.mapInArrow(_fetch, "bucket long, two int, side int, id long, line string")
     edges = frozen(fetched.repartition(parts, "bucket", "two").mapInArrow(_verify, "a long, b long"), "similar")
     released(buckets)

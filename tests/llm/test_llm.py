@@ -469,8 +469,23 @@ def test_fetched_lines_are_those_asked_for():
 
     item = pa.list_(pa.struct([("bucket", pa.int64()), ("two", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("line_no", pa.int32())]))
     ask = lambda line, no: {"bucket": 1, "two": 0, "side": 0, "id": line_dedup.identity(line)[0], "line_no": no}
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a\nB  b", "a"]), "wanted": pa.array([[ask("a", 0), ask("b b", 1)], [ask("a", 0), ask("b b", 1)]], item)})
-    assert pa.Table.from_batches(line_dedup._fetch(iter([batch]))).column("line").to_pylist() == ["a", "b b", "a"]
+    wanted = pa.array([[ask("a", 0), ask("b b", 1)]] * 3, item)
+    # two documents with one key, the first of them twice
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([5, 5, 5], pa.int64()), "text": pa.array(["a\nB  b", "a", "a\nB  b"]), "wanted": wanted})
+    assert pa.Table.from_batches(line_dedup._fetch(iter([batch, batch]))).column("line").to_pylist() == ["a", "b b", "a"]
+
+
+def test_repeated_rows_cost_lines_nothing(spark):
+    """A row that comes 20,000 times, with a null id, against as many rows with ids of their own."""
+    body = "\n".join(f"a line {k} that is much like others {k % 7} and some" for k in range(12))
+    seconds = {}
+    for name, id_ in (("warm", F.col("id")), ("own", F.col("id")), ("null", F.lit(None).cast("long"))):
+        df = spark.range(2000 if name == "warm" else 20_000, numPartitions=4).select(id_.alias("doc_id"), F.lit(body).alias("text"))
+        began = time.time()
+        rows = line_dedup.line_components(df).groupBy("kept").count().collect()
+        seconds[name] = time.time() - began
+        assert sum(r["count"] for r in rows) == 12 * df.count()
+    assert seconds["null"] < 1.5 * seconds["own"] + 1
 
 
 def test_similar_lines_of_buckets():
@@ -724,6 +739,9 @@ CLASSED = [
     ("<div class=post><p>a, b</p></div><div id=comments><p>" + "c, d" * 99 + "</p></div>", "a, b"),
     *((f"<div {c}>" + "x, y" * 99 + "</div><article><h1>T</h1><p>a, b</p></article>", "T\na, b") for c in ("class=ad", "class=sidebar")),
     ("<div class=comments><p>a, b</p></div>", "a, b"),
+    ("<article><p>a, b</p><pre><code>x = 1 <span class='token comment'># a note</span>\ny <em class=ad>= 2</em></code></pre></article>", "a, b\nx = 1 # a note y = 2"),
+    *((f"<article><p>a, b</p>{o}so <{t} class='{c}'>really</{t}> it is{e}</article>", "a, b\nso really it is") for o, e in (("<p>", "</p>"), ("<pre>", "</pre>"), ("<ul><li>", "</li></ul>"), ("<table><tr><td>", "</td></tr></table>")) for t in ("span", "em", "a") for c in ("comment", "ad", "reply", "consent", "share")),
+    ("<article><p>a, b</p><span class=ad><div>c</div></span></article>", "a, b"),
     ("<div class=ad hidden><p>a, b</p></div>", ""),
 ]
 
