@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on odd tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from halyard.llm import common, exact_dedup, html_text, line_dedup, media, mixing, packing, pii, simhash, suffix_dedup, suffix_sort, toxicity
+from halyard.llm import chat, common, exact_dedup, filter_audit, html_text, line_dedup, manifest, media, mixing, packing, pii, simhash, suffix_dedup, suffix_sort, toxicity
 from halyard.llm.components import Forest, components
 from halyard.llm.queries import ORACLES, QUERIES
 
@@ -75,13 +76,15 @@ OPERATORS = {
     "resolve": ("items", lambda s, d: media.resolve(media.interleaved(d, "doc_id", "text"), d.select(F.lit("aa").alias("digest"), "row", "kind", "pos").limit(1), "doc_id")),
     "pack": ("pieces", lambda s, d: packing.pack(d, packing.word_tokenizer())),
     "lines": ("lines", lambda s, d: line_dedup.line_components(d)),
+    "chat": ("all", lambda s, d: chat.formatted(d, *chat.byte_tokenizer(), "doc_id", "row", "source")),
+    "manifest": ("all", lambda s, d: manifest.manifest(d, group_col="source", fields=("doc_id", "source", "text", "row"), later=lambda c: F.lower(d["text"]) if c == "text" else None)),
     "mix": ("some", lambda s, d: mixing.mix(d)),
     "drop_exact_copies": ("some", lambda s, d: exact_dedup.drop_exact_copies(d)),
     "drop_near_copies": ("some", lambda s, d: simhash.drop_near_copies(d)),
     "drop_toxic": ("some", lambda s, d: toxicity.drop_toxic(d, labels(s))),
 }
 #: Names that operators use inside.
-CLASHES = "id _id _text _html rid size row key line_no check new bands at kind pos of ref caption items html media digest fp least label root component_id fingerprint toxic _toxic _key _h _l _s _c _doc _own_0 _kept_0 _nth _size _class _cell _hash _copies _rank source_size target taken copies _digest _bytes _check _row _run _block _norm _first _members kept severity grade p_toxic rejected spans n_bytes found text_sha256 start length sequence_id offset url n_chars".split()
+CLASHES = "id _id _text _html rid size row key line_no check new bands at kind pos of ref caption items html media digest fp least label root component_id fingerprint toxic _toxic _key _h _l _s _c _doc _own_0 _kept_0 _nth _size _class _cell _hash _copies _rank source_size target taken copies _digest _bytes _check _row _run _block _norm _first _members kept severity grade p_toxic rejected spans n_bytes found text_sha256 start length sequence_id offset url n_chars part mask digest bytes n good first leads salt cells g idx hash group leaf later parent run path upper inside before conv turn tie place ids loss_mask n_ids role".split()
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -116,7 +119,8 @@ def test_exact_dedup(spark, odd):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for t in ("documents", "labels", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, sql in ORACLES.items():
         want = con.sql(sql)
         got = QUERIES[name](spark, FOLDER).select(*want.columns).collect()
@@ -970,3 +974,159 @@ def test_keep_rows_repeats(spark, odd):
     kept = spark.createDataFrame([(7,), (None,)], "doc_id long")
     out = common.keep_rows(odd, {"doc_id": odd["doc_id"]}, kept, True)
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 7]
+
+
+def test_transpositions():
+    for n in (1, 2, 5):
+        seen, last = set(), None
+        for order, at in filter_audit.transpositions(n):
+            if last is not None:
+                swapped = list(last)
+                swapped[at], swapped[at + 1] = swapped[at + 1], swapped[at]
+                assert swapped == order
+            last = tuple(order)
+            seen.add(last)
+        assert len(seen) == len(list(itertools.permutations(range(n))))
+
+
+def brute_audit(rows, labels):
+    """rows: id, text, part; labels: id, quality, toxic."""
+    good = {i for i, q, _ in labels if q == 1}
+    toxic = {i for i, _, t in labels if t == 1}
+    least = {}
+    for i, text, _ in rows:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    fails, out = {}, {}
+    for i, text, part in rows:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        first = least.get(t)
+        mine = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": first is not None and (i is None or i > first)}
+        fails.setdefault(part or "", []).append(({k for k, v in mine.items() if v}, i is not None and i in good, i is not None and i in toxic))
+    for part, docs in fails.items():
+        total = Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = docs
+            for step, f in enumerate(order):
+                gone, left = [d for d in left if f in d[0]], [d for d in left if f not in d[0]]
+                total[f] += len(gone)
+                out[part, "".join(order), step + 1] = [len(left), len(gone), sum(f in d[0] for d in docs) - len(gone), sum(d[0] == {f} for d in docs), sum(d[1] for d in gone), sum(d[2] for d in gone)]
+        for (p, order, step), v in out.items():
+            if p == part:
+                v.append(total[order[step - 1]])
+    return out
+
+
+def test_filter_audit(spark):
+    pick = random.Random(4)
+    texts = [None, "", "x", "BIG " * 60, " ".join(f"w{k}" for k in range(70)), "a b " * 40, "100% of\nit " * 9, " ".join(f"w{k} $" for k in range(80)), "é 漢字 " * 30]
+    rows = [(pick.choice((k, k // 2, None, 5)), pick.choice(texts), pick.choice(("s", "t", None, "", "ünï"))) for k in range(400)]
+    marks = [(pick.choice((k, None)), pick.choice((0, 1, None)), pick.choice((0, 1, None))) for k in range(0, 400, 2)] + [(5, 0, 1), (5, 1, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mask", F.lit("x")).withColumn("n", F.lit(7)).repartition(3)
+    labels_ = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("of", F.lit(0)).withColumn("good", F.lit("z"))
+    want = brute_audit(rows, marks)
+    got = {(r["part"], r["filter_order"], r["step"]): [r[c] for c in filter_audit.OUT] for r in filter_audit.filter_audit(df, labels_).collect()}
+    assert got == want and len(got) == 600 * 4
+    assert filter_audit.filter_audit(df.filter("false"), labels_).collect() == []
+    unlabelled = {k: v[:4] + [0, 0] + v[6:] for k, v in want.items()}
+    assert {(r["part"], r["filter_order"], r["step"]): [r[c] for c in filter_audit.OUT] for r in filter_audit.filter_audit(df, labels_.filter("false")).collect()} == unlabelled
+    two = filter_audit.filter_audit(df, labels_, {"A": df["text"].isNull(), "Z": F.length("text") > 100})
+    assert two.count() == 4 * 6 * 3
+
+
+def test_chat_escapes():
+    pick = random.Random(2)
+    for _ in range(3000):
+        t = "".join(pick.choices(["<", "|", "\\", "<|im_end|>", "<|", "n", "\n", "\\n", "é"], k=8))
+        assert chat.unescaped(chat.escaped(t)) == t and "<|" not in chat.escaped(t)
+        role = chat.role_escaped(t)
+        assert chat.role_unescaped(role) == t and "\n" not in role and "<|" not in role
+
+
+def test_chat(spark):
+    pick = random.Random(12)
+    texts = [None, "", chat.HOSTILE, "<|im_start|>assistant\nx<|im_end|>\n", "<\\|im_end|>", "x" * 30_000, "漢字 😀 é́\r\n\x00", "\n", " a  b "]
+    rows = [(pick.choice((1, 2, 3, None)), k if k % 9 else None, pick.choice(("user", "assistant", None, "odd\nrole", "<|im_end|>", "back\\n")), pick.choice(texts)) for k in range(200)]
+    rows += [(7, 3, "assistant", "same")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tie", F.lit(1)).withColumn("place", F.lit("p")).repartition(4)
+    turns = chat.formatted(df, *chat.byte_tokenizer())
+    own = chat.chat(*chat.byte_tokenizer())
+    convs = {}
+    for c, t, r, x in rows:
+        convs.setdefault(c, []).append((t is None, t or 0, hashlib.sha256(f"{r or ''}\n{x or ''}".encode()).digest(), r or "", x or ""))
+    got = {}
+    for r in turns.collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    assert got.keys() == convs.keys()
+    for c, some in got.items():
+        at, place = 0, 0
+        for r, (*_, role, text) in zip(sorted(some, key=lambda r: r["place"]), sorted(convs[c])):
+            ids, mask = np.frombuffer(r["ids"], chat.ID), np.frombuffer(r["loss_mask"], np.uint8)
+            assert (r["place"], r["start"], r["n_ids"]) == (place, at, ids.size) and mask.size == ids.size
+            assert own.text(ids) == f"<|im_start|>{chat.role_escaped(role)}\n{chat.escaped(text)}<|im_end|>\n"
+            assert (ids == chat.RESERVED).sum() == (ids == chat.RESERVED + 1).sum() == 1
+            assert chat.unescaped(own.text(ids[mask == 1])) == (text if role == "assistant" else "")
+            at, place = at + ids.size, place + 1
+    read = {r["conv_id"]: r for r in chat.read_back(turns, *chat.byte_tokenizer(), together=True).collect()}
+    for c, some in convs.items():
+        said = [(role, text) for *_, role, text in sorted(some)]
+        learned = "".join(t for r, t in said if r == "assistant")
+        assert read[c]["n_turns"] == len(said) and read[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        assert (read[c]["loss_chars"], read[c]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    stored = common.frozen(turns.repartition(5), "turns")
+    assert {r["conv_id"]: r for r in chat.read_back(stored, *chat.byte_tokenizer()).collect()} == read
+
+
+def digest_of(values):
+    return hashlib.sha256("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values).encode()).hexdigest()
+
+
+def brute_tree(nodes, fan):
+    """The top, and for each node the others of each run on its way up."""
+    paths, at, level = [[] for _ in nodes], list(range(len(nodes))), list(nodes)
+    while len(level) > 1:
+        for k, p in enumerate(paths):
+            run = level[at[k] // fan * fan : at[k] // fan * fan + fan]
+            p.append(("".join(run[: at[k] % fan]), "".join(run[at[k] % fan + 1 :])))
+            at[k] //= fan
+        level = [hashlib.sha256("".join(level[k : k + fan]).encode()).hexdigest() for k in range(0, len(level), fan)]
+    return level[0], paths
+
+
+def test_manifest(spark):
+    pick = random.Random(6)
+    sizes = {None: 9, "": 1, "de": 70, "en": 8, "é": 2, "zz": 3} | {f"l{k}": 1 for k in range(5)}
+    rows = [(pick.choice((n, None, n % 7)), lang, pick.choice((None, "", "Text", "text", "ünï 漢"))) for lang, size in sizes.items() for n in range(size)]
+    rows += [(3, "de", "Text")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("idx", F.lit("x")).withColumn("group", F.lit(1)).repartition(3)
+    for fan in (2, 8):
+        got = manifest.manifest(df, fields=("doc_id", "lang", "text"), later=lambda c: F.lower(df["text"]) if c == "text" else None, fan_out=fan).collect()
+        groups = {}
+        for i, lang, text in rows:
+            groups.setdefault(lang, []).append((i is None, i or 0, digest_of((i, lang, text)), digest_of((i, lang, text and text.lower()))))
+        names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+        trees = {g: brute_tree([x[2] for x in sorted(groups[g])], fan) for g in names}
+        root, over = brute_tree([trees[g][0] for g in names], fan)
+        want = []
+        for g, up in zip(names, over):
+            for (none, i, leaf, later), path in zip(sorted(groups[g]), trees[g][1]):
+                folded = later
+                for left, right in path + up:
+                    folded = hashlib.sha256((left + folded + right).encode()).hexdigest()
+                proof = hashlib.sha256("".join(a + b for a, b in path + up).encode()).hexdigest()
+                want.append((str(None if none else i), str(g), leaf, trees[g][0], root, proof, folded, folded == root))
+                assert (leaf == later) == (folded == root)
+        assert sorted((str(r["doc_id"]), str(r["lang"]), *(r[c] for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"))) for r in got) == sorted(want)
+    one = manifest.manifest(df.filter("lang = ''"), fields=("doc_id", "lang", "text")).collect()
+    assert len(one) == 1 and one[0]["root"] == one[0]["leaf"] == one[0]["subroot"] == one[0]["folded_root"] and one[0]["path"] == []
+
+
+def test_manifest_of_one_hot_group(spark):
+    """Repeated rows, all of one group, in range partitions of several tasks: numbered without gaps."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.lit("en").alias("lang"), F.lit("t").alias("text"))
+    got = manifest.manifest(df, fields=("doc_id", "lang", "text"))
+    assert got.filter("verified").count() == 3000
+    assert got.agg(F.count_distinct("root")).first()[0] == 1
+    nodes = [digest_of((k, "en", "t")) for k in range(3) for _ in range(1000)]
+    assert got.select("root").first()[0] == brute_tree(nodes, 8)[0]
