@@ -74,19 +74,20 @@ def _climbed(nodes: DataFrame, fan_out: int) -> list[DataFrame]:
 def _proven(levels: list[DataFrame], tops: DataFrame, fan_out: int, keep: list[str]) -> DataFrame:
     """The rows of the lowest level with path, the run's others left and right of the way up at each level, the nearest first, and the columns keep of tops.
 
-    tops: g, path and keep, of each group's single node. Paths come down level by level, each joined on group and parent.
+    tops: g, path and keep, of each group's single node. Paths come down level by level, each joined on group and parent. They are long for their number and
+    shrink in shuffles, so no size that Spark sees tells whether they could be broadcast; runs are sorted by these keys anyway, so both sides are merged.
     """
     above = None
     step = F.struct(F.array_join(F.slice("run", F.lit(1), F.col("at")), "").alias("left"), F.array_join(F.slice("run", F.col("at") + 2, F.lit(fan_out)), "").alias("right"))
     for nodes in reversed(levels):
         rest = [c for c in nodes.columns if c != "hash"] + ["hash"]
-        single = nodes.filter("of = 1").join(tops, "g").select(*rest, "path", *keep)
+        single = nodes.filter("of = 1").join(tops.hint("merge"), "g").select(*rest, "path", *keep)
         if above is None:
             above = single
             continue
         runs = _runs(nodes.filter("of > 1"), fan_out).withColumn("at", (F.col("idx") % fan_out).cast("int"))
         over = above.select(F.col("g").alias("g_of"), F.col("idx").alias("parent_of"), F.col("path").alias("upper"), *keep)
-        many = runs.join(over, (F.col("g") == F.col("g_of")) & (F.col("parent") == F.col("parent_of"))).select(*rest, F.concat(F.array(step), F.col("upper")).alias("path"), *keep)
+        many = runs.join(over.hint("merge"), (F.col("g") == F.col("g_of")) & (F.col("parent") == F.col("parent_of"))).select(*rest, F.concat(F.array(step), F.col("upper")).alias("path"), *keep)
         above = many.unionByName(single)
     return above
 
