@@ -15,8 +15,14 @@ from halyard.lineage.tables import table_lineage
 from halyard.operators import batch as B
 from halyard.script.rewrites import rewrite_query
 from halyard.script.runner import Runner
-from halyard.session import shared_dir
+from halyard.session import scratch
 from halyard.streaming import stateful
+from halyard.streaming.changelog import changelog_aggregates
+from halyard.streaming.exactly_once import Ledger, OnceFiles
+from halyard.streaming.joins import interval_join_stream
+from halyard.streaming.lateness import windows_with_lateness
+from halyard.streaming.ordered import over_stream, rate_limited_stream, state_in_rocksdb, temporal_join_stream
+from halyard.streaming.sinks import fan_out, supervised
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -338,7 +344,7 @@ def q_rollup(spark, d):
     return table(spark, d, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p.event_id, v.event_id AS right_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+@query("""SELECT p.event_id, v.event_id AS right_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def q_asof(spark, d):
     of = lambda kind: table(spark, d, "events").filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")
     return B.asof_join(of("purchase"), of("view"), "user_id", "ts", ["event_id"]).select("event_id", "right_event_id")
@@ -493,7 +499,7 @@ def q_script_session(spark, d):
 
 def _script(spark, d, streaming: bool) -> DataFrame:
     """A script with a source, two stored sinks and a statement set; the rows of both sinks."""
-    name, where = f"s{uuid.uuid4().hex}", f"{shared_dir(spark)}/script-{uuid.uuid4().hex}"
+    name, where = f"s{uuid.uuid4().hex}", scratch(spark, "script")
     source = f"{d}/events.parquet"
     if streaming:  # a stream reads a folder
         source = f"{where}/in"
@@ -533,7 +539,7 @@ def q_script_stream(spark, d):
 
 @query("SELECT 7 AS a, 8 AS b UNION ALL SELECT 1, 2 UNION ALL SELECT 3, 4")
 def q_script_insert(spark, d):
-    name, where = f"i{uuid.uuid4().hex}", f"{shared_dir(spark)}/script-{uuid.uuid4().hex}"
+    name, where = f"i{uuid.uuid4().hex}", scratch(spark, "script")
     runner = Runner(spark, {"t": name}, warehouse=where)
     runner.run("""SET table.sql-dialect=hive;
 CREATE TABLE ${t} (a INT, b INT);
@@ -545,19 +551,41 @@ INSERT INTO ${t} WITH x AS (SELECT 3 AS p, 4 AS q) SELECT p, q FROM x;
     return spark.table(name)
 
 
-def _replayed(spark, df: DataFrame, cuts: list, name: str):
-    """A stream of df's rows, a file and micro-batch for each of the conditions, in their order; and a folder for what comes of it."""
-    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for k, c in enumerate(cuts):
-        df.filter(c).coalesce(1).write.mode("append").parquet(f"{where}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"), where
+#: Whether a micro-batch without rows follows, for what the watermark lets go.
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _replayed(spark, name: str, build, *sources: tuple[DataFrame, list], write=None) -> DataFrame:
+    """What a stream gives. sources: frames and conditions; the k-th condition's rows of all frames come together, as files of a folder of their own, and are one
+    micro-batch of one run of the query, which goes on from its checkpoint; the last run ends with what the watermark then lets go. build: the stream's operators, from a stream per frame. write: starts another sink."""
+    where = scratch(spark, name)
+    streams = []
+    for k, (df, _) in enumerate(sources):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/in{k}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+        streams.append(spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{where}/in{k}"))
+    out = build(*streams)
+    runs = len(sources[0][1])
+    idle = spark.conf.get(_IDLE)
+    try:
+        for n in range(runs):
+            for k, (df, cuts) in enumerate(sources):
+                df.filter(cuts[n]).write.parquet(f"{where}/in{k}/cut{n}")
+            spark.conf.set(_IDLE, str(n == runs - 1).lower())
+            writer = out.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True)
+            with state_in_rocksdb(spark):
+                if write is not None:
+                    write(writer, where)
+                else:
+                    writer.format("parquet").option("path", f"{where}/out").outputMode("append").start().awaitTermination()
+    finally:
+        spark.conf.set(_IDLE, idle)
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
 
 
-def _finished(out: DataFrame, where: str) -> DataFrame:
-    spark = out.sparkSession
-    q = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{where}/out")
+def _updates(writer, where: str) -> None:
+    """A sink for update mode: all rows that the stream ever gave."""
+    writer.outputMode("update").foreachBatch(lambda batch, batch_id: batch.write.mode("append").parquet(f"{where}/out")).start().awaitTermination()
 
 
 @query("""SELECT event_type, window_start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, (SELECT max(ts) FROM events) AS latest FROM events WHERE ts >= TIMESTAMP '2024-01-15') WHERE window_start + INTERVAL 1 DAY <= latest - INTERVAL 12 HOUR GROUP BY ALL""")
@@ -565,24 +593,23 @@ def q_watermark_late(spark, d):
     """Rows of early days come in a third micro-batch, behind the watermark of the first, and count nowhere; windows that it hasn't passed are not given yet."""
     events = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     recent = F.col("ts") >= "2024-01-15"
-    stream, where = _replayed(spark, events, [recent & (F.col("event_id") % 2 == 0), recent & (F.col("event_id") % 2 == 1), ~recent], "late")
     w = F.window("ts", "1 day")
-    out = stream.withWatermark("ts", "12 hours").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
-    return _finished(out, where).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    build = lambda e: e.withWatermark("ts", "12 hours").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
+    out = _replayed(spark, "late", build, (events, [recent & (F.col("event_id") % 2 == 0), recent & (F.col("event_id") % 2 == 1), ~recent]))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("""SELECT event_type, window_start, rn AS total FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 5 = 0""")
 def q_count_trigger_stream(spark, d):
     events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    stream, where = _replayed(spark, events, [F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"], "counts")
-    out = stateful.count_trigger_stream(stream.withWatermark("ts", "40 days"), "event_type", "ts", "1 day")
-    return _finished(out, where).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    build = lambda e: stateful.count_trigger_stream(e.withWatermark("ts", "40 days"), "event_type", "ts", "1 day")
+    return _replayed(spark, "counts", build, (events, [F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"])).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(ORACLES["q_delta_trigger"].replace("SELECT user_id, event_id, n, firing FROM s", "SELECT user_id, n, firing FROM s"))
 def q_delta_trigger_stream(spark, d):
-    stream, where = _replayed(spark, odometer(spark, d), [F.col("ts") < "2024-01-10", F.col("ts") >= "2024-01-10"], "delta")
-    return _finished(stateful.delta_trigger_stream(stream, "user_id", "path", ["ts", "event_id"]), where)
+    build = lambda e: stateful.delta_trigger_stream(e, "user_id", "path", ["ts", "event_id"])
+    return _replayed(spark, "delta", build, (odometer(spark, d), [F.col("ts") < "2024-01-10", F.col("ts") >= "2024-01-10"]))
 
 
 @query("SELECT * FROM (VALUES ('map_to_string', 'udf', 'map_to_string(m MAP<STRING, STRING>)', 'STRING'), ('parse_special_udtf', 'udtf', 'parse_special_udtf(s STRING)', 'type STRING, value STRING')) AS v(name, kind, invocation, returns)")
@@ -598,3 +625,109 @@ def q_lineage_columns(spark, d):
     spark.range(0).select(F.lit(1).alias("who"), F.lit(1.0).alias("price")).createOrReplaceTempView(sink)
     found = insert_lineage(spark, f"INSERT INTO {sink} SELECT o_custkey, o_totalprice + o_custkey FROM {source}")
     return spark.createDataFrame([(x.source_column, x.sink_column, x.transform is None) for x in found], "source_column string, sink_column string, plain boolean")
+
+
+def _timed(spark, d, kind: str | None = None) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    return events if kind is None else events.filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")
+
+
+#: Two micro-batches that overlap by a day and a half: rows of the second come late, but within two days.
+_EARLY = "(ts < '2024-01-13 12:00:00' OR ts < '2024-01-15' AND event_id % 2 = 0)"
+_CUTS = [_EARLY, f"NOT {_EARLY}"]
+
+
+def _passed(*kinds: str) -> str:
+    """SQL of the watermark in the end: two days behind the least of the kinds' latest times, in milliseconds."""
+    return "least(" + ", ".join(f"(SELECT max(epoch_ms(ts)) FROM events{f' WHERE event_type = {k!r}' if k else ''})" for k in kinds) + ") - 172800000"
+
+
+@query(ORACLES["q_join_interval"])
+def q_join_interval_stream(spark, d):
+    late = lambda s: s.withWatermark("ts", "2 days")
+    build = lambda p, v: interval_join_stream(late(p), late(v), "user_id", "ts", "6 hours", "1 hour").select("event_id", "right_event_id")
+    return _replayed(spark, "interval", build, (_timed(spark, d, "purchase"), _CUTS), (_timed(spark, d, "view"), _CUTS))
+
+
+@query(f"""SELECT p.event_id, v.event_id AS right_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND v.ts >= p.ts - INTERVAL 6 HOUR AND v.ts <= p.ts + INTERVAL 1 HOUR
+WHERE v.event_id IS NOT NULL OR epoch_us(p.ts) + 3600000000 <= ({_passed('purchase', 'view')}) * 1000""")
+def q_join_interval_outer_stream(spark, d):
+    """Rows without a partner are given when the watermark has passed what they could meet; those of the last two days wait."""
+    late = lambda s: s.withWatermark("ts", "2 days")
+    build = lambda p, v: interval_join_stream(late(p), late(v), "user_id", "ts", "6 hours", "1 hour", "left").select("event_id", "right_event_id")
+    return _replayed(spark, "interval-outer", build, (_timed(spark, d, "purchase"), _CUTS), (_timed(spark, d, "view"), _CUTS))
+
+
+@query(f"SELECT a.* FROM ({ORACLES['q_asof']}) a JOIN events p USING (event_id) WHERE epoch_us(p.ts) <= ({_passed('purchase', 'view')}) * 1000")
+def q_temporal_join_stream(spark, d):
+    late = lambda s: s.withWatermark("ts", "2 days")
+    build = lambda p, v: temporal_join_stream(late(p), late(v), "user_id", "ts", ["event_id"], ["event_id"]).select("event_id", "right_event_id")
+    return _replayed(spark, "temporal", build, (_timed(spark, d, "purchase"), _CUTS), (_timed(spark, d, "view"), _CUTS))
+
+
+@query(f"""SELECT event_id, nth, round(running_sum, 3) AS running_sum, round(near_avg, 6) AS near_avg FROM (SELECT event_id, ts, row_number() OVER w AS nth, sum(value) OVER w AS running_sum, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near_avg
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE epoch_us(ts) <= ({_passed('')}) * 1000""")
+def q_over_stream(spark, d):
+    build = lambda e: over_stream(e.withWatermark("ts", "2 days"), ["user_id"], "ts", ["event_id"], "value", 2)
+    out = _replayed(spark, "over", build, (_timed(spark, d), _CUTS))
+    return out.select("event_id", "nth", F.round("running_sum", 3).alias("running_sum"), F.round("near_avg", 6).alias("near_avg"))
+
+
+@query(f"SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) AS nth FROM events) WHERE nth <= 5 AND epoch_us(ts) <= ({_passed('')}) * 1000")
+def q_rate_limit_stream(spark, d):
+    build = lambda e: rate_limited_stream(e.withWatermark("ts", "2 days"), [], "ts", ["event_id"], "1 hour", 5).select("event_id", "event_type")
+    return _replayed(spark, "rate", build, (_timed(spark, d), _CUTS))
+
+
+@query("""WITH c AS (SELECT *, ts < TIMESTAMP '2024-01-20' AS had, event_id % 3 = 0 OR value > 120 AS gone FROM events),
+r AS (SELECT event_type, value FROM c WHERE NOT (had AND gone))
+SELECT k.event_type, count(value) AS n, count(DISTINCT value) AS kinds, min(value) AS least, max(value) AS most, list_sort(list(value) FILTER (value IS NOT NULL), 'DESC')[2] AS second FROM (SELECT DISTINCT event_type FROM events) k LEFT JOIN r USING (event_type) GROUP BY k.event_type""")
+def q_changelog_aggregates(spark, d):
+    """Early rows, then later ones together with what is taken back of the early ones: a third of them, and all high values."""
+    e = _timed(spark, d)
+    gone = (F.col("ts") < "2024-01-20") & ((F.col("event_id") % 3 == 0) | (F.col("value") > 120))
+    changes = e.withColumn("op", F.lit("+")).unionByName(e.filter(gone).withColumn("op", F.lit("-")))
+    cuts = [(F.col("ts") < "2024-01-20") & (F.col("op") == "+"), (F.col("ts") >= "2024-01-20") | (F.col("op") == "-")]
+    build = lambda s: changelog_aggregates(s, "event_type", "value", F.col("op") == "-")
+    out = _replayed(spark, "changelog", build, (changes, cuts), write=_updates)
+    return B.keep_last(out, "event_type", ["changes"]).drop("changes")
+
+
+@query("""WITH w AS (SELECT max(epoch_ms(ts)) - 43200000 AS first FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_id % 2 = 0), u AS (SELECT max(epoch_ms(ts)) - 43200000 AS last FROM events WHERE ts >= TIMESTAMP '2024-01-10' OR event_id % 2 = 1),
+e AS (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS window_start, epoch_ms(time_bucket(INTERVAL 1 DAY, ts)) + 86400000 AS ends, ts >= TIMESTAMP '2024-01-10' AND event_id % 2 = 0 AS early FROM events WHERE ts >= TIMESTAMP '2024-01-10' OR event_id % 2 = 1),
+r AS (SELECT *, NOT early AND ends <= first AS late, NOT early AND ends + 1036800000 <= first AS lost FROM e, w),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, window_start ORDER BY late, ts, event_id) AS n, round(sum(value) OVER (PARTITION BY event_type, window_start ORDER BY late, ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total, count(*) OVER (PARTITION BY event_type, window_start) AS alls, count_if(NOT late) OVER (PARTITION BY event_type, window_start) AS timely FROM r WHERE NOT lost)
+SELECT event_type, window_start, n, total, CASE WHEN late THEN n - timely + CAST(timely > 0 AS INTEGER) ELSE 1 END AS firing, NULL AS late_id FROM k, u WHERE late OR n = timely AND ends <= last
+UNION ALL SELECT event_type, window_start, NULL, NULL, NULL, event_id FROM r WHERE lost""")
+def q_allowed_lateness(spark, d):
+    """Windows of a day, twelve days of lateness. The second micro-batch has rows in time, late rows that fire their window again, and rows for the side output."""
+    early = (F.col("ts") >= "2024-01-10") & (F.col("event_id") % 2 == 0)
+    cuts = [early, (F.col("event_id") % 2 == 1)]
+    build = lambda e: windows_with_lateness(e.withWatermark("ts", "12 hours"), ["event_type"], "ts", ["event_id"], "value", "1 day", "12 days")
+    out = _replayed(spark, "lateness", build, (_timed(spark, d), cuts))
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"), "firing", F.get_json_object("late_row", "$.event_id").cast("bigint").alias("late_id"))
+
+
+@query("SELECT 'a' AS sink, event_id, event_type AS dt FROM events UNION ALL SELECT 'b', event_id, NULL FROM events WHERE value > 50")
+def q_exactly_once_stream(spark, d):
+    """Two sinks of one stream, the second of which fails once in each micro-batch, when the first has written: restarted, both have each row once."""
+    failed: set[int] = set()
+
+    def write(writer, where: str) -> None:
+        ledger = Ledger(spark, f"{where}/ledger")
+        a, b = OnceFiles(f"{where}/a", ledger, partition=["dt"]), OnceFiles(f"{where}/b", ledger)
+
+        def broken(batch: DataFrame, batch_id: int) -> None:
+            if batch_id not in failed:
+                failed.add(batch_id)
+                raise OSError("the other side is down")
+            b(batch.filter("value > 50"), batch_id)
+
+        each = fan_out([lambda batch, batch_id: a(batch, batch_id), broken])
+        supervised(lambda: writer.foreachBatch(each).start(), 3, 0)
+        spark.read.parquet(f"{where}/a").select(F.lit("a").alias("sink"), "event_id", F.col("dt").cast("string").alias("dt")).unionByName(spark.read.parquet(f"{where}/b").select(F.lit("b").alias("sink"), "event_id", F.lit(None).cast("string").alias("dt"))).write.mode("overwrite").parquet(f"{where}/out")
+
+    rows = _timed(spark, d).withColumn("dt", F.col("event_type"))
+    where: list[str] = []
+    _replayed(spark, "once", lambda s: s, (rows, [F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"]), write=lambda writer, at: (where.append(at), write(writer, at)))
+    return spark.read.parquet(f"{where[0]}/out")

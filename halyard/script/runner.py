@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from halyard.script.rewrites import rewrite_query
 from halyard.script.splitter import read_script, split_script
 from halyard.script.tokens import name_at, quoted, significant, unquoted
 from halyard.sources.connectors import read_table
+from halyard.streaming.exactly_once import Ledger, OnceFiles, OnceJdbc, once
 from halyard.streaming.sinks import PartitionCommit, fan_out, jdbc_sink, seconds, supervised_all
 
 #: Nodes of a plan that treats each row by itself, so a micro-batch gives what the whole stream would.
@@ -139,11 +141,12 @@ class Runner:
         self.spark.sql(f"DROP TABLE {'IF EXISTS ' if exists or declared else ''}{quoted(parts)}")
 
     def _insert_all(self, statements: list[str]):
-        """One insert, or a set as one job.
+        """One insert, or a set.
 
-        Batch: a view over a connector that several inserts read is read once and persisted (on disk where memory doesn't hold it) until the set is
-        done; stored tables are scanned by each insert with its own columns and filters. Streams: inserts that treat each row of the same
-        view by itself share one query, which reads each micro-batch once for all of them; others (aggregates, joins, distinct rows) have a query each.
+        Batch: each insert is a job; a view over a connector that several of them read is read once and persisted (on disk where memory doesn't hold it) until
+        the set is done, and stored tables are scanned by each insert with its own columns and filters. Streams: inserts that treat each row of the same
+        view by itself share one query, which reads each micro-batch once for all of them and gives it to each once, also when it is replayed; others
+        (aggregates, joins, distinct rows) have a query each.
         """
         inserts = [parse_insert(s) for s in statements]
         frames = [self.spark.sql(i.query) for i in inserts]
@@ -212,7 +215,10 @@ class Runner:
         """A database is written at the end of each micro-batch, so sink.flush-interval is the trigger's; which shard takes a row is the server's to say."""
         o = table.options
         if o.get("connector") == "clickhouse":
-            return jdbc_sink(o["url"].replace("clickhouse://", "jdbc:clickhouse://"), o["table-name"], int(o.get("sink.batch-size", 20_000)), int(o.get("sink.max-retries", 3)), {"user": o.get("username", ""), "password": o.get("password", "")})
+            url, login = o["url"].replace("clickhouse://", "jdbc:clickhouse://"), {"user": o.get("username", ""), "password": o.get("password", "")}
+            if o.get("sink.exactly-once", "false").lower() == "true":  # for databases with transactions
+                return OnceJdbc(url, o["table-name"], f"{self.checkpoints}/{table.name}", {k: v for k, v in login.items() if v}, int(o.get("sink.batch-size", 20_000)))
+            return jdbc_sink(url, o["table-name"], int(o.get("sink.batch-size", 20_000)), int(o.get("sink.max-retries", 3)), login)
         if o.get("connector") == "print":
             return lambda batch, batch_id: batch.show(truncate=False)
         return lambda batch, batch_id: batch.write.format("noop").mode("overwrite").save()
@@ -237,23 +243,47 @@ class Runner:
     def _location(self, i: Insert) -> str:
         return self.spark.sql(f"DESCRIBE FORMATTED {quoted(i.parts)}").filter("col_name = 'Location'").first()[1]
 
-    def _committer(self, i: Insert, delay: str) -> PartitionCommit:
+    def _committer(self, i: Insert, delay: str, ledger: Ledger, name: str) -> PartitionCommit:
         table = self.tables[i.name]
         o = table.properties | table.options
-        return PartitionCommit(self._location(i), table.stored_as or "parquet", table.partitions[-1], seconds(o.get("sink.partition-commit.delay", "0 s")), seconds(delay), o.get("sink.partition-commit.watermark-time-zone", "UTC"), quoted(i.parts))
+        return PartitionCommit(self._location(i), table.stored_as or "parquet", table.partitions[-1], seconds(o.get("sink.partition-commit.delay", "0 s")), seconds(delay), o.get("sink.partition-commit.watermark-time-zone", "UTC"), quoted(i.parts), ledger=ledger, name=name)
+
+    def _stored_once(self, i: Insert, ledger: Ledger, name: str) -> Callable[[DataFrame, int], None] | None:
+        """Files of a stored table that the script declared, each micro-batch once; None where only a statement of Spark's can write the table."""
+        table = self.tables.get(i.name)
+        fmt = (table.stored_as or "parquet").lower() if table is not None else None
+        if fmt not in ("parquet", "orc") or i.overwrite:
+            return None
+        sink = OnceFiles(self._location(i), ledger, name, fmt, table.partitions)
+
+        def write(df: DataFrame, batch_id: int) -> None:
+            kinds = dict(self.spark.table(quoted(i.parts)).dtypes)
+            named = self._named(i, df)
+            for part in sink(named.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in kinds]), batch_id):
+                spec = ", ".join(f"`{k}` = '{unquote(v)}'" for k, _, v in (x.partition("=") for x in part.split("/")))
+                self.spark.sql(f"ALTER TABLE {quoted(i.parts)} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{sink.path}/{part}'")
+            self.spark.catalog.refreshTable(quoted(i.parts))
+
+        return write
 
     def _many(self, view: str, group: list[Insert]) -> Callable[[], object]:
         """Starts one query over a view for several inserts; event time for partition commits is that of the view's watermark column."""
         source = self.tables.get(view)
         mark = source.watermark if source is not None else None
+        name = "+".join(sorted(re.sub(r"\W", "_", i.name) for i in group))
+        ledger = Ledger(self.spark, f"{self.checkpoints}/{name}-ledger")
         sinks = []
-        for i in group:
-            commit = self._committer(i, mark.delay if mark else "0 seconds") if self._commits(self.tables.get(i.name)) else None
-
-            def write(batch: DataFrame, batch_id: int, i: Insert = i, commit: PartitionCommit | None = commit) -> None:
+        for k, i in enumerate(group):
+            own = f"{k} {i.name}"
+            commit = self._committer(i, mark.delay if mark else "0 seconds", ledger, own) if self._commits(self.tables.get(i.name)) else None
+            target = self.tables.get(i.name)
+            stored = None if commit is not None or target is not None and self._is_sink(target) else self._stored_once(i, ledger, own)
+            plain = once(lambda df, batch_id, i=i: self._write(i, df, batch_id), ledger, own)
+
+            def write(batch: DataFrame, batch_id: int, i: Insert = i, commit: PartitionCommit | None = commit, give=stored or plain) -> None:
                 df = batch.sparkSession.sql(i.query)
                 if commit is None:
-                    self._write(i, df, batch_id)
+                    give(df, batch_id)
                 else:
                     newest = batch.agg(F.max(F.unix_micros(F.col(mark.column).cast("timestamp")))).first()[0] if mark else None
                     commit(self._named(i, df), batch_id, newest / 1e6 if newest is not None else None)
@@ -265,20 +295,19 @@ class Runner:
             batch.createOrReplaceTempView(view)  # in the query's own session
             every(batch, batch_id)
 
-        name = "+".join(sorted(re.sub(r"\W", "_", i.name) for i in group))
         return lambda: self.spark.table(view).writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger).foreachBatch(each).start()
 
     def _one(self, i: Insert) -> Callable[[], object]:
         """Starts a query for one insert, made anew at each start."""
-        target = self.tables.get(i.name)
+        target, name = self.tables.get(i.name), re.sub(r"\W", "_", i.name)
 
         def start():
             df = self._named(i, self.spark.sql(i.query))
-            out = df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{re.sub(r'\W', '_', i.name)}").trigger(**self.trigger)
+            out = df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger)
             if target is not None and self._is_sink(target):
-                return out.foreachBatch(self._sink(target)).start()
+                return out.foreachBatch(once(self._sink(target), Ledger(self.spark, f"{self.checkpoints}/{name}-ledger"), i.name)).start()
             if self._commits(target):  # the partition's own time stands for event time
-                commit = self._committer(i, "0 seconds")
+                commit = self._committer(i, "0 seconds", Ledger(self.spark, f"{self.checkpoints}/{name}-ledger"), i.name)
                 at = F.unix_seconds(F.max(F.try_to_timestamp(F.col(f"`{target.partitions[-1]}`").cast("string"))))
                 return out.foreachBatch(lambda b, k: commit(b, k, b.agg(at).first()[0])).start()
             return out.format((target.stored_as if target else None) or "parquet").toTable(quoted(i.parts))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_scratch: list[tuple[SparkSession, str]] = []
 
 
 def session(app: str = "halyard", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,6 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _clear() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; the folder's owner clears it
+            return
+
+
+atexit.register(_clear)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Sends this package to the executors, unless their Python path has it."""
     root = Path(__file__).resolve().parent

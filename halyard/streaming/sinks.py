@@ -6,10 +6,13 @@ import re
 import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.streaming.exactly_once import Ledger, OnceFiles
+
 
 def _touch(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,12 +36,14 @@ class PartitionCommit:
     """foreachBatch sink: appends files by partition day, and marks a day done when event time has passed its end by the delay and the watermark's.
 
     Done means a _SUCCESS file in the day's folder and, with a table name, the partition in the catalog. Days that were open when a query
-    ended are found again in the folder, as those without such a file; delivery is at least once, as with any appending file sink.
+    ended are found again in the folder, as those without such a file. With a ledger a micro-batch's rows are there once, however often it is
+    replayed; without one, at least once, as with any appending file sink.
     """
 
-    def __init__(self, path: str, fmt: str = "parquet", partition: str = "dt", delay_s: float = 0, watermark_s: float = 0, zone: str = "UTC", table: str | None = None, compression: str = "snappy") -> None:
+    def __init__(self, path: str, fmt: str = "parquet", partition: str = "dt", delay_s: float = 0, watermark_s: float = 0, zone: str = "UTC", table: str | None = None, compression: str = "snappy", ledger: Ledger | None = None, name: str | None = None) -> None:
         self.path, self.format, self.partition, self.table = path.rstrip("/"), fmt, partition, table
         self.delay_s, self.zone, self.compression = delay_s + watermark_s, zone, compression
+        self.once = OnceFiles(path, ledger, name, fmt, [partition], {"compression": compression}) if ledger is not None else None
         self.open: set[str] | None = None
         self.latest: float | None = None
 
@@ -47,13 +52,16 @@ class PartitionCommit:
         spark = batch.sparkSession
         if self.open is None:
             self.open = self._left_open(spark)
-        batch.persist()
-        try:
-            batch.write.mode("append").format(self.format).option("compression", self.compression).partitionBy(self.partition).save(self.path)
-            days = [r[0] for r in batch.select(F.col(self.partition).cast("string")).distinct().collect()]  # a row per day in a micro-batch
-        finally:
-            batch.unpersist()
-        self.open.update(d for d in days if d is not None)
+        if self.once is not None:
+            days = [unquote(x.partition("=")[2]) for x in self.once(batch, batch_id)]
+        else:
+            batch.persist()
+            try:
+                batch.write.mode("append").format(self.format).option("compression", self.compression).partitionBy(self.partition).save(self.path)
+                days = [r[0] for r in batch.select(F.col(self.partition).cast("string")).distinct().collect()]  # a row per day in a micro-batch
+            finally:
+                batch.unpersist()
+        self.open.update(d for d in days if d is not None and d != "__HIVE_DEFAULT_PARTITION__")
         if newest is not None:
             self.latest = max(self.latest or 0, newest)
         self.commit(spark)
