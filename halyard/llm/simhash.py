@@ -26,6 +26,8 @@ COPY_WORDS, SIMILAR = 5, 0.8
 FIRST, REACH, SURE = 20, 62, 32
 #: The order of shingles: documents of the sample that it is taken from, about, and shingles that it knows to be common.
 SAMPLE, COMMON = 20_000, 400_000
+#: Words of the bit map that is dealt with a prefix at most.
+MAP = 32
 #: Shingles of one part of the prefixes, about; documents dealt and pairs looked at at once; bytes of a batch of texts or sets.
 SHARE, DEAL, LOOK, BATCH = 1 << 18, 1 << 12, 1 << 18, 4 << 20
 MIXERS = np.array([0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -91,6 +93,16 @@ def least_apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, y.size), axis=0) ^ y).sum())
 
 
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A parity map, or rows of them, in so many words at most: entries of both halves fall together as by one bit less of their hashes."""
+    return x if x.shape[-1] <= words else np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, words), axis=-2)
+
+
+def map_words(size: int) -> int:
+    """Words of the map that goes with a prefix: one or two bits an entry, half as many as the whole map has, up to MAP."""
+    return min(MAP, max(1, (1 << int(size - 1).bit_length()) // 64 if size > 1 else 1))
+
+
 @giving_back
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that may be similar: similar sets of m and n entries have (m + n) / 9 at most that just one of them has."""
@@ -138,53 +150,95 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return entries[order], counts[order]
 
 
-_PACKED = {"entries": "<u8", "nodes": "<i8", "labels": "<i8", "sizes": "<i4", "places": "<i4"}
+#: A block's entries, with their places and the number of their document in the block; its documents, with the words of their maps end to end.
+_PACKED = {"entries": "<u8", "places": "<i4", "docs": "<i4", "nodes": "<i8", "labels": "<i8", "sizes": "<i4", "maps": "<u8"}
 
 
 def _dealt(ways: int):
-    """Prefixes (node, label, size, prefix) to packed blocks of their entries, by part."""
+    """Prefixes (node, label, size, prefix, parity) to packed blocks of their entries, by part; a block has each of its documents once, with its bit map."""
     @giving_back
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, DEAL) for at in range(0, whole.num_rows, DEAL)):
                 prefixes = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("prefix")]
+                sizes = batch.column("size").to_numpy()
+                maps = [folded(np.frombuffer(x.as_buffer(), "<u8"), map_words(n)) for x, n in zip(batch.column("parity"), sizes.tolist())]
                 lengths = np.array([x.size for x in prefixes])
                 entries = np.concatenate(prefixes)
                 parts = (entries % np.uint64(ways)).astype(np.int64)
                 order = np.argsort(parts, kind="stable")
                 doc = np.repeat(np.arange(lengths.size), lengths)[order]
                 place = (np.arange(entries.size) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
-                of = {"entries": entries[order], "places": place} | {f"{n}s": batch.column(n).to_numpy()[doc] for n in ("node", "label", "size")}
+                entries = entries[order]
+                of = {f"{n}s": batch.column(n).to_numpy() for n in ("node", "label", "size")}
                 which, starts = np.unique(parts[order], return_index=True)
-                ends = [*starts[1:].tolist(), entries.size]
-                cut = [pa.array([of[n][a:b].astype(kind).tobytes() for a, b in zip(starts.tolist(), ends)], pa.binary()) for n, kind in _PACKED.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *cut], ["part", *_PACKED])
+                rows: list[list[bytes]] = []
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), entries.size]):
+                    mine, number = np.unique(doc[a:b], return_inverse=True)
+                    got = {"entries": entries[a:b], "places": place[a:b], "docs": number, **{n: x[mine] for n, x in of.items()}, "maps": np.concatenate([maps[k] for k in mine.tolist()])}
+                    rows.append([got[n].astype(kind).tobytes() for n, kind in _PACKED.items()])
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["part", *_PACKED])
 
     return deal
 
 
+class _Maps:
+    """The bit maps of all documents of a task, by their width."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        widths = np.array([map_words(n) for n in range(int(sizes.max()) + 1)] if sizes.max() < 1 << 16 else [0])
+        self.width = widths[sizes] if widths.size > 1 else np.array([map_words(n) for n in sizes.tolist()])
+        self.size = sizes
+        starts = np.cumsum(self.width) - self.width
+        self.row = np.zeros(sizes.size, np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            some = np.flatnonzero(self.width == w)
+            self.row[some] = np.arange(some.size)
+            self.of[w] = flat[starts[some][:, None] + np.arange(w)]
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False where the documents a[k] and b[k] can't be similar by their maps."""
+        out = np.ones(a.size, bool)
+        both = self.width[a] * (MAP + 1) + self.width[b]
+        for pair in np.unique(both).tolist():
+            some = np.flatnonzero(both == pair)
+            v, w = divmod(pair, MAP + 1)
+            x, y = folded(self.of[v][self.row[a[some]]], min(v, w)), folded(self.of[w][self.row[b[some]]], min(v, w))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            out[some] = 9 * apart <= self.size[a[some]] + self.size[b[some]]
+        return out
+
+
 @giving_back
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of nodes of different labels whose prefixes share an entry at places that leave enough entries to be similar.
+    """Pairs a < b of nodes of different labels whose prefixes share an entry at places that leave enough entries to be similar, and whose bit maps don't rule it out.
 
     Sets of m and n entries are similar if they share (m + n) * 4 / 9 or more. Of their common entries the first in order has all others behind it
-    in both, so its place is at most the size less that number in either set.
+    in both, so its place is at most the size less that number in either set. What meets in many places is looked at here, and only what may be
+    similar leaves the task.
     """
     blocks = [batch for batch in batches if batch.num_rows]
     if not blocks:
         return
-    entries, nodes, labels, sizes, places = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for batch in blocks for x in batch.column(n)]) for n, kind in _PACKED.items())
-    order = np.lexsort((labels, entries))
-    entries, nodes, labels, sizes, places = (x[order] for x in (entries, nodes, labels, sizes.astype(np.int64), places))
-    del blocks, order
+    read = lambda n: [np.frombuffer(x.as_buffer(), _PACKED[n]) for batch in blocks for x in batch.column(n)]
+    before = np.cumsum([0, *(x.size for x in read("nodes"))])
+    docs = np.concatenate([x + n for x, n in zip(read("docs"), before.tolist())])
+    entries, places, nodes, labels, sizes, maps = (np.concatenate(read(n)) for n in ("entries", "places", "nodes", "labels", "sizes", "maps"))
+    del blocks
+    order = np.lexsort((labels[docs], entries))
+    entries, places, docs = entries[order], places[order], docs[order]
+    sizes, label = sizes.astype(np.int64), labels[docs]
+    known = _Maps(sizes, maps)
 
     def ends(new: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(new)
         return np.repeat(np.append(starts[1:], new.size), np.diff(np.append(starts, new.size)))
 
     group = np.append(True, entries[1:] != entries[:-1])
-    after = ends(group | np.append(True, labels[1:] != labels[:-1]))
+    after = ends(group | np.append(True, label[1:] != label[:-1]))
     others = ends(group) - after
+    del entries, label, order
     rows = np.flatnonzero(others)
     upto = np.cumsum(others[rows])
     at = 0
@@ -193,9 +247,12 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = rows[at:to]
         a = np.repeat(some, others[some])
         b = np.arange(a.size) - np.repeat(np.cumsum(others[some]) - others[some], others[some]) + after[a]
-        share = -(-4 * (sizes[a] + sizes[b]) // 9)
-        near = (places[a] <= sizes[a] - share) & (places[b] <= sizes[b] - share)
-        x, y = nodes[a[near]], nodes[b[near]]
+        x, y = docs[a], docs[b]
+        share = -(-4 * (sizes[x] + sizes[y]) // 9)
+        near = (places[a] <= sizes[x] - share) & (places[b] <= sizes[y] - share)
+        x, y = x[near], y[near]
+        near = known.possible(x, y)
+        x, y = nodes[x[near]], nodes[y[near]]
         pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
         at = to
@@ -398,13 +455,14 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def _meetings(prints: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs a, b of nodes that found (node, label) has not joined: all that are similar, and some that aren't.
 
-    Pairs that share an entry of their prefixes are many and sets are long, so bit maps, a sixteenth to a thirty-second of the sets, rule most out.
+    Pairs that share an entry of their prefixes are many and sets are long, so bit maps rule most out: small ones in the task where prefixes meet, so that of a
+    group of many alike texts only what may be similar leaves it, then whole ones, a sixteenth to a thirty-second of the sets.
     """
     spark = prints.sparkSession
-    sets = prints.filter("size > 0").select("node", "size", "prefix").dropDuplicates(["node"])
+    sets = prints.filter("size > 0").select("node", "size", "prefix", "parity").dropDuplicates(["node"])
     total = prints.agg(F.sum(F.expr("size div 5 + 1"))).first()[0] or 0
     ways = max(shuffle_partitions(spark), -(-total // SHARE))
-    labelled = sets.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "prefix")
+    labelled = sets.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "prefix", "parity")
     dealt = labelled.mapInArrow(_dealt(ways), "part int, " + ", ".join(f"{n} binary" for n in _PACKED))
     pairs = frozen(dealt.repartition(ways, "part").mapInArrow(_meeting, "a long, b long").distinct(), "meetings")
     maps = prints.select("node", "size", "parity").dropDuplicates(["node"])

@@ -84,7 +84,7 @@ OPERATORS = {
     "drop_toxic": ("some", lambda s, d: toxicity.drop_toxic(d, labels(s))),
 }
 #: Names that operators use inside.
-CLASHES = "id _id _text _html rid size row key line_no check new bands at kind pos of ref caption items html media digest fp least label root component_id fingerprint toxic _toxic _key _h _l _s _c _doc _own_0 _kept_0 _nth _size _class _cell _hash _copies _rank source_size target taken copies _digest _bytes _check _row _run _block _norm _first _members kept severity grade p_toxic rejected spans n_bytes found text_sha256 start length sequence_id offset url n_chars part mask digest bytes n good first leads salt cells g idx hash group leaf later parent run path upper inside before conv turn tie place ids loss_mask n_ids role".split()
+CLASHES = "id _id _text _html rid size row key line_no check new bands at kind pos of ref caption items html media digest fp least label root component_id fingerprint toxic _toxic _key _h _l _s _c _doc _own_0 _kept_0 _nth _size _class _cell _hash _copies _rank source_size target taken copies _digest _bytes _check _row _run _block _norm _first _members kept severity grade p_toxic rejected spans n_bytes found text_sha256 start length sequence_id offset url n_chars part mask bytes n good first leads salt cells g idx hash group leaf later parent run path upper inside before conv turn tie place ids loss_mask n_ids role".split()
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -237,6 +237,59 @@ def test_near_copies_misses_no_link(spark):
     assert len(set(got.values())) == len(set(want.values()))
 
 
+def test_maps_rule_out_no_similar_pair():
+    """Maps of any width, folded to the smaller, against the sets themselves."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 2, 3, 60, 63, 64, 65, 130, 500, 1000, 1100, 3000, 5000):
+        base = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        for changed in (0, 1, size // 12, size // 6, size):
+            sets.append(np.unique(np.concatenate((base[changed:], rng.integers(0, 2**64, changed, np.uint64)))))
+    sizes = np.array([x.size for x in sets])
+    known = simhash._Maps(sizes, np.concatenate([simhash.folded(simhash.parity(x), simhash.map_words(x.size)) for x in sets]))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = known.possible(a, b)
+    both = np.array([np.intersect1d(sets[i], sets[j]).size for i, j in zip(a, b)])
+    similar = 5 * both >= 4 * (sizes[a] + sizes[b] - both)
+    alike = (np.minimum(sizes[a], sizes[b]) >= 0.8 * np.maximum(sizes[a], sizes[b])) & (sizes[a] >= 60) & (sizes[a] <= 1100)
+    assert got[similar].all() and got[~similar & alike & (both == 0)].mean() < 0.1
+
+
+def test_alike_pages_leave_the_task_only_where_they_may_be_similar(spark):
+    """Pages of five templates, 0.7 to 0.9 of whose words are the template's: what meets by a shared shingle is many times what may be similar."""
+    pick = random.Random(7)
+    frames = [[f"t{k}_{n}" for n in range(240)] for k in range(5)]
+    texts = []
+    for n in range(500):
+        frame, own = frames[n % 5], [f"o{pick.randrange(10**6)}" for _ in range(pick.choice((20, 40, 80)))]
+        texts.append((n, " ".join([*own[:10], *frame, *own[10:]])))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = df.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("_text"), F.xxhash64("doc_id").alias("_key"))
+    none = np.zeros(0, np.uint64)
+    kinds = "id long, _key long, node long, check long, fp long, f1 long, f2 long, f3 long, size int, prefix binary, parity binary"
+    prints = common.frozen(rows.mapInArrow(simhash._sketches(none, none), kinds), "prints")
+    apart = spark.createDataFrame([], "node long, label long")
+    seen = []
+    frozen, simhash_frozen = common.frozen, simhash.frozen
+    met = []
+
+    def counted(frame, name, **how):
+        seen.append((name, frozen(frame, name, **how)))
+        met.append(seen[-1][1].count())
+        return seen[-1][1]
+
+    simhash.frozen = counted
+    try:
+        possible = simhash._meetings(prints, apart).count()
+    finally:
+        simhash.frozen = simhash_frozen
+    size = {r["node"]: (r["size"], np.frombuffer(r["parity"], "<u8")) for r in prints.collect()}
+    nodes = sorted(size)
+    by_maps = sum(9 * simhash.least_apart(size[a][1], size[b][1]) <= size[a][0] + size[b][0] for i, a in enumerate(nodes) for b in nodes[i + 1 :])
+    assert [n for n, _ in seen] == ["meetings", "possible"] and 0 < possible <= by_maps
+    assert met[0] <= 2 * possible and met[0] < 0.5 * 5 * 100 * 99 / 2  # a class has 100 pages
+
+
 def test_spanning_edges():
     rng = np.random.default_rng(8)
     a, b = rng.integers(0, 300, (2, 400))
