@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.session import scratch
+
 
 def flatten(df: DataFrame, struct: str, keep: list[str] | None = None) -> DataFrame:
     """All fields of a struct as columns, in one projection made from the schema."""
@@ -204,3 +206,38 @@ def cumulate(df: DataFrame, ts: str, step: str, size: str, keys: list[str], aggs
     stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     wide = df.withColumn("window_start", stamp(at - inside)).withColumn("window_end", F.explode(F.transform(ends, stamp)))
     return wide.groupBy(*keys, "window_start", "window_end").agg(*aggs)
+
+
+def session_rows(df: DataFrame, ts: str, gap: str, keys: list[str] | None = None) -> DataFrame:
+    """df with window_start and window_end (of ts's type; the last row's time plus gap) of each row's session: rows that follow each other by at most gap. Rows without a time go.
+
+    No window runs over all rows, or all of a key: rows are dealt to range partitions of keys and time, written once, and gaps are found inside each.
+    Only the first and last session of a partition and key can go on beyond it; these, two rows at most for each, are joined to chains in the order of
+    partitions, and what a chain covers is joined back. A time that a third of all rows share is dealt to several partitions too.
+    """
+    keys, length, spark = keys or [], micros(gap), df.sparkSession
+    own = [f"_k{n}" for n in range(len(keys))]
+    rows = df.select(F.struct(*df.columns).alias("_row"), *[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)], F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).filter("_us is not null")
+    order = [*own, "_us", "_n"]
+    dealt = rows.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    path = scratch(spark, "sessions")
+    dealt.write.parquet(path)
+    parts = spark.read.schema(dealt.schema).parquet(path)
+    of = ["_part", *own]
+    inside = Window.partitionBy(*of).orderBy("_us")
+    new = F.when(F.col("_us") <= F.lag("_us").over(inside) + length, 0).otherwise(1)
+    cut = parts.withColumn("_new", new).withColumn("_s", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = cut.groupBy(*of, "_s").agg(F.min("_us").alias("_from"), F.max("_us").alias("_to"))
+    border = spans.withColumn("_last", F.max("_s").over(Window.partitionBy(*of))).filter("_s = 1 or _s = _last")
+    along = Window.partitionBy(*own).orderBy("_part", "_s")  # two rows at most for each partition
+    goes_on = F.col("_from") <= F.lag("_to").over(along) + length
+    chains = border.withColumn("_chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*own, "_chain")
+    ends = chains.select(*[F.col(c).alias(f"{c}_of") for c in (*of, "_s")], F.min("_from").over(whole).alias("_begin"), F.max("_to").over(whole).alias("_end"))
+    local = Window.partitionBy(*of, "_s")
+    mine = cut.withColumn("_from", F.min("_us").over(local)).withColumn("_to", F.max("_us").over(local))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*of, "_s")]
+    kind = dict(df.dtypes)[ts]
+    stamp = lambda c: F.timestamp_micros(c).cast(kind)
+    joined = mine.join(ends, on, "left")
+    return joined.select("_row.*", stamp(F.coalesce("_begin", "_from")).alias("window_start"), stamp(F.coalesce("_end", "_to") + length).alias("window_end"))

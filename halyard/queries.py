@@ -355,10 +355,14 @@ def q_cumulate(spark, d):
     return B.cumulate(table(spark, d, "events"), "ts", "6 hours", "1 day", [], [F.count("*").alias("n")])
 
 
-@query("SELECT * FROM (VALUES ('INSERT INTO a SELECT * FROM b JOIN c ON b.x = c.x', 'a', 'b,c'), ('WITH t AS (SELECT 1 FROM s) SELECT * FROM t, u', '', 's,u')) AS v(statement, target, sources)")
+@query("""SELECT 'INSERT INTO of_' || event_type || ' SELECT e.* FROM events e JOIN known_' || event_type || ' k ON e.user_id = k.user_id' AS statement, 'of_' || event_type AS target, 'events,known_' || event_type AS sources, count(*) AS n_rows FROM events GROUP BY event_type
+UNION ALL SELECT 'WITH t AS (SELECT * FROM events) SELECT * FROM t, log_' || event_type, '', 'events,log_' || event_type, count(*) FROM events GROUP BY event_type""")
 def q_lineage_tables(spark, d):
-    found = [table_lineage(spark, s) for s in ("INSERT INTO a SELECT * FROM b JOIN c ON b.x = c.x", "WITH t AS (SELECT 1 FROM s) SELECT * FROM t, u")]
-    return spark.createDataFrame([(x.statement, x.target or "", ",".join(sorted(x.sources))) for x in found], "statement string, target string, sources string")
+    """Two statements for each kind of event that the table has: what they write and read, and how many rows that kind has."""
+    kinds = table(spark, d, "events").groupBy("event_type").count().collect()  # a row a kind
+    made = [(s.format(k["event_type"]), k["count"]) for k in kinds for s in ("INSERT INTO of_{0} SELECT e.* FROM events e JOIN known_{0} k ON e.user_id = k.user_id", "WITH t AS (SELECT * FROM events) SELECT * FROM t, log_{0}")]
+    found = [(x.statement, x.target or "", ",".join(sorted(x.sources)), n) for s, n in made for x in (table_lineage(spark, s),)]
+    return spark.createDataFrame(found, "statement string, target string, sources string, n_rows long")
 
 
 @query("SELECT o_orderkey, c_name FROM (SELECT * FROM customer WHERE c_acctbal > 0) RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON o_custkey = c_custkey")
@@ -497,6 +501,13 @@ def q_script_session(spark, d):
     return spark.sql(rewrite_query(f"SELECT user_id, window_start, window_end, count(*) AS n FROM TABLE(SESSION(TABLE {e} PARTITION BY user_id, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY user_id, window_start, window_end"))
 
 
+@query("""SELECT event_id, min(ts) OVER (PARTITION BY s) AS window_start, max(ts) OVER (PARTITION BY s) + INTERVAL 5 MINUTE AS window_end FROM (SELECT *, sum(gap) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, ts, CAST(coalesce(ts > lag(ts) OVER (ORDER BY ts, event_id) + INTERVAL 5 MINUTE, true) AS INTEGER) AS gap FROM events))""")
+def q_script_session_all(spark, d):
+    """A session table without keys, whose sessions run over the borders of range partitions."""
+    e = _script_events(spark, d, "sessions")
+    return Runner(spark).execute(f"SELECT event_id, window_start, window_end FROM TABLE(SESSION(TABLE {e}, DESCRIPTOR(ts), INTERVAL '5' MINUTE))")
+
+
 def _script(spark, d, streaming: bool) -> DataFrame:
     """A script with a source, two stored sinks and a statement set; the rows of both sinks."""
     name, where = f"s{uuid.uuid4().hex}", scratch(spark, "script")
@@ -537,16 +548,16 @@ def q_script_stream(spark, d):
     return _script(spark, d, True)
 
 
-@query("SELECT 7 AS a, 8 AS b UNION ALL SELECT 1, 2 UNION ALL SELECT 3, 4")
+@query("SELECT event_id AS a, user_id AS b FROM events WHERE event_type = 'click' UNION ALL SELECT 1, 2 UNION ALL SELECT event_id, event_id + user_id FROM events WHERE event_type = 'view'")
 def q_script_insert(spark, d):
-    name, where = f"i{uuid.uuid4().hex}", scratch(spark, "script")
-    runner = Runner(spark, {"t": name}, warehouse=where)
+    name, where, events = f"i{uuid.uuid4().hex}", scratch(spark, "script"), _script_events(spark, d, "insert")
+    runner = Runner(spark, {"t": name, "e": events}, warehouse=where)
     runner.run("""SET table.sql-dialect=hive;
-CREATE TABLE ${t} (a INT, b INT);
-INSERT INTO ${t} SELECT 100, 100;
-INSERT OVERWRITE ${t} (b, a) SELECT 8, 7;
+CREATE TABLE ${t} (a BIGINT, b BIGINT);
+INSERT INTO ${t} SELECT event_id, value FROM ${e};
+INSERT OVERWRITE ${t} (b, a) SELECT user_id, event_id FROM ${e} WHERE event_type = 'click';
 INSERT INTO ${t} VALUES (1, 2);
-INSERT INTO ${t} WITH x AS (SELECT 3 AS p, 4 AS q) SELECT p, q FROM x;
+INSERT INTO ${t} WITH x AS (SELECT event_id AS p, event_id + user_id AS q FROM ${e} WHERE event_type = 'view') SELECT p, q FROM x;
 """)
     return spark.table(name)
 
@@ -612,19 +623,28 @@ def q_delta_trigger_stream(spark, d):
     return _replayed(spark, "delta", build, (odometer(spark, d), [F.col("ts") < "2024-01-10", F.col("ts") >= "2024-01-10"]))
 
 
-@query("SELECT * FROM (VALUES ('map_to_string', 'udf', 'map_to_string(m MAP<STRING, STRING>)', 'STRING'), ('parse_special_udtf', 'udtf', 'parse_special_udtf(s STRING)', 'type STRING, value STRING')) AS v(name, kind, invocation, returns)")
+@query("SELECT event_id, 'map_to_string' AS name, 'udf' AS kind, 'map_to_string(m MAP<STRING, STRING>)' AS invocation, 'STRING' AS returns, concat('k=', event_type) AS shown FROM events")
 def q_function_catalog(spark, d):
+    """What the catalogue says of a function, and what the function, called by that name, makes of each row."""
     register_functions(spark)
-    return catalog_frame(spark).filter("name IN ('map_to_string', 'parse_special_udtf')")
+    told = catalog_frame(spark).filter("name = 'map_to_string'").first()
+    shown = F.expr(f"{told['name']}(map('k', event_type))")
+    return table(spark, d, "events").select("event_id", *[F.lit(told[c]).alias(c) for c in ("name", "kind", "invocation", "returns")], shown.alias("shown"))
 
 
-@query("SELECT * FROM (VALUES ('o_custkey', 'who', true), ('o_totalprice', 'price', false), ('o_custkey', 'price', false)) AS v(source_column, sink_column, plain)")
+@query("""WITH v AS (SELECT * FROM (VALUES ('o_custkey', 'who', true), ('o_totalprice', 'price', false), ('o_custkey', 'price', false)) AS v(source_column, sink_column, plain)),
+n AS (SELECT 'o_custkey' AS source_column, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) FROM orders) SELECT source_column, sink_column, plain, n FROM v JOIN n USING (source_column)""")
 def q_lineage_columns(spark, d):
+    """Which columns an insert's columns come from, and how many different values each of these has."""
     source, sink = f"lin_{uuid.uuid4().hex}", f"lin_{uuid.uuid4().hex}"
-    table(spark, d, "orders").createOrReplaceTempView(source)
+    orders = table(spark, d, "orders")
+    orders.createOrReplaceTempView(source)
     spark.range(0).select(F.lit(1).alias("who"), F.lit(1.0).alias("price")).createOrReplaceTempView(sink)
     found = insert_lineage(spark, f"INSERT INTO {sink} SELECT o_custkey, o_totalprice + o_custkey FROM {source}")
-    return spark.createDataFrame([(x.source_column, x.sink_column, x.transform is None) for x in found], "source_column string, sink_column string, plain boolean")
+    edges = spark.createDataFrame([(x.source_column, x.sink_column, x.transform is None) for x in found], "source_column string, sink_column string, plain boolean")
+    names = sorted({x.source_column for x in found})
+    counts = orders.agg(*[F.count_distinct(c).alias(c) for c in names]).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("source_column", "n"))
+    return edges.join(counts, "source_column").select("source_column", "sink_column", "plain", "n")
 
 
 def _timed(spark, d, kind: str | None = None) -> DataFrame:

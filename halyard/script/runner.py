@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.registry import register_functions
 from halyard.lineage.tables import sources_of
+from halyard.operators.batch import session_rows
 from halyard.script.commands import Command, parse_command
 from halyard.script.ddl import TableDef, parse_create, spark_create
 from halyard.script.inserts import Insert, parse_insert
@@ -85,11 +87,11 @@ class Runner:
         elif name == "DROP_TABLE":
             self._drop(c.operands[0])
         elif name == "CREATE_VIEW":
-            spark.sql(rewrite_query(c.operands[1])).createOrReplaceTempView(unquoted(c.operands[0]))
+            spark.sql(rewrite_query(c.operands[1], self._sessions)).createOrReplaceTempView(unquoted(c.operands[0]))
         elif name == "DROP_VIEW":
             spark.sql(f"DROP VIEW {c.operands[0]}")
         elif name == "SELECT":
-            return spark.sql(rewrite_query(c.operands[0]))
+            return spark.sql(rewrite_query(c.operands[0], self._sessions))
         elif name.startswith("INSERT"):
             return self._insert_all([c.operands[0]])
         elif name == "SET":
@@ -118,6 +120,16 @@ class Runner:
             raise UnsupportedCommand(f"Unsupported command: {name.replace('_', ' ')}")
         return None
 
+    def _sessions(self, table: str, ts: str, gap: str) -> str | None:
+        """A view of a table's rows with their sessions, none for a stream; `gap` is a number and a unit."""
+        df = self.spark.table(table)
+        name = unquoted(ts)
+        if df.isStreaming or name not in df.columns:
+            return None
+        view = f"_halyard_sessions_{uuid.uuid4().hex}"
+        session_rows(df, name, gap.lower()).createOrReplaceTempView(view)
+        return view
+
     def _create(self, table: TableDef) -> None:
         self.tables[table.name] = table
         if table.options.get("connector") in (None, "hive") or table.stored_as or self.dialect == "hive":

@@ -186,3 +186,37 @@ def test_plans(spark):
     assert "value" in facts.pushed[0] and "props" not in facts.read[0] and facts.exchanges == 0
     assert plan_facts(B.keep_last(events, "user_id", ["ts", "event_id"])).exchanges == 1
     assert plan_facts(B.retract_sum(events, "user_id", "value", F.col("event_type") == "error")).python == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_session_rows(spark, keys):
+    """Sessions over the borders of many small partitions, ties, rows without a time, and a hot time, against a plain reading."""
+    import random
+
+    pick = random.Random(len(keys))
+    rows = [(n, pick.choice(("a", "b", None)), pick.choice((pick.randrange(4000), 777, None))) for n in range(900)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        df = spark.createDataFrame(rows, "id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+        out = B.session_rows(df, "ts", "6 seconds", keys)
+        got = {r["id"]: (int(r["window_start"].timestamp()), int(r["window_end"].timestamp())) for r in out.collect()}
+        assert out.columns == [*df.columns, "window_start", "window_end"]
+        assert B.session_rows(df.filter("false"), "ts", "6 seconds", keys).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    groups = {}
+    for n, k, s in rows:
+        if s is not None:
+            groups.setdefault(k if keys else 0, []).append((s, n))
+    for some in groups.values():
+        some.sort()
+        session = []
+        for s, n in some:
+            if session and s > session[-1][0] + 6:
+                want |= {m: (session[0][0], session[-1][0] + 6) for _, m in session}
+                session = []
+            session.append((s, n))
+        want |= {m: (session[0][0], session[-1][0] + 6) for _, m in session}
+    assert got == want
