@@ -13,6 +13,7 @@ from halyard.functions.registry import register_functions
 from halyard.lineage.columns import insert_lineage
 from halyard.lineage.tables import table_lineage
 from halyard.operators import batch as B
+from halyard.operators import patterns
 from halyard.script.rewrites import rewrite_query
 from halyard.script.runner import Runner
 from halyard.session import scratch
@@ -647,6 +648,19 @@ def q_lineage_columns(spark, d):
     return edges.join(counts, "source_column").select("source_column", "sink_column", "plain", "n")
 
 
+@query("""WITH e AS (SELECT *, sign(value - lag(value) OVER w) AS way, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, way ORDER BY k) AS island FROM e WHERE way IS NOT NULL),
+runs AS (SELECT user_id, way, min(k) AS a, max(k) AS b, count(*) AS n, min_by(event_id, k) AS first, max_by(event_id, k) AS last, max(value) AS most FROM r GROUP BY user_id, way, island)
+SELECT u.user_id, u.first AS first_event, d.last AS last_event, u.n AS n_up, d.n AS n_down, u.most AS peak FROM runs u JOIN runs d ON u.user_id = d.user_id AND u.way = 1 AND d.way = -1 AND d.a = u.b + 1""")
+def q_row_pattern(spark, d):
+    """A rise and then a fall of a user's values, each as long as it goes."""
+    keys, order = ["user_id"], ["ts", "event_id"]
+    last = patterns.before("value", keys, order)
+    rows = patterns.match_rows(table(spark, d, "events"), keys, order, "UP+ DOWN+", {"UP": F.col("value") > last, "DOWN": F.col("value") < last})
+    up = F.col("variable") == "UP"
+    return rows.groupBy("user_id", "match_no").agg(F.min_by("event_id", "nth").alias("first_event"), F.max_by("event_id", "nth").alias("last_event"), F.count_if(up).alias("n_up"), F.count_if(~up).alias("n_down"), F.max(F.when(up, F.col("value"))).alias("peak")).drop("match_no")
+
+
 def _timed(spark, d, kind: str | None = None) -> DataFrame:
     events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     return events if kind is None else events.filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions import expressions as X
 from halyard.operators import batch as B
+from halyard.operators import patterns
 from halyard.plans.inspect import plan_facts
 
 
@@ -220,3 +221,52 @@ def test_session_rows(spark, keys):
             session.append((s, n))
         want |= {m: (session[0][0], session[-1][0] + 6) for _, m in session}
     assert got == want
+
+
+def brute_matches(signs, expression, overlapping):
+    """By the standard library over the whole key at once; a sign is a letter."""
+    import re
+
+    out, at = [], 0
+    rx = re.compile(expression)
+    while at <= len(signs) and (m := rx.search(signs, at)):
+        if m.end() > m.start():
+            out.append((m.start(), m.end()))
+            at = m.start() + 1 if overlapping else m.end()
+        else:
+            at = m.end() + 1
+    return out
+
+
+@pytest.mark.parametrize("pattern,expression", [("A B+ C", "ab+c"), ("A+ (B | C)? A", "a+[bc]?a"), ("(A B){2,3}", "(?:ab){2,3}"), ("A B* C | A", "ab*c|a"), ("A+? B", "a+?b"), ("B*", "b*")])
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_row_patterns(spark, pattern, expression, overlapping):
+    """Keys that go on over many small batches, against a search over the whole of each."""
+    import random
+
+    pick = random.Random(pattern)
+    words = {k: "".join(pick.choices("abcd", [4, 4, 2, 1], k=n)) for k, n in (("x", 400), ("y", 90), (None, 7), ("z", 1))}
+    rows = [(k, n, c) for k, w in words.items() for n, c in enumerate(w)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, n int, c string").withColumn("match", F.lit(1))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "17")
+    try:
+        out = patterns.match_rows(df, ["k"], ["n"], pattern, {v: F.col("c") == v.lower() for v in "ABC"}, overlapping).collect()
+    finally:
+        spark.conf.set(setting, usual)
+    got = {}
+    for r in out:
+        assert r["variable"] == r["c"].upper()
+        got.setdefault((r["k"], r["match_no"]), []).append((r["nth"], r["n"]))
+    want = {(k, i + 1): [(p + 1, n) for p, n in enumerate(range(a, b))] for k, w in words.items() for i, (a, b) in enumerate(brute_matches(w, expression, overlapping))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_row_patterns_that_cannot_be_read(spark):
+    df = spark.range(3)
+    for bad in ("A & B", "X", "A $"):
+        with pytest.raises(Exception, match="pattern|condition"):
+            patterns.compiled(bad, ["A", "B"])
+    assert patterns.match_rows(df.filter("false"), ["id"], ["id"], "A", {"A": F.lit(True)}).collect() == []
