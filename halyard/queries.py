@@ -17,6 +17,7 @@ from halyard.operators import patterns
 from halyard.script.rewrites import rewrite_query
 from halyard.script.runner import Runner
 from halyard.session import scratch
+from halyard.sources.lines import keep_place, lines_stream
 from halyard.streaming import stateful
 from halyard.streaming.changelog import changelog_aggregates
 from halyard.streaming.exactly_once import Ledger, OnceFiles
@@ -765,3 +766,23 @@ def q_exactly_once_stream(spark, d):
     where: list[str] = []
     _replayed(spark, "once", lambda s: s, (rows, [F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"]), write=lambda writer, at: (where.append(at), write(writer, at)))
     return spark.read.parquet(f"{where[0]}/out")
+
+
+@query("""SELECT 'earliest' AS mode, event_id FROM events UNION ALL SELECT 'latest', event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'
+UNION ALL SELECT 'group', event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' UNION ALL SELECT 'same group', event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'""")
+def q_startup_modes(spark, d):
+    """Files of JSON lines, one half written before the queries first run and one after; the last query is a new one of the group."""
+    where = scratch(spark, "startup")
+    events = table(spark, d, "events").select("event_id", "ts")
+    runs = [("earliest", "earliest-offset", None, (0, 1)), ("latest", "latest-offset", None, (0, 1)), ("group", "group-offsets", "g", (0,)), ("same group", "group-offsets", "g", (1,))]
+    for n, half in enumerate(("ts < '2024-01-15'", "ts >= '2024-01-15'")):
+        events.filter(half).write.mode("append").json(f"{where}/in")
+        for name, mode, group, when in runs:
+            if n in when:
+                rows = lines_stream(spark, f"{where}/in", mode, group).select(F.lit(name).alias("mode"), F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
+                q = rows.writeStream.format("parquet").option("path", f"{where}/{name}").option("checkpointLocation", f"{where}/checkpoint {name}").trigger(availableNow=True).start()
+                q.awaitTermination()
+                if group:
+                    keep_place(q, f"{where}/in", group)
+    out = [spark.read.schema("mode string, event_id long").parquet(f"{where}/{name}") for name, *_ in runs]
+    return out[0].union(out[1]).union(out[2]).union(out[3])

@@ -22,6 +22,7 @@ from halyard.script.rewrites import rewrite_query
 from halyard.script.splitter import read_script, split_script
 from halyard.script.tokens import name_at, quoted, significant, unquoted
 from halyard.sources.connectors import read_table
+from halyard.sources.lines import keep_place
 from halyard.streaming.exactly_once import Ledger, OnceFiles, OnceJdbc, once
 from halyard.streaming.sinks import PartitionCommit, fan_out, jdbc_sink, seconds, supervised_all
 
@@ -335,6 +336,10 @@ class Runner:
     def wait(self, attempts: int = 10, wait_s: float = 60.0) -> None:
         """Until all streaming queries have ended; each that fails is started again from its checkpoint, `attempts` times, whatever the others do."""
         supervised_all(self.queries, self.starts, attempts, wait_s)
+        groups = [(t.options["path"], t.options["properties.group.id"]) for t in self.tables.values() if t.options.get("connector") == "filesystem" and "scan.startup.mode" in t.options and "properties.group.id" in t.options]
+        if len(groups) == 1:  # else it isn't told which source is whose; the group's next query reads the last micro-batch again
+            for q in self.queries:
+                keep_place(q, *groups[0])
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.script.ddl import TableDef
+from halyard.sources.lines import lines_stream
 
 
 def starting_offsets(mode: str, timestamp_ms: str | None = None) -> dict[str, str]:
@@ -49,6 +50,20 @@ def finish(df: DataFrame, table: TableDef, streaming: bool) -> DataFrame:
     return df
 
 
+#: Startup modes of files that grow; a time is a filter on event time, so it reads from the beginning.
+_FILE_MODES = {"earliest": "earliest-offset", "earliest-offset": "earliest-offset", "latest": "latest-offset", "latest-offset": "latest-offset", "timestamp": "earliest-offset"}
+
+
+def _since(df: DataFrame, table: TableDef) -> DataFrame:
+    """With the mode timestamp, rows whose event time (scan.startup.timestamp-column, else the watermark's column) isn't before scan.startup.timestamp-millis."""
+    if table.options.get("scan.startup.mode") != "timestamp":
+        return df
+    column = table.options.get("scan.startup.timestamp-column") or (table.watermark.column if table.watermark else None)
+    if column is None or "scan.startup.timestamp-millis" not in table.options:
+        raise ValueError("the mode timestamp needs scan.startup.timestamp-millis and an event time")
+    return df.filter(F.unix_millis(F.col(column).cast("timestamp")) >= int(table.options["scan.startup.timestamp-millis"]))
+
+
 def read_table(spark: SparkSession, table: TableDef, streaming: bool) -> DataFrame:
     """A table with options as a DataFrame."""
     options = table.options
@@ -66,6 +81,9 @@ def read_table(spark: SparkSession, table: TableDef, streaming: bool) -> DataFra
         return finish(raw, table, True)
     if kind == "filesystem":
         form = options.get("format", "json")
+        mode = options.get("scan.startup.mode")
+        if form == "json" and streaming and mode is not None:
+            return finish(_since(parse_json(lines_stream(spark, options["path"], _FILE_MODES.get(mode, "group-offsets"), options.get("properties.group.id")), table, lenient), table), table, True)
         if form == "json":
             raw = (reader.schema("value STRING") if streaming else reader).text(options["path"])
             return finish(parse_json(raw, table, lenient), table, streaming)

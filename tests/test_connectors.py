@@ -96,3 +96,50 @@ def test_strict_and_lenient_json(spark):
     assert [(r["id"], r["m"]) for r in got] == [(1, {"k": "v"}), (None, None)]
     with pytest.raises(Exception, match="(?i)malformed"):
         parse_json(raw, table, False).collect()
+
+
+def run_lines(spark, stream, tmp_path, name, group=None):
+    from halyard.sources.lines import keep_place
+
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-chk")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if group:
+        keep_place(q, str(tmp_path / "in"), group)
+    return sorted(r[0] for r in spark.read.schema(stream.schema).parquet(str(tmp_path / f"{name}-out")).collect())
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_lines_of_growing_files(spark, tmp_path, chunk):
+    """Ranges of any size; an unfinished line waits; each query goes on from its checkpoint, a group from its last query's place."""
+    from halyard.sources.lines import lines_stream
+
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.json").write_bytes("one\ntwo é\r\n\nfo".encode())
+    (folder / "sub" / "b.json").write_bytes(b"x" * 30 + b"\n")
+    (folder / "_hidden").write_bytes(b"no\n")
+    (folder / "empty").write_bytes(b"")
+    of = lambda mode, group=None: lines_stream(spark, str(folder), mode, group, chunk)
+    first = ["", "one", "two é", "x" * 30]
+    assert run_lines(spark, of("earliest-offset"), tmp_path, "early") == first
+    assert run_lines(spark, of("latest-offset"), tmp_path, "late") == []
+    assert run_lines(spark, of("group-offsets", "g"), tmp_path, "g1", "g") == first
+    with (folder / "a.json").open("ab") as f:
+        f.write(b"ur\nfive\n")
+    (folder / "c.json").write_bytes(b"six\n")
+    more = ["five", "four", "six"]
+    assert run_lines(spark, of("earliest-offset"), tmp_path, "early") == sorted([*first, *more])
+    assert run_lines(spark, of("latest-offset"), tmp_path, "late") == more
+    assert run_lines(spark, of("group-offsets", "g"), tmp_path, "g2") == more
+    assert run_lines(spark, of("group-offsets", "other"), tmp_path, "g3") == sorted([*first, *more])
+
+
+def test_startup_modes_of_a_script(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text("".join(f'{{"id": {k}, "ts": "2024-01-01 00:00:{k:02d}"}}\n' for k in range(10)))
+    made = "CREATE TABLE {0} (id BIGINT, ts TIMESTAMP, WATERMARK FOR ts AS ts - INTERVAL '5' SECOND) WITH ('connector'='filesystem', 'path'='{1}', 'format'='json', 'scan.startup.mode'='{2}'{3})"
+    for mode, more, want in (("earliest-offset", "", range(10)), ("timestamp", ", 'scan.startup.timestamp-millis'='1704067204000'", range(4, 10)), ("latest-offset", "", [])):
+        name = f"m_{mode[:4]}_{uuid.uuid4().hex[:6]}"
+        Runner(spark, streaming=True).run(made.format(name, folder, mode, more) + ";")
+        assert run_lines(spark, spark.table(name).select("id"), tmp_path, name) == list(want)
