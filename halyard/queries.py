@@ -474,9 +474,7 @@ def q_bd09_angle(spark, d):
 
 
 def _script_events(spark, d, name: str) -> str:
-    view = f"{name}_{uuid.uuid4().hex}"
-    table(spark, d, "events").createOrReplaceTempView(view)
-    return view
+    return _script_view(spark, d, "events", name)
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 12 HOUR, ts) - h * INTERVAL 12 HOUR AS window_start, count(*) AS n FROM events, unnest([0, 1]) AS g(h) GROUP BY ALL")
@@ -564,6 +562,48 @@ INSERT INTO ${t} WITH x AS (SELECT event_id AS p, event_id + user_id AS q FROM $
     return spark.table(name)
 
 
+def _script_view(spark, d, source: str, name: str | None = None) -> str:
+    view = f"{name or source}_{uuid.uuid4().hex}"
+    table(spark, d, source).createOrReplaceTempView(view)
+    return view
+
+
+@query("""SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k, 'none' AS missing, json_exists(props, '$.k') AS has, event_type AS kind, CASE WHEN event_type = 'error' THEN -1 ELSE CAST(floor(value) AS INTEGER) END AS whole, concat('["', event_type, '"]') AS kinds FROM events""")
+def q_script_json_functions(spark, d):
+    e = _script_view(spark, d, "events")
+    return spark.sql(rewrite_query(f"""SELECT event_id, JSON_VALUE(props, '$.k' RETURNING INTEGER) AS k, JSON_VALUE(props, 'lax $.z' DEFAULT 'none' ON EMPTY) AS missing, JSON_EXISTS(props, '$.k') AS has,
+JSON_VALUE(j, '$.a[0]') AS kind, JSON_VALUE(j, '$.v' RETURNING INTEGER DEFAULT -1 ON ERROR) AS whole, JSON_QUERY(j, '$.a') AS kinds
+FROM (SELECT event_id, props, concat('{{"a": ["', event_type, '"], "v": ', CASE WHEN event_type = 'error' THEN '"none"' ELSE CAST(CAST(floor(value) AS INT) AS STRING) END, '}}') AS j FROM {e}) AS x"""))
+
+
+@query("""SELECT c_custkey, split_part(c_name, '#', 2) AS number, CAST(NULL AS VARCHAR) AS outside, regexp_extract(c_name, '^[A-Za-z]+') AS word, CASE WHEN regexp_matches(c_name, '([1-9])[0-9]$') THEN regexp_extract(c_name, '([1-9])[0-9]$', 1) END AS ten,
+regexp_full_match(c_mktsegment, '[A-Z]+') AS letters, true AS digits, c_mktsegment AS segment, sha256(c_name) AS digest, c_name AS back, CASE WHEN c_nationkey > 5 THEN greatest(c_nationkey, 10) END AS most, CAST(trunc(c_acctbal) AS BIGINT) AS whole FROM customer""")
+def q_script_text_functions(spark, d):
+    c = _script_view(spark, d, "customer")
+    return spark.sql(rewrite_query(f"""SELECT c_custkey, SPLIT_INDEX(c_name, '#', 1) AS number, SPLIT_INDEX(c_name, '#', 2) AS outside, REGEXP_EXTRACT(c_name, '^[A-Za-z]+') AS word, REGEXP_EXTRACT(c_name, '([1-9])[0-9]$', 1) AS ten,
+IS_ALPHA(c_mktsegment) AS letters, IS_DIGIT(SPLIT_INDEX(c_name, '#', 1)) AS digits, STR_TO_MAP(concat('name=', c_name, ',segment=', c_mktsegment))['segment'] AS segment, SHA256(c_name) AS digest, FROM_BASE64(TO_BASE64(c_name)) AS back,
+GREATEST(CASE WHEN c_nationkey > 5 THEN c_nationkey END, 10) AS most, CAST(TRUNCATE(c_acctbal) AS BIGINT) AS whole FROM {c}"""))
+
+
+@query("""SELECT event_id, datediff('day', TIMESTAMP '2023-12-31', ts) * 24 + hour(ts) AS hours, strftime(ts, '%Y/%m/%d') AS day, CAST(NULL AS VARCHAR) AS none, strftime(TIMESTAMP '1970-01-01' + to_seconds(event_id * 100000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS east,
+CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds, date_trunc('hour', ts) AS floored, CASE WHEN ts = date_trunc('day', ts) THEN ts ELSE date_trunc('day', ts) + INTERVAL 1 DAY END AS ceiled, CAST(weekofyear(ts) AS INTEGER) AS week, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS tokyo,
+CAST(datesub('month', TIMESTAMP '2023-01-31', ts) AS BIGINT) AS months FROM events""")
+def q_script_time_functions(spark, d):
+    e = _script_view(spark, d, "events")
+    return spark.sql(rewrite_query(f"""SELECT event_id, TIMESTAMPDIFF(HOUR, CAST('2023-12-31 00:00:00' AS TIMESTAMP(3)), ts) AS hours, DATE_FORMAT(CAST(ts AS STRING), 'yyyy/MM/dd') AS day, DATE_FORMAT(event_type, 'yyyy') AS none,
+FROM_UNIXTIME(event_id * 100000, 'yyyy-MM-dd HH:mm:ss', 'Asia/Shanghai') AS east, UNIX_TIMESTAMP(DATE_FORMAT(ts, 'dd.MM.yyyy HH:mm:ss'), 'dd.MM.yyyy HH:mm:ss') AS seconds, FLOOR(ts TO HOUR) AS floored, CEIL(ts TO DAY) AS ceiled, WEEK(ts) AS week,
+CONVERT_TZ(CAST(ts AS STRING), 'UTC', 'Asia/Tokyo') AS tokyo, TIMESTAMPDIFF(MONTH, TIMESTAMP '2023-01-31 00:00:00', ts) AS months FROM {e}"""))
+
+
+@query("""SELECT l_orderkey, CAST(count(*) AS INTEGER) AS lines, list_sort(list(l_linenumber))[1] AS first, CAST(least(count(*), 3) AS INTEGER) AS cut, CASE WHEN count(*) = 1 THEN min(l_partkey) END AS only, CAST(count(*) * 2 AS INTEGER) AS twice, max(l_partkey) AS part, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey""")
+def q_script_collection_functions(spark, d):
+    """Arrays of an order's lines: sizes, places, slices and the only entry."""
+    i = _script_view(spark, d, "lineitem")
+    return spark.sql(rewrite_query(f"""SELECT l_orderkey, CARDINALITY(ns) AS lines, ns[1] AS first, CARDINALITY(ARRAY_SLICE(ns, 1, 3)) AS cut, ELEMENT(CASE WHEN CARDINALITY(ps) = 1 THEN ps END) AS only, CARDINALITY(ARRAY_CONCAT(ns, ARRAY_REVERSE(ns))) AS twice,
+CAST(ROW(top, flags) AS ROW<part BIGINT, flags STRING>).part AS part, flags
+FROM (SELECT l_orderkey, sort_array(collect_list(l_linenumber)) AS ns, collect_list(l_partkey) AS ps, max(l_partkey) AS top, LISTAGG(DISTINCT l_returnflag, '|') WITHIN GROUP (ORDER BY l_returnflag) AS flags FROM {i} GROUP BY l_orderkey) AS x"""))
+
+
 #: Whether a micro-batch without rows follows, for what the watermark lets go.
 _IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 

@@ -130,6 +130,11 @@ class _Reader:
                 return
 
 
+def spark_type(sql: str) -> str:
+    """A column type of the scripts as Spark's."""
+    return _Reader(sql).type()
+
+
 def parse_create(sql: str) -> TableDef:
     """CREATE TABLE of either dialect. Quotes and comments may hold any signs."""
     r = _Reader(sql)
