@@ -157,17 +157,31 @@ def delta_trigger(df: DataFrame, key: str, value: str, order: list[str], thresho
     return out.withColumnRenamed("key", key)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, ts: str, right_cols: list[str], strict: bool = False) -> DataFrame:
-    """Each left row with right_cols of the last right row of its key that isn't later (strict: is earlier); nulls where there is none.
+def asof_join(left: DataFrame, right: DataFrame, on: str, ts: str, right_cols: list[str], strict: bool = False, stretch: str | None = None) -> DataFrame:
+    """Each left row with right_cols of the last right row of its key that isn't later (strict: is earlier); nulls where there is none, or no key or time.
 
     A union sorted by key and time with a running last value: linear in both sides, where a range join would meet all pairs of a key.
+    stretch, '6 hours' for instance, cuts time so that a hot key is dealt to many tasks: each begins with the last right row of the stretches before it, which
+    comes from one row for each key and stretch. It costs a second look at both sides' keys and times.
     """
     side = F.lit(0 if not strict else 1)
-    a = left.select(F.col(on), F.col(ts), F.struct(*left.columns).alias("_l"), F.lit(None).cast(T.StructType([right.schema[c] for c in right_cols])).alias("_r"), (F.lit(1) - side).alias("_side"))
-    b = right.select(F.col(on), F.col(ts), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l"), F.struct(*right_cols).alias("_r"), side.alias("_side"))
-    w = Window.partitionBy(on).orderBy(ts, "_side", F.col("_r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).filter("_l is not null")
-    return both.select("_l.*", *[F.col(f"_last.`{c}`").alias(f"right_{c}") for c in right_cols])
+    known = right.filter(F.col(on).isNotNull() & F.col(ts).isNotNull())
+    slot = F.lit(0) if stretch is None else F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros(stretch)))
+    mine, theirs = F.struct(*left.columns), F.struct(*right_cols)
+    l_type, r_type = left.select(mine.alias("x")).schema["x"].dataType, T.StructType([right.schema[c] for c in right_cols])
+    a = left.select(F.col(on), F.col(ts), slot.alias("_slot"), mine.alias("_l"), F.lit(None).cast(r_type).alias("_r"), (F.lit(1) - side).alias("_side"))
+    b = known.select(F.col(on), F.col(ts), slot.alias("_slot"), F.lit(None).cast(l_type).alias("_l"), theirs.alias("_r"), side.alias("_side"))
+    both = a.unionByName(b)
+    if stretch is not None:
+        ends = known.groupBy(on, slot.alias("_slot")).agg(F.max_by(theirs, F.struct(F.col(ts), theirs)).alias("_r"))
+        asked = left.filter(F.col(on).isNotNull() & F.col(ts).isNotNull()).select(on, slot.alias("_slot"), F.lit(None).cast(r_type).alias("_r")).distinct()
+        before = Window.partitionBy(on).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        stretches = asked.unionByName(ends).groupBy(on, "_slot").agg(F.first("_r", ignorenulls=True).alias("_r"))
+        carried = stretches.withColumn("_r", F.last("_r", ignorenulls=True).over(before)).filter("_r is not null")
+        both = both.unionByName(carried.select(on, F.lit(None).cast(left.schema[ts].dataType).alias(ts), "_slot", F.lit(None).cast(l_type).alias("_l"), "_r", F.lit(-1).alias("_side")))
+    w = Window.partitionBy(on, "_slot").orderBy(ts, "_side", F.col("_r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).filter("_l is not null")
+    return out.select("_l.*", *[F.col(f"_last.`{c}`").alias(f"right_{c}") for c in right_cols])
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, ts: str, before: str, after: str = "0 seconds") -> DataFrame:
@@ -208,6 +222,37 @@ def cumulate(df: DataFrame, ts: str, step: str, size: str, keys: list[str], aggs
     return wide.groupBy(*keys, "window_start", "window_end").agg(*aggs)
 
 
+#: How running values of two stretches of rows, the earlier one second, become one's.
+_JOINED = {"count": lambda x, y: x + F.coalesce(y, F.lit(0)), "sum": lambda x, y: F.coalesce(x + y, x, y), "min": F.least, "max": F.greatest}
+
+
+def running(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, tuple[str, str | Column]]) -> DataFrame:
+    """df with running values: values names each with its kind (count, sum, min or max) and a column; a row's value is over its key's rows up to it, itself included.
+
+    No window runs over all rows of a key, nor, without keys, of the table: rows are dealt to range partitions of keys and order, written once, and values run inside
+    each partition. Only a partition's first key can have begun before it; what it brings, one row for each partition, comes from partitions' totals and is joined
+    back. Rows equal in order come in any order, and a third of all rows may be equal; rows without a key are one key's. Counts of a column leave its nulls out.
+    """
+    spark = df.sparkSession
+    cells = {name: (kind, F.col(of) if isinstance(of, str) else of) for name, (kind, of) in values.items()}
+    dealt = df.withColumns({f"_v{n}": of for n, (_, of) in enumerate(cells.values())}).withColumn("_n", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*keys, *order, "_n").withColumn("_part", F.spark_partition_id())
+    path = scratch(spark, "running")
+    dealt.write.parquet(path)
+    parts = spark.read.schema(dealt.schema).parquet(path)
+    fold = {name: getattr(F, kind)(f"_v{n}") for n, (name, (kind, _)) in enumerate(cells.items())}
+    inside = Window.partitionBy("_part", *keys).orderBy(*order, "_n").rowsBetween(Window.unboundedPreceding, 0)
+    own = [F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)]
+    totals = parts.groupBy(F.col("_part").alias("_of"), *own).agg(*[v.alias(f"_t{n}") for n, v in enumerate(fold.values())])
+    before = Window.partitionBy(*[f"_k{n}" for n in range(len(keys))]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    again = {"count": F.sum}
+    carry = totals.select("_of", *[f"_k{n}" for n in range(len(keys))], F.count("*").over(before).alias("_parts"), *[again.get(kind, getattr(F, kind))(f"_t{n}").over(before).alias(f"_c{n}") for n, (kind, _) in enumerate(cells.values())]).filter("_parts > 0")
+    on = [F.col("_part") == F.col("_of"), *[F.col(f"`{k}`").eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]]
+    local = parts.withColumns({f"_r{n}": v.over(inside) for n, v in enumerate(fold.values())})
+    got = [_JOINED[kind](F.col(f"_r{n}"), F.col(f"_c{n}")).alias(name) for n, (name, (kind, _)) in enumerate(cells.items())]
+    return local.join(carry, on, "left").select(*[F.col(f"`{c}`") for c in df.columns], *got)
+
+
 def session_rows(df: DataFrame, ts: str, gap: str, keys: list[str] | None = None) -> DataFrame:
     """df with window_start and window_end (of ts's type; the last row's time plus gap) of each row's session: rows that follow each other by at most gap. Rows without a time go.
 

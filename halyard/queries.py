@@ -352,6 +352,28 @@ def q_asof(spark, d):
     return B.asof_join(of("purchase"), of("view"), "user_id", "ts", ["event_id"]).select("event_id", "right_event_id")
 
 
+@query(ORACLES["q_asof"])
+def q_asof_stretches(spark, d):
+    """The same by stretches of a day, so that a key's rows are many tasks'."""
+    of = lambda kind: table(spark, d, "events").filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")
+    return B.asof_join(of("purchase"), of("view"), "user_id", "ts", ["event_id"], stretch="1 day").select("event_id", "right_event_id")
+
+
+@query("""SELECT event_id, count(*) OVER w AS nth, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents, min(value) OVER w AS least, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def q_running_by_key(spark, d):
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    out = B.running(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"nth": ("count", F.lit(1)), "cents": ("sum", cents), "least": ("min", "value"), "most": ("max", "value")})
+    return out.select("event_id", "nth", "cents", "least", "most")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w AS nth, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS quantity FROM lineitem WINDOW w AS (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)""")
+def q_running_all(spark, d):
+    """Numbers and sums along a whole table, latest rows first, without a window over all of it."""
+    order = [F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    out = B.running(table(spark, d, "lineitem"), [], order, {"nth": ("count", F.lit(1)), "quantity": ("sum", F.col("l_quantity").cast("bigint"))})
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "nth", "quantity")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) AS window_end, count(*) AS n FROM events, unnest([1, 2, 3, 4]) AS g(i) WHERE ts < time_bucket(INTERVAL 1 DAY, ts) + (i * INTERVAL 6 HOUR) GROUP BY ALL""")
 def q_cumulate(spark, d):
     return B.cumulate(table(spark, d, "events"), "ts", "6 hours", "1 day", [], [F.count("*").alias("n")])

@@ -270,3 +270,73 @@ def test_row_patterns_that_cannot_be_read(spark):
         with pytest.raises(Exception, match="pattern|condition"):
             patterns.compiled(bad, ["A", "B"])
     assert patterns.match_rows(df.filter("false"), ["id"], ["id"], "A", {"A": F.lit(True)}).collect() == []
+
+
+def _last_before(left, right, strict):
+    """(id, right id) by looking at all pairs."""
+    out = set()
+    for key, at, i in left:
+        met = [(t, r) for k, t, r in right if k is not None and k == key and t is not None and at is not None and (t < at or t == at and not strict)]
+        out.add((i, max(met)[1] if met else None))
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_by_stretches(spark, strict):
+    """A hot key, rows at the borders of stretches, ties, and no key or time, against all pairs."""
+    rng = np.random.default_rng(4)
+
+    def side(n):
+        keys = rng.choice(["hot", "hot", "a", "b", "only" + str(n), None], n).tolist()
+        hours = rng.integers(-60, 60, n).tolist()
+        return [(k, None if h % 17 == 0 else h * 3_600_000_000, i) for i, (k, h) in enumerate(zip(keys, hours))]
+
+    left, right = side(300), side(120)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, us long, id long").select("k", F.timestamp_micros("us").cast("timestamp_ntz").alias("t"), "id")
+    for stretch in (None, "1 hour", "6 hours", "90 days"):
+        got = B.asof_join(frame(left), frame(right), "k", "t", ["id"], strict, stretch)
+        assert [f"{n}" for n in got.columns] == ["k", "t", "id", "right_id"] and got.count() == len(left)
+        assert {(r["id"], r["right_id"]) for r in got.collect()} == _last_before(left, right, strict)
+    assert B.asof_join(frame(left), frame([]), "k", "t", ["id"], strict, "1 hour").filter("right_id is not null").count() == 0
+    assert B.asof_join(frame([]), frame(right), "k", "t", ["id"], strict, "1 hour").count() == 0
+
+
+def test_running_over_borders(spark):
+    """Keys that span partitions, keys inside one, rows without a key or value, and equal rows, against one pass over sorted rows."""
+    rng = np.random.default_rng(8)
+    keys = ["hot"] * 900 + rng.choice(["a", "b", "c", None], 300).tolist()
+    rows = [(k, int(o), None if o % 7 == 0 else int(v), i) for i, (k, o, v) in enumerate(zip(keys, rng.permutation(1200), rng.integers(-50, 50, 1200)))]
+    values = {"nth": ("count", F.lit(1)), "known": ("count", "v"), "total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v")}
+
+    def brute(by_key, down):
+        state, out = {}, set()
+        for k, o, v, i in sorted(rows, key=lambda r: -r[1] if down else r[1]):
+            n, seen = state.setdefault(k if by_key else "", [0, []])
+            state[k if by_key else ""][0] = n + 1
+            if v is not None:
+                seen.append(v)
+            out.add((i, n + 1, len(seen), sum(seen) if seen else None, min(seen, default=None), max(seen, default=None)))
+        return out
+
+    df = spark.createDataFrame(rows, "k string, o int, v long, id int").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("false", "true"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            for by_key, down in ((True, False), (True, True), (False, False), (False, True)):
+                got = B.running(df, ["k"] if by_key else [], [F.col("o").desc() if down else "o"], values)
+                assert got.columns == ["k", "o", "v", "id", *values]
+                assert {(r["id"], *[r[c] for c in values]) for r in got.collect()} == brute(by_key, down)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        same = B.running(spark.range(2000).select(F.lit("x").alias("k"), F.lit(0).alias("o")), ["k"], ["o"], {"nth": ("count", F.lit(1))})
+        assert sorted(r["nth"] for r in same.collect()) == list(range(1, 2001))
+        assert B.running(df.limit(0), ["k"], ["o"], values).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_running_has_no_window_over_a_table(spark):
+    """Without keys rows' windows lie in partitions; only totals, a row for each, are in one."""
+    plan = B.running(spark.range(1000), [], ["id"], {"nth": ("count", F.lit(1))})._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and sum("_part#" in line for line in windows) == 1
