@@ -61,7 +61,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() doesn't keep; the same columns."""
+    """docs without the rows that exact_dedup() doesn't keep; the same columns, whatever their names.
+
+    A null text is empty, so of null and empty texts one row stays; a null id comes first, as in exact_dedup(). Of rows equal in id and text
+    one stays, and an empty table gives no rows.
+    """
     rows = frozen(exact_dedup(docs, id_col, text_col), "exact")
     repeated = not rows.groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty()
     keys = {id_col: docs[id_col], "text_sha256": F.sha2(normalised(text_of(docs, text_col)), 256)}

@@ -172,7 +172,11 @@ def resolve(sequences: DataFrame, media: DataFrame, id_col: str = "page_id", pre
 
 
 def aligned(resolved: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """What resolve() returns, as one array of structs per document again, by position. A document is one group, whatever it shares."""
+    """What resolve() returns, as one array of structs per document again, by position. A document is one group, whatever it shares.
+
+    A document without items has an empty array; an unresolved reference stays, its payload null. Documents with null or equal ids stay apart,
+    as `row` tells them; an empty table gives no rows.
+    """
     item = F.struct("pos", *[c for c in resolved.columns if c not in (id_col, "row", "pos", "of")])
     return resolved.groupBy("row", id_col).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items")).drop("row")
 
@@ -203,13 +207,19 @@ MEDIA = ["digest", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "med
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes a table in the shared folder: id, html (a heading, a figure that refers to the document's payload by digest, and a paragraph), media (the image that holds it)."""
+    """Writes a table in the shared folder: id, html (a heading, a figure that refers to the document's payload by digest, and a paragraph), media (the image that holds it).
+
+    A row per row of docs: a null text is empty and stored as 64 zero bytes; null ids and repeated rows are kept; an empty table gives no rows.
+    """
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).cast("binary").alias("_text"))
     return frozen(rows.mapInArrow(_store, f"id {dict(rows.dtypes)['id']}, html string, media binary"), "media", codec="none")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """stored: media, images. Reads them back; a row per digest of the samples (an extra field, n_bytes, sets padded texts apart) with what MEDIA names."""
+    """stored: media, images. Reads them back; a row per digest of the samples (an extra field, n_bytes, sets padded texts apart) with what MEDIA names.
+
+    Equal images give one row; an empty table gives none.
+    """
     seen = stored.select("media").mapInArrow(_read_back, "digest string, n_bytes long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return seen.distinct()
 

@@ -378,6 +378,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """texts: rid (long, unique), text (binary). Rows rid, at (packed first window and number of windows) that together are all windows of
     LENGTH bytes whose bytes also begin earlier: in a smaller rid, or before in the same text.
+    cut_repeats() makes null texts empty before; texts shorter than LENGTH have no windows and no rows; of equal texts all but that of the smallest rid are found whole;
+    an empty table gives no rows.
     """
     spark = texts.sparkSession
     n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

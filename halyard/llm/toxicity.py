@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.common import frozen, released, text_of
@@ -83,6 +83,11 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n: int, penalty: flo
     return theta[:n], theta[n] + np.concatenate(([0.0], np.cumsum(np.exp(theta[n + 1 :]))))
 
 
+def _part(hashes: Column, share: float) -> Column:
+    """Whether a hash is among a share of all, however small: 2^62 steps."""
+    return F.pmod(hashes, F.lit(2**62)) < F.lit(int(2**62 * share))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fits on at most about `sample` labelled rows, chosen by hashes of id and text, whatever the tables' sizes.
 
@@ -94,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = given.groupBy("_key").agg(F.min("_toxic").alias("toxic"), F.max("_toxic").alias("_most")).filter("toxic = _most").select("_key", "toxic")
     n = known.count()
     if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < int(1e6 * sample / n))
+        known = known.filter(_part(F.xxhash64("_key"), sample / n))
     # The sample is bounded (about 20,000 rows of 16 bytes), so it may be broadcast; no text but the sample's is shuffled.
     own = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("_text"))
     texts = own.join(F.broadcast(known), F.col("_id") == F.col("_key")).select("_id", "toxic", "_text", F.xxhash64("_id", "_text").alias("_h"))
@@ -102,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = texts
     found = texts.count()
     if found > sample:  # many documents with one id
-        texts = texts.filter(F.pmod("_h", F.lit(1_000_000)) < int(1e6 * sample / found))
+        texts = texts.filter(_part(F.col("_h"), sample / found))
     counts = texts.mapInPandas(_counted, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     sizes = dict(texts.groupBy("toxic").count().collect())
     clean, bad = sizes.get(0, 0), sizes.get(1, 0)
@@ -148,7 +153,11 @@ def severities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without rejected rows; the same columns."""
+    """docs without rejected rows; the same columns, repeated rows and order of columns included.
+
+    A null or empty text gets the grades' base rates, so it stays unless most labelled rows are toxic; without labels of both kinds every
+    row stays. Repeated rows stay or go together, a probability of just REJECT goes, and an empty table gives no rows.
+    """
     model = train(docs, labels, id_col, text_col)
     return docs.filter(scored(docs, model, text_col)["p_toxic"] < REJECT)
 

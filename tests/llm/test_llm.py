@@ -678,6 +678,9 @@ def test_toxicity(spark):
     got = toxicity.severities(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").collect()
     assert sum(r["rejected"] == bool(r["toxic"]) for r in got) / len(got) > 0.93
     assert not [r for r in got if r["rejected"] and not r["toxic"]]
+    few = spark.range(1).select(toxicity._part(F.lit(5), 2e4 / 1e15), toxicity._part(F.lit(-(2**62) + 2**61), 2e4 / 1e15), toxicity._part(F.lit(-1), 1.0)).first()
+    assert tuple(few) == (True, False, True)  # a sample of 20,000 of 10^15 isn't empty
+    assert abs(spark.range(100_000).filter(toxicity._part(F.xxhash64("id"), 0.02)).count() - 2000) < 200
     rng = np.random.default_rng(4)
     x = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(1500)]
     score = np.array([2.0 * (0 in r) + 1.5 * (1 in r) for r in x]) + rng.logistic(size=1500)
