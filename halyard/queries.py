@@ -607,7 +607,7 @@ IS_ALPHA(c_mktsegment) AS letters, IS_DIGIT(SPLIT_INDEX(c_name, '#', 1)) AS digi
 GREATEST(CASE WHEN c_nationkey > 5 THEN c_nationkey END, 10) AS most, CAST(TRUNCATE(c_acctbal) AS BIGINT) AS whole FROM {c}"""))
 
 
-@query("""SELECT event_id, datediff('day', TIMESTAMP '2023-12-31', ts) * 24 + hour(ts) AS hours, strftime(ts, '%Y/%m/%d') AS day, CAST(NULL AS VARCHAR) AS none, strftime(TIMESTAMP '1970-01-01' + to_seconds(event_id * 100000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS east,
+@query("""SELECT event_id, datediff('day', TIMESTAMP '2023-12-31', ts) * 24 + hour(ts) AS hours, strftime(ts, '%Y/%m/%d') AS day, CAST(NULL AS VARCHAR) AS none, strftime(timezone('Asia/Shanghai', to_timestamp(event_id * 100000)), '%Y-%m-%d %H:%M:%S') AS east,
 CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds, date_trunc('hour', ts) AS floored, CASE WHEN ts = date_trunc('day', ts) THEN ts ELSE date_trunc('day', ts) + INTERVAL 1 DAY END AS ceiled, CAST(weekofyear(ts) AS INTEGER) AS week, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS tokyo,
 CAST(datesub('month', TIMESTAMP '2023-01-31', ts) AS BIGINT) AS months FROM events""")
 def q_script_time_functions(spark, d):
