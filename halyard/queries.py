@@ -404,7 +404,7 @@ def q_join_full(spark, d):
 @query("SELECT r_name, n_name FROM region JOIN nation ON n_regionkey > r_regionkey AND length(n_name) > length(r_name)")
 def q_join_theta(spark, d):
     r, n = table(spark, d, "region"), table(spark, d, "nation")
-    return n.join(F.broadcast(r), (n.n_regionkey > r.r_regionkey) & (F.length("n_name") > F.length("r_name"))).select("r_name", "n_name")  # 5 rows
+    return n.join(r, (n.n_regionkey > r.r_regionkey) & (F.length("n_name") > F.length("r_name"))).select("r_name", "n_name")  # Spark broadcasts a side whose files are small
 
 
 @query("SELECT a.r_name AS one, b.r_name AS other FROM region a CROSS JOIN region b")
@@ -770,6 +770,26 @@ def q_over_stream(spark, d):
     return out.select("event_id", "nth", F.round("running_sum", 3).alias("running_sum"), F.round("near_avg", 6).alias("near_avg"))
 
 
+@query("""SELECT event_id, kind, nth, round(total, 3) AS total, round(day_avg, 6) AS day_avg, n_near, most_near, first_kind, kind_before FROM (SELECT event_id, ts, event_type AS kind, row_number() OVER w AS nth, sum(value) OVER w AS total,
+avg(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_avg, count(*) OVER near AS n_near, max(ts) OVER near AS most_near,
+first_value(event_type) OVER near AS first_kind, lag(event_type, 2) OVER w AS kind_before
+FROM events WHERE event_type <> 'view' WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), near AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type <> 'view') - 172800000000""")
+def q_script_over_stream(spark, d):
+    """OVER of a script on a stream whose rows come out of order: numbers, running sums, frames of rows and of time, earlier values. Spark filters before it takes the watermark."""
+    view = f"over_{uuid.uuid4().hex}"
+
+    def build(e):
+        e.withWatermark("ts", "2 days").createOrReplaceTempView(view)
+        near = "OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+        return Runner(spark, streaming=True).execute(f"""SELECT event_id, kind, nth, total, day_avg, n_near, most_near, first_kind, kind_before FROM (
+SELECT *, event_type AS kind, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts) AS nth, SUM(`value`) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total,
+AVG(`value`) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS day_avg, COUNT(*) {near} AS n_near, MAX(ts) {near} AS most_near,
+FIRST_VALUE(event_type) {near} AS first_kind, LAG(event_type, 2) OVER (PARTITION BY user_id ORDER BY ts) AS kind_before FROM {view} WHERE event_type <> 'view') AS x""")
+
+    out = _replayed(spark, "overs", build, (_timed(spark, d), _CUTS))
+    return out.withColumns({"total": F.round("total", 3), "day_avg": F.round("day_avg", 6), "most_near": F.col("most_near").cast("timestamp_ntz")})
+
+
 @query(f"SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) AS nth FROM events) WHERE nth <= 5 AND epoch_us(ts) <= ({_passed('')}) * 1000")
 def q_rate_limit_stream(spark, d):
     build = lambda e: rate_limited_stream(e.withWatermark("ts", "2 days"), [], "ts", ["event_id"], "1 hour", 5).select("event_id", "event_type")

@@ -33,8 +33,8 @@ class Insert:
         return f"INSERT {'OVERWRITE' if self.overwrite else 'INTO'} {quoted(self.parts)}{clause}{listed} SELECT * FROM {source}"
 
 
-def parse_insert(sql: str) -> Insert:
-    """INSERT INTO or OVERWRITE [TABLE] a.b [PARTITION (p = 'x', q)] [(columns)] query. The query may be SELECT, WITH, VALUES, TABLE or one in brackets."""
+def parse_insert(sql: str, **hooks) -> Insert:
+    """INSERT INTO or OVERWRITE [TABLE] a.b [PARTITION (p = 'x', q)] [(columns)] query. The query may be SELECT, WITH, VALUES, TABLE or one in brackets; hooks are rewrite_query()'s."""
     tokens = placed(sql)
     words = [t[1].upper() for t in tokens]
     if words[:2] not in (["INSERT", "INTO"], ["INSERT", "OVERWRITE"]):
@@ -61,4 +61,4 @@ def parse_insert(sql: str) -> Insert:
         k = end + 1
     if k >= len(tokens):
         raise ValueError(f"the insert into {'.'.join(parts)} has no query")
-    return Insert(parts, words[1] == "OVERWRITE", rewrite_query(sql[tokens[k][2] :].rstrip().rstrip(";")), columns, partition)
+    return Insert(parts, words[1] == "OVERWRITE", rewrite_query(sql[tokens[k][2] :].rstrip().rstrip(";"), **hooks), columns, partition)

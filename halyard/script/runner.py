@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from halyard.script.tokens import name_at, quoted, significant, unquoted
 from halyard.sources.connectors import read_table
 from halyard.sources.lines import keep_place
 from halyard.streaming.exactly_once import Ledger, OnceFiles, OnceJdbc, once
+from halyard.streaming.ordered import state_in_rocksdb
 from halyard.streaming.sinks import PartitionCommit, fan_out, jdbc_sink, seconds, supervised_all
 
 #: Nodes of a plan that treats each row by itself, so a micro-batch gives what the whole stream would.
@@ -88,11 +90,11 @@ class Runner:
         elif name == "DROP_TABLE":
             self._drop(c.operands[0])
         elif name == "CREATE_VIEW":
-            spark.sql(rewrite_query(c.operands[1], self._sessions)).createOrReplaceTempView(unquoted(c.operands[0]))
+            spark.sql(rewrite_query(c.operands[1], self._sessions, self._streams)).createOrReplaceTempView(unquoted(c.operands[0]))
         elif name == "DROP_VIEW":
             spark.sql(f"DROP VIEW {c.operands[0]}")
         elif name == "SELECT":
-            return spark.sql(rewrite_query(c.operands[0], self._sessions))
+            return spark.sql(rewrite_query(c.operands[0], self._sessions, self._streams))
         elif name.startswith("INSERT"):
             return self._insert_all([c.operands[0]])
         elif name == "SET":
@@ -131,6 +133,14 @@ class Runner:
         session_rows(df, name, gap.lower()).createOrReplaceTempView(view)
         return view
 
+    def _streams(self, sql: str) -> DataFrame | None:
+        """The stream that a query reads; None where it reads tables, or names what isn't known yet, such as a WITH around it."""
+        try:
+            df = self.spark.sql(sql)
+        except AnalysisException:
+            return None
+        return df if df.isStreaming else None
+
     def _create(self, table: TableDef) -> None:
         self.tables[table.name] = table
         if table.options.get("connector") in (None, "hive") or table.stored_as or self.dialect == "hive":
@@ -161,7 +171,7 @@ class Runner:
         view by itself share one query, which reads each micro-batch once for all of them and gives it to each once, also when it is replayed; others
         (aggregates, joins, distinct rows) have a query each.
         """
-        inserts = [parse_insert(s) for s in statements]
+        inserts = [parse_insert(s, sessions=self._sessions, streams=self._streams) for s in statements]
         frames = [self.spark.sql(i.query) for i in inserts]
         for i, df in zip(inserts, frames):
             self._check(i, df.columns)
@@ -316,6 +326,12 @@ class Runner:
 
         def start():
             df = self._named(i, self.spark.sql(i.query))
+            if "TransformWithState" in df._jdf.queryExecution().analyzed().toString():  # such state lives in RocksDB
+                with state_in_rocksdb(self.spark):
+                    return begin(df)
+            return begin(df)
+
+        def begin(df: DataFrame):
             out = df.writeStream.option("checkpointLocation", f"{self.checkpoints}/{name}").trigger(**self.trigger)
             if target is not None and self._is_sink(target):
                 return out.foreachBatch(once(self._sink(target), Ledger(self.spark, f"{self.checkpoints}/{name}-ledger"), i.name)).start()

@@ -46,7 +46,8 @@ def unpacked(body: Column, schema: T.StructType) -> Column:
 
 
 def _sortable(tie: str) -> list:
-    return [(v is None, v if v is not None else 0) for v in json.loads(tie).values()]
+    """Nulls come first, as in Spark's windows."""
+    return [(v is not None, v if v is not None else 0) for v in json.loads(tie).values()]
 
 
 class _Ordered(StatefulProcessor):
@@ -90,11 +91,8 @@ class _Ordered(StatefulProcessor):
             (ready if row[0] <= passed else rest).append(tuple(row))
         ready.sort(key=lambda r: (r[0], r[1], _sortable(r[2])))
         state = json.loads(self.known.get()[0]) if self.known.exists() else None
-        out = []
-        for us, rank, _, body in ready:
-            state, given = self.fold(state, {"_us": us, "_rank": rank, "_body": body})
-            if given is not None:
-                out.append((*key, *given))
+        state, given = self.folded(state, ready)
+        out = [(*key, *values) for values in given]
         self.known.update((json.dumps(state),))
         self.due.clear()
         if rest:
@@ -104,6 +102,15 @@ class _Ordered(StatefulProcessor):
             self.waiting.clear()
         yield pd.DataFrame(out, columns=self.columns, dtype=object)
 
+    def folded(self, state, ready: list[tuple]) -> tuple[object, list[tuple]]:
+        """What the key remembers after its next rows, which are in order, and the values of the output rows."""
+        out = []
+        for us, rank, _, body in ready:
+            state, given = self.fold(state, {"_us": us, "_rank": rank, "_body": body})
+            if given is not None:
+                out.append(given)
+        return state, out
+
     def close(self) -> None:
         pass
 

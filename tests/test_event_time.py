@@ -6,13 +6,16 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from halyard.operators import batch as B
+from halyard.script.runner import Runner
 from halyard.streaming.changelog import SortedMultiset, changelog_aggregates
 from halyard.streaming.joins import interval_join_stream
 from halyard.streaming.lateness import firings, late_rows, windows_with_lateness
 from halyard.streaming.ordered import in_order, over_stream, rate_limited_stream, state_in_rocksdb, temporal_join_stream
+from halyard.streaming.overs import Over, over_rows
 
 BASE = 1704067200
 
@@ -131,3 +134,87 @@ def test_changelog(spark, tmp_path):
         if r["changes"] >= last.get(r["key"], (0,))[0]:
             last[r["key"]] = tuple(r)[1:]
     assert last == {"a": (4, 2, 2, 2.0, 5.0, 2.0), "b": (3, 1, 1, 7.0, 7.0, None), "c": (2, 0, 0, None, None, None), None: (1, 1, 1, 3.0, 3.0, None)}
+
+
+def test_over_kinds_equal_windows(spark, tmp_path):
+    """All kinds and frames against Spark's own windows in batch; times tie, values are null, NaN or decimal, a key is null."""
+    pick = random.Random(5)
+    rows = [(pick.choice(["a", "b", None]), k, pick.choice([None, 1, 2, 7]), pick.choice([None, 0.5, 2.25, float("nan")]), pick.choice(["x", "y", None]), pick.choice([None, pick.randrange(9)]), float(pick.randrange(60))) for k in range(240)]
+    schema = "key string, id long, n int, v double, w string, o long"
+    stream = cuts_of(spark, tmp_path / "in", [[r for r in rows if r[1] % 2], [r for r in rows if not r[1] % 2], [("late", 999, 1, 1.0, "z", 1, 9999.0)]], schema).withColumn("d", F.col("n").cast("decimal(10,2)") / 3)
+    df = spark.read.parquet(str(tmp_path / "in")).filter("id < 999").withColumn("d", F.col("n").cast("decimal(10,2)") / 3)
+    whole, back, span = {}, {"rows": 2}, {"span": "10 seconds"}
+    made = {}
+    for frame_name, frame in (("whole", whole), ("sofar", {"rows": -1}), ("back", back), ("span", span)):
+        for kind, of in (("count", "w"), ("sum", "n"), ("sum", "d"), ("avg", "n"), ("avg", "d"), ("min", "v"), ("max", "v"), ("max", "w"), ("min", "ts")):
+            made[f"{kind}_{of}_{frame_name}"] = Over(kind, F.col(of), **frame)
+    for frame_name, frame in (("sofar", {"rows": -1}), ("back", back)):
+        made |= {f"first_{frame_name}": Over("first_value", F.col("w"), **frame), f"last_{frame_name}": Over("last_value", F.col("v"), **frame), f"sum_v_{frame_name}": Over("sum", F.when(~F.isnan("v"), F.col("v")), **frame)}
+    made |= {k: Over(k) for k in ("row_number", "rank", "dense_rank")} | {"lag_1": Over("lag", F.col("ts")), "lag_3": Over("lag", F.col("d"), offset=3)}
+
+    def batch(order, names):
+        w = Window.partitionBy("key").orderBy(*order)
+        frames = {"whole": w.rangeBetween(Window.unboundedPreceding, 0), "sofar": w.rowsBetween(Window.unboundedPreceding, 0), "back": w.rowsBetween(-2, 0)}
+        out = []
+        for name in names:
+            v = made[name]
+            call = getattr(F, v.kind)(*([] if v.of is None else [v.of, v.offset] if v.kind == "lag" else [v.of]))
+            if v.span:
+                over = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-10 * 10**6, 0)
+            else:
+                over = w if v.kind in ("row_number", "rank", "dense_rank", "lag") else frames["whole" if v.rows is None else "sofar" if v.rows < 0 else "back"]
+            out.append(call.over(over).alias(name))
+        return df.select("id", *out)
+
+    def same(got, want):
+        assert [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+        rows = lambda d: sorted(tuple(map(repr, r)) for r in d.collect())
+        assert rows(got) == rows(want)
+
+    marked = stream.withWatermark("ts", "100 seconds")
+    for n, order in enumerate((["o", "id"], ["o"], [])):  # the last two leave ties, where only frames of time are defined
+        names = [k for k, v in made.items() if (v.span is None or not order) and (n == 0 or (v.rows is None and v.kind not in ("row_number", "lag")))]
+        out = over_rows(marked, [F.col("key")], "ts", order, {k: made[k] for k in names}).select("id", *names)
+        (tmp_path / f"o{n}").mkdir()
+        ran(spark, out, tmp_path / f"o{n}", f"over_kinds_{n}")
+        same(spark.table(f"over_kinds_{n}").filter("id < 999"), batch(["ts", *order], names))
+
+
+def test_over_of_scripts(spark, tmp_path):
+    s = cuts_of(spark, tmp_path / "in", [[("a", 1, 1.0, 10.0), ("b", 2, 2.0, 11.0), ("a", 3, 4.0, 5.0)], [("c", 9, 0.0, 999.0)]], "key string, id long, v double")
+    s.withWatermark("ts", "60 seconds").createOrReplaceTempView("over_in")
+    s.createOrReplaceTempView("over_plain")
+    r = Runner(spark, streaming=True, checkpoints=str(tmp_path / "chk"))
+    first = r.execute("SELECT t.* FROM (SELECT *, row_number() OVER (PARTITION BY upper(key), CASE WHEN v < 9 THEN 1 ELSE 2 END ORDER BY ts ASC) AS rn FROM over_in) AS t WHERE rn = 1")
+    assert first.columns == ["key", "id", "v", "ts", "rn"]
+    got, _ = ran(spark, first, tmp_path, "over_first")
+    assert sorted((x["key"], x["id"]) for x in got) == [("a", 3), ("b", 2)]
+    sums = r.execute("SELECT o.id, round(sum(o.v) OVER (PARTITION BY o.key ORDER BY o.ts), 1) + 1 AS total FROM over_in AS o WHERE o.v > 1 UNION ALL SELECT id, v FROM over_in WHERE id = 9")
+    (tmp_path / "sums").mkdir()
+    got, _ = ran(spark, sums, tmp_path / "sums", "over_sums")
+    assert sorted(map(tuple, got)) == [(2, 3.0), (3, 5.0), (9, 0.0)]
+    spark.read.parquet(str(tmp_path / "in")).createOrReplaceTempView("over_table")  # a table keeps Spark's own windows
+    got = r.execute("SELECT id, row_number() OVER (PARTITION BY key ORDER BY v DESC) AS rn FROM over_table").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, 1), (3, 1), (9, 1)]
+    for bad in ("sum(v) OVER (PARTITION BY key ORDER BY ts DESC)", "sum(v) OVER (PARTITION BY key ORDER BY id)", "sum(v) OVER (PARTITION BY key)", "ntile(2) OVER (PARTITION BY key ORDER BY ts)", "sum(DISTINCT v) OVER (ORDER BY ts)",
+                "sum(v) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", "sum(v) OVER (PARTITION BY key ORDER BY ts) + sum(v) OVER (PARTITION BY id ORDER BY ts)"):
+        with pytest.raises(ValueError):
+            r.execute(f"SELECT {bad} AS x FROM over_in")
+    with pytest.raises(ValueError):  # no watermark
+        r.execute("SELECT sum(v) OVER (PARTITION BY key ORDER BY ts) AS x FROM over_plain")
+
+
+def test_insert_of_overs(spark, tmp_path):
+    """An insert of a script into a stored table, with a view between."""
+    s = cuts_of(spark, tmp_path / "in", [[("a", 1, 1.0, 10.0), ("a", 3, 4.0, 5.0)], [("c", 9, 0.0, 999.0)]], "key string, id long, v double")
+    s.withWatermark("ts", "60 seconds").createOrReplaceTempView("over_source")
+    spark.sql("DROP TABLE IF EXISTS over_sink")
+    r = Runner(spark, streaming=True, checkpoints=str(tmp_path / "chk"), warehouse=str(tmp_path / "wh"))
+    r.run("""SET table.sql-dialect=hive;
+CREATE TABLE over_sink (id BIGINT, n BIGINT);
+SET table.sql-dialect=default;
+CREATE VIEW over_between AS SELECT id, count(*) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM over_source;
+INSERT INTO over_sink SELECT id, n FROM over_between WHERE n < 9;
+""")
+    r.wait(0)
+    assert sorted(map(tuple, spark.table("over_sink").collect())) == [(1, 2), (3, 1)]
