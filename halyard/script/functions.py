@@ -77,7 +77,6 @@ FUNCTIONS = {
     "RAND_INTEGER": _function("number", "n any", "CAST(floor(rand() * ({n})) AS INT)"),
     # Times. Text that is no time gives null; differences are of wall clocks, whole units towards zero.
     "DATE_FORMAT": _function("time", "at time; form any", "date_format({at}, {form})"),
-    "FROM_UNIXTIME": _function("time", f"seconds whole; form any = {_STAMP}", "from_unixtime({seconds}, {form})"),
     "UNIX_TIMESTAMP": _function("time", f"s any; form any = {_STAMP}", "unix_timestamp(try_to_timestamp({s}, {form}))"),
     "TO_DATE": _function("time", "s any; form any = 'yyyy-MM-dd'", "try_to_date({s}, {form})"),
     "TO_TIMESTAMP_LTZ": _function("time", "n whole; digits any = 3", "(CASE {digits} WHEN 0 THEN timestamp_seconds({n}) WHEN 3 THEN timestamp_millis({n}) ELSE CAST(raise_error('TO_TIMESTAMP_LTZ takes 0 or 3 digits') AS TIMESTAMP) END)"),
@@ -94,11 +93,18 @@ FUNCTIONS = {
 }
 
 
-def _zoned(args: list[str]) -> str | None:
-    """FROM_UNIXTIME(seconds, form, zone): the wall clock of a zone instead of the session's."""
-    if len(args) != 3:
+def _unix(args: list[str]) -> str | None:
+    """FROM_UNIXTIME(seconds[, form[, zone]]): the wall clock of a zone, by default the session's. Years beyond 9999 are written without Spark's plus sign."""
+    if len(args) not in (1, 2, 3):
         return None
-    return f"date_format(convert_timezone('UTC', {args[2]}, TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({args[0]} AS BIGINT))), {args[1]})"
+    seconds, form = f"CAST({args[0]} AS BIGINT)", args[1] if len(args) > 1 else _STAMP
+    if len(args) == 3:
+        at = f"convert_timezone('UTC', {args[2]}, TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(CAST({seconds} div 86400 AS INT), 0, 0, {seconds} % 86400))"
+    else:
+        at = f"timestamp_seconds({seconds})"
+    # Four or five letters ask for the sign, three don't; text between quotes stays.
+    plain = f"regexp_replace({form}, R'(?<!y)y{{4,5}}(?!y)(?=[^\\x27]*(\\x27[^\\x27]*\\x27[^\\x27]*)*$)', 'yyy')"
+    return f"(CASE WHEN year({at}) > 9999 THEN date_format({at}, {plain}) ELSE date_format({at}, {form}) END)"
 
 
 def _difference(args: list[str]) -> str | None:
@@ -125,7 +131,7 @@ def _slice(args: list[str]) -> str | None:
     return f"slice({a}, {first}, greatest({last} - {first} + 1, 0))"
 
 
-_SHAPED: dict[str, Callable[[list[str]], str | None]] = {"FROM_UNIXTIME": _zoned, "TIMESTAMPDIFF": _difference, "ARRAY_SLICE": _slice}
+_SHAPED: dict[str, Callable[[list[str]], str | None]] = {"FROM_UNIXTIME": _unix, "TIMESTAMPDIFF": _difference, "ARRAY_SLICE": _slice}
 
 
 def builtin_call(name: str, args: list[list[Token]], text: Callable[[list[Token]], str]) -> str | None:

@@ -381,6 +381,12 @@ def test_function_catalog(spark):
         ("FROM_UNIXTIME(0)", "1970-01-01 00:00:00"),
         ("FROM_UNIXTIME(CAST('1700000000123' AS BIGINT)/1000, 'HH:mm')", "22:13"),
         ("FROM_UNIXTIME(1700000000, 'yyyy-MM-dd HH:mm:ss', 'Asia/Shanghai')", "2023-11-15 06:13:20"),
+        ("FROM_UNIXTIME(253402300800)", "10000-01-01 00:00:00"),
+        ("FROM_UNIXTIME(253402300799, 'yyyy-MM-dd HH:mm:ss', 'Asia/Shanghai')", "10000-01-01 07:59:59"),
+        ("FROM_UNIXTIME(253402300799, 'yyyy-MM-dd HH:mm:ss', 'UTC')", "9999-12-31 23:59:59"),
+        ("FROM_UNIXTIME(3599999900000, \"'yyyy' yyyy-MM-dd HH:mm:ss yyyyyy\", 'Asia/Shanghai')", "yyyy 116049-06-15 20:13:20 116049"),
+        ("FROM_UNIXTIME(-1, 'yyyy-MM-dd HH:mm:ss', 'UTC')", "1969-12-31 23:59:59"),
+        ("FROM_UNIXTIME(CAST(NULL AS BIGINT), 'yyyy', 'UTC')", None),
         ("UNIX_TIMESTAMP('1970-01-02 00:00:00')", 86400),
         ("UNIX_TIMESTAMP('02.01.1970', 'dd.MM.yyyy')", 86400),
         ("UNIX_TIMESTAMP('x')", None),
