@@ -16,15 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import give_back, text_of
+from halyard.llm.common import batch_bytes, frozen, give_back, text_of
 
 SIZE, END_ID = 2048, 1
 #: Costs in tokens of padding: a cut at a sentence's end, any other cut inside a document.
 AT_SENTENCE, ANYWHERE = 16, 96
 #: Stretches without a boundary get a cut point after so many ids.
 STEP = 128
-#: Ids that are planned at once; words that a task remembers (about 150 bytes each), bytes of text that are tokenised at once.
-SEGMENT, MEMO_ENTRIES, TEXT_BYTES = 1 << 19, 1 << 19, 4 << 20
+#: Ids that are planned at once; words that a task remembers (about 150 bytes each), bytes of text that are tokenised at once and that Spark sends at once.
+SEGMENT, MEMO_ENTRIES, TEXT_BYTES, BATCH = 1 << 19, 1 << 19, 1 << 20, 4 << 20
 PUNCTUATION = ".,;:!?%#$&*"
 #: The parts of a tokenizer by which a word of letters is one pre-token, made letter by letter, and nothing is added around it.
 PARTS = {
@@ -340,6 +340,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     sentences or elsewhere (at a cost); only the end of a partition is padded by more than a few ids, or split into powers of two.
     sequence_id is the partition's number, shifted by 33, plus the sequence's. Null and repeated ids are packed like any others;
     an empty table gives no rows.
+
+    The pieces, seven numbers each, are written to the shared folder at once, as only then the size of what goes to Python is set.
     """
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("_text"))
     kind = dict(rows.dtypes)["id"]
@@ -347,7 +349,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     id_type = to_arrow_type(rows.schema["id"].dataType)
     out = rows.mapInArrow(_packer(tokenizer, size, split, id_type), f"id {kind}, " + ", ".join(f"{n} long" for n in NAMES[1:]))
-    return out.withColumnRenamed("id", id_col)
+    with batch_bytes(docs.sparkSession, BATCH):
+        return frozen(out.withColumnRenamed("id", id_col), "pieces")
 
 
 def word_tokenizer() -> str:

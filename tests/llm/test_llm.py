@@ -959,6 +959,19 @@ def test_batches_of_few_bytes(spark):
     assert [r["n"] for r in rows()] == [3000]
 
 
+def test_pack_gets_few_bytes_at_once(spark, monkeypatch):
+    """10,000 whole texts in one batch took an executor with two tasks beyond its memory."""
+    import pyarrow as pa
+
+    def told(*_):
+        return lambda batches: (pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), *[pa.array([b.num_rows], pa.int64())] * 6], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]) for b in batches)
+
+    monkeypatch.setattr(packing, "_packer", told)
+    docs = spark.range(0, 3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 8000).alias("text"))
+    few = [r["length"] for r in packing.pack(docs, packing.word_tokenizer()).collect()]
+    assert sum(few) == 3000 and max(few) < 1000
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_odd_and_empty_tables(spark, odd, stage, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
