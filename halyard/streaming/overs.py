@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.operators.batch import micros
-from halyard.streaming.ordered import _Ordered, packed, unpacked
+from halyard.streaming.ordered import _Ordered, dealt, packed, unpacked
 
 KINDS = ("row_number", "rank", "dense_rank", "count", "sum", "avg", "min", "max", "first_value", "last_value", "lag")
 _RANKS = KINDS[:3]
@@ -148,7 +148,7 @@ class _Overs(_Ordered):
 def over_rows(df: DataFrame, keys: list[Column], ts: str, order: list[str], values: dict[str, Over]) -> DataFrame:
     """df with a column for each of `values`, as Spark's windows give them in batch, over a stream with a watermark on ts: PARTITION BY keys ORDER BY ts, order.
 
-    Rows wait until the watermark has passed them, so those that come out of order within its delay are in their place; rows behind it, or without a time, go. State of a key:
+    Rows wait until the watermark has passed them, so those that come out of order within its delay are in their place; rows behind it, or without a time, go. State of a group of keys:
     those rows, and for each value a running one or its frame's. Types are those of Spark's windows. Nulls come first in an order, and null keys are a key.
     """
     for v in values.values():
@@ -184,15 +184,13 @@ def over_rows(df: DataFrame, keys: list[Column], ts: str, order: list[str], valu
         got = F.col(f"v.v{n}")
         back.append((F.timestamp_micros(got).cast(to) if time else got).alias(name))
     whole = packed(*[F.col(f"`{c}`") for c in df.columns])
+    kinds = [kind for _, kind in df.select(*[k.alias(f"k{n}") for n, k in enumerate(keys)]).dtypes]
     rows = df.select(
-        *[k.alias(f"_k{n}") for n, k in enumerate(keys or [F.lit(0)])],
+        *dealt(keys, kinds),
         F.unix_micros(F.col(f"`{ts}`").cast("timestamp")).alias("us"),
         F.lit(0).alias("rank"),
         packed(*[F.col(f"`{c}`") for c in order]).alias("tie") if order else F.lit("{}").alias("tie"),
         packed(whole.alias("row"), *arguments).alias("body"),
     ).filter("us is not null")
-    by = [c for c in rows.columns if c.startswith("_k")]
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "row string, value string"])
-    out = rows.groupBy(*by).transformWithStateInPandas(_Overs(plans, [*by, "row", "value"]), schema, "Append", "EventTime")
+    out = rows.groupBy("_group").transformWithStateInPandas(_Overs(plans, ["_key", "row", "value"]), "_key string, row string, value string", "Append", "EventTime")
     return out.select(unpacked(F.col("row"), df.schema).alias("row"), unpacked(F.col("value"), T.StructType(shown)).alias("v")).select("row.*", *back)

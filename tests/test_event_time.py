@@ -1,5 +1,6 @@
 """Stream joins, ordered folds, lateness and changelogs against plain readings; what state they keep."""
 
+import json
 import random
 import time
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.operators import batch as B
 from halyard.script.runner import Runner
@@ -80,6 +82,20 @@ def test_over_and_folds(spark, tmp_path):
     assert sorted((r["key"], r["odd"]) for r in got) == [("a", 1), ("a", 3)]
 
 
+def test_keys_share_groups(spark, tmp_path):
+    """State is called by group: 400 keys in 4 groups, of which each keeps its own rows and its type; nulls and both zeros are keys."""
+    numbers = [None, 0.0, *map(float, range(1, 399))]
+    cuts = [[(-0.0 if v == 0 else v, k, 10.0) for k, v in enumerate(numbers)], [(v, 1000 + k, 5.0) for k, v in enumerate(numbers)], [(7.0, 5000, 900.0)]]
+    s = cuts_of(spark, tmp_path / "in", cuts, "key double, id long").withWatermark("ts", "60 seconds")
+    out = in_order(s, ["key"], "ts", ["id"], lambda state, row: ((state or 0) + 1, ((state or 0) + 1, json.loads(row["_body"])["id"])), "nth long, id long", groups=4)
+    got, q = ran(spark, out, tmp_path, "shared")
+    assert out.schema["key"].dataType == T.DoubleType()
+    assert sorted((r["id"], r["nth"], r["key"]) for r in got if r["key"] is not None) == sorted((1000 * (n == 1) + k, 3 - n - 1, v) for k, v in enumerate(numbers) if v is not None for n in (0, 1))
+    assert sorted((r["id"], r["nth"]) for r in got if r["key"] is None) == [(0, 2), (1000, 1)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) < 100
+
+
 def test_rate_limit(spark, tmp_path):
     pick = random.Random(3)
     rows = [(pick.choice("ab"), k, pick.randrange(4000) / 10) for k in range(300)]
