@@ -165,7 +165,7 @@ def in_order(df: DataFrame, keys: list[str], ts: str, order: list[str], fold: Fo
     return out.select(unpacked(F.col("_key"), key).alias("_key"), *values).select(*shown, *values) if keys else out.select(*values)
 
 
-def temporal_join_stream(left: DataFrame, right: DataFrame, on: str, ts: str, right_cols: list[str], left_order: list[str], strict: bool = False) -> DataFrame:
+def temporal_join_stream(left: DataFrame, right: DataFrame, on: str, ts: str, right_cols: list[str], left_order: list[str], strict: bool = False, groups: int = GROUPS) -> DataFrame:
     """Each left row with right_cols (prefixed right_) of the last right row of its key that isn't later (strict: is earlier), nulls where there is none: the batch
     asof_join() over two streams with watermarks on ts.
 
@@ -185,7 +185,7 @@ def temporal_join_stream(left: DataFrame, right: DataFrame, on: str, ts: str, ri
 
     both = a.unionByName(b)
     kind = dict(both.dtypes)["key"]
-    rows = both.select(*dealt([F.col("key")], [kind]), F.unix_micros("at").alias("us"), "rank", F.col("order").alias("tie"), "body").filter("us is not null")
+    rows = both.select(*dealt([F.col("key")], [kind], groups), F.unix_micros("at").alias("us"), "rank", F.col("order").alias("tie"), "body").filter("us is not null")
     out = rows.groupBy("_group").transformWithStateInPandas(_Ordered(fold, ["_key", "left", "right"]), "_key string, left string, right string", "Append", "EventTime")
     versions = T.StructType([T.StructField(c, right.schema[c].dataType) for c in right_cols])
     return out.select(unpacked(F.col("left"), left.schema).alias("l"), unpacked(F.col("right"), versions).alias("r")).select("l.*", *[F.col(f"r.`{c}`").alias(f"right_{c}") for c in right_cols])

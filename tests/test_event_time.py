@@ -70,6 +70,16 @@ def test_temporal_join(spark, tmp_path):
         assert {seconds_of(r["ts"]) for r in got} == {10.0, 20.0, 45.0, 50.0, 60.0}
 
 
+def test_versions_share_groups(spark, tmp_path):
+    """200 keys in 4 groups of state: each left row gets its own key's version."""
+    late = lambda s: s.withWatermark("ts", "60 seconds")
+    a = cuts_of(spark, tmp_path / "a", [[(k, k, 10.0) for k in range(200)], [(0, 999, 900.0)]], "key long, id long")
+    b = cuts_of(spark, tmp_path / "b", [[(k, 1000 + k, 5.0) for k in range(200)], [(0, 1999, 900.0)]], "key long, id long")
+    got, q = ran(spark, temporal_join_stream(late(a), late(b), "key", "ts", ["id"], ["id"], groups=4), tmp_path, "shared_versions")
+    assert sorted((r["key"], r["id"], r["right_id"]) for r in got) == [(k, k, 1000 + k) for k in range(200)]
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 100
+
+
 def test_over_and_folds(spark, tmp_path):
     cuts = [[("a", 1, 5.0, 10.0), ("a", 2, None, 30.0)], [("a", 3, 1.0, 20.0), ("a", 4, 8.0, 30.0), ("b", 5, 2.0, 31.0)], [("a", 6, 0.0, -500.0), ("a", 7, 4.0, 900.0)], [("b", 8, 0.0, 2000.0)]]
     s = cuts_of(spark, tmp_path / "in", cuts, "key string, id long, v double")
